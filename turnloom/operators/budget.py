@@ -43,7 +43,7 @@ def leading_sentences(
     """
 
     def cut(sents: Column) -> Column:
-        n = _lead(F.transform(sents, tokens), limit, include_crossing)
+        n = _lead(F.transform(sents, lambda s: tokens(s)), limit, include_crossing)
         joined = F.array_join(F.slice(sents, F.lit(1), n), " ")
         if include_crossing:
             return F.when(F.size(sents) > 0, F.concat(joined, F.lit(" "))).otherwise(F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as tx
 from turnloom.functions.binding import let
-from turnloom.functions.hashing import hash_fraction, hash_index, hash_key
+from turnloom.functions.hashing import hash_index, hash_key
 
 MASK = "[MASK]"
 
@@ -52,15 +52,20 @@ def language_model_mask(
     A swapped token is replaced by another token of the text. Unlabelled positions hold null.
     """
 
+    def below(part: float) -> Column:
+        return F.lit(f"{min(int(share * part * 2**32), 2**32 - 1):08x}")
+
     def run(ws: Column) -> Column:
-        draw = lambda i: hash_fraction(seed, key, i) / F.lit(share)
         other = lambda i: F.get(ws, hash_index(f"{seed}-swap", F.size(ws), key, i).cast("int"))
-        token = lambda w, i: F.when(draw(i) < 0.8, F.lit(mask)).when(
-            (draw(i) >= 0.8) & (draw(i) < 0.9), other(i)
-        ).otherwise(w)
-        return F.struct(
-            F.transform(ws, token).alias("tokens"),
-            F.transform(ws, lambda w, i: F.when(draw(i) < 1, w)).alias("labels"),
+        token = lambda h, i: F.when(h < below(0.8), F.lit(mask)).when(h < below(0.9), other(i)).otherwise(F.get(ws, i))
+        # the draw of a token is its digest's first eight hex digits, compared as text
+        draws = F.transform(ws, lambda w, i: F.substring(hash_key(seed, key, i), 1, 8))
+        return let(
+            draws,
+            lambda ds: F.struct(
+                F.transform(ds, token).alias("tokens"),
+                F.zip_with(ws, ds, lambda w, h: F.when(h < below(1.0), w)).alias("labels"),
+            ),
         )
 
     return let(tx.words(text), run)

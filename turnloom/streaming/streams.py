@@ -22,11 +22,12 @@ def turn_example_stream(
 ) -> DataFrame:
     """Examples of ``role`` from a stream of (conv_id, turn, author, text) rows, each as its turn arrives.
 
-    The state of a conversation holds at most ``max_turns`` turns. Turns of one conversation must arrive in order
+    Turn numbers count from 0. Later turns than the first ``max_turns`` are cut before the shuffle, so a batch
+    and the state hold at most that many rows of a conversation. Turns of one conversation must arrive in order
     over the micro-batches; inside a batch they are sorted. A turn number seen before is ignored.
     """
     clean = tx.mask_names(F.col("text"))
-    prepared = turns.select(
+    prepared = turns.where(F.col("turn") < max_turns).select(
         "conv_id", "turn", "author", tx.strip(clean).alias("content"), tokens(clean).alias("cost")
     )
 
