@@ -1,8 +1,8 @@
 """Global order statistics without a global sort in one task.
 
-Rows are first aggregated to distinct values. The distinct values are range-partitioned, summed up inside each
-range, and shifted by the totals of the ranges before. The range layout is written once, so every later step
-sees the same ranges.
+Rows are first aggregated to distinct values, which are written once. Up to a checked size the groups are swept
+directly. Beyond it the values are range-partitioned, summed up inside each range, and shifted by the totals of
+the ranges before; the range layout is written too, so every later step sees the same ranges.
 """
 
 from __future__ import annotations
@@ -14,13 +14,22 @@ from pyspark.sql import functions as F
 
 from turnloom.session import broadcast_if_small, durable
 
+SWEEP_ROWS = 5_000_000
 
-def running_totals(values: DataFrame, by: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
+
+def running_totals(
+    values: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], sweep_rows: int | None = None
+) -> DataFrame:
     """Add ``<weight>_before`` to one-row-per-(by, value) data: the weight of all smaller values in the group."""
+    values = durable(values)
+    limit = SWEEP_ROWS if sweep_rows is None else sweep_rows
+    before = lambda over: [(F.sum(w).over(over) - F.col(w)).alias(f"{w}_before") for w in weights]
+    if values.count() <= limit:
+        whole = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return values.select("*", *before(whole))
+
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(
-        values.repartitionByRange(parts, *by, value).withColumn("_range", F.spark_partition_id())
-    )
+    ranged = durable(values.repartitionByRange(parts, *by, value).withColumn("_range", F.spark_partition_id()))
     inner = Window.partitionBy("_range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     totals = ranged.groupBy("_range", *by).agg(*[F.sum(w).alias(f"_{w}") for w in weights])
@@ -28,10 +37,9 @@ def running_totals(values: DataFrame, by: Sequence[str], value: str, weights: Se
         "_range", *by, *[(F.sum(f"_{w}").over(outer) - F.col(f"_{w}")).alias(f"_{w}_off") for w in weights]
     )
     # a range meets few groups, so offsets hold about one row per range and one per group
-    within = ranged.select("*", *[(F.sum(w).over(inner) - F.col(w)).alias(f"_{w}_in") for w in weights])
-    joined = within.join(broadcast_if_small(offsets), ["_range", *by])
+    joined = ranged.select("*", *before(inner)).join(broadcast_if_small(offsets), ["_range", *by])
     return joined.select(
-        *values.columns, *[(F.col(f"_{w}_off") + F.col(f"_{w}_in")).alias(f"{w}_before") for w in weights]
+        *values.columns, *[(F.col(f"_{w}_off") + F.col(f"{w}_before")).alias(f"{w}_before") for w in weights]
     )
 
 

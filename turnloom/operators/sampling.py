@@ -13,71 +13,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.hashing import hash_fraction, hash_number
-from turnloom.session import broadcast_if_small
+from turnloom.session import broadcast_if_small, durable
 
 BINS = 4096
+HASH_RANGE = 2**60
 
 
 def _cuts(
-    df: DataFrame, order: Column, tie: Column, size: Column, by: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Per group the (order, tie) of its last row within ``size``, found from one histogram of the order number.
+    df: DataFrame, order: Column, tie: Column, size: Column, by: Sequence[str], hashed: bool
+) -> DataFrame:
+    """Per group its row count ``_n``, ``_size``, and the order number and tie ``_co, _ct`` of the last row inside.
 
-    The second table holds each group's row count and size; a group no larger than its size has no cut.
-    ``size`` is an expression over ``by`` and the group's row count ``_n``. Only the one bin in which the size is
-    reached gets ranked: about 1/4096 of a group.
+    ``size`` is an expression over ``by`` and ``_n``. One narrow pass counts rows per bin of the order number; a
+    second one ranks only the bin in which the size is reached, about 1/4096 of a group. Hash numbers have a known
+    range; other numbers are binned between their group's least and greatest. No cut (null) means that the size
+    covers the whole group or nothing.
     """
-    keys = df.select(*by, order.cast("bigint").alias("_o"), tie.alias("_tie"))
-    spread = keys.groupBy(*by).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"), F.count("*").alias("_n"))
-    spread = broadcast_if_small(spread.withColumn("_size", size).withColumn("_one", F.lit(1)))
-    width = F.greatest(F.floor((F.col("_hi") - F.col("_lo")) / BINS) + 1, F.lit(1))
+    keys = df.select(*by, order.cast("bigint").alias("_o"), tie.alias("_tie"), F.lit(1).alias("_one"))
     on = [*by, "_one"]
-    binned = (
-        keys.withColumn("_one", F.lit(1))
-        .join(spread, on)
-        .withColumn("_bin", F.expr("_o - _lo").cast("bigint"))
-        .withColumn("_bin", F.floor(F.col("_bin") / width))
-    )
-    counts = binned.groupBy(*by, "_size", "_bin").agg(F.count("*").alias("_c"))
-    before = F.coalesce(
-        F.sum("_c").over(
-            Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    edge = (
-        counts.withColumn("_before", before)
-        .where((F.col("_before") < F.col("_size")) & (F.col("_before") + F.col("_c") >= F.col("_size")))
-        .select(*by, "_bin", (F.col("_size") - F.col("_before")).alias("_room"), F.lit(1).alias("_one"))
-    )
-    edge = broadcast_if_small(edge)
-    ranked = binned.drop("_size").join(edge, [*on, "_bin"]).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_o", "_tie"))
+    if hashed:
+        binned = keys.withColumn("_bin", F.floor(F.col("_o") / F.lit(HASH_RANGE // BINS)))
+    else:
+        reach = keys.groupBy(*on).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
+        width = F.floor((F.col("_hi") - F.col("_lo")) / BINS) + 1
+        binned = keys.join(broadcast_if_small(reach), on).withColumn("_bin", F.floor((F.col("_o") - F.col("_lo")) / width))
+    counts = broadcast_if_small(binned.groupBy(*on, "_bin").agg(F.count("*").alias("_c")))
+    group = Window.partitionBy(*on)
+    placed = (
+        counts.withColumn("_n", F.sum("_c").over(group))
+        .withColumn("_size", size)
+        .withColumn("_upto", F.sum("_c").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
     )
-    at = ranked.where(F.col("_rank") == F.col("_room")).select(*by, F.col("_o").alias("_co"), F.col("_tie").alias("_ct"))
-    return at, spread
-
-
-def _within(df: DataFrame, order: Column, tie: Column, size: Column, by: Sequence[str]) -> DataFrame:
-    """Add ``_in``: whether the row is among its group's first ``size`` rows."""
-    at, spread = _cuts(df, order, tie, size, by)
-    if by:
-        limits = broadcast_if_small(spread.select(*by, "_n", "_size").join(at, list(by), "left"))
-        joined = df.join(limits, list(by))
-        o = order.cast("bigint")
-        inside = (F.col("_size") >= F.col("_n")) | (
-            F.col("_co").isNotNull()
-            & ((o < F.col("_co")) | ((o == F.col("_co")) & (tie <= F.col("_ct"))))
-        )
-        return joined.withColumn("_in", inside).drop("_n", "_size", "_co", "_ct")
-    sizes = spread.select("_n", "_size").first()
-    if sizes is None or sizes["_size"] >= sizes["_n"]:
-        return df.withColumn("_in", F.lit(True))
-    cut = at.first()
-    if cut is None:
-        return df.withColumn("_in", F.lit(False))
+    room = F.col("_size") - (F.col("_upto") - F.col("_c"))
+    edge = placed.where((room > 0) & (F.col("_upto") >= F.col("_size")) & (F.col("_size") < F.col("_n")))
+    edge = broadcast_if_small(edge.select(*on, "_bin", room.alias("_room")))
+    ranked = binned.join(edge, [*on, "_bin"]).withColumn("_rank", F.row_number().over(group.orderBy("_o", "_tie")))
+    cut = ranked.where(F.col("_rank") == F.col("_room")).select(*on, F.col("_o").alias("_co"), F.col("_tie").alias("_ct"))
+    sizes = placed.groupBy(*on).agg(F.max("_n").alias("_n"), F.max("_size").alias("_size"))
+    return broadcast_if_small(sizes.join(cut, on, "left").drop("_one"))
+
+
+def within_size(df: DataFrame, order: Column, key: str, size: Column, hashed: bool = True) -> Column:
+    """Condition on ``order`` and ``key``: the row is among the first ``size`` rows of ``df``."""
+    row = _cuts(df, order, F.col(key), size, (), hashed).first()
+    if row is None or row["_size"] >= row["_n"]:
+        return F.lit(True)
+    if row["_co"] is None:
+        return F.lit(False)
+    o = order.cast("bigint")
+    return (o < row["_co"]) | ((o == row["_co"]) & (F.col(key) <= F.lit(row["_ct"])))
+
+
+def _kept(df: DataFrame, order: Column, key: str, size: Column, by: Sequence[str], hashed: bool) -> DataFrame:
+    """The first ``size`` rows of every group: a filter against one small table of cuts."""
     o = order.cast("bigint")
-    return df.withColumn("_in", (o < cut["_co"]) | ((o == cut["_co"]) & (tie <= F.lit(cut["_ct"]))))
+    inside = (F.col("_size") >= F.col("_n")) | (o < F.col("_co")) | ((o == F.col("_co")) & (F.col(key) <= F.col("_ct")))
+    limits = _cuts(df, order, F.col(key), size, by, hashed)
+    return df.join(limits, list(by)).where(inside).drop("_n", "_size", "_co", "_ct")
 
 
 def split_by_fraction(df: DataFrame, key: str, train: float = 0.9, seed: int = 123, column: str = "split") -> DataFrame:
@@ -87,11 +79,15 @@ def split_by_fraction(df: DataFrame, key: str, train: float = 0.9, seed: int = 1
     )
 
 
+def train_rows(df: DataFrame, key: str, train: float, seed: int) -> Column:
+    """Condition on ``key`` that holds for exactly floor(n * train) rows of ``df``; ``key`` is unique per row."""
+    return within_size(df, hash_number(seed, F.col(key)), key, F.floor(F.col("_n") * F.lit(train)))
+
+
 def split_rows(df: DataFrame, key: str, train: float = 0.9, seed: int = 123, column: str = "split") -> DataFrame:
     """Row split with exactly floor(n * train) training rows; ``key`` is unique per row."""
-    size = F.floor(F.col("_n") * F.lit(train))
-    marked = _within(df, hash_number(seed, F.col(key)), F.col(key), size, ())
-    return marked.withColumn(column, F.when(F.col("_in"), F.lit("train")).otherwise(F.lit("test"))).drop("_in")
+    inside = train_rows(df, key, train, seed)
+    return df.withColumn(column, F.when(inside, F.lit("train")).otherwise(F.lit("test")))
 
 
 def split_by_key(df: DataFrame, key: str, train: float = 0.9, seed: int = 123, column: str = "split") -> DataFrame:
@@ -99,16 +95,12 @@ def split_by_key(df: DataFrame, key: str, train: float = 0.9, seed: int = 123, c
 
     Only the distinct keys are counted and ranked. The rows themselves are compared with one threshold.
     """
-    keys = df.select(key).distinct()
-    order = hash_number(seed, F.col(key))
-    at, spread = _cuts(keys, order, F.col(key), F.floor(F.col("_n") * F.lit(train)), ())
-    sizes, cut = spread.select("_n", "_size").first(), at.first()
-    if sizes is None or sizes["_size"] >= sizes["_n"]:
-        inside = F.lit(True)
-    elif cut is None:
-        inside = F.lit(False)
-    else:
-        inside = (order < cut["_co"]) | ((order == cut["_co"]) & (F.col(key) <= F.lit(cut["_ct"])))
+    return split_rows_like(df, durable(df.select(key).distinct()), key, train, seed, column)
+
+
+def split_rows_like(df: DataFrame, keys: DataFrame, key: str, train: float, seed: int, column: str) -> DataFrame:
+    """Split ``df`` by the exact threshold found on a table of unique keys."""
+    inside = train_rows(keys, key, train, seed)
     return df.withColumn(column, F.when(inside, F.lit("train")).otherwise(F.lit("test")))
 
 
@@ -119,7 +111,7 @@ def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows in hash order of a unique key, any ``n``."""
-    return _within(df, hash_number(seed, F.col(key)), F.col(key), F.lit(n), ()).where("_in").drop("_in")
+    return df.where(within_size(df, hash_number(seed, F.col(key)), key, F.lit(n)))
 
 
 def head_rows(df: DataFrame, n: int, key: str) -> DataFrame:
@@ -129,14 +121,13 @@ def head_rows(df: DataFrame, n: int, key: str) -> DataFrame:
 
 def cap_per_group(df: DataFrame, group: str, cap: int, key: str, seed: int = 0) -> DataFrame:
     """At most ``cap`` rows per group, drawn without replacement."""
-    kept = _within(df, hash_number(seed, F.col(key)), F.col(key), F.lit(cap), (group,))
-    return kept.where("_in").drop("_in")
+    return _kept(df, hash_number(seed, F.col(key)), key, F.lit(cap), (group,), True)
 
 
 def first_per_group(df: DataFrame, group: str, limit: int | float, key: str) -> DataFrame:
     """The first ``limit`` rows (int) or first share of rows (float) per group in the order of a numeric key."""
     size = F.lit(limit) if isinstance(limit, int) else F.floor(F.col("_n") * F.lit(limit))
-    return _within(df, F.col(key), F.col(key), size, (group,)).where("_in").drop("_in")
+    return _kept(df, F.col(key), key, size, (group,), False)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -155,7 +146,7 @@ def dense_index(df: DataFrame, group: str, key: str, seed: int = 0, buckets: int
     spread over that many sorts.
     """
     o = hash_number(seed, F.col(key))
-    sliced = df.withColumn("_o", o).withColumn("_slice", F.floor(F.col("_o") / F.lit(2**60 // buckets)))
+    sliced = df.withColumn("_o", o).withColumn("_slice", F.floor(F.col("_o") / F.lit(HASH_RANGE // buckets)))
     by_order = Window.partitionBy(group).orderBy("_slice")
     sizes = (
         sliced.groupBy(group, "_slice")

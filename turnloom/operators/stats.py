@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators.ranking import average_ranks, running_totals
-from turnloom.session import broadcast_if_small
+from turnloom.operators.ranking import running_totals
+from turnloom.session import broadcast_if_small, durable
 
 THRESHOLD_STEPS = 1000
+DIGIT_BITS = 3
 
 
 def _join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -85,7 +86,7 @@ def _cells(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 def spearman(pairs: DataFrame, by: Sequence[str] = (), x: str = "label", y: str = "pred") -> DataFrame:
     """Pearson correlation of average ranks, over cells of equal (x, y) weighted by their count."""
-    cells = _cells(pairs, by, x, y)
+    cells = durable(_cells(pairs, by, x, y))
     sides = []
     for col, rank in (("_x", "_rx"), ("_y", "_ry")):
         counts = cells.groupBy(*by, col).agg(F.sum("_n").alias("n"))
@@ -100,49 +101,50 @@ def spearman(pairs: DataFrame, by: Sequence[str] = (), x: str = "label", y: str
 
 
 def kendall(pairs: DataFrame, by: Sequence[str] = (), x: str = "label", y: str = "pred") -> DataFrame:
-    """Kendall tau-b by counting inversions bit by bit of the y order.
+    """Kendall tau-b by counting inversions digit by digit.
 
-    Two different y places first differ in exactly one bit. Per bit and common higher bits, sums over x of the
-    rows with the bit set and unset give the concordant and discordant pairs; all bits are one aggregation of
-    cells x log2(distinct y) rows, and no pair of rows is ever formed.
+    The column with fewer distinct values is numbered in order. Two different numbers first differ in exactly one
+    base-8 digit. Per digit position and common higher digits, running sums over the other column give the
+    concordant and discordant pairs. All positions are one aggregation of cells x digits rows, and no pair of rows
+    is ever formed.
     """
-    cells = _cells(pairs, by, x, y)
-    y_counts = cells.groupBy(*by, "_y").agg(F.sum("_n").alias("n"), F.lit(1).cast("bigint").alias("one"))
-    places = running_totals(y_counts, by, "_y", ["one"]).select(*by, "_y", F.col("one_before").alias("_place"))
-    placed = cells.join(places, [*by, "_y"])
-    bits = F.ceil(F.log2(_num(F.max("one_count")) + 1))
-    width = places.groupBy(*by).agg(F.max("_place").alias("one_count")).groupBy(*by).agg(bits.alias("_bits"))
-    width = broadcast_if_small(width)
-    if by:
-        levelled = placed.join(width, list(by))
-    else:
-        row = width.first()
-        levelled = placed.withColumn("_bits", F.lit(row["_bits"] if row else 0).cast("bigint"))
-    levels = levelled.where("_bits > 0").withColumn("_bit", F.explode(F.sequence(F.lit(0), F.col("_bits").cast("int") - 1)))
-    shifted = F.call_function("shiftright", F.col("_place"), F.col("_bit"))
-    levels = levels.withColumn("_on", F.pmod(shifted, F.lit(2))).withColumn("_prefix", F.floor(shifted / 2))
-    keys = [*by, "_bit", "_prefix"]
-    sums = levels.groupBy(*keys, "_x").agg(
-        F.sum(F.when(F.col("_on") == 1, F.col("_n")).otherwise(0)).alias("hi"),
-        F.sum(F.when(F.col("_on") == 0, F.col("_n")).otherwise(0)).alias("lo"),
+    cells = durable(_cells(pairs, by, x, y))
+    side = lambda c: cells.groupBy(*by, c).agg(F.sum("_n").alias("n"), F.lit(1).cast("bigint").alias("one"))
+    x_counts, y_counts = durable(side("_x")), durable(side("_y"))
+    placed_by, swept_by, counts = ("_y", "_x", y_counts)
+    if x_counts.count() < y_counts.count():
+        placed_by, swept_by, counts = ("_x", "_y", x_counts)
+    places = running_totals(counts, by, placed_by, ["one"]).select(*by, placed_by, F.col("one_before").alias("_place"))
+    last = places.agg(F.max("_place")).first()[0] or 0
+    positions = max(1, -(-int(last).bit_length() // DIGIT_BITS))
+    levels = cells.join(places, [*by, placed_by]).withColumn(
+        "_shift", F.explode(F.array(*[F.lit(i * DIGIT_BITS) for i in range(positions)]))
     )
-    swept = running_totals(sums, keys, "_x", ["hi", "lo"])
-    order = swept.groupBy(*by).agg(
-        F.sum(_num(F.col("hi")) * _num(F.col("lo_before"))).alias("_con"),
-        F.sum(_num(F.col("lo")) * _num(F.col("hi_before"))).alias("_dis"),
+    shifted = F.call_function("shiftright", F.col("_place"), F.col("_shift"))
+    base = 1 << DIGIT_BITS
+    levels = levels.withColumn("_digit", F.pmod(shifted, F.lit(base))).withColumn("_prefix", F.floor(shifted / base))
+    keys = [*by, "_shift", "_prefix"]
+    digits = [f"d{v}" for v in range(base)]
+    sums = levels.groupBy(*keys, swept_by).agg(
+        *[F.sum(F.when(F.col("_digit") == v, F.col("_n")).otherwise(0)).alias(c) for v, c in enumerate(digits)]
     )
+    swept = running_totals(sums, keys, swept_by, digits)
+
+    def crossings(lower: bool) -> Column:
+        total = F.lit(0.0)
+        for v, c in enumerate(digits):
+            others = digits[:v] if lower else digits[v + 1 :]
+            if others:
+                total = total + _num(F.col(c)) * sum((_num(F.col(f"{o}_before")) for o in others), F.lit(0.0))
+        return F.sum(total)
+
+    order = swept.groupBy(*by).agg(crossings(True).alias("_con"), crossings(False).alias("_dis"))
     pairs_of = lambda c: F.sum(_num(c) * (_num(c) - 1) / 2)
-    tx = cells.groupBy(*by, "_x").agg(F.sum("_n").alias("n")).groupBy(*by).agg(
-        pairs_of(F.col("n")).alias("_tx"), F.sum("n").alias("_total")
-    )
+    tx = x_counts.groupBy(*by).agg(pairs_of(F.col("n")).alias("_tx"), F.sum("n").alias("_total"))
     ty = y_counts.groupBy(*by).agg(pairs_of(F.col("n")).alias("_ty"))
-    ties = _join(tx, ty, by)
-    joined = ties.join(order, list(by), "left") if by else _join(ties, order, by)
+    joined = _join(_join(tx, ty, by), order, by)
     n0 = _num(F.col("_total")) * (_num(F.col("_total")) - 1) / 2
-    tau = F.try_divide(
-        F.coalesce(F.col("_con") - F.col("_dis"), F.lit(0.0)),
-        F.sqrt((n0 - F.col("_tx")) * (n0 - F.col("_ty"))),
-    )
+    tau = F.try_divide(F.col("_con") - F.col("_dis"), F.sqrt((n0 - F.col("_tx")) * (n0 - F.col("_ty"))))
     return joined.select(*by, tau.alias("kendall"))
 
 

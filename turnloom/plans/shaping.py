@@ -86,5 +86,6 @@ def mixed_corpus(
             mixed = part if mixed is None else mixed.unionByName(part)
     else:
         mixed = sm.cap_per_group(pairs, "dataset", cap, key, seed)
+    inside = sm.train_rows(mixed, key, train, seed)
     samples = training_samples(mixed, seed, key)
-    return sm.split_rows(samples, key, train, seed)
+    return samples.withColumn("split", F.when(inside, F.lit("train")).otherwise(F.lit("test")))

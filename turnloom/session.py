@@ -54,9 +54,15 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once; later reads neither recompute nor depend on executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the shared folder once; later reads neither recompute nor depend on executors.
+
+    Unlike a row checkpoint the table is columnar and of known size: readers take only the columns they need, and
+    small tables are joined by broadcast.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
