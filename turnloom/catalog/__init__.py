@@ -1,6 +1,6 @@
 """Queries by name. Importing the modules registers them."""
 
-from turnloom.catalog import corpus, statistics, texts  # noqa: F401
+from turnloom.catalog import corpus, similarity, statistics, texts  # noqa: F401
 from turnloom.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -27,7 +27,7 @@ def candidate_phrases(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS
     breaks = lambda w: F.array_contains(stop, w) | ~w.rlike(r"^[\p{L}\p{N}_]")
     marked = F.transform(pieces, lambda w: F.when(breaks(w), F.lit("\u0001")).otherwise(w))
     runs = F.split(F.array_join(marked, " "), "\u0001")
-    return F.filter(F.transform(runs, F.trim), lambda p: p != "")
+    return F.filter(F.transform(runs, lambda r: F.trim(r)), lambda p: p != "")
 
 
 def key_phrases(

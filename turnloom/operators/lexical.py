@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.functions import text as tx
 from turnloom.functions.binding import let
@@ -27,26 +28,27 @@ def f_measure(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pd.Series) -> pd.Series:
     return stem_all(tokens)
 
 
-@F.pandas_udf("int")
+def common_length(x: Sequence[str], y: Sequence[str]) -> int:
+    """Length of the longest common subsequence: one bit-parallel sweep per token of ``y``."""
+    places: dict[str, int] = {}
+    for i, t in enumerate(x):
+        places[t] = places.get(t, 0) | (1 << i)
+    full = (1 << len(x)) - 1
+    row = full
+    for t in y:
+        hit = row & places.get(t, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
+
+
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence, one machine-integer sweep per token of ``b``."""
-    out = []
-    for x, y in zip(a, b):
-        places: dict[str, int] = {}
-        for i, t in enumerate(x):
-            places[t] = places.get(t, 0) | (1 << i)
-        full = (1 << len(x)) - 1
-        row = full
-        for t in y:
-            hit = row & places.get(t, 0)
-            row = ((row + hit) | (row - hit)) & full
-        out.append(len(x) - row.bit_count())
-    return pd.Series(out, dtype="int32")
+    return pd.Series([common_length(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
 def _prepared(pairs: DataFrame, item: str, a: str, b: str, stem: bool) -> DataFrame:
@@ -127,17 +129,15 @@ def rouge_grid(pairs: DataFrame, n: int = 1, item: str = "item_id", premise: str
     return grid.select(item, mean_of(scores).alias("score"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _lcs_grid(premise: pd.Series, claim: pd.Series) -> pd.Series:
     """Mean over claim sentences of the best LCS F with a premise sentence."""
 
     def one(ps, cs) -> float:
         if not len(ps) or not len(cs):
             return 0.0
-        flat = [(list(p), list(c)) for c in cs for p in ps]
-        lengths = lcs_length.func(pd.Series([p for p, _ in flat]), pd.Series([c for _, c in flat]))
-        f = [2.0 * k / (len(p) + len(c)) if p and c else 0.0 for k, (p, c) in zip(lengths, flat)]
-        return sum(max(f[i : i + len(ps)]) for i in range(0, len(f), len(ps))) / len(cs)
+        f = lambda p, c: 2.0 * common_length(p, c) / (len(p) + len(c)) if len(p) and len(c) else 0.0
+        return sum(max(f(p, c) for p in ps) for c in cs) / len(cs)
 
     return pd.Series([one(p, c) for p, c in zip(premise, claim)])
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.functions import text as tx
 
@@ -54,7 +55,7 @@ def _summary(sents: list[str]) -> str:
     return "\n".join(sents[i] for i in sorted(order))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _summarised(sents: pd.Series) -> pd.Series:
     return sents.map(lambda s: _summary(list(s)) if s is not None else None)
 
