@@ -82,7 +82,7 @@ def resumed_judging(spark, d):
 
 
 @query("length_gated_judging", f"""
-WITH {INPUTS}, {prompt_sql(rb.RUBRICS[:3])}, n AS (SELECT *, CAST(len({TOKENS.format('prompt')}) AS BIGINT) AS n_tokens FROM pr)
+WITH {INPUTS}, {prompt_sql(rb.RUBRICS[:3])}, n AS (SELECT *, CAST(len({TOKENS.format("prompt[strpos(prompt, chr(10) || chr(10)) + 2:]")}) AS BIGINT) AS n_tokens FROM pr)
 SELECT row_id, aspect, n_tokens, n_tokens >= 120 AS skipped_too_long, CASE WHEN n_tokens < 120 THEN CAST({POINTS} AS BIGINT) END AS score FROM n""")
 def length_gated_judging(spark, d):
     out = jd.gated_judge(judged_inputs(spark, d), rb.RUBRICS[:3], 120)
@@ -131,9 +131,9 @@ def follow_up_instructions(spark, d):
 
 @query("preference_pairs", f"""
 WITH {TURNS}, {examples_sql('Journalist', 1000)}, l AS (SELECT conv_id, i, tx[h.k[-1] + 1] AS answer FROM p WHERE len(h.k) > 0 AND au[h.k[-1] + 1] <> 'Journalist'),
-r AS (SELECT *, CAST(len({WORDS.format('answer')}) < 12 AS INT) AS is_vague, len(list_distinct(list_filter({LEXICAL.format('answer')}, lambda t: len(t) >= 12))) AS n FROM l)
+rt AS (SELECT *, CAST(len({WORDS.format('answer')}) < 12 AS INT) AS is_vague, len(list_distinct(list_filter({LEXICAL.format('answer')}, lambda t: len(t) >= 12))) AS n FROM l)
 SELECT conv_id, CAST(i AS BIGINT) AS example, CASE WHEN n > 0 THEN '{LEFT[:20]}' WHEN is_vague = 1 THEN '{pf.VAGUE[:20]}' ELSE '{pf.CLEAR[:20]}' END AS chosen_start,
-  '{pf.GENERIC[:20]}' AS rejected_start, is_vague, CAST(n AS BIGINT) AS n_complex FROM r""")
+  '{pf.GENERIC[:20]}' AS rejected_start, is_vague, CAST(n AS BIGINT) AS n_complex FROM rt""")
 def preference_pairs(spark, d):
     ex = tn.turn_examples(turns(spark, d), "Journalist")
     chat = dg.chat("Journalist", F.lit("title"), F.lit("paper"), F.col("prompt"))
@@ -161,7 +161,7 @@ digest = lambda p: F.concat(F.lit("Intro. Press Release Article "), F.md5(p))
 
 @query("press_releases", f"""
 WITH i AS (SELECT doc_id, 'Scientific paper:' || chr(10) || text AS text FROM documents), pa AS (SELECT *, {SENTENCES.format('text')} AS ss, len({TOKENS.format('text')}) AS n FROM i)
-SELECT doc_id AS paper_id, md5({cut_sql(200)}) AS parsed_pr_article FROM pa""")
+SELECT doc_id AS paper_id, md5({quoted(rb.GENERATION_PROMPTS[0].instruction)} || chr(10) || chr(10) || {cut_sql(200)}) AS parsed_pr_article FROM pa""")
 def press_releases(spark, d):
     out = gn.press_releases(papers(spark, d), rb.GENERATION_PROMPTS[0], digest, limit=200)
     return out.select("paper_id", "parsed_pr_article")
@@ -176,7 +176,7 @@ def paper_releases(spark, d):
 
 @query("topic_lists", f"""
 WITH i AS (SELECT doc_id, 'Press Release:' || chr(10) || text AS x FROM documents)
-SELECT doc_id AS paper_id, md5(x) AS parsed_topics FROM i WHERE len({TOKENS.format('x')}) < 400""")
+SELECT doc_id AS paper_id, md5({quoted(rb.GENERATION_PROMPTS[4].instruction)} || chr(10) || chr(10) || x) AS parsed_topics FROM i WHERE len({TOKENS.format('x')}) < 400""")
 def topic_lists(spark, d):
     rows = papers(spark, d).withColumnRenamed("paper_text", "pr_article")
     model = lambda p: F.concat(F.lit("Topics\n "), F.md5(p), F.lit(" \n\nEnd"))
@@ -185,7 +185,7 @@ def topic_lists(spark, d):
 
 @query("full_conversations", f"""
 WITH i AS (SELECT doc_id, 'Scientific paper:' || chr(10) || text AS x FROM documents)
-SELECT doc_id AS paper_id, 2 AS n_turns, ' ' || md5(x) AS question FROM i""")
+SELECT doc_id AS paper_id, 2 AS n_turns, ' ' || md5({quoted(rb.dialogue_prompts()[0].instruction)} || chr(10) || chr(10) || x) AS question FROM i""")
 def full_conversations(spark, d):
     rows = papers(spark, d).withColumnRenamed("paper_text", "sc_intro")
     model = lambda p: F.concat(F.lit("hm</think>**Journalist**: "), F.md5(p), F.lit("\n\n**Researcher**: yes: indeed"))

@@ -22,7 +22,9 @@ def stream_of(spark, d, name):
 def finished(spark, stream, schema, mode="append"):
     base = fresh_dir(spark, "stream")
     stm.run_available(stream, f"{base}/out", f"{base}/state", mode)
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    done = spark.read.schema(schema).parquet(f"{base}/out")
+    naive = lambda c, kind: F.col(c).cast("timestamp_ntz") if kind == "timestamp" else F.col(c)
+    return done.select(*[naive(c, kind).alias(c) for c, kind in done.dtypes])
 
 
 SESSIONS = """g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL {gap} THEN 1 ELSE 0 END AS new FROM events),

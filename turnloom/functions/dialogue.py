@@ -96,7 +96,7 @@ def chat_template(messages: Column, tag: str = "<|{}|>", end: str = "\n", genera
     return F.concat(text, F.lit(tag.format("assistant"))) if generate else text
 
 
-def fill_prompt(instruction: Column, inputs: list[tuple[str, Column]], sep: str = ": ") -> Column:
-    """Instruction, blank line, then one ``label<sep>value`` block per input; a null prints as ``None``."""
+def fill_inputs(inputs: list[tuple[str, Column]], sep: str = ": ") -> Column:
+    """One ``label<sep>value`` block per input, blank lines between; a null prints as ``None``."""
     blocks = [F.concat(F.lit(label + sep), F.coalesce(c.cast("string"), F.lit("None"))) for label, c in inputs]
-    return F.concat_ws("\n\n", instruction, *blocks)
+    return F.concat_ws("\n\n", *blocks)

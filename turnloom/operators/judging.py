@@ -16,16 +16,25 @@ from turnloom.operators.stages import Client, batch_stage, rubric_reply
 SCORE_KEY = ("row_id", "evaluator", "subject", "aspect")
 
 
-def prompt_column(rubric: Rubric, columns: Sequence[str], sep: str = ": ") -> Column:
-    """Prompt text of one rubric; an input column the table lacks prints as ``None``."""
+def input_column(rubric: Rubric, columns: Sequence[str], sep: str = ": ") -> Column:
+    """Labelled inputs of one rubric; an input column the table lacks prints as ``None``."""
     inputs = [(label, F.col(c) if c in columns else F.lit(None).cast("string")) for label, c in rubric.inputs]
-    return dg.fill_prompt(F.lit(rubric.instruction), inputs, sep)
+    return dg.fill_inputs(inputs, sep)
+
+
+def prompt_column(rubric: Rubric, columns: Sequence[str], sep: str = ": ") -> Column:
+    """Instruction, blank line, labelled inputs."""
+    return F.concat_ws("\n\n", F.lit(rubric.instruction), input_column(rubric, columns, sep))
 
 
 def build_prompts(
-    df: DataFrame, rubrics: Sequence[Rubric], keep: Sequence[str], sep: str = ": "
+    df: DataFrame, rubrics: Sequence[Rubric], keep: Sequence[str], sep: str = ": ", tokens: tx.TokenCounter | None = None
 ) -> DataFrame:
-    """Every row x every rubric as ``(keep..., subject, aspect, prompt)`` by exploding a literal list of rubrics."""
+    """Every row x every rubric as ``(keep..., subject, aspect, scale, prompt)`` by exploding a literal list of rubrics.
+
+    With ``tokens`` the token count of the inputs, without the instruction, is added as ``n_tokens``.
+    """
+    size = lambda r: [] if tokens is None else [tokens(input_column(r, df.columns, sep)).alias("n_tokens")]
     grid = F.array(
         *[
             F.struct(
@@ -33,6 +42,7 @@ def build_prompts(
                 F.lit(r.aspect).alias("aspect"),
                 F.lit(r.scale).cast("int").alias("scale"),
                 prompt_column(r, df.columns, sep).alias("prompt"),
+                *size(r),
             )
             for r in rubrics
         ]
@@ -87,12 +97,12 @@ def gated_judge(
     tokens: tx.TokenCounter = tx.token_count,
     **how,
 ) -> DataFrame:
-    """Judge prompts with fewer than ``limit`` tokens; longer ones stay as rows flagged ``skipped_too_long``.
+    """Judge prompts whose inputs hold fewer than ``limit`` tokens; longer ones stay, flagged ``skipped_too_long``.
 
     ``cumulative`` drops a row from every rubric that follows one it was too long for, in rubric order, and
     drops the skipped rows themselves.
     """
-    prompts = build_prompts(df, rubrics, keep).withColumn("n_tokens", tokens(F.col("prompt")))
+    prompts = build_prompts(df, rubrics, keep, tokens=tokens)
     too_long = F.col("n_tokens") >= limit
     flagged = prompts.withColumn("skipped_too_long", too_long)
     if cumulative:

@@ -23,8 +23,7 @@ STOP_WORDS = (
 def candidate_phrases(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Column:
     """Runs of lower-case words between stop words and punctuation."""
     pieces = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    breaks = lambda w: F.array_contains(stop, w) | ~w.rlike(r"^[\p{L}\p{N}_]")
+    breaks = lambda w: w.isin(*stop_words) | ~w.rlike(r"^[\p{L}\p{N}_]")
     marked = F.transform(pieces, lambda w: F.when(breaks(w), F.lit("\u0001")).otherwise(w))
     runs = F.split(F.array_join(marked, " "), "\u0001")
     return F.filter(F.transform(runs, lambda r: F.trim(r)), lambda p: p != "")

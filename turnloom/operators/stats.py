@@ -76,7 +76,11 @@ def three_way_accuracy(
 
 
 def pearson(pairs: DataFrame, by: Sequence[str] = (), x: str = "label", y: str = "pred") -> DataFrame:
-    return pairs.groupBy(*by).agg(F.corr(_num(F.col(x)), _num(F.col(y))).alias("pearson"))
+    """Pearson correlation; null for a constant column, where the built-in ``corr`` fails in ANSI mode."""
+    both = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    a, b = _num(F.col(x)), _num(F.col(y))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return both.groupBy(*by).agg(r.alias("pearson"))
 
 
 def _cells(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

@@ -285,7 +285,9 @@ def metrics(scored: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
     out: list[DataFrame] = []
 
     def report(wide: DataFrame, names: Mapping[str, str]) -> None:
-        out.append(metric_table(wide.select(*by, *[F.col(c).alias(n) for c, n in names.items()]), by, list(names.values())))
+        # each kind's few result rows are written on their own, so the kinds never form one giant plan
+        long = metric_table(wide.select(*by, *[F.col(c).alias(n) for c, n in names.items()]), by, list(names.values()))
+        out.append(durable(long))
 
     same = {"pearson": "pearson", "spearman": "spearman", "kendall": "kendall"}
     if "corr" in kinds:

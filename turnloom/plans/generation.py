@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import dialogue as dg
 from turnloom.functions import text as tx
 from turnloom.operators.budget import leading_sentences, within_budget
-from turnloom.operators.judging import prompt_column
+from turnloom.operators.judging import input_column
 from turnloom.operators.rubrics import FIXED_QUESTIONS, Rubric
 from turnloom.operators.stages import Client, echo_reply, generate
 from turnloom.session import durable
@@ -31,14 +31,17 @@ def generate_from_prompt(
     max_input_tokens: int = 15000,
     cut: bool = True,
 ) -> DataFrame:
-    """One generated text per row; the inputs are cut to the token budget, or over-long rows dropped."""
-    inputs = prompt_column(prompt, df.columns, ":\n")
-    ready = df.withColumn("_inputs", inputs)
+    """One generated text per row; the inputs are cut to the token budget, or over-long rows dropped.
+
+    The instruction goes in front of the inputs and does not count towards the budget.
+    """
+    ready = df.withColumn("_inputs", input_column(prompt, df.columns, ":\n"))
     if cut:
         ready = ready.withColumn("_inputs", leading_sentences(F.col("_inputs"), max_input_tokens))
     else:
         ready = within_budget(ready, "_inputs", max_input_tokens, name="_n").drop("_n")
-    return generate(ready, F.col("_inputs"), output, model, native).drop("_inputs", f"{output}_error")
+    full = F.concat_ws("\n\n", F.lit(prompt.instruction), F.col("_inputs"))
+    return generate(ready, full, output, model, native).drop("_inputs", f"{output}_error")
 
 
 def full_conversations(df: DataFrame, prompt: Rubric, model: Model, native: bool = True, **how) -> DataFrame:

@@ -22,6 +22,7 @@ from turnloom.operators.lexical import bleu_of_tokens
 from turnloom.operators.masking import infill_next_word, mask_share
 from turnloom.operators.stages import joined_answer
 from turnloom.operators.summaries import extractive_summary
+from turnloom.session import durable
 from turnloom.sources import readers
 
 Builder = Callable[[DataFrame], DataFrame]
@@ -168,7 +169,8 @@ def story_questions(df: DataFrame, max_bad: float = 0.2) -> DataFrame:
 
 def extractive_answers(df: DataFrame, k: int = 5, limit: float = 0.6) -> DataFrame:
     """Right answers against key phrases of the context that do not resemble them (BLEU-3 below ``limit``)."""
-    phrases = key_phrases(df, "row_id", "context", k).select("row_id", "rank", "phrase")
+    # at most k short rows per context, read three times below
+    phrases = durable(key_phrases(df, "row_id", "context", k).select("row_id", "rank", "phrase"))
     listed = phrases.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("_p"))
     tokens = df.select("row_id", F.transform("answers", lambda a: tx.words(F.lower(a))).alias("_refs")).join(listed, "row_id")
     base = tokens.select("row_id", "_refs", F.transform("_p", lambda p: F.split(p["phrase"], " ")).alias("_hyps"))

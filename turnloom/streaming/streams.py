@@ -58,6 +58,13 @@ def turn_example_stream(
     )
 
 
+def _event_time(rows: DataFrame, time: str, delay: str) -> DataFrame:
+    """Watermarked stream (or plain batch) with an instant as event time."""
+    if not rows.isStreaming:
+        return rows
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def chat_sessions(
     events: DataFrame, user: str = "user_id", time: str = "ts", gap: str = "30 minutes", delay: str = "1 hour"
 ) -> DataFrame:
@@ -65,8 +72,7 @@ def chat_sessions(
 
     Partial sessions are merged before the shuffle, so a busy user arrives as sessions, not as events.
     """
-    timed = events.withWatermark(time, delay) if events.isStreaming else events
-    sessions = timed.groupBy(F.session_window(time, gap).alias("w"), user).agg(
+    sessions = _event_time(events, time, delay).groupBy(F.session_window(time, gap).alias("w"), user).agg(
         F.count("*").alias("n_messages"), F.min(time).alias("first_ts"), F.max(time).alias("last_ts")
     )
     return sessions.where("n_messages > 1").select(
@@ -104,7 +110,7 @@ def running_means(
     scores: DataFrame, by: str, value: str, time: str = "ts", window: str = "1 hour", slide: str | None = None, delay: str = "1 hour"
 ) -> DataFrame:
     """Mean score per group and time window; late rows within ``delay`` still count."""
-    timed = scores.withWatermark(time, delay) if scores.isStreaming else scores
+    timed = _event_time(scores, time, delay)
     span = F.window(time, window, slide) if slide else F.window(time, window)
     return timed.groupBy(span.alias("w"), by).agg(F.avg(value).alias("mean"), F.count(value).alias("n_rows")).select(
         by, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "mean", "n_rows"
@@ -114,7 +120,7 @@ def running_means(
 def first_arrivals(rows: DataFrame, key: str, time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Drop repeats of a key that arrive within ``delay``; a batch keeps one row per key."""
     if rows.isStreaming:
-        return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+        return _event_time(rows, time, delay).dropDuplicatesWithinWatermark([key])
     return rows.dropDuplicates([key])
 
 
