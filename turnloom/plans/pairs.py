@@ -26,6 +26,7 @@ from turnloom.session import durable
 from turnloom.sources import readers
 
 Builder = Callable[[DataFrame], DataFrame]
+Made = Callable[[], Column]
 YES, NO = "Yes.", "No."
 LETTERS = {"A": 0, "B": 1, "C": 2, "D": 3}
 
@@ -57,8 +58,10 @@ def plain(a: str, b: str, label: str, convert: Callable[[Column], Column] = lamb
     return lambda df: df.select(*_row(fix(F.col(a)), F.array(fix(F.col(b))), _none(), convert(F.col(label))))
 
 
-def options(context: str, question: str, choices: Column, correct: Column, blanks: bool = False, statement: bool = False) -> Builder:
-    """One row per answer option, label 1 for the right one.
+def options(
+    context: str, question: str, choices: Made, correct: Made, blanks: bool = False, statement: bool = False
+) -> Builder:
+    """One row per answer option, label 1 for the right one. ``choices`` and ``correct`` make their columns when asked.
 
     Options sit in ``text_c``; with ``blanks`` a gapped question is filled instead, with ``statement`` question and
     option become one text.
@@ -66,7 +69,7 @@ def options(context: str, question: str, choices: Column, correct: Column, blank
 
     def entry(option: Column, i: Column) -> Column:
         q = F.col(question)
-        y = (i == correct).cast("int")
+        y = (i == correct()).cast("int")
         if statement:
             told = _entry(F.col(context), joined_answer(q, option), _none(), y)
         else:
@@ -77,18 +80,19 @@ def options(context: str, question: str, choices: Column, correct: Column, blank
         filled = _entry(F.col(context), tx.squeeze(gap), _none(), y)
         return F.when(q.contains("_"), filled).otherwise(told)
 
-    return lambda df: _spread(df, F.transform(choices, entry))
+    return lambda df: _spread(df, F.transform(choices(), entry))
 
 
-def yes_no(context: Column, question: str, answer: str) -> Builder:
+def yes_no(context: Made, question: str, answer: str) -> Builder:
     """The right and the wrong short answer to a yes/no question."""
-    right = F.when(F.col(answer), F.lit(YES)).otherwise(F.lit(NO))
-    wrong = F.when(F.col(answer), F.lit(NO)).otherwise(F.lit(YES))
-    both = lambda: F.array(
-        _entry(context, F.col(question), F.array(right), F.lit(1)),
-        _entry(context, F.col(question), F.array(wrong), F.lit(0)),
-    )
-    return lambda df: _spread(df, both())
+
+    def build(df: DataFrame) -> DataFrame:
+        right = F.when(F.col(answer), F.lit(YES)).otherwise(F.lit(NO))
+        wrong = F.when(F.col(answer), F.lit(NO)).otherwise(F.lit(YES))
+        entry = lambda text, y: _entry(context(), F.col(question), F.array(text), F.lit(y))
+        return _spread(df, F.array(entry(right, 1), entry(wrong, 0)))
+
+    return build
 
 
 def coreference(df: DataFrame) -> DataFrame:
@@ -268,8 +272,9 @@ def datasets() -> dict[str, Dataset]:
     sentences = plain("sentence1", "sentence2", "label")
     asked = plain("question1", "question2", "label")
     rated = plain("ref", "mt", "score")
-    race = ("article", "question", F.col("options"), _letter("answer"))
-    sciq = F.array("distractor1", "distractor2", "distractor3", "correct_answer")
+    col = lambda name: lambda: F.col(name)
+    race = ("article", "question", col("options"), lambda: _letter("answer"))
+    sciq = lambda: F.array("distractor1", "distractor2", "distractor3", "correct_answer")
     lines, array = Source("json", None), Source("json_array", None)
     entries = [
         # three-way inference
@@ -297,10 +302,10 @@ def datasets() -> dict[str, Dataset]:
         Dataset("race", "qa", options(*race, blanks=True)),
         Dataset("race_val", "qa", options(*race, blanks=True, statement=True), Source(split="validation")),
         Dataset("race_test", "qa", options(*race, blanks=True), Source(split="test")),
-        Dataset("quail", "qa", options("context", "question", F.col("answers"), F.col("correct_answer_id"))),
-        Dataset("sciq", "qa", options("support", "question", sciq, F.lit(3))),
-        Dataset("boolq", "qa", yes_no(F.col("passage"), "question", "answer")),
-        Dataset("strategy_qa", "qa", yes_no(F.array_join("facts", " "), "question", "answer")),
+        Dataset("quail", "qa", options("context", "question", col("answers"), col("correct_answer_id"))),
+        Dataset("sciq", "qa", options("support", "question", sciq, lambda: F.lit(3))),
+        Dataset("boolq", "qa", yes_no(col("passage"), "question", "answer")),
+        Dataset("strategy_qa", "qa", yes_no(lambda: F.array_join("facts", " "), "question", "answer")),
         Dataset("gap", "coreference", coreference),
         Dataset("msmarco", "ir", passages),
         # questions with made-up answers
