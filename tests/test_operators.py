@@ -255,7 +255,7 @@ def test_exact_splits_do_not_depend_on_partitions(spark):
     # one group holds nearly everything
     skew = df.withColumn("g", F.when(F.col("id") < 990, "hot").otherwise("cold"))
     assert {r.g: r["count"] for r in sm.cap_per_group(skew, "g", 100, "id").groupBy("g").count().collect()} == {"hot": 100, "cold": 10}
-    assert sorted(r.index for r in sm.dense_index(skew, "g", "id").where("g = 'hot'").collect()) == list(range(990))
+    assert sorted(r["index"] for r in sm.dense_index(skew, "g", "id").where("g = 'hot'").collect()) == list(range(990))
 
 
 def test_history_packing(spark):

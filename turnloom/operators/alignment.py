@@ -49,7 +49,9 @@ def alignment_score(
         for ps, cs in parts:
             yield pd.Series([_grid_mean(client, list(p), list(c), pick) for p, c in zip(ps, cs)], dtype="float64")
 
-    return pairs.withColumn(output, run.asNondeterministic()(chunks, sents))
+    # the grid's parts are columns of their own: a model stage takes plain columns
+    parts = pairs.withColumn("_p", chunks).withColumn("_c", sents)
+    return parts.withColumn(output, run.asNondeterministic()("_p", "_c")).drop("_p", "_c")
 
 
 def _grid_mean(client: Client, premise: list, claim: list, pick: int) -> float | None:
