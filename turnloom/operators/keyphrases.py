@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.functions import text as tx
 
@@ -29,21 +33,37 @@ def candidate_phrases(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS
     return F.filter(F.transform(runs, lambda r: F.trim(r)), lambda p: p != "")
 
 
+def ranked_phrases(phrases: Sequence[str], k: int) -> list[tuple[str, float]]:
+    """Best ``k`` phrases by the summed degree/frequency ratio of their words; ties by phrase, descending."""
+    split = [p.split(" ") for p in phrases]
+    count: Counter = Counter()
+    degree: Counter = Counter()
+    for ws in split:
+        for w in ws:
+            count[w] += 1
+            degree[w] += len(ws)
+    scored = [(round(sum(degree[w] / count[w] for w in ws), 9), p) for ws, p in zip(split, phrases)]
+    return [(p, s) for s, p in heapq.nlargest(k, scored)]
+
+
 def key_phrases(
     docs: DataFrame, ident: str, text: str, k: int = 5, stop_words: Sequence[str] = tuple(STOP_WORDS)
 ) -> DataFrame:
-    """Top ``k`` phrases per document by the summed degree/frequency ratio of their words; ties by phrase, descending.
+    """Top ``k`` phrases per document as ``(ident, rank, phrase, phrase_score)``.
 
-    Rows are laid out by document once; word statistics, the join and the ranking all run on that layout.
+    Word statistics are those of the document alone, so a document is ranked in its row without any shuffle.
     """
-    laid = docs.select(ident, text).repartition(ident)
-    phrases = laid.select(ident, F.posexplode(candidate_phrases(F.col(text), stop_words)).alias("_pos", "phrase"))
-    split = phrases.withColumn("_words", F.split("phrase", " "))
-    words = split.select(ident, "_pos", "phrase", F.explode("_words").alias("_w"), F.size("_words").alias("_len"))
-    stats = words.groupBy(ident, "_w").agg((F.sum("_len") / F.count("*")).alias("_ratio"))
-    scored = (
-        words.join(stats, [ident, "_w"]).groupBy(ident, "_pos", "phrase").agg(F.sum("_ratio").alias("phrase_score"))
+    entry = T.StructType([T.StructField("phrase", T.StringType()), T.StructField("phrase_score", T.DoubleType())])
+
+    @F.pandas_udf(T.ArrayType(entry))
+    def best(lines: pd.Series) -> pd.Series:
+        ranked = lambda ps: [{"phrase": p, "phrase_score": s} for p, s in ranked_phrases(ps, k)]
+        return lines.map(lambda x: ranked(x.split("\n")) if x else [])
+
+    # one string per document crosses to Python: flat text converts far faster than nested arrays
+    lines = F.array_join(candidate_phrases(F.col(text), stop_words), "\n")
+    # exploding a deterministic call would let the optimizer evaluate it again in an inferred filter
+    rows = docs.select(ident, best.asNondeterministic()(lines).alias("_best"))
+    return rows.select(ident, F.posexplode("_best").alias("_at", "_p")).select(
+        ident, (F.col("_at") + 1).alias("rank"), "_p.phrase", "_p.phrase_score"
     )
-    order = Window.partitionBy(ident).orderBy(F.round("phrase_score", 9).desc(), F.col("phrase").desc(), "_pos")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(ident, "rank", "phrase", "phrase_score")

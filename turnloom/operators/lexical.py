@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -54,7 +56,9 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 def _prepared(pairs: DataFrame, item: str, a: str, b: str, stem: bool) -> DataFrame:
     prepared = pairs.select(item, tx.lexical_tokens(F.col(a)).alias("_a"), tx.lexical_tokens(F.col(b)).alias("_b"))
     if stem:
-        prepared = prepared.select(item, _stemmed("_a").alias("_a"), _stemmed("_b").alias("_b"))
+        # once per row: a deterministic call below an explode may be evaluated again in an inferred filter
+        stemmed = _stemmed.asNondeterministic()
+        prepared = prepared.select(item, stemmed("_a").alias("_a"), stemmed("_b").alias("_b"))
     return prepared
 
 
@@ -168,53 +172,66 @@ def bleu(
         F.transform(tx.sentences(F.col(premise)), tx.words).alias("_refs"),
         F.transform(tx.sentences(F.col(claim)), tx.words).alias("_hyps"),
     )
-    scored = bleu_of_tokens(base, item, n, weights)
-    return scored.groupBy(item).agg(F.coalesce(F.avg("bleu"), F.lit(0.0)).alias("score"))
+    weights = tuple(weights) if weights is not None else (1.0 / n,) * n
+
+    @F.pandas_udf(T.DoubleType())
+    def mean_score(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+        scores = [sentence_bleu(_unpacked(r), _unpacked(h), weights) for r, h in zip(refs, hyps)]
+        return pd.Series([sum(s) / len(s) if s else 0.0 for s in scores])
+
+    return base.select(item, mean_score(_packed("_refs"), _packed("_hyps")).alias("score"))
+
+
+def _packed(lists: str) -> Column:
+    """Token lists as one string: flat text crosses to Python far faster than nested arrays."""
+    return F.array_join(F.transform(lists, lambda ts: F.array_join(ts, " ")), "\n")
+
+
+def _unpacked(text: str) -> list[list[str]]:
+    return [line.split(" ") for line in text.split("\n")] if text else []
+
+
+def _gram_counts(tokens: Sequence[str], k: int) -> Counter:
+    return Counter(tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
+
+
+def sentence_bleu(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]], weights: Sequence[float]) -> list[float]:
+    """BLEU of each hypothesis against all references: clipped n-gram precision, closest-length brevity penalty."""
+    used = [k for k, w in enumerate(weights, start=1) if w > 0]
+    caps: dict[int, Counter] = {k: Counter() for k in {1, *used}}
+    for ref in refs:
+        for k, cap in caps.items():
+            for gram, count in _gram_counts(ref, k).items():
+                if count > cap[gram]:
+                    cap[gram] = count
+    out = []
+    for hyp in hyps:
+        hits = {k: sum(min(c, cap[g]) for g, c in _gram_counts(hyp, k).items()) for k, cap in caps.items()}
+        if not all(hits.values()):
+            out.append(0.0)
+            continue
+        logs = sum(weights[k - 1] * math.log(hits[k] / (len(hyp) - k + 1)) for k in used)
+        closest = min((abs(len(r) - len(hyp)), len(r)) for r in refs)[1]
+        out.append(min(1.0, math.exp(1 - closest / len(hyp))) * math.exp(logs))
+    return out
 
 
 def bleu_of_tokens(
     base: DataFrame, item: str, n: int = 4, weights: Sequence[float] | None = None
 ) -> DataFrame:
-    """BLEU per (item, hypothesis) from ``_refs`` and ``_hyps``, arrays of token lists.
+    """BLEU per (item, hyp) from ``_refs`` and ``_hyps``, arrays of token lists; a null score without hypothesis.
 
-    Everything is keyed by item and the rows are laid out by item once, so counting, clipping and the join of
-    n-gram counts run on that one layout. An item without hypothesis keeps one row with a null score.
+    The texts of a pair are compared in their row: n-grams are a multiple of the text and are never shuffled.
     """
-    weights = list(weights) if weights is not None else [1.0 / n] * n
-    orders = len(weights)
-    laid = base.repartition(item)
-
-    def counts(side: str) -> DataFrame:
-        sents = laid.select(item, F.posexplode(side).alias("_s", "_w"))
-        grams = F.array(
-            *[F.transform(ngrams(F.col("_w"), k + 1), lambda g: F.struct(F.lit(k + 1).alias("k"), g.alias("g"))) for k in range(orders)]
-        )
-        rows = sents.select(item, "_s", F.explode(F.flatten(grams)).alias("_g")).select(item, "_s", "_g.k", "_g.g")
-        return rows.groupBy(item, "k", "g", "_s").agg(F.count("*").alias("c"))
-
-    ref_max = counts("_refs").groupBy(item, "k", "g").agg(F.max("c").alias("cap"))
-    clipped = counts("_hyps").join(ref_max, [item, "k", "g"], "left")
-    matched = clipped.groupBy(item, "_s", "k").agg(F.sum(F.least(F.col("c"), F.coalesce("cap", F.lit(0)))).alias("hit"))
-    hits = matched.groupBy(item, "_s").agg(
-        *[F.max(F.when(F.col("k") == k + 1, F.col("hit"))).alias(f"_h{k + 1}") for k in range(orders)]
-    )
-    ref_len = F.transform(F.col("_refs"), F.size)
-    closest = lambda h: F.array_min(F.transform(F.col("_rl"), lambda r: F.struct(F.abs(r - h).alias("d"), r.alias("r"))))["r"]
-    lengths = laid.select(item, ref_len.alias("_rl"), F.posexplode_outer("_hyps").alias("_s", "_w")).select(
-        item, F.col("_s"), F.size("_w").alias("_len"), closest(F.size("_w")).alias("_ref")
-    )
-    scored = lengths.join(hits, [item, "_s"], "left")
-    log_sum, usable = F.lit(0.0), F.lit(True)
-    for k, w in enumerate(weights, start=1):
-        hit = F.coalesce(F.col(f"_h{k}"), F.lit(0))
-        if w > 0:
-            usable = usable & (hit > 0)
-            total = F.greatest(F.col("_len") - (k - 1), F.lit(1))
-            log_sum = log_sum + F.lit(float(w)) * F.ln(F.greatest(hit, F.lit(1)) / total)
-    usable = usable & (F.coalesce(F.col("_h1"), F.lit(0)) > 0)
-    brevity = F.when(F.col("_len") > F.col("_ref"), F.lit(1.0)).otherwise(F.exp(1 - F.col("_ref") / F.col("_len")))
-    value = F.when(usable, brevity * F.exp(log_sum)).otherwise(F.lit(0.0))
-    return scored.select(item, F.col("_s").alias("hyp"), F.when(F.col("_s").isNotNull(), value).alias("bleu"))
+    weights = tuple(weights) if weights is not None else (1.0 / n,) * n
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def scores(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+        return pd.Series([sentence_bleu(_unpacked(r), _unpacked(h), weights) for r, h in zip(refs, hyps)])
+
+    # a deterministic call below an explode would be evaluated again in an inferred filter
+    scored = base.withColumn("_bleu", scores.asNondeterministic()(_packed("_refs"), _packed("_hyps")))
+    return scored.select(item, F.posexplode_outer("_bleu").alias("hyp", "bleu"))
 
 
 def distinct_n(texts: DataFrame, by: str, text: str = "text", n: int = 1) -> DataFrame:

@@ -15,7 +15,7 @@ from turnloom.functions import text as tx
 from turnloom.session import broadcast_if_small, durable
 
 K1, B = 1.2, 0.75
-POSTINGS_PER_TILE = 2_000_000
+POSTINGS_PER_TILE = 250_000
 WEIGHTS_PER_TILE = 50_000
 SLICE = 512
 
@@ -95,8 +95,9 @@ def bm25(
     terms = queries.select(query, F.explode(tx.lexical_tokens(F.col(text))).alias("term"))
     terms = terms.groupBy(query, "term").agg(F.count("*").alias("qtf"))
     vocabulary = broadcast_if_small(terms.select("term").distinct())
+    length = F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}]+"))
+    size = corpus.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl")).first()
     bags = corpus.select(doc, tx.lexical_tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    size = bags.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = size["n"], float(size["avgdl"] or 1.0)
     counted = (
         bags.select(doc, "dl", F.explode("_t").alias("term")).join(vocabulary, "term").groupBy(doc, "dl", "term")
