@@ -285,9 +285,14 @@ def benchmark_candidates(spark, d):
     return out.select("task", "item_id", "pos", F.md5("premise").alias("p_md5"), F.md5("hypothesis").alias("h_md5"), "label", "is_answer")
 
 
+# at least one task of every kind of metric
+REPORTED = ("stsb", "paws", "anli_1", "vitaminc", "axb", "race_m", "ag_news", "newsroom", "rank19", "sfhot", "wmt17", "persona_chat", "frank", "summac_frank")
+
+
 @query("benchmark_report")
 def benchmark_report(spark, d):
-    return rounded(bm.run_benchmark(bench_tables(spark, d)), "value")
+    raw = bench_tables(spark, d)
+    return rounded(bm.run_benchmark({n: raw[n] for n in REPORTED}), "value")
 
 
 @query("benchmark_systems", None)
@@ -295,7 +300,8 @@ def benchmark_systems(spark, d):
     """Two checkpoints on two tasks, as a wide table."""
     from turnloom.operators.stages import score_pairs
 
-    tables = {n: bench_tables(spark, d)[n] for n in ("paws", "true_paws")}
+    raw = bench_tables(spark, d)
+    tables = {n: raw[n] for n in ("paws", "true_paws")}
     flipped = lambda pairs: score_pairs(pairs).withColumn("bin", 1 - F.col("bin"))
     out = bm.run_benchmark(tables, {"plain": score_pairs, "flipped": flipped})
     return rounded(rp.wide_metrics(out, ["system", "task", "grp"], ["f1", "accuracy", "auc"]), "f1", "accuracy", "auc")
