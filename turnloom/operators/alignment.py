@@ -17,6 +17,7 @@ from turnloom.functions.binding import let
 from turnloom.operators.budget import sentence_chunks
 from turnloom.operators.lexical import mean_of
 from turnloom.operators.stages import BATCH, RETRIES, Client, containment, token_set, with_retry
+from turnloom.session import durable
 
 HEADS = {"reg": 0, "bin": 1, "nli": 2}
 
@@ -49,8 +50,8 @@ def alignment_score(
         for ps, cs in parts:
             yield pd.Series([_grid_mean(client, list(p), list(c), pick) for p, c in zip(ps, cs)], dtype="float64")
 
-    # the grid's parts are columns of their own: a model stage takes plain columns
-    parts = pairs.withColumn("_p", chunks).withColumn("_c", sents)
+    # the grid's parts are written first: a model stage takes stored columns, and a rerun does not split texts again
+    parts = durable(pairs.withColumn("_p", chunks).withColumn("_c", sents))
     return parts.withColumn(output, run.asNondeterministic()("_p", "_c")).drop("_p", "_c")
 
 
