@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, exact_dedup, sharding, simhash, winnowing
+from turnloom.llm import bpe, exact_dedup, pii, sharding, simhash, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,16 @@ def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+@query("op6_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+@query("op7_toxicity")
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3)
+
+
 def rank_file() -> tuple[str, str]:
     """Path of the rank file and its split pattern."""
     import public_tokenizers
