@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import regex
 import tiktoken
@@ -74,28 +75,32 @@ def decode(ids: Column, spark: SparkSession, path: str, pattern: str) -> Column:
     return raw(ids)
 
 
-def round_trip(text: Column, spark: SparkSession, path: str, pattern: str) -> Column:
-    """Encode and decode in one pass: ``n_tokens, ids_sha256, decoded_sha256``.
+def round_trip(text: Column, spark: SparkSession, path: str, pattern: str, keep_ids: bool = False) -> Column:
+    """Encode and decode in one pass: ``n_tokens, ids_sha256, decoded_sha256``, with ``keep_ids`` also ``token_ids``.
 
     The ids are digested in decimal joined by commas, the decoded bytes as they are. A null text counts as empty: no
     tokens and the digest of nothing.
     """
     held = spark.sparkContext.broadcast(read_ranks(path))
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * keep_ids
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(held.value, pattern)
         for batch in batches:
             rows = []
             for text in batch:
-                n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+                n, kept, of_ids, of_bytes = 0, [], hashlib.sha256(), hashlib.sha256()
                 for piece in pieces(text or ""):
                     ids = enc.encode_ordinary(piece)
                     if ids:
                         of_ids.update((("," if n else "") + ",".join(map(str, ids))).encode())
                         of_bytes.update(enc.decode_bytes(ids))
                         n += len(ids)
-                rows.append((n, of_ids.hexdigest(), of_bytes.hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                        if keep_ids:
+                            kept.append(np.array(ids, dtype=np.int32))
+                row = (n, of_ids.hexdigest(), of_bytes.hexdigest())
+                rows.append((*row, np.concatenate(kept) if kept else np.empty(0, np.int32)) if keep_ids else row)
+            yield pd.DataFrame(rows, columns=columns)
 
     return digests(text)

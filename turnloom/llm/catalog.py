@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, exact_dedup, pii, sharding, simhash, toxicity, winnowing
+from turnloom.llm import bpe, chat, exact_dedup, line_dedup, mixing, pii, sharding, simhash, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,48 @@ def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "links")
 
 
+@query("op2_mixing")
+def mixed(spark: SparkSession, folder: str) -> DataFrame:
+    taken = mixing.taken_words(table(spark, folder, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "pieces")
+
+
+WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+@query(
+    "op3_line_dedup",
+    f"""
+    WITH raw AS (SELECT doc_id, pos - 1 AS pos, lines[pos] AS line
+                 FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+    w AS (SELECT doc_id, pos, {WORDS.format("line")} AS words FROM raw),
+    m AS (SELECT *, list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS masked FROM w WHERE len(words) >= 3),
+    g AS (SELECT *, len(words) >= 8 AND len(list_filter(masked, lambda x: x <> '<*>')) >= 0.8 * len(words) AS general FROM m),
+    l AS (SELECT doc_id, pos, CASE WHEN general THEN masked ELSE words END AS words, general FROM g),
+    k AS (SELECT *, array_to_string(words, ' ') AS line, CASE WHEN general THEN len(words) || ' ' || array_to_string(words[1:3], ' ') END AS leaf FROM l),
+    d AS (SELECT leaf, line, any_value(words) AS words, min(doc_id) AS a, max(doc_id) AS b FROM k WHERE leaf IS NOT NULL GROUP BY ALL),
+    s AS (SELECT leaf FROM d GROUP BY leaf HAVING count(*) > 1 AND min(a) < max(b)),
+    t AS (SELECT leaf, line, unnest(words) AS word, unnest(range(len(words))) AS place FROM d WHERE leaf IN (FROM s)),
+    c AS (SELECT leaf, place, word, row_number() OVER (PARTITION BY leaf, place ORDER BY count(*) DESC, word) AS nth FROM t GROUP BY leaf, place, word),
+    ag AS (SELECT t.leaf, t.line FROM t JOIN c ON t.leaf = c.leaf AND t.place = c.place AND c.nth = 1
+           GROUP BY ALL HAVING count(*) FILTER (t.word = c.word) >= 0.8 * count(*)),
+    o AS (SELECT doc_id, pos, coalesce('leaf ' || ag.leaf, 'line ' || k.line) AS template FROM k LEFT JOIN ag ON k.leaf = ag.leaf AND k.line = ag.line),
+    r AS (SELECT doc_id, pos FROM (SELECT *, min(doc_id) OVER v < max(doc_id) OVER v AS again,
+                 row_number() OVER (PARTITION BY template ORDER BY doc_id, pos) AS nth FROM o WINDOW v AS (PARTITION BY template))
+          WHERE again AND nth > 1),
+    x AS (SELECT raw.doc_id, count(r.pos) AS n_dropped,
+                 coalesce(string_agg(CASE WHEN r.pos IS NULL THEN raw.line END, chr(10) ORDER BY raw.pos), '') AS text
+          FROM raw LEFT JOIN r ON raw.doc_id = r.doc_id AND raw.pos = r.pos GROUP BY raw.doc_id)
+    SELECT documents.doc_id, coalesce(len(string_split(documents.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(x.n_dropped, 0)::BIGINT AS n_dropped,
+           CASE WHEN documents.text IS NOT NULL THEN x.text END AS text
+    FROM documents LEFT JOIN x ON documents.doc_id = x.doc_id
+    """,
+)
+def lines_dropped(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.drop_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+
+
 # The checksum of UTF-8 bytes as SQL folds it: 256 table entries by their rule, then one step per byte.
 CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 CRC = (
@@ -99,6 +141,27 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
 
 
+@query(
+    "op9_chat_rotation",
+    """
+    WITH p AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS DISTINCT FROM 'system'),
+    j AS (SELECT m.conv_id, p.perspective, m.turn, m.role AS speaker, coalesce(m.text, '') AS text,
+                 CASE WHEN m.role = 'system' THEN 'system' WHEN m.role IS NOT DISTINCT FROM p.perspective THEN 'assistant' ELSE 'user' END AS role
+          FROM conversations m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+    h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN coalesce(' name=' || speaker, '') ELSE '' END || chr(10) AS head FROM j),
+    s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+    o AS (SELECT *, row_number() OVER w - 1 AS position, (sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) - length(segment))::BIGINT AS start
+          FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker NULLS FIRST, text))
+    SELECT conv_id, perspective, position, turn, role, CASE WHEN role = 'user' THEN speaker END AS name, segment, start,
+           CASE WHEN role = 'assistant' THEN start + length(head) END AS mask_start,
+           CASE WHEN role = 'assistant' THEN start + length(segment) - 1 END AS mask_end
+    FROM o
+    """,
+)
+def chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rotate(table(spark, folder, "conversations"))
+
+
 @query("op10_winnowing")
 def winnowed(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.compare_neighbours(table(spark, folder, "documents"))

@@ -222,15 +222,9 @@ def linked(prints: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataF
 _LOW = np.int64(-(1 << 63))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
-    """``doc_id, fp, component_id, links`` for every row of ``docs``.
-
-    ``component_id`` is the least ``doc_id`` reachable over fingerprints that differ in ``budget`` bits or fewer, the
-    row's own included; null only where every row reached has no id. ``links`` counts the other fingerprints within the
-    budget. Null and wordless texts have fingerprint zero and are linked like any other. Rows of one fingerprint are
-    folded into one before the join, so copies cost nothing; repeated rows come back repeated. No rows, no result.
-    """
-    rows = durable(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias("fp")))
+def _classes(docs: DataFrame, words: int, budget: int, group: int) -> DataFrame:
+    """``doc_id, text_hash, fp, component_id, links`` for every row."""
+    rows = durable(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column(F.col("text"), words).alias("fp")))
     prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = durable(linked(prints.select("fp"), budget, group))
     labels = components(found.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b")))
@@ -242,7 +236,29 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = BUDGET, group
     )
     least = durable(named.groupBy("label").agg(F.min("least").alias("component_id")))
     classes = durable(named.join(least, "label").select("fp", "component_id", "links"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "links")
+    return rows.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
+    """``doc_id, fp, component_id, links`` for every row of ``docs``.
+
+    ``component_id`` is the least ``doc_id`` reachable over fingerprints that differ in ``budget`` bits or fewer, the
+    row's own included; null only where every row reached has no id. ``links`` counts the other fingerprints within the
+    budget. Null and wordless texts have fingerprint zero and are linked like any other. Rows of one fingerprint are
+    folded into one before the join, so copies cost nothing; repeated rows come back repeated. No rows, no result.
+    """
+    return _classes(docs, words, budget, group).select("doc_id", "fp", "component_id", "links")
+
+
+def one_per_group(docs: DataFrame, words: int = 3, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``doc_id`` is the least of its component.
+
+    Rows that repeat an id and a text are one document and stay together; rows without an id stay only where their
+    whole component has none.
+    """
+    keep = _classes(docs, words, budget, group).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = durable(keep.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]) & (F.xxhash64(docs["text"]) == keep["_hash"]), "left_semi")
 
 
 def hex_fingerprint(column: Column) -> Column:
