@@ -72,7 +72,7 @@ WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w
 )
 def lines_dropped(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.drop_lines(table(spark, folder, "documents"))
-    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+    return kept.select("row.doc_id", "n_lines", "n_dropped", "text")
 
 
 # The checksum of UTF-8 bytes as SQL folds it: 256 table entries by their rule, then one step per byte.

@@ -91,29 +91,27 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the recurring lines cut from ``text``, and ``_lines, _dropped``: numbers of lines.
+    """``row, text, n_lines, n_dropped`` for every row: the row of ``docs`` as it was, and its text without recurring lines.
 
     A line recurs if its template is in documents of different ids. Its occurrence in the least id, of those the least
     position, stays. A text of which nothing is left becomes empty; a null text stays null and has no lines. Rows
     without an id count as one document behind all others; rows that repeat an id and a text are treated alike.
-    ``n_chars`` is not touched.
     """
     drops = recurring_lines(docs).groupBy("doc").agg(F.collect_list("pos").alias("places"))  # at most the lines of one text
 
     @F.pandas_udf("string")
-    def rest(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, places in texts:
-            out = []
-            for t, p in zip(text, places, strict=True):
-                gone = set(p.tolist())
-                out.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone))
-            yield pd.Series(out, dtype=object)
-
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("doc_id", "text").alias("doc")).join(drops, "doc", "left")
-    text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(rest(F.coalesce("row.text", F.lit("")), F.coalesce("places", F.array().cast("array<int>"))))
-    rows = rows.select("row", text.alias("kept"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("gone"))
-    lines = F.coalesce(F.regexp_count("row.text", F.lit("\n")) + 1, F.lit(0)).cast("long")
-    return rows.select(
-        *[(F.col("kept") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names], lines.alias("_lines"), F.when(F.col("gone") > 0, F.col("gone")).otherwise(0).cast("long").alias("_dropped")
-    )
+    def rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, places in batches:
+            kept = []
+            for text, gone in zip(texts, places, strict=True):
+                gone = set(gone.tolist())
+                kept.append("\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone) if gone else text)
+            yield pd.Series(kept, dtype=object)
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.xxhash64("doc_id", "text").alias("doc")).join(drops, "doc", "left")
+    rows = rows.withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    whole = F.coalesce("row.text", F.lit(""))
+    text = F.when(F.size("places") == 0, F.col("row.text")).otherwise(rest(whole, F.col("places")))
+    lines = F.coalesce(F.regexp_count("row.text", F.lit("\n")) + 1, F.lit(0))
+    return rows.select("row", text.alias("text"), lines.cast("long").alias("n_lines"), F.size("places").cast("long").alias("n_dropped"))

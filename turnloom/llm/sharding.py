@@ -68,7 +68,11 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the rows of ``docs`` below ``path`` by shard, each in the order of its slots. Needs unique ``doc_id``."""
-    where = placed.select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    rows = docs.join(where, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
+    """Write the rows of ``docs`` below ``path`` by shard, each in the order of its slots, with ``_shard`` and ``_slot``.
+
+    Ids must be unique; columns of ``docs`` with these two names are replaced.
+    """
+    where = placed.select(F.col("doc_id").alias("id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("_shard", "_slot")]).alias("row")
+    rows = docs.select(row).join(where, F.col("row.doc_id").eqNullSafe(F.col("id"))).select("row.*", "_shard", "_slot")
     rows.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
