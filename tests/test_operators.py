@@ -44,11 +44,9 @@ def tau_b(x, y):
     return (con - dis) / math.sqrt((n0 - tx) * (n0 - ty))
 
 
-@pytest.mark.parametrize("sweep_rows", [0, 10**6])
-def test_correlations(spark, noisy, monkeypatch, sweep_rows):
+def test_correlations(spark, noisy):
     import pandas as pd
 
-    monkeypatch.setattr(rk, "SWEEP_ROWS", sweep_rows)
     got = {r.grp: r for r in st.correlations(pairs(spark, noisy), ["grp"]).collect()}
     for g, part in pd.DataFrame(noisy, columns=["grp", "label", "pred"]).groupby("grp"):
         assert got[g].pearson == pytest.approx(part.label.corr(part.pred))
@@ -61,9 +59,7 @@ def test_correlation_of_a_constant_is_null(spark):
     assert (row.pearson, row.spearman, row.kendall) == (None, None, None)
 
 
-@pytest.mark.parametrize("sweep_rows", [0, 10**6])
-def test_auc_by_pairs(spark, noisy, monkeypatch, sweep_rows):
-    monkeypatch.setattr(rk, "SWEEP_ROWS", sweep_rows)
+def test_auc_by_pairs(spark, noisy):
     rows = [(g, float(y > 3), p) for g, y, p in noisy]
     got = {r.grp: r.auc for r in st.auc(pairs(spark, rows), ["grp"]).collect()}
     flipped = {r.grp: r.auc for r in st.auc(pairs(spark, [(g, y, -p) for g, y, p in rows]), ["grp"]).collect()}
@@ -231,8 +227,7 @@ def test_bm25_tiles(spark, monkeypatch, tile):
         assert [got[(q, k + 1)] for k in range(len(want))] == [(i, round(s, 6)) for i, s in want]
 
 
-def test_quantiles_and_histogram(spark, monkeypatch):
-    monkeypatch.setattr(rk, "SWEEP_ROWS", 0)
+def test_quantiles_and_histogram(spark):
     rng = random.Random(2)
     values = [rng.gauss(0, 1) for _ in range(200)] + [0.5] * 20
     df = spark.createDataFrame([("s", v) for v in values], "system string, v double")
@@ -281,10 +276,35 @@ def test_history_packing(spark):
     assert n == len(got)
 
 
-def test_long_conversations_render_in_parts(spark):
-    df = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(5)], "conv_id int, turn int, role string, text string")
-    parts = [r.text for r in tn.render_conversations(df, part_turns=2, sep="|").orderBy("part").collect()]
-    assert "|".join(parts) == "|".join(f"Researcher: t{t}" for t in range(5)) and len(parts) == 3
+def test_long_conversations_render_whole(spark):
+    df = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(3000)], "conv_id int, turn int, role string, text string")
+    rows = tn.render_conversations(df, sep="|").collect()
+    assert len(rows) == 1 and rows[0].text == "|".join(f"Researcher: t{t}" for t in range(3000))
+
+
+def test_annotation_lists_keep_every_annotation(spark):
+    ann = spark.createDataFrame([("u", i, f"v{i:02d}") for i in range(40)] + [("w", 1, None)], "unit string, rater int, value string")
+    rows = {r.unit: r for r in ag.annotation_lists(ann, ["unit"], "rater", "value").collect()}
+    assert rows["u"].n_annotations == 40 and rows["u"].annotations == [f"v{i:02d}" for i in range(40)]
+    assert rows["w"].annotations == [None]
+    assert ag.annotation_positions(ann, ["unit"], "rater", "value").where("unit = 'u' and value = 'v39'").first().position == 39
+
+
+def test_cuts_with_a_far_key_and_null_groups(spark):
+    rows = [("a", i) for i in range(500)] + [("a", 2**60)] + [(None, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "grp string, key long")
+    for limit in (7, 0.5):
+        got = {}
+        for r in sm.first_per_group(df, "grp", limit, "key").collect():
+            got.setdefault(r.grp, []).append(r.key)
+        want = {g: k if isinstance(limit, int) else int(limit * n) for g, n, k in (("a", 501, 7), (None, 20, 7))}
+        assert {g: sorted(v) for g, v in got.items()} == {g: list(range(n)) for g, n in want.items()}
+    capped = sm.cap_per_group(df, "grp", 100, "key").groupBy("grp").count().collect()
+    assert {r.grp: r["count"] for r in capped} == {"a": 100, None: 20}
+    numbered = sm.dense_index(df, "grp", "key").collect()
+    for g, n in (("a", 501), (None, 20)):
+        own = [r for r in numbered if r.grp == g]
+        assert sorted(r["index"] for r in own) == list(range(n)) and {r.group_size for r in own} == {n}
 
 
 def test_follow_up_cases(spark):
@@ -346,6 +366,22 @@ def test_question_behaviour_joins_open_turns(spark):
     assert (row.turns_without_question, row.questions_per_turn, row.questions_per_conversation) == (0.67, 0.33, 1.0)
 
 
+def test_questions_of_a_long_conversation(spark):
+    """Counts without joining texts equal those of the joined text, also for one conversation of 3000 turns."""
+    rng = random.Random(8)
+    said = ["Yes.", "what is", "and then", "so? ", " ", "How are you? Fine.", "no! who", "the end", "why not? is it. what", "ok then?", "Can we"]
+    rows = [("s", c, t, rng.choice(said)) for c, n in ((1, 3000), (2, 40), (3, 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "author string, conv_id int, turn int, text string")
+    from turnloom.functions import text as tx
+
+    joined = {}
+    for _, c, _, text in rows:
+        joined.setdefault(c, []).append(text)
+    whole = spark.createDataFrame([("\n\n".join(v),) for v in joined.values()], "t string")
+    want = sum(r.n for r in whole.select(F.size(tx.questions(F.col("t"))).alias("n")).collect()) / 3
+    assert tn.question_behaviour(df, "author", rounded=False).first().questions_per_conversation == pytest.approx(want)
+
+
 def test_summary_size(spark):
     text = " ".join(f"Sentence number {i} about cats and dogs." for i in range(40))
     df = spark.createDataFrame([(text,), ("Only one.",), ("",)], "t string")

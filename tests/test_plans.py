@@ -161,5 +161,35 @@ def test_session_documents(spark):
 def test_no_local_checkpoint_or_cross_join():
     from pathlib import Path
 
-    code = "\n".join(p.read_text() for p in Path(__file__).resolve().parents[1].joinpath("turnloom").rglob("*.py"))
+    folder = Path(__file__).resolve().parents[1] / "turnloom"
+    code = "\n".join(p.read_text() for p in folder.rglob("*.py") if p.relative_to(folder).parts[0] != "llm")
     assert not re.search(r"localCheckpoint|crossJoin|\.toPandas\(|\.collect\(\)", code)
+
+
+def test_steps_need_a_shared_folder_off_the_local_master(monkeypatch):
+    import types
+
+    from turnloom import session
+
+    def fake(master, conf=None):
+        sc = types.SimpleNamespace(master=master, setCheckpointDir=lambda folder: None, applicationId="x")
+        return types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda key, default: conf or default))
+
+    monkeypatch.setattr(session, "_has_checkpoint_dir", lambda spark: False)
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://host"):
+        with pytest.raises(ValueError):
+            session.shared_dir(fake(master))
+        assert session.shared_dir(fake(master, "s3a://shared/steps")) == "s3a://shared/steps"
+    assert session.shared_dir(fake("local[4]")) and session.shared_dir(fake("local"))
+
+
+def test_steps_are_dropped(spark):
+    import os
+
+    from turnloom import session
+
+    before = session.fresh_dir(spark, "probe")
+    step = session.durable(spark.range(5))
+    folder = step.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and session.drop_steps(spark) >= 2
+    assert not os.path.isdir(folder) and not os.path.isdir(before) and session.drop_steps(spark) == 0

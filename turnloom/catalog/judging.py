@@ -236,14 +236,14 @@ def fixed_question_conversations(spark, d):
 
 
 def generated(spark, d):
-    """Conversations as chat arrays with the paper as second message; bounded parts of 1024 turns."""
+    """Conversations as chat arrays with the paper as second message."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), "source", F.col("text").alias("paper"))
     item = F.struct("turn", dg.message(F.col("role"), as_questions("text")).alias("m"))
-    rows = turns(spark, d).groupBy("conv_id", F.floor(F.col("turn") / 1024).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("_t"))
+    rows = turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("_t"))
     chat = dg.chat("Journalist", F.col("source"), F.col("paper"), F.transform("_t", lambda t: t["m"]))
     system = F.concat(F.lit("s"), (F.col("conv_id") % 2).cast("string"))
     return rows.join(docs, "conv_id").select(
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("part").cast("string")).alias("paper_id"), system.alias("system"), chat.alias("generated_conversation")
+        F.col("conv_id").cast("string").alias("paper_id"), system.alias("system"), chat.alias("generated_conversation")
     )
 
 
@@ -254,6 +254,6 @@ def conversation_quality(spark, d):
 
 @query("journalist_answers", f"""
 WITH {TURNS}, j AS (SELECT conv_id, string_agg({AS_QUESTIONS.format('text')}, chr(10) || chr(10) ORDER BY turn) AS h FROM turns WHERE author = 'Journalist' GROUP BY 1)
-SELECT t.conv_id || '-0' AS paper_id, md5(coalesce(any_value(h), '')) AS hypothesis_md5 FROM turns t LEFT JOIN j USING (conv_id) GROUP BY t.conv_id""")
+SELECT t.conv_id::VARCHAR AS paper_id, md5(coalesce(any_value(h), '')) AS hypothesis_md5 FROM turns t LEFT JOIN j USING (conv_id) GROUP BY t.conv_id""")
 def journalist_answers(spark, d):
     return ev.journalist_pairs(generated(spark, d)).select("paper_id", F.md5("hypothesis").alias("hypothesis_md5"))

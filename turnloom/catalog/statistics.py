@@ -298,7 +298,7 @@ def annotator_agreement(spark, d):
 WITH {ANNOTATED} SELECT sc_title, gen_model, count(*) AS n_annotations, string_agg(choice, ',' ORDER BY annotator) AS annotations FROM ann GROUP BY 1, 2 HAVING count(*) > 2""")
 def annotation_lists(spark, d):
     ann = annotated(spark, d)
-    lists = ag.annotation_lists(ann, ["sc_title", "gen_model"], "annotator", "choice", positions=200)
+    lists = ag.annotation_lists(ann, ["sc_title", "gen_model"], "annotator", "choice")
     return lists.join(ag.rated_units(ann, ["sc_title", "gen_model"]).drop("n_annotations"), ["sc_title", "gen_model"], "left_semi").select(
         "sc_title", "gen_model", "n_annotations", F.array_join("annotations", ",").alias("annotations")
     )

@@ -68,7 +68,7 @@ def parsed_dialogues(spark, d):
     # one conversation in ten has a speaker nobody knows
     stranger = F.when((F.col("conv_id") % 10 == 3), F.lit("**Reviewer**: ")).otherwise(marked)
     rows = turns(spark, d).select("conv_id", "turn", F.concat(stranger, "text").alias("text"))
-    raw = rows.groupBy("conv_id", F.floor(F.col("turn") / 1024).alias("part")).agg(
+    raw = rows.groupBy("conv_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n\n").alias("t")
     )
     raw = raw.select("conv_id", F.concat(F.lit("Let me think: **J** first.</think>\n\n"), "t").alias("conversation"))
@@ -125,11 +125,10 @@ def interrogative_sentences(spark, d):
 @query("rendered_conversations", f"""
 WITH {TURNS}, l AS (SELECT conv_id, turn, author || ': ' || CASE WHEN author = 'Journalist'
     THEN replace(replace('Journalist: ' || text, 'Researcher: ', ''), 'Journalist: ', '') ELSE 'Journalist: ' || text END AS line FROM turns)
-SELECT conv_id, CAST(turn // 1024 AS BIGINT) AS part, md5(string_agg(line, chr(10) || chr(10) ORDER BY turn)) AS text_md5
-FROM l GROUP BY 1, 2""")
+SELECT conv_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM l GROUP BY 1""")
 def rendered_conversations(spark, d):
     rows = turns(spark, d).withColumn("text", F.concat(F.lit("Journalist: "), "text"))
-    return render_conversations(rows).select("conv_id", big(F.col("part")).alias("part"), F.md5("text").alias("text_md5"))
+    return render_conversations(rows).select("conv_id", F.md5("text").alias("text_md5"))
 
 
 @query("chat_messages", f"""

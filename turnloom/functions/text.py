@@ -28,11 +28,12 @@ SPEAKERS = {
     "Researcher (R)": "Researcher",
 }
 REASONING_END = "</think>"
+# fixed values: patterns of names and of the end of a paragraph
 NAME_PATTERN = r"\bDr\.\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+COMPLETE_END = "[.?!…](['”\"\\)]*)\\s*$"
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 SENTENCE_BREAK = r"(?<=[.!?…])\s+"
 NAIVE_SENTENCE_BREAK = r"(?<=[?.!])\s+"
-COMPLETE_END = "[.?!…](['”\"\\)]*)\\s*$"
 
 
 def strip(text: Column) -> Column:
@@ -108,11 +109,14 @@ def drop_reasoning(text: Column) -> Column:
     return F.element_at(F.split(text, REASONING_END), -1)
 
 
+def opens_question(sentence: Column) -> Column:
+    return F.lower(sentence).rlike("^(" + "|".join(QUESTION_OPENERS) + r")([^\p{L}\p{N}_]|$)")
+
+
 def questions(text: Column) -> Column:
     """Sentences that end with ``?`` or open like a question; the latter get a ``?`` appended."""
-    opener = "^(" + "|".join(QUESTION_OPENERS) + r")([^\p{L}\p{N}_]|$)"
     parts = F.transform(naive_sentences(text), strip)
-    asked = F.filter(parts, lambda s: s.endswith("?") | F.lower(s).rlike(opener))
+    asked = F.filter(parts, lambda s: s.endswith("?") | opens_question(s))
     return F.transform(asked, lambda s: F.when(s.endswith("?"), s).otherwise(F.concat(s, F.lit("?"))))
 
 

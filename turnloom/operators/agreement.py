@@ -15,18 +15,17 @@ def rated_units(ann: DataFrame, unit: Sequence[str], more_than: int = 2) -> Data
     return ann.groupBy(*unit).agg(F.count("*").alias("n_annotations")).where(F.col("n_annotations") > more_than)
 
 
-def annotation_lists(ann: DataFrame, unit: Sequence[str], rater: str, value: str, positions: int = 16) -> DataFrame:
-    """First ``positions`` annotations of each unit in annotator order as one wide row, and how many there are.
-
-    A wide row is bounded by ``positions`` whatever the unit's size; longer units keep their true count.
-    """
+def annotation_positions(ann: DataFrame, unit: Sequence[str], rater: str, value: str) -> DataFrame:
+    """``unit, position, value``: annotations numbered from 0 in annotator order, for units of any size."""
     order = Window.partitionBy(*unit).orderBy(rater, value)
-    ranked = ann.withColumn("_pos", F.row_number().over(order)).where(F.col("_pos") <= positions)
-    lists = ranked.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("_pos", value))).alias("_v"))
-    counts = ann.groupBy(*unit).agg(F.count("*").alias("n_annotations"))
-    return lists.join(counts, list(unit)).select(
-        *unit, "n_annotations", F.transform("_v", lambda x: x[value]).alias("annotations")
-    )
+    return ann.select(*unit, (F.row_number().over(order) - 1).alias("position"), F.col(value).alias("value"))
+
+
+def annotation_lists(ann: DataFrame, unit: Sequence[str], rater: str, value: str) -> DataFrame:
+    """All annotations of each unit in annotator order, and how many there are."""
+    item = F.struct(F.col(rater).alias("r"), F.col(value).alias("v"))
+    lists = ann.groupBy(*unit).agg(F.count("*").alias("n_annotations"), F.array_sort(F.collect_list(item)).alias("_v"))
+    return lists.select(*unit, "n_annotations", F.transform("_v", lambda x: x["v"]).alias("annotations"))
 
 
 def cohen_kappa(

@@ -1,8 +1,8 @@
 """Global order statistics without a global sort in one task.
 
-Rows are first aggregated to distinct values, which are written once. Up to a checked size the groups are swept
-directly. Beyond it the values are range-partitioned, summed up inside each range, and shifted by the totals of
-the ranges before; the range layout is written too, so every later step sees the same ranges.
+Rows, usually distinct values with counts, are dealt out in key ranges of equal size and written once, so every later
+step sees the same ranges. Sums inside a range are shifted by the totals of the ranges before. The layout is the same
+for every size of input, and a group of any size or distribution is spread over as many ranges as it needs.
 """
 
 from __future__ import annotations
@@ -12,35 +12,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.session import broadcast_if_small, durable
+from turnloom.session import durable, join_on
 
-SWEEP_ROWS = 5_000_000
 
+def range_layout(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` in ranges of ``by`` and ``order``, as a table with the number of the range in ``_range``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(rows.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id()))
 
-def running_totals(
-    values: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], sweep_rows: int | None = None
-) -> DataFrame:
+
+def range_offsets(ranged: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Per group and range the totals of all ranges of the group before, ``<name>_off``, and its own, ``<name>_sum``."""
+    outer = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy(*by, "_range").agg(*[c.alias(f"{n}_sum") for n, c in sums.items()])
+    return totals.select("*", *[(F.sum(f"{n}_sum").over(outer) - F.col(f"{n}_sum")).alias(f"{n}_off") for n in sums])
+
+
+def running_totals(values: DataFrame, by: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Add ``<weight>_before`` to one-row-per-(by, value) data: the weight of all smaller values in the group."""
-    values = durable(values)
-    limit = SWEEP_ROWS if sweep_rows is None else sweep_rows
-    before = lambda over: [(F.sum(w).over(over) - F.col(w)).alias(f"{w}_before") for w in weights]
-    if values.count() <= limit:
-        whole = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return values.select("*", *before(whole))
-
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(values.repartitionByRange(parts, *by, value).withColumn("_range", F.spark_partition_id()))
+    ranged = range_layout(values, by, [value])
+    offsets = range_offsets(ranged, by, {w: F.sum(w) for w in weights})
     inner = Window.partitionBy("_range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    totals = ranged.groupBy("_range", *by).agg(*[F.sum(w).alias(f"_{w}") for w in weights])
-    offsets = totals.select(
-        "_range", *by, *[(F.sum(f"_{w}").over(outer) - F.col(f"_{w}")).alias(f"_{w}_off") for w in weights]
-    )
-    # a range meets few groups, so offsets hold about one row per range and one per group
-    joined = ranged.select("*", *before(inner)).join(broadcast_if_small(offsets), ["_range", *by])
-    return joined.select(
-        *values.columns, *[(F.col(f"_{w}_off") + F.col(f"{w}_before")).alias(f"{w}_before") for w in weights]
-    )
+    inside = ranged.select("*", *[(F.sum(w).over(inner) - F.col(w)).alias(f"{w}_in") for w in weights])
+    joined = join_on(inside, offsets, [*by, "_range"])
+    return joined.select(*values.columns, *[(F.col(f"{w}_off") + F.col(f"{w}_in")).alias(f"{w}_before") for w in weights])
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -60,8 +55,8 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     """Exact quantiles with linear interpolation, one column ``q<percent>`` per probability."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     ranked = running_totals(counts, by, value, ["n"])
-    totals = broadcast_if_small(counts.groupBy(*by).agg(F.sum("n").alias("_total")))
-    placed = ranked.join(totals, list(by)) if by else _with_total(ranked, totals)
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
+    placed = join_on(ranked, totals, by) if by else _with_total(ranked, totals)
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
 
     def at(place: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as tx
 from turnloom.operators.ranking import quantiles
-from turnloom.session import broadcast_if_small
 
 
 def corpus_overlap(scores: DataFrame, by: str = "system", metrics: Sequence[str] = ("rouge1_f", "rougeL_f")) -> DataFrame:
@@ -25,7 +24,7 @@ def mean_and_spread(scores: DataFrame, by: str, value: str) -> DataFrame:
 
 def box_plot(scores: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles, range, whisker ends (within 1.5 quartile distances) and outlier count per group, all exact."""
-    q = broadcast_if_small(quantiles(scores, value, [0.25, 0.5, 0.75], [by]))
+    q = quantiles(scores, value, [0.25, 0.5, 0.75], [by])
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     return (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.functions import text as tx
-from turnloom.session import broadcast_if_small, durable
+from turnloom.session import durable
 
 K1, B = 1.2, 0.75
 POSTINGS_PER_TILE = 250_000
@@ -94,7 +94,7 @@ def bm25(
     """
     terms = queries.select(query, F.explode(tx.lexical_tokens(F.col(text))).alias("term"))
     terms = terms.groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    vocabulary = broadcast_if_small(terms.select("term").distinct())
+    vocabulary = terms.select("term").distinct()
     length = F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}]+"))
     size = corpus.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl")).first()
     bags = corpus.select(doc, tx.lexical_tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))

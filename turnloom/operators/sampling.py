@@ -13,49 +13,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.hashing import hash_fraction, hash_number
-from turnloom.session import broadcast_if_small, durable
+from turnloom.operators.ranking import range_layout, range_offsets
+from turnloom.session import join_on
 
-BINS = 4096
-HASH_RANGE = 2**60
-
-
-def _cuts(
-    df: DataFrame, order: Column, tie: Column, size: Column, by: Sequence[str], hashed: bool
-) -> DataFrame:
+def _cuts(df: DataFrame, order: Column, tie: Column, size: Column, by: Sequence[str]) -> DataFrame:
     """Per group its row count ``_n``, ``_size``, and the order number and tie ``_co, _ct`` of the last row inside.
 
-    ``size`` is an expression over ``by`` and ``_n``. One narrow pass counts rows per bin of the order number; a
-    second one ranks only the bin in which the size is reached, about 1/4096 of a group. Hash numbers have a known
-    range; other numbers are binned between their group's least and greatest. No cut (null) means that the size
-    covers the whole group or nothing.
+    ``size`` is an expression over ``by`` and ``_n``. The narrow keys are laid out in ranges of equal size, whatever
+    their distribution; only the range in which a group's size is reached is ranked. No cut (null) means that the size
+    covers the whole group or nothing. A null group is a group.
     """
-    keys = df.select(*by, order.cast("bigint").alias("_o"), tie.alias("_tie"), F.lit(1).alias("_one"))
-    on = [*by, "_one"]
-    if hashed:
-        binned = keys.withColumn("_bin", F.floor(F.col("_o") / F.lit(HASH_RANGE // BINS)))
-    else:
-        reach = keys.groupBy(*on).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-        width = F.floor((F.col("_hi") - F.col("_lo")) / BINS) + 1
-        binned = keys.join(broadcast_if_small(reach), on).withColumn("_bin", F.floor((F.col("_o") - F.col("_lo")) / width))
-    counts = broadcast_if_small(binned.groupBy(*on, "_bin").agg(F.count("*").alias("_c")))
-    group = Window.partitionBy(*on)
-    placed = (
-        counts.withColumn("_n", F.sum("_c").over(group))
-        .withColumn("_size", size)
-        .withColumn("_upto", F.sum("_c").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    room = F.col("_size") - (F.col("_upto") - F.col("_c"))
-    edge = placed.where((room > 0) & (F.col("_upto") >= F.col("_size")) & (F.col("_size") < F.col("_n")))
-    edge = broadcast_if_small(edge.select(*on, "_bin", room.alias("_room")))
-    ranked = binned.join(edge, [*on, "_bin"]).withColumn("_rank", F.row_number().over(group.orderBy("_o", "_tie")))
-    cut = ranked.where(F.col("_rank") == F.col("_room")).select(*on, F.col("_o").alias("_co"), F.col("_tie").alias("_ct"))
-    sizes = placed.groupBy(*on).agg(F.max("_n").alias("_n"), F.max("_size").alias("_size"))
-    return broadcast_if_small(sizes.join(cut, on, "left").drop("_one"))
-
-
-def within_size(df: DataFrame, order: Column, key: str, size: Column, hashed: bool = True) -> Column:
+    ranged = range_layout(df.select(*by, order.cast("bigint").alias("_o"), tie.alias("_tie")), by, ["_o", "_tie"])
+    placed = range_offsets(ranged, by, {"_c": F.count("*")})
+    placed = placed.withColumn("_n", F.sum("_c_sum").over(Window.partitionBy(*by))).withColumn("_size", size)
+    room = F.col("_size") - F.col("_c_off")
+    edge = placed.where((room > 0) & (room <= F.col("_c_sum")) & (F.col("_size") < F.col("_n")))
+    ranked = join_on(ranged, edge.select(*by, "_range", room.alias("_room")), [*by, "_range"])
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_o", "_tie")))
+    cut = ranked.where(F.col("_rank") == F.col("_room")).select(*by, F.col("_o").alias("_co"), F.col("_tie").alias("_ct"))
+    if not by:
+        one = F.lit(1).alias("_one")
+        sizes = placed.groupBy(one).agg(F.max("_n").alias("_n"), F.max("_size").alias("_size"))
+        return join_on(sizes, cut.select(one, "_co", "_ct"), ["_one"], "left").drop("_one")
+    sizes = placed.groupBy(*by).agg(F.max("_n").alias("_n"), F.max("_size").alias("_size"))
+    return join_on(sizes, cut, by, "left")
+
+
+def within_size(df: DataFrame, order: Column, key: str, size: Column) -> Column:
     """Condition on ``order`` and ``key``: the row is among the first ``size`` rows of ``df``."""
-    row = _cuts(df, order, F.col(key), size, (), hashed).first()
+    row = _cuts(df, order, F.col(key), size, ()).first()
     if row is None or row["_size"] >= row["_n"]:
         return F.lit(True)
     if row["_co"] is None:
@@ -64,12 +50,12 @@ def within_size(df: DataFrame, order: Column, key: str, size: Column, hashed: bo
     return (o < row["_co"]) | ((o == row["_co"]) & (F.col(key) <= F.lit(row["_ct"])))
 
 
-def _kept(df: DataFrame, order: Column, key: str, size: Column, by: Sequence[str], hashed: bool) -> DataFrame:
+def _kept(df: DataFrame, order: Column, key: str, size: Column, by: Sequence[str]) -> DataFrame:
     """The first ``size`` rows of every group: a filter against one small table of cuts."""
     o = order.cast("bigint")
     inside = (F.col("_size") >= F.col("_n")) | (o < F.col("_co")) | ((o == F.col("_co")) & (F.col(key) <= F.col("_ct")))
-    limits = _cuts(df, order, F.col(key), size, by, hashed)
-    return df.join(limits, list(by)).where(inside).drop("_n", "_size", "_co", "_ct")
+    limits = _cuts(df, order, F.col(key), size, by)
+    return join_on(df, limits, by).where(inside).drop("_n", "_size", "_co", "_ct")
 
 
 def split_by_fraction(df: DataFrame, key: str, train: float = 0.9, seed: int = 123, column: str = "split") -> DataFrame:
@@ -95,7 +81,7 @@ def split_by_key(df: DataFrame, key: str, train: float = 0.9, seed: int = 123, c
 
     Only the distinct keys are counted and ranked. The rows themselves are compared with one threshold.
     """
-    return split_rows_like(df, durable(df.select(key).distinct()), key, train, seed, column)
+    return split_rows_like(df, df.select(key).distinct(), key, train, seed, column)
 
 
 def split_rows_like(df: DataFrame, keys: DataFrame, key: str, train: float, seed: int, column: str) -> DataFrame:
@@ -121,13 +107,13 @@ def head_rows(df: DataFrame, n: int, key: str) -> DataFrame:
 
 def cap_per_group(df: DataFrame, group: str, cap: int, key: str, seed: int = 0) -> DataFrame:
     """At most ``cap`` rows per group, drawn without replacement."""
-    return _kept(df, hash_number(seed, F.col(key)), key, F.lit(cap), (group,), True)
+    return _kept(df, hash_number(seed, F.col(key)), key, F.lit(cap), (group,))
 
 
 def first_per_group(df: DataFrame, group: str, limit: int | float, key: str) -> DataFrame:
     """The first ``limit`` rows (int) or first share of rows (float) per group in the order of a numeric key."""
     size = F.lit(limit) if isinstance(limit, int) else F.floor(F.col("_n") * F.lit(limit))
-    return _kept(df, F.col(key), key, size, (group,), False)
+    return _kept(df, F.col(key), key, size, (group,))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -139,28 +125,17 @@ def group_sizes(df: DataFrame, group: str, cap: int) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("n_rows")).withColumn("n_capped", F.least("n_rows", F.lit(cap)))
 
 
-def dense_index(df: DataFrame, group: str, key: str, seed: int = 0, buckets: int = BINS) -> DataFrame:
-    """Number the rows of every group 0..n-1 in hash order and add the group size.
+def dense_index(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
+    """Number the rows of every group 0..n-1 in hash order and add the group size; a null group is a group.
 
-    A group is ranked in ``buckets`` hash slices whose sizes are summed up separately, so the largest group is
-    spread over that many sorts.
+    Rows are laid out in ranges of equal size, so the largest group is spread over many sorts.
     """
-    o = hash_number(seed, F.col(key))
-    sliced = df.withColumn("_o", o).withColumn("_slice", F.floor(F.col("_o") / F.lit(HASH_RANGE // buckets)))
-    by_order = Window.partitionBy(group).orderBy("_slice")
-    sizes = (
-        sliced.groupBy(group, "_slice")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_before", F.sum("_c").over(by_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-        .withColumn("group_size", F.sum("_c").over(Window.partitionBy(group)))
-    )
-    within = F.row_number().over(Window.partitionBy(group, "_slice").orderBy("_o", key)) - 1
-    return (
-        sliced.withColumn("_within", within)
-        .join(sizes, [group, "_slice"])
-        .withColumn("index", F.col("_before") + F.col("_within"))
-        .drop("_o", "_slice", "_within", "_c", "_before")
-    )
+    ranged = range_layout(df.withColumn("_o", hash_number(seed, F.col(key))), [group], ["_o", key])
+    sizes = range_offsets(ranged, [group], {"_c": F.count("*")})
+    sizes = sizes.withColumn("group_size", F.sum("_c_sum").over(Window.partitionBy(group))).drop("_c_sum")
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy("_o", key)) - 1
+    placed = join_on(ranged.withColumn("_within", within), sizes, [group, "_range"])
+    return placed.withColumn("index", F.col("_c_off") + F.col("_within")).drop("_o", "_range", "_within", "_c_off")
 
 
 def random_peer(
@@ -171,8 +146,8 @@ def random_peer(
     The draw is an index below the group size, found by an equi-join on (group, index): uniform keys, no skew.
     """
     pool = dense_index(df.select(group, key, value.alias(name)), group, key, seed)
-    sizes = broadcast_if_small(pool.groupBy(group).agg(F.first("group_size").alias("_size")))
-    wanted = df.join(sizes, group, "left").withColumn(
+    sizes = pool.groupBy(group).agg(F.first("group_size").alias("_size"))
+    wanted = join_on(df, sizes, [group], "left").withColumn(
         "_draw",
         F.pmod(hash_number(f"{seed}-draw", F.col(key)), F.col("_size")),
     )
@@ -181,4 +156,4 @@ def random_peer(
     # rows without a draw join nothing; a negative key of their own keeps them apart
     wanted = wanted.withColumn("_at", F.coalesce(F.col("_draw"), -1 - F.abs(F.xxhash64(key) % 1000003)))
     picks = pool.select(group, F.col("index").alias("_at"), name)
-    return wanted.join(picks, [group, "_at"], "left").drop("_size", "_draw", "_at")
+    return join_on(wanted, picks, [group, "_at"], "left").drop("_size", "_draw", "_at")

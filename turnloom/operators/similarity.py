@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.operators.stats import _join
-from turnloom.session import broadcast_if_small
 
 BLOCK = 2048
 
@@ -54,7 +53,7 @@ def _blocks(rows: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
         F.greatest(F.ceil(F.count_if("_left") / block), F.lit(1)).alias("_nl"),
         F.greatest(F.ceil(F.count_if("_right") / block), F.lit(1)).alias("_nr"),
     )
-    return broadcast_if_small(counts.where("_nl > 1 or _nr > 1"))
+    return counts.where("_nl > 1 or _nr > 1")
 
 
 def _run(tiled: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators.ranking import running_totals
-from turnloom.session import broadcast_if_small, durable
+from turnloom.session import durable
 
 THRESHOLD_STEPS = 1000
 DIGIT_BITS = 3
@@ -96,7 +96,7 @@ def spearman(pairs: DataFrame, by: Sequence[str] = (), x: str = "label", y: str
         counts = cells.groupBy(*by, col).agg(F.sum("_n").alias("n"))
         ranked = running_totals(counts, by, col, ["n"])
         sides.append(ranked.select(*by, col, (F.col("n_before") + (F.col("n") + 1) / 2).alias(rank)))
-    totals = broadcast_if_small(cells.groupBy(*by).agg(((F.sum("_n") + 1) / 2).alias("_mid")))
+    totals = cells.groupBy(*by).agg(((F.sum("_n") + 1) / 2).alias("_mid"))
     joined = cells.join(sides[0], [*by, "_x"]).join(sides[1], [*by, "_y"])
     centred = _join(joined, totals, by) if by else joined.withColumn("_mid", F.lit(totals.first()["_mid"]))
     dx, dy, n = F.col("_rx") - F.col("_mid"), F.col("_ry") - F.col("_mid"), F.col("_n")
@@ -214,7 +214,7 @@ def apply_threshold(
     pairs: DataFrame, tuned: DataFrame, by: Sequence[str], label: str = "label", pred: str = "pred"
 ) -> DataFrame:
     """Metrics at each group's tuned threshold."""
-    joined = pairs.join(broadcast_if_small(tuned.select(*by, "threshold")), list(by))
+    joined = pairs.join(tuned.select(*by, "threshold"), list(by))
     return class_metrics(joined, [*by, "threshold"], label, pred, F.col("threshold"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import dialogue as dg
 from turnloom.functions import text as tx
 from turnloom.functions.binding import let
+from turnloom.session import join_on
 
 
 def explode_dialogues(df: DataFrame, parsed: str = "parsed_conv", keep: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -87,25 +88,15 @@ def turn_examples(
 
 
 def render_conversations(
-    turns: DataFrame,
-    conv: str = "conv_id",
-    sep: str = "\n\n",
-    skip: int = 0,
-    style: str = "journalist",
-    part_turns: int = 1024,
+    turns: DataFrame, conv: str = "conv_id", sep: str = "\n\n", skip: int = 0, style: str = "journalist"
 ) -> DataFrame:
-    """Conversations as text ``(conv, part, text)`` from ``(conv, turn, role, text)``.
-
-    A part covers ``part_turns`` consecutive turn numbers, so one endless conversation becomes many bounded
-    rows; usual conversations are one part. Joining the parts with ``sep`` gives the whole text.
-    """
+    """Whole conversations as text ``(conv, text)`` from ``(conv, turn, role, text)``."""
     line = dg.dialogue_line(F.col("role"), F.col("text"), style)
     return (
         turns.where(F.col("turn") >= skip)
-        .withColumn("part", F.floor(F.col("turn") / part_turns))
-        .groupBy(conv, "part")
+        .groupBy(conv)
         .agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("_l"))
-        .select(conv, "part", F.array_join(F.transform("_l", lambda x: x["line"]), sep).alias("text"))
+        .select(conv, F.array_join(F.transform("_l", lambda x: x["line"]), sep).alias("text"))
     )
 
 
@@ -119,29 +110,35 @@ def conversation_lengths(turns: DataFrame, by: str, conv: str = "conv_id") -> Da
     )
 
 
-def question_behaviour(
-    turns: DataFrame, by: str, conv: str = "conv_id", part_turns: int = 1024, rounded: bool = True
-) -> DataFrame:
+def question_behaviour(turns: DataFrame, by: str, conv: str = "conv_id", rounded: bool = True) -> DataFrame:
     """Share of turns without a question, questions per turn, questions per conversation.
 
-    The conversation count reads the turns joined by a blank line, where a turn without a final ``. ? !`` runs
-    on into the next one. Turns are joined in parts of ``part_turns`` turn numbers, so no row grows without
-    bound; counts of the parts add up to the conversation's.
+    The conversation count reads the turns joined by a blank line, where a turn without a final ``. ? !`` runs on into
+    the next one. No text is joined: of each turn only its first and last sentence cross to others, as flags. Sentences
+    that run on form a chain, which is a question if its first part opens like one or its last part ends with ``?``.
     """
-    parts = (
-        turns.withColumn("_n", F.size(tx.questions(F.col("text"))))
-        .withColumn("_part", F.floor(F.col("turn") / part_turns))
-        .groupBy(by, conv, "_part")
-        .agg(
-            F.count("*").alias("_turns"),
-            F.count_if(F.col("_n") == 0).alias("_silent"),
-            F.sum("_n").alias("_q"),
-            F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_t"),
-        )
-        .withColumn("_joined", F.array_join(F.transform("_t", lambda t: t["text"]), "\n\n"))
-        .withColumn("_conv_q", F.size(tx.questions(F.col("_joined"))))
-    )
-    convs = parts.groupBy(by, conv).agg(*[F.sum(c).alias(c) for c in ("_turns", "_silent", "_q", "_conv_q")])
+    parts = F.transform(tx.naive_sentences(F.col("text")), tx.strip)
+    flags = F.transform(parts, lambda s: F.struct(tx.opens_question(s).alias("opens"), s.endswith("?").alias("ends")))
+    rows = turns.select(by, conv, "turn", flags.alias("_f"), (tx.strip(F.col("text")) == "").alias("_empty"),
+                        (~tx.strip(F.col("text")).rlike("[?.!]$")).alias("_open"))
+    asked = lambda f: f["opens"] | f["ends"]
+    rows = rows.withColumn("_n", F.size(F.filter("_f", asked)))
+    inner = F.size(F.filter(F.slice("_f", 2, F.greatest(F.size("_f") - 2, F.lit(0))), asked))
+    order = Window.partitionBy(by, conv).orderBy("turn")
+    runs_on = F.coalesce(F.lag("_open").over(order), F.lit(False))
+    edge = lambda at, new, f: F.struct(F.lit(at).alias("at"), new.alias("new"), f["opens"].alias("opens"), f["ends"].alias("ends"))
+    first, last = edge(0, ~F.col("_runs_on"), F.element_at("_f", 1)), edge(1, F.lit(True), F.element_at("_f", -1))
+    spoken = rows.where(~F.col("_empty")).withColumn("_runs_on", runs_on).withColumn("_inner", inner)
+    edges = spoken.select(by, conv, "turn", F.explode(F.when(F.size("_f") > 1, F.array(first, last)).otherwise(F.array(first))).alias("_e"))
+    order = Window.partitionBy(by, conv).orderBy("turn", "_e.at").rowsBetween(Window.unboundedPreceding, 0)
+    chains = edges.withColumn("_chain", F.sum(F.col("_e.new").cast("int")).over(order)).groupBy(by, conv, "_chain")
+    place = F.struct("turn", "_e.at")
+    chains = chains.agg((F.min_by("_e.opens", place) | F.max_by("_e.ends", place)).alias("_asked"))
+    chained = chains.groupBy(by, conv).agg(F.count_if("_asked").alias("_chained"))
+    counts = rows.groupBy(by, conv).agg(F.count("*").alias("_turns"), F.count_if(F.col("_n") == 0).alias("_silent"), F.sum("_n").alias("_q"))
+    inside = spoken.groupBy(by, conv).agg(F.sum("_inner").alias("_inside"))
+    convs = join_on(join_on(counts, chained, [by, conv], "left"), inside, [by, conv], "left")
+    convs = convs.withColumn("_conv_q", F.coalesce("_chained", F.lit(0)) + F.coalesce("_inside", F.lit(0)))
     share = F.sum("_silent") / F.sum("_turns")
     per_turn = F.sum("_q") / F.sum("_turns")
     per_conv = F.avg("_conv_q")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of step tables by application.
+_STEPS: dict[str, list[str]] = {}
+
 # Shuffle keys may be skewed, so joins and aggregates rely on runtime re-planning.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,12 +40,19 @@ def get_session(name: str = "turnloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``, a fresh one only where unset."""
+    """Folder for steps: the cluster's ``spark.checkpoint.dir`` or the checkpoint folder that was set.
+
+    Only a local master, where driver and executors are one process, may do without: it gets a temporary folder that
+    goes when the program ends. Elsewhere each executor would write to its own disk, so a missing folder is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and _has_checkpoint_dir(spark):
+        folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() if _has_checkpoint_dir(spark) else None
-    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="turnloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not _has_checkpoint_dir(spark):
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -50,7 +65,19 @@ def _has_checkpoint_dir(spark: SparkSession) -> bool:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new sub-folder path (not created) below the shared folder."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/{label}-{os.urandom(8).hex()}"
+    path = f"{base}/{label}-{os.urandom(8).hex()}"
+    _STEPS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_steps(spark: SparkSession) -> int:
+    """Delete the step tables that this application has written so far; results that still read them are lost."""
+    paths = _STEPS.pop(spark.sparkContext.applicationId, [])
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -65,22 +92,8 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out rows that arrive in fewer partitions than there are cores (one small file).
-
-    An input with enough partitions, as any large one has, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only when ``df`` was seen to hold at most ``max_rows`` rows.
-
-    Meant for summary tables (one narrow row per group). A larger table comes back unhinted and is
-    joined by shuffle.
-    """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the result has the keys of ``left`` once."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
