@@ -51,7 +51,7 @@ WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w
     m AS (SELECT *, list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS masked FROM w WHERE len(words) >= 3),
     g AS (SELECT *, len(words) >= 8 AND len(list_filter(masked, lambda x: x <> '<*>')) >= 0.8 * len(words) AS general FROM m),
     l AS (SELECT doc_id, pos, CASE WHEN general THEN masked ELSE words END AS words, general FROM g),
-    k AS (SELECT *, array_to_string(words, ' ') AS line, CASE WHEN general THEN len(words) || ' ' || array_to_string(words[1:3], ' ') END AS leaf FROM l),
+    k AS (SELECT *, array_to_string(words, ' ') AS line, CASE WHEN general THEN len(words) || ' ' || array_to_string(words[1:5], ' ') END AS leaf FROM l),
     d AS (SELECT leaf, line, any_value(words) AS words, min(doc_id) AS a, max(doc_id) AS b FROM k WHERE leaf IS NOT NULL GROUP BY ALL),
     s AS (SELECT leaf FROM d GROUP BY leaf HAVING count(*) > 1 AND min(a) < max(b)),
     t AS (SELECT leaf, line, unnest(words) AS word, unnest(range(len(words))) AS place FROM d WHERE leaf IN (FROM s)),

@@ -5,89 +5,127 @@ has one template, the word most of its lines have at each position, and a line t
 is generalised to it; any other line is a template of its own. Templates that recur across documents are dropped from
 all documents but for their first occurrence, so that a text and its copies do not vanish together.
 
-Only narrow rows move: hashes of lines and leaves, and the words of lines that share a leaf with a different line.
-No leaf, template or document is gathered; everything is counts, minima and joins that fold before the shuffle.
+Lines are cut and hashed where they are read; hashes of lines and leaves move, and the words of one line of each kind
+that shares a leaf with another kind. No leaf, template or document is gathered; everything is counts, minima and joins
+that fold before the shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.session import durable
 
 #: Leading words on the way to a leaf.
-DEPTH = 3
+DEPTH = 5
 #: Shorter lines are never dropped; lines with fewer words than FIELDS have no variable fields.
 LEAST = 3
 FIELDS = 8
-#: Share of positions in which a line agrees with its leaf's template, and that digits leave constant.
-ALIKE = 0.8
+#: Positions, of each so many, in which a line agrees with its leaf's template, and which digits leave constant.
+ALIKE, OF = 4, 5
 
+DIGIT = re.compile(rb"[0-9]")
+FIELD = b"<*>"
+_LAST = (1 << 63) - 1
 
-def words_of(line: Column) -> Column:
-    """Runs of characters other than ASCII white space."""
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
+def parse(line: bytes) -> tuple[list[bytes], int | None]:
+    """Words of a line, runs without ASCII white space, and its leaf.
 
-def _digest(column: Column) -> Column:
-    return F.unhex(F.md5(column))  # 16 bytes: two different lines never meet
+    Words with digits become variable fields unless the line is short or too much of it would be variable; then it has
+    no leaf and stands for itself.
+    """
+    words = line.split()
+    if len(words) < FIELDS:
+        return words, None
+    if DIGIT.search(line) or FIELD in words:
+        masked = [FIELD if DIGIT.search(w) else w for w in words]
+        if OF * sum(w != FIELD for w in masked) < ALIKE * len(words):
+            return words, None
+        words = masked
+    leaf = xxhash.xxh3_64_intdigest(b" ".join([str(len(words)).encode(), *words[:DEPTH]]))
+    return words, leaf - (1 << 64) if leaf >> 63 else leaf
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``id, doc, pos, words, line, leaf``: lines with enough words; digits masked where a line has room for fields."""
-    rows = docs.select(
-        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"),
-        F.xxhash64("doc_id", "text").alias("doc"),
-        F.posexplode(F.split("text", "\n")).alias("pos", "raw"),
-    )
-    rows = rows.select("id", "doc", "pos", words_of(F.col("raw")).alias("words")).where(F.size("words") >= LEAST)
-    masked = F.transform("words", lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))
-    fixed = F.size(F.filter(masked, lambda w: w != "<*>"))
-    general = (F.size("words") >= FIELDS) & (fixed >= ALIKE * F.size("words"))
-    rows = rows.withColumn("words", F.when(general, masked).otherwise(F.col("words"))).withColumn("general", general)
-    leaf = F.concat_ws(" ", F.size("words").cast("string"), F.slice("words", 1, DEPTH))
-    return rows.select(
-        "id", "doc", "pos", "words", _digest(F.concat_ws(" ", "words")).alias("line"), F.when(F.col("general"), _digest(leaf)).alias("leaf")
-    )
-
-
-def generalised(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``line, leaf`` for every line that stands for its leaf's template; lines alone in their leaf are left out."""
-    shared = lines.where("leaf is not null").groupBy("leaf", "line").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    shared = shared.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.min("a").alias("a"), F.max("b").alias("b"))
-    leaves = durable(shared.where("lines > 1 and a < b").select("leaf"))
-    # the lines' first occurrences give their words; others in the leaf are the same words again
-    first = lines.where("leaf is not null").join(leaves, "leaf", "left_semi")
-    first = durable(first.groupBy("leaf", "line").agg(F.min(F.struct("id", "doc", "pos")).alias("at")).select("leaf", "line", "at.*"))
-    few = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(first.select(F.col("doc").alias("_doc")).distinct(), "_doc", "left_semi")
-    texts = _lines(few).where("leaf is not null").select("id", "doc", "pos", "words")
-    words = durable(
-        texts.join(first, ["id", "doc", "pos"]).groupBy("leaf", "line").agg(F.first("words").alias("words"))
-        .select("leaf", "line", F.posexplode("words").alias("place", "word"))
-    )
-    counts = words.groupBy("leaf", "place", "word").agg(F.count(F.lit(1)).alias("n"))
+    """``id, doc, pos, line, leaf`` for every line with enough words; ``line`` is a hash of 16 bytes."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["id", "doc", "pos", "line", "leaf"]
+        for batch in batches:
+            rows = []
+            for ident, doc, text in zip(batch["id"], batch["doc"], batch["text"], strict=True):
+                for pos, raw in enumerate(text.encode("utf-8").split(b"\n")):
+                    words, leaf = parse(raw)
+                    if len(words) >= LEAST:
+                        rows.append((ident, doc, pos, xxhash.xxh3_128_digest(b" ".join(words)), leaf))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=names).astype({"leaf": "Int64"})
+                    rows = []
+            yield pd.DataFrame(rows, columns=names).astype({"leaf": "Int64"})
+
+    return _identified(docs).where("text is not null").mapInPandas(cut, "id long, doc long, pos int, line binary, leaf long")
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("doc_id", "text").alias("doc"), "text")
+
+
+def generalised(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``line, leaf`` for every kind of line that stands for its leaf's template; kinds alone in their leaf are left out.
+
+    ``kinds`` has one row per different line: ``line, leaf, first, last``.
+    """
+    leaves = kinds.where("leaf is not null").groupBy("leaf")
+    leaves = leaves.agg(F.count(F.lit(1)).alias("n"), F.min("first.id").alias("a"), F.max("last").alias("b"))
+    leaves = durable(leaves.where("n > 1 and a < b").select("leaf"))
+    wanted = kinds.join(leaves, "leaf").select("first.doc", F.struct("first.pos", "line", "leaf").alias("at"))
+    wanted = wanted.groupBy("doc").agg(F.collect_list("at").alias("at"))  # at most the lines of one text
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, places in zip(batch["text"], batch["at"], strict=True):
+                lines = text.encode("utf-8").split(b"\n")
+                rows += [(p["leaf"], p["line"], [w.decode("utf-8") for w in parse(lines[p["pos"]])[0]]) for p in places]
+            yield pd.DataFrame(rows, columns=["leaf", "line", "words"])
+
+    texts = _identified(docs).join(wanted, "doc").select("text", "at")
+    words = durable(texts.mapInPandas(cut, "leaf long, line binary, words array<string>").dropDuplicates(["line"]))
+    each = words.select("leaf", F.posexplode("words").alias("place", "word")).groupBy("leaf", "place", "word")
+    each = each.agg(F.count(F.lit(1)).alias("n"))
     # the most frequent word of a position, of equally frequent ones the first by code point
-    template = durable(counts.groupBy("leaf", "place").agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("best")).select("leaf", "place", F.col("best.word").alias("best")))
-    agreed = words.join(template, ["leaf", "place"]).groupBy("leaf", "line")
-    agreed = agreed.agg(F.sum((F.col("word") == F.col("best")).cast("int")).alias("same"), F.count(F.lit(1)).alias("n"))
-    return durable(agreed.where(F.col("same") >= ALIKE * F.col("n")).select("line", F.col("leaf").alias("template")))
+    best = each.groupBy("leaf", "place").agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("best"))
+    template = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "best.word"))).alias("best"))  # one line's words
+    template = durable(template.select("leaf", F.col("best.word").alias("best")))
+
+    @F.pandas_udf("boolean")
+    def agrees(own: pd.Series, best: pd.Series) -> pd.Series:
+        return pd.Series([OF * sum(a == b for a, b in zip(x, y, strict=True)) >= ALIKE * len(x) for x, y in zip(own, best, strict=True)], dtype=bool)
+
+    return durable(words.join(template, "leaf").where(agrees("words", "best")).select("line", "leaf"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """``id, doc, pos``: the line occurrences to drop, in narrow rows."""
+    """``doc, pos``: the line occurrences to drop, in narrow rows."""
     docs = docs.select("doc_id", "text")
-    lines = durable(_lines(docs).drop("words"))
-    general = generalised(docs, lines)
-    rows = lines.select("id", "doc", "pos", "line").join(general, "line", "left")
-    rows = durable(rows.select("id", "doc", "pos", F.coalesce("template", "line").alias("template")))
-    marks = rows.groupBy("template").agg(F.min(F.struct("id", "pos", "doc")).alias("first"), F.max("id").alias("last"))
-    marks = durable(marks.where("first.id < last"))
-    again = rows.join(marks, "template").where(F.struct("id", "pos", "doc") != F.col("first"))
-    return again.select("id", "doc", "pos").distinct()
+    lines = durable(_lines(docs))
+    kinds = lines.groupBy("line", "leaf").agg(F.min(F.struct("id", "pos", "doc")).alias("first"), F.max("id").alias("last"))
+    kinds = durable(kinds)
+    general = generalised(docs, kinds)
+    members = durable(kinds.drop("leaf").join(general, "line"))
+    templates = members.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.id < last")
+    again = members.select("line", "leaf").join(templates.select("leaf", "first"), "leaf").select("line", "first")
+    alone = kinds.where("first.id < last").join(general, "line", "left_anti").select("line", "first")
+    again = durable(again.unionByName(alone))
+    gone = lines.select("id", "doc", "pos", "line").join(again, "line").where(F.struct("id", "pos", "doc") != F.col("first"))
+    return gone.select("doc", "pos").distinct()
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
