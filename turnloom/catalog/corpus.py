@@ -1,5 +1,6 @@
 """Queries over turns, budgets, splits and samples."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import (
@@ -206,11 +207,15 @@ def first_share(spark, d):
     return share.join(head, "event_id", "left").select("event_id", "event_type", F.coalesce("hit", F.lit(False)).alias("in_first_700"))
 
 
-@query("shuffled_rows", "SELECT event_id, row_number() OVER (ORDER BY md5('3|' || event_id)) AS place FROM events ORDER BY md5('3|' || event_id) LIMIT 1000")
+@query("shuffled_rows", "SELECT event_id, row_number() OVER (ORDER BY md5('3|' || event_id)) AS place FROM events")
 def shuffled_rows(spark, d):
-    indexed = sm.dense_index(table(spark, d, "events").select("event_id", F.lit(0).alias("g")), "g", "event_id", 3)
-    head = sm.shuffled(table(spark, d, "events").select("event_id"), "event_id", 3).limit(1000)
-    return head.join(indexed, "event_id").select("event_id", (F.col("index") + 1).alias("place"))
+    path = fresh_dir(spark, "shuffled")
+    sinks.save(sm.shuffled(table(spark, d, "events").select("event_id"), "event_id", 3), path)
+    # the written order: files by name, rows by their place in a file
+    rows = spark.read.schema("event_id long").parquet(path).select("event_id", "_metadata.file_name", F.col("_metadata.row_index").alias("at"))
+    ranged = rows.groupBy("file_name").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return rows.join(ranged.select("file_name", before.alias("before")), "file_name").select("event_id", (F.col("before") + F.col("at") + 1).alias("place"))
 
 
 @query("group_sizes", "SELECT source, count(*) AS n_rows, least(count(*), 40) AS n_capped FROM documents GROUP BY 1")

@@ -3,11 +3,8 @@
 from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import SENTENCES, WORDS, query, table
-from turnloom.catalog.statistics import rounded
 from turnloom.catalog.texts import FRACTION, MASKED
 from turnloom.functions import text as tx
-from turnloom.operators import reports as rp
-from turnloom.plans import benchmark as bm
 from turnloom.plans import pairs as pr
 from turnloom.plans import shaping as sh
 from turnloom.session import fresh_dir
@@ -51,8 +48,8 @@ def union(*lines: str) -> str:
     return f"WITH {BASE} " + " UNION ALL ".join(lines)
 
 
-def raw_plain(spark, d):
-    b = base(spark, d)
+def raw_plain(spark, d, b=None):
+    b = base(spark, d) if b is None else b
     wrapped = lambda c: F.concat(F.lit("b'"), c, F.lit("'"))
     return {
         "mnli": b.select("row_id", F.col("s1").alias("premise"), F.col("s2").alias("hypothesis"), F.col("y3").alias("label")),
@@ -79,8 +76,8 @@ def plain_pairs(spark, d):
 GAPPED = "CASE WHEN y2 = 0 THEN replace(s1, ' ', ' _ ') ELSE s1 END"
 
 
-def raw_choice(spark, d):
-    b = base(spark, d).withColumn("q", F.when(F.col("y2") == 0, F.replace("s1", F.lit(" "), F.lit(" _ "))).otherwise(F.col("s1")))
+def raw_choice(spark, d, b=None):
+    b = (base(spark, d) if b is None else b).withColumn("q", F.when(F.col("y2") == 0, F.replace("s1", F.lit(" "), F.lit(" _ "))).otherwise(F.col("s1")))
     letter = F.when(F.col("y2") == 0, "A").otherwise("C")
     race = b.select("row_id", F.col("text").alias("article"), F.col("q").alias("question"), F.array("lang", "source", "s3").alias("options"), letter.alias("answer"))
     return {
@@ -235,73 +232,3 @@ def stored_pairs(spark, d):
     sinks.save_pairs(pr.build_pairs("mnli", raw_plain(spark, d)["mnli"]), path)
     schema = "task string, row_id string, text_a string, text_b array<string>, text_c array<string>, orig_label double, dataset string"
     return shown(readers.json_lines(spark, path, schema))
-
-
-def bench_tables(spark, d):
-    """Raw benchmark tables of every task family."""
-    b, plain, choice = base(spark, d), raw_plain(spark, d), raw_choice(spark, d)
-    nli = plain["mnli"].withColumn("label", F.col("label") - F.when(F.col("row_id") % 7 == 0, F.col("label") + 1).otherwise(0))
-    claims = b.select("row_id", F.col("text").alias("document"), F.lower("s1").alias("claim"), F.col("quality").alias("label"), F.when(F.col("y2") == 1, "valid").otherwise("test").alias("split"))
-    keyed = b.select("row_id", F.col("text").alias("src"), F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("x").alias("system"), F.col("s1").alias("sys_summ")), F.struct(F.lit(1).alias("place"), F.lit("y").alias("system"), F.col("source").alias("sys_summ")))).alias("e"), "y6")
-    keyed = keyed.select("row_id", "src", "e.*", F.col("y6").alias("informativeness"), (5 - F.col("y6")).alias("relevance"), (F.col("row_id") + F.col("e.place")).cast("int").alias("fact")).withColumn("fact", F.col("fact") % 2)
-    chat = b.select("row_id", F.col("s1").alias("dialog_history"), F.col("s2").alias("fact"), F.col("s3").alias("response"), F.col("y6").alias("engaging"), F.col("y2").alias("uses_knowledge"))
-    return {
-        "stsb": plain["stsb"], "paws": plain["paws"], "paws_qqp": plain["paws_qqp"], "anli_1": nli, "nli_fever": nli, "vitaminc": plain["nli_fever"].select("row_id", F.col("context").alias("evidence"), F.col("query").alias("claim"), "label"),
-        "axb": plain["paws"], "rte": nli.withColumn("label", F.col("row_id") % 2), "eraser_multi_rc": plain["eraser_multi_rc"],
-        "race_m": choice["race"], "boolq": choice["boolq"], "sciq": choice["sciq"], "quail": choice["quail"], "gap": choice["gap"],
-        "sst2": b.select("row_id", "text", F.when(F.col("y2") == 1, "positive").otherwise("negative").alias("label_text")),
-        "ag_news": b.select("row_id", "text", F.col("y3").alias("label")), "newsroom": keyed, "rank19": keyed,
-        "sfhot": b.select("row_id", F.col("s1").alias("sys_summ"), F.array("s1", "s2", "s3").alias("ref_summs"), F.col("y6").alias("quality")),
-        "bagel": b.select("row_id", F.array("s1", "s2").alias("ref_summs"), F.col("s1").alias("sys_summ"), F.col("y6").alias("informativeness")),
-        "frank": claims.select("row_id", "document", F.col("claim").alias("summary"), (F.col("row_id") % 3 / 2).alias("score"), F.when(F.col("split") == "valid", "cnndm").otherwise("xsum").alias("dataset")),
-        "samsum": b.select("row_id", F.col("text").alias("article"), F.col("s1").alias("summary"), F.when(F.col("y2") == 1, "factual").otherwise("too incoherent").alias("label")),
-        "persona_chat": chat, "wmt17": b.select("row_id", F.col("s1").alias("reference"), F.col("s2").alias("candidate"), F.col("y6").alias("score"), "lang"),
-        "true_paws": claims.select("row_id", F.col("document").alias("grounding"), F.col("claim").alias("generated_text"), "label"), "summac_frank": claims,
-    }
-
-
-def candidate(name: str, item: str, p: str, h: str, y: str, pos: str = "NULL", ans: str = "NULL", source: str = "base") -> str:
-    return f"SELECT '{name}' AS task, {item} AS item_id, CAST({pos} AS INT) AS pos, md5({p}) AS p_md5, md5({h}) AS h_md5, CAST({y} AS DOUBLE) AS label, CAST({ans} AS BOOLEAN) AS is_answer FROM {source}"
-
-
-ID = "row_id::VARCHAR"
-NLI = "CASE WHEN row_id % 7 = 0 OR y3 = -1 THEN 1 ELSE y3 END"
-
-
-@query("benchmark_candidates", union(
-    candidate("stsb", ID, "s1", "s2", "y6"), candidate("paws_qqp", ID, "s1", "s2", "y2"), candidate("anli_1", ID, "s1", "s2", NLI), candidate("nli_fever", ID, "s2", "s1", NLI),
-    candidate("axb", ID, "s1", "s2", "y2 = 0"), candidate("sst2", ID, "text", "'It was great.'", "y2"),
-    candidate("race_m", ID, "text", f"CASE WHEN contains(q, '_') THEN {FILLED} ELSE q || ' ' || o || ' ' END", "NULL", "pos", "pos = CASE WHEN y2 = 0 THEN 0 ELSE 2 END", OPTIONS),
-    candidate("boolq", ID, "text", "s1 || ' ' || o", "NULL", "pos", "pos = y2", "(SELECT *, unnest(['No.', 'Yes.']) AS o, unnest([0, 1]) AS pos FROM base)"),
-    candidate("ag_news", ID, "text", "o", "NULL", "pos", "pos = y3", f"(SELECT *, unnest([{', '.join(repr(t) for t in bm.NEWS_TEMPLATES)}]) AS o, unnest([0, 1, 2, 3]) AS pos FROM base)"),
-    candidate("sfhot", ID, "s1", "o", "y6", "pos", "NULL", "(SELECT *, unnest([s1, s2, s3]) AS o, unnest([0, 1, 2]) AS pos FROM base)"),
-    candidate("wmt17", ID, "s1", "s2", "y6"), candidate("samsum", ID, r"regexp_replace(text, '[^\x20-\x7E\t\n\r\x0B\x0C]', '', 'g')", "s1", "y2"),
-    candidate("persona_chat", ID, "o", "s3", "y", source="(SELECT *, unnest([s1 || s2, s2]) AS o, unnest([y6, y2::DOUBLE]) AS y FROM base)"),
-))
-def benchmark_candidates(spark, d):
-    tables = bench_tables(spark, d)
-    names = ("stsb", "paws_qqp", "anli_1", "nli_fever", "axb", "sst2", "race_m", "boolq", "ag_news", "sfhot", "wmt17", "samsum", "persona_chat")
-    out = bm.candidate_pairs({n: tables[n] for n in names})
-    return out.select("task", "item_id", "pos", F.md5("premise").alias("p_md5"), F.md5("hypothesis").alias("h_md5"), "label", "is_answer")
-
-
-# at least one task of every kind of metric
-REPORTED = ("stsb", "paws", "anli_1", "vitaminc", "axb", "race_m", "ag_news", "bagel", "rank19", "sfhot", "wmt17", "persona_chat", "summac_frank")
-
-
-@query("benchmark_report")
-def benchmark_report(spark, d):
-    raw = bench_tables(spark, d)
-    return rounded(bm.run_benchmark({n: raw[n] for n in REPORTED}), "value")
-
-
-@query("benchmark_systems", None)
-def benchmark_systems(spark, d):
-    """Two checkpoints on two tasks, as a wide table."""
-    from turnloom.operators.stages import score_pairs
-
-    raw = bench_tables(spark, d)
-    tables = {n: raw[n] for n in ("paws", "true_paws")}
-    flipped = lambda pairs: score_pairs(pairs).withColumn("bin", 1 - F.col("bin"))
-    out = bm.run_benchmark(tables, {"plain": score_pairs, "flipped": flipped})
-    return rounded(rp.wide_metrics(out, ["system", "task", "grp"], ["f1", "accuracy", "auc"]), "f1", "accuracy", "auc")

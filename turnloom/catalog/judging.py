@@ -11,7 +11,6 @@ from turnloom.functions import text as tx
 from turnloom.operators import judging as jd
 from turnloom.operators import preferences as pf
 from turnloom.operators import rubrics as rb
-from turnloom.operators import stages as sg
 from turnloom.operators import turns as tn
 from turnloom.plans import evaluation as ev
 from turnloom.plans import generation as gn
@@ -26,12 +25,12 @@ def judged_inputs(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("source").alias("sc_intro"))
     rows = table(spark, d, "conversations").join(docs, "conv_id")
     return rows.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("role").alias("system"), F.col("text").alias("conversation"),
+        F.concat_ws("/", "conv_id", "turn").alias("row_id"), F.col("role").alias("system"), F.col("text").alias("conversation"),
         F.col("text").alias("parsed_pr_article"), "sc_intro",
     )
 
 
-INPUTS = "inp AS (SELECT c.conv_id * 1000 + c.turn AS row_id, c.role AS system, c.text AS conversation, c.text AS parsed_pr_article, d.source AS sc_intro FROM conversations c JOIN documents d ON c.conv_id = d.doc_id)"
+INPUTS = "inp AS (SELECT c.conv_id || '/' || c.turn AS row_id, c.role AS system, c.text AS conversation, c.text AS parsed_pr_article, d.source AS sc_intro FROM conversations c JOIN documents d ON c.conv_id = d.doc_id)"
 KNOWN = ("conversation", "parsed_pr_article", "sc_intro")
 
 
@@ -64,38 +63,43 @@ POINTS = f"CASE WHEN {N_WORDS} < 50 THEN 1 WHEN {N_WORDS} < 150 THEN 2 ELSE 3 EN
 
 
 @query("judge_scores", f"""
-WITH {INPUTS}, {prompt_sql(rb.RUBRICS[:6])} SELECT row_id, system, aspect, CAST({POINTS} AS BIGINT) AS score, {N_WORDS} || ' words' AS reasons, true AS parse_ok FROM pr""")
+WITH {INPUTS}, {prompt_sql(rb.RUBRICS)} SELECT row_id, system, subject, aspect, CAST({POINTS} AS BIGINT) AS score, {N_WORDS} || ' words' AS reasons, true AS parse_ok FROM pr""")
 def judge_scores(spark, d):
-    out = jd.judge(judged_inputs(spark, d), rb.RUBRICS[:6], "rule")
-    return out.select("row_id", "system", "aspect", big(F.col("score")).alias("score"), "reasons", "parse_ok")
+    out = jd.judge(judged_inputs(spark, d), rb.RUBRICS, "rule")
+    return out.select("row_id", "system", "subject", "aspect", big(F.col("score")).alias("score"), "reasons", "parse_ok")
 
 
 @query("resumed_judging", f"""
-WITH {INPUTS}, {prompt_sql(rb.RUBRICS[:2])} SELECT aspect, system = 'user' AS was_stored, count(*) AS n_rows, sum({POINTS})::BIGINT AS total FROM pr GROUP BY 1, 2""")
+WITH {INPUTS}, {prompt_sql(rb.RUBRICS)} SELECT row_id, system, subject, aspect, system = 'user' AS was_stored, CAST({POINTS} AS INT) AS score FROM pr""")
 def resumed_judging(spark, d):
     inputs = judged_inputs(spark, d)
     path = fresh_dir(spark, "scores")
-    stored = sinks.append_scores(jd.judge(inputs.where("system = 'user'"), rb.RUBRICS[:2], "rule"), path)
-    fresh = jd.judge(inputs, rb.RUBRICS[:2], "rule", cache=stored)
+    stored = sinks.append_scores(jd.judge(inputs.where("system = 'user'"), rb.RUBRICS, "rule"), path)
+    fresh = jd.judge(inputs, rb.RUBRICS, "rule", cache=stored)
     both = stored.withColumn("was_stored", F.lit(True)).unionByName(fresh.withColumn("was_stored", F.lit(False)))
-    return both.groupBy("aspect", "was_stored").agg(F.count("*").alias("n_rows"), F.sum("score").cast("bigint").alias("total"))
+    return both.select("row_id", "system", "subject", "aspect", "was_stored", "score")
 
 
 @query("length_gated_judging", f"""
-WITH {INPUTS}, {prompt_sql(rb.RUBRICS[:3])}, n AS (SELECT *, CAST(len({TOKENS.format("prompt[strpos(prompt, chr(10) || chr(10)) + 2:]")}) AS BIGINT) AS n_tokens FROM pr)
-SELECT row_id, aspect, n_tokens, n_tokens >= 120 AS skipped_too_long, CASE WHEN n_tokens < 120 THEN CAST({POINTS} AS BIGINT) END AS score FROM n""")
+WITH {INPUTS}, {prompt_sql(rb.RUBRICS)}, n AS (SELECT *, CAST(len({TOKENS.format("prompt[strpos(prompt, chr(10) || chr(10)) + 2:]")}) AS BIGINT) AS n_tokens FROM pr)
+SELECT row_id, subject, aspect, n_tokens, n_tokens >= 120 AS skipped_too_long, CASE WHEN n_tokens < 120 THEN CAST({POINTS} AS BIGINT) END AS score FROM n""")
 def length_gated_judging(spark, d):
-    out = jd.gated_judge(judged_inputs(spark, d), rb.RUBRICS[:3], 120)
-    return out.select("row_id", "aspect", big(F.col("n_tokens")).alias("n_tokens"), "skipped_too_long", big(F.col("score")).alias("score"))
+    out = jd.gated_judge(judged_inputs(spark, d), rb.RUBRICS, 120)
+    return out.select("row_id", "subject", "aspect", big(F.col("n_tokens")).alias("n_tokens"), "skipped_too_long", big(F.col("score")).alias("score"))
+
+
+ASPECTS = ", ".join(f"('{r.aspect}', {len(r.instruction.split()) - 6})" for r in rb.QUESTION_RUBRICS)
 
 
 @query("question_judging", f"""
-WITH {TURNS}, q AS (SELECT conv_id, turn, {ASKED} AS qs FROM turns WHERE author = 'Journalist'), s AS (SELECT *, len(list_filter(qs, lambda x: len({WORDS.format('x')}) > 5)) AS good FROM q)
-SELECT conv_id, turn, a.aspect, CAST(len(qs) AS BIGINT) AS n_questions, round(coalesce(good / nullif(len(qs), 0), 0), 6) AS score FROM s, (SELECT unnest(['societal', 'scientific', 'clarity']) AS aspect) a""")
+WITH {TURNS}, q AS (SELECT conv_id, turn, {ASKED} AS qs FROM turns WHERE author = 'Journalist'), a(aspect, least) AS (VALUES {ASPECTS}),
+s AS (SELECT *, list_filter(qs, lambda x: len({WORDS.format('x')}) > least) AS good FROM q, a)
+SELECT conv_id, turn, aspect, CAST(len(qs) AS BIGINT) AS n_questions, md5(array_to_string(good, '|')) AS good_md5, round(coalesce(len(good) / nullif(len(qs), 0), 0), 6) AS score FROM s""")
 def question_judging(spark, d):
     rows = turns(spark, d).where("author = 'Journalist'").select("conv_id", "turn", as_questions("text").alias("journalist_text"))
-    out = jd.judge_questions(rows, rb.QUESTION_RUBRICS, ["conv_id", "turn"], sg.question_reply)
-    out = out.select("conv_id", "turn", "aspect", big(F.size("reasons.all_questions")).alias("n_questions"), "score")
+    out = jd.judge_questions(rows, rb.QUESTION_RUBRICS, ["conv_id", "turn"])
+    good = F.md5(F.array_join("reasons.good_questions", "|")).alias("good_md5")
+    out = out.select("conv_id", "turn", "aspect", big(F.size("reasons.all_questions")).alias("n_questions"), good, "score")
     return rounded(out, "score")
 
 

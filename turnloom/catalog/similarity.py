@@ -23,10 +23,10 @@ def text_pairs(spark, d):
     """Each turn against the document of its conversation."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("a"))
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("b"))
-    return turns.join(docs, "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "role", "a", "b")
+    return turns.join(docs, "conv_id").select(F.concat_ws("/", "conv_id", "turn").alias("item_id"), "role", "a", "b")
 
 
-PAIRED = """tp AS (SELECT c.conv_id * 1000 + c.turn AS item_id, c.role, d.text AS a, c.text AS b FROM conversations c JOIN documents d ON c.conv_id = d.doc_id)"""
+PAIRED = """tp AS (SELECT c.conv_id || '/' || c.turn AS item_id, c.role, d.text AS a, c.text AS b FROM conversations c JOIN documents d ON c.conv_id = d.doc_id)"""
 
 
 def overlap_sql(n: int) -> str:
@@ -50,7 +50,7 @@ def bigram_overlap(spark, d):
 
 
 @query("longest_common_subsequence", f"""
-WITH p AS (SELECT a.conv_id * 1000 + a.turn AS item_id, {LEXICAL.format('a.text')} AS x, {LEXICAL.format('b.text')} AS y
+WITH p AS (SELECT a.conv_id || '/' || a.turn AS item_id, {LEXICAL.format('a.text')} AS x, {LEXICAL.format('b.text')} AS y
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 l AS (SELECT item_id, len(x) AS n, len(y) AS m, list_reduce(list_transform(x, lambda t: {{'t': t, 'r': []::INT[]}}), lambda acc, e: {{'t': e.t, 'r':
   list_reduce(list_transform(range(1, len(y) + 1), lambda j: [j::INT]), lambda r, j: list_append(r, CASE WHEN y[j[1]] = e.t THEN acc.r[j[1]] + 1 ELSE greatest(acc.r[j[1] + 1], r[len(r)]) END), [0::INT])}},
@@ -59,7 +59,7 @@ SELECT item_id, round(k / m, 6) AS precision, round(k / n, 6) AS recall, round(2
 def longest_common_subsequence(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
     after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
-    pairs = rows.join(after, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), F.col("text").alias("a"), "b")
+    pairs = rows.join(after, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("item_id"), F.col("text").alias("a"), "b")
     return rounded(lx.rouge_l(pairs, stem=False), "precision", "recall", "f")
 
 

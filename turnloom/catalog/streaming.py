@@ -75,14 +75,14 @@ def turn_example_stream(spark, d):
 
 
 @query("judged_arrivals", f"""
-WITH {INPUTS}, {prompt_sql(rb.RUBRICS[:1])} SELECT row_id, aspect, CAST({POINTS} AS INT) AS score FROM pr""")
+WITH {INPUTS}, {prompt_sql(rb.RUBRICS)} SELECT row_id, subject, aspect, CAST({POINTS} AS INT) AS score FROM pr""")
 def judged_arrivals(spark, d):
     base = fresh_dir(spark, "arrivals")
-    jd.build_prompts(judged_inputs(spark, d), rb.RUBRICS[:1], ["row_id", "system"]).write.parquet(f"{base}/prompts")
+    jd.build_prompts(judged_inputs(spark, d), rb.RUBRICS, ["row_id", "system"]).write.parquet(f"{base}/prompts")
     stored = spark.read.parquet(f"{base}/prompts")
     prompts = spark.readStream.schema(stored.schema).parquet(f"{base}/prompts")
     score = lambda batch: jd.run_judge(batch.withColumn("evaluator", F.lit("rule"))).drop("prompt", "reply")
     # the second run sees the same prompts again and adds nothing
     for run in ("one", "two"):
         stm.judge_arrivals(prompts, score, f"{base}/scores", f"{base}/state-{run}").awaitTermination()
-    return spark.read.parquet(f"{base}/scores").select("row_id", "aspect", "score")
+    return spark.read.parquet(f"{base}/scores").select("row_id", "subject", "aspect", "score")

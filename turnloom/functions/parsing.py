@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.text import drop_reasoning, strip
 
+# fixed values: fields of a reply and the pattern of a score object
 REPLY_SCHEMA = "reasons string, reason string, score string"
 REASONED_REPLY = r'\{\s*"reasons": "[^"]+",\s*"score": "?\d"?\s*\}'
 

@@ -11,7 +11,7 @@ from turnloom.functions import dialogue as dg
 from turnloom.functions import parsing as ps
 from turnloom.functions import text as tx
 from turnloom.operators.rubrics import Rubric
-from turnloom.operators.stages import Client, batch_stage, rubric_reply
+from turnloom.operators.stages import Client, batch_stage, question_reply, rubric_reply
 
 SCORE_KEY = ("row_id", "evaluator", "subject", "aspect")
 
@@ -121,14 +121,28 @@ def judge_questions(
     df: DataFrame,
     rubrics: Sequence[Rubric],
     keep: Sequence[str],
-    reply: Callable[[Column], Column],
+    model: Callable[[Column], Column] | Callable[[], Client] = question_reply,
+    native: bool = True,
     text: str = "journalist_text",
+    evaluator: str = "rule",
+    cache: DataFrame | None = None,
+    force: bool = False,
 ) -> DataFrame:
-    """Share of a row's questions a judge calls good, per rubric. ``reply`` maps the asked questions to JSON."""
-    asked = df.select(*keep, tx.questions(F.col(text)).alias("_asked"))
-    grid = F.explode(F.array(*[F.struct(F.lit(r.subject).alias("subject"), F.lit(r.aspect).alias("aspect")) for r in rubrics]))
-    rows = asked.withColumn("_r", grid).withColumn("_q", ps.parse_question_reply(reply(F.col("_asked")), F.col("_asked")))
-    return rows.select(*keep, "_r.*", "_q.reasons", "_q.score")
+    """Share of a row's questions a judge calls good, per rubric: ``(keep..., evaluator, subject, aspect, reasons, score)``.
+
+    The prompt holds the rubric's instruction and the questions as a JSON list. Scores in ``cache`` are not asked for
+    again unless ``force``. A failed call leaves its error in ``reply_error`` and scores 0, as an unreadable reply does.
+    """
+    asked = tx.questions(F.col(text))
+    rows = df.select(*keep, asked.alias("_asked")).withColumn("questions", F.to_json("_asked"))
+    prompts = build_prompts(rows, rubrics, [*keep, "_asked"]).withColumn("evaluator", F.lit(evaluator))
+    todo = prompts if force else pending(prompts, cache, [*keep, "evaluator", "subject", "aspect"])
+    if native:
+        replied = todo.withColumn("reply", model(F.col("prompt"))).withColumn("reply_error", F.lit(None).cast("string"))
+    else:
+        replied = batch_stage(todo, model, F.col("prompt"), "reply")
+    judged = replied.withColumn("_q", ps.parse_question_reply(F.col("reply"), F.col("_asked")))
+    return judged.select(*keep, "evaluator", "subject", "aspect", "reply_error", "_q.reasons", "_q.score")
 
 
 def aspect_report(scores: DataFrame, by: Sequence[str] = ("system",), digits: int = 2) -> DataFrame:

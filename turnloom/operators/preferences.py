@@ -61,15 +61,19 @@ def preference_pairs(
     keep: tuple[str, ...] = ("row_id",),
     compat: bool = False,
     keep_skipped: bool = False,
+    rater: Callable[[Column], Column] = quality_reply,
+    make_rater: Callable[[], Client] | None = None,
 ) -> DataFrame:
     """``(keep..., chosen, rejected, is_vague, complex_aspects)`` per prompt that ends with the researcher's answer.
 
+    Answers are rated by ``rater``, a column function, or by the client of ``make_rater``.
+
     Prompts without an open answer, or with an unreadable rating, hold nulls and are dropped unless
     ``keep_skipped``.
     """
     given = [c for c in ("is_vague", "complex_aspects") if c in df.columns]
     base = df.select(*keep, prompt, *given).withColumn("_answer", dg.open_answer(F.col(prompt)))
-    rated = rate_answers(base, "_answer")
+    rated = rate_answers(base, "_answer", rater, make_rater)
     usable = F.col("_answer").isNotNull() & F.col("is_vague").isNotNull()
     content = question_prompt(dg.paper_of(F.col(prompt)), dg.history_of(F.col(prompt)))
     instruction = follow_up_instruction(F.col("is_vague"), F.col("complex_aspects"), compat)

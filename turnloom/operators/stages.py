@@ -96,9 +96,11 @@ def rubric_reply(prompt: Column) -> Column:
     return F.concat(F.lit('{"reasons": "'), n.cast("string"), F.lit(' words", "score": '), score.cast("string"), F.lit("}"))
 
 
-def question_reply(asked: Column) -> Column:
-    """JSON list of the questions longer than five words."""
-    good = F.filter(asked, lambda q: tx.word_count(q) > 5)
+def question_reply(prompt: Column) -> Column:
+    """JSON list of the questions a prompt lists that have more words than its instruction has beyond six."""
+    needed = tx.word_count(F.substring_index(prompt, "\n\n", 1)) - 6
+    asked = F.from_json(F.regexp_extract(prompt, r"(?s)Questions: (.*)$", 1), "array<string>")
+    good = F.filter(asked, lambda q: tx.word_count(q) > needed)
     return F.to_json(F.struct(good.alias("high_quality_questions")))
 
 

@@ -176,7 +176,7 @@ def tune_threshold(
 ) -> DataFrame:
     """The threshold i/steps, i = 0..steps, with the best balanced accuracy; the smallest one wins ties.
 
-    Each prediction is reduced to the number of thresholds it exceeds, so one pass leaves at most
+    Rows without a prediction or label take no part, as in the other metrics. Each prediction is reduced to the number of thresholds it exceeds, so one pass leaves at most
     2 x (steps + 2) counts per group for the sweep.
     """
     p = _num(F.col(pred))
@@ -184,7 +184,8 @@ def tune_threshold(
     # correct the rounding of p * steps against the exact boundary i / steps
     down = F.when((guess > 0) & ~(p > (guess - 1) / F.lit(float(steps))), guess - 1).otherwise(guess)
     passed = F.when((down <= steps) & (p > down / F.lit(float(steps))), down + 1).otherwise(down)
-    counts = pairs.groupBy(*by, passed.cast("int").alias("_passed")).agg(
+    known = pairs.where(F.col(pred).isNotNull() & F.col(label).isNotNull())
+    counts = known.groupBy(*by, passed.cast("int").alias("_passed")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
     # threshold i is exceeded by rows that pass more than i thresholds

@@ -254,15 +254,16 @@ def _wrapped(df: DataFrame) -> DataFrame:
 
 def candidate_pairs(tables: Mapping[str, DataFrame], system: str = "default") -> DataFrame:
     """All tasks' pairs in one table."""
-    known, out = tasks(), None
+    known, parts = tasks(), []
     for name, df in tables.items():
         task = known[name]
-        rows = task.project(df).select(
+        parts.append(task.project(df).select(
             F.lit(system).alias("system"), F.lit(name).alias("task"), F.lit(task.head).alias("head"),
             F.array(*[F.lit(m) for m in task.metrics]).alias("metrics"), "*",
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        ))
+    while len(parts) > 1:  # in pairs, so that the plan is not analysed anew for every task
+        parts = [a.union(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) - len(parts) % 2 :]
+    return parts[0]
 
 
 def scored_pairs(pairs: DataFrame, scorer: Callable[[DataFrame], DataFrame] = score_pairs) -> DataFrame:
