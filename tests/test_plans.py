@@ -140,15 +140,67 @@ def test_dialogue_generation_keeps_both_views(spark):
     assert len(dialogue_prompts()) == 6
 
 
-def test_streamed_examples_over_batches(spark, tmp_path):
-    schema = "conv_id long, turn int, author string, text string"
+def stream_batches(spark, tmp_path, schema, batches, plan):
+    """Run ``plan`` over one file per batch and give the rows it wrote."""
     source = tmp_path / "in"
-    for n, rows in enumerate([[(1, 0, "R", "a b"), (1, 1, "J", "q1")], [(1, 2, "R", "c d e"), (1, 3, "J", "q2"), (2, 0, "J", "x")]]):
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
-        stream = stm.turn_example_stream(spark.readStream.schema(schema).parquet(str(source)), "J", token_budget=4)
+        stream = plan(spark.readStream.schema(schema).parquet(str(source)))
         stm.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {(r.conv_id, r.example): (r.history, r.completion) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(1, 0): (["a b"], "q1"), (1, 2): (["q1", "c d e"], "q2")}
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def at(minute):
+    return f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+
+
+def test_streamed_examples_equal_the_batch(spark, tmp_path):
+    """Out of order over the batches, numbered from 1, with more than 40 turns: rank counts and nothing is lost."""
+    schema = "conv_id long, turn int, author string, text string, ts string"
+    rows = [(c, t, "SRJ"[0 if t == 1 else 1 + t % 2], f"words of turn {t}", at(t)) for c in (1, 2) for t in range(1, 61)]
+    moved = [r for r in rows if r[1] % 7 == 3]  # arrive one batch later
+    cut = [[r for r in rows if lo < r[1] <= lo + 20 and r not in moved] + [r for r in moved if lo - 20 < r[1] <= lo] for lo in (0, 20, 40, 60)]
+    end = [(9, 1, "R", "end", at(600))]
+    got = stream_batches(spark, tmp_path, schema, [*cut, end, [(9, 2, "R", "end", at(601))]], lambda s: stm.turn_example_stream(s, "J", token_budget=30))
+    from turnloom.operators.turns import turn_examples
+
+    batch = spark.createDataFrame(rows, schema)
+    want = {(r.conv_id, r.example): (r.completion, r.history_tokens, [m.content for m in r.prompt]) for r in turn_examples(batch, "J", token_budget=30).collect()}
+    assert not any(r.late for r in got)
+    assert {(r.conv_id, r.example): (r.completion, r.history_tokens, list(r.history)) for r in got} == want and len(got) == 38
+
+
+def test_late_turns_are_told(spark, tmp_path):
+    schema = "conv_id long, turn int, author string, text string, ts string"
+    batches = [[(1, 0, "R", "a", at(0)), (1, 2, "J", "c", at(1))], [(2, 0, "R", "x", at(300))], [(1, 1, "R", "b", at(290)), (1, 3, "J", "d", at(291))], [(2, 1, "R", "y", at(600))], [(2, 2, "R", "z", at(601))]]
+    got = stream_batches(spark, tmp_path, schema, batches, lambda s: stm.turn_example_stream(s, "J"))
+    told = sorted((r.turn, r.late, r.completion, r.n_history) for r in got)
+    assert told == [(1, True, "b", None), (2, False, "c", 1), (3, False, "d", 2)]
+
+
+def test_sliding_means_with_late_rows(spark, tmp_path):
+    schema = "grp string, value double, ts string"
+    batches = [[("a", 1.0, at(10)), ("a", 3.0, at(50))], [("a", 5.0, at(70)), ("a", 7.0, at(20))], [("b", 1.0, at(400))], [("a", 100.0, at(15)), ("b", 2.0, at(401))], [("b", 3.0, at(800))]]
+    got = stream_batches(spark, tmp_path, schema, batches, lambda s: stm.running_means(s, "grp", "value", slide="30 minutes"))
+    means = {(r.grp, r.window_start.strftime("%H:%M")): (r["mean"], r.n_rows) for r in got if r.grp == "a"}
+    # the row of minute 20 is late but counts; that of minute 15 comes after its windows have closed
+    assert means == {("a", "23:30"): (4.0, 2), ("a", "00:00"): (11 / 3, 3), ("a", "00:30"): (4.0, 2), ("a", "01:00"): (5.0, 1)}
+
+
+def test_first_arrivals_forget_and_remember(spark, tmp_path):
+    schema = "user_id long, ts string"
+    batches = [[(1, at(0)), (1, at(5))], [(1, at(30)), (2, at(31))], [(3, at(500))], [(1, at(501)), (3, at(502))], [(3, at(503))]]
+    got = stream_batches(spark, tmp_path, schema, batches, lambda s: stm.first_arrivals(s, "user_id"))
+    assert sorted(r.user_id for r in got) == [1, 1, 2, 3]
+
+
+def test_session_documents_of_a_stream(spark, tmp_path):
+    schema = "user_id long, role string, content string, paper_title string, paper_text string, ts string"
+    row = lambda u, m, who, say: (u, who, say, f"Paper {u}.pdf", "text", at(m))
+    batches = [[row(1, 0, "user", "hi"), row(2, 1, "user", "alone")], [row(1, 20, "user", "more?"), row(1, 10, "assistant", "hello")], [row(3, 600, "user", "x")], [row(3, 1200, "user", "y")]]
+    got = stream_batches(spark, tmp_path, schema, batches, stm.chat_session_documents)
+    assert [(r.user_id, r.session_key) for r in got] == [(1, "Paper_1_2024-01-01_00-00-00")]
+    assert [m["content"] for m in json.loads(got[0].session)["messages"]] == ["hi", "hello", "more?"]
 
 
 def test_session_documents(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from turnloom.catalog.corpus import examples_sql
 from turnloom.catalog.judging import INPUTS, POINTS, judged_inputs, prompt_sql
-from turnloom.catalog.registry import TURNS, query, table
+from turnloom.catalog.registry import TURNS, query, table, turns
 from turnloom.operators import judging as jd
 from turnloom.operators import rubrics as rb
 from turnloom.session import fresh_dir
@@ -13,10 +13,23 @@ from turnloom.streaming import streams as stm
 big = lambda c: c.cast("bigint")
 
 
-def stream_of(spark, d, name):
-    """The table's file as a stream with its stored schema."""
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+BATCHES = 4
+
+
+def stream_of(spark, rows, end=None):
+    """``rows`` as a stream of four batches of equal time spans, each a file in the order of ``ts``; ``end`` is one more."""
+    path = fresh_dir(spark, "source")
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else F.lit(c).cast("timestamp"))
+    span = F.floor((micros("ts") - micros(low)) * BATCHES / (micros(high) - micros(low) + 1))
+    cut = [rows.where(span == i) for i in range(BATCHES)] + ([end] if end is not None else [])
+    for part in cut:
+        part.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def events(spark, d):
+    return stream_of(spark, table(spark, d, "events"))
 
 
 def finished(spark, stream, schema, mode="append"):
@@ -42,7 +55,7 @@ def chat_sessions(spark, d):
 WITH {SESSIONS.format(gap="'6 hours'")} SELECT user_id, first_ts AS session_start, session_end, n_messages, first_ts, last_ts FROM w
 WHERE n_messages > 1 AND session_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '1 hour' FROM events)""")
 def chat_session_stream(spark, d):
-    out = stm.chat_sessions(stream_of(spark, d, "events"), gap="6 hours")
+    out = stm.chat_sessions(events(spark, d), gap="6 hours")
     return finished(spark, out, out.schema)
 
 
@@ -50,25 +63,49 @@ def chat_session_stream(spark, d):
 SELECT event_type, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL '1 hour' AS window_end, round(avg(value), 6) AS mean, count(*) AS n_rows FROM events
 GROUP BY 1, 2 HAVING window_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '1 hour' FROM events)""")
 def running_means(spark, d):
-    out = stm.running_means(stream_of(spark, d, "events"), "event_type", "value")
+    out = stm.running_means(events(spark, d), "event_type", "value")
     return finished(spark, out, out.schema).withColumn("mean", F.round("mean", 6))
 
 
-@query("first_arrivals", "SELECT DISTINCT user_id FROM events")
+SPAN = "CAST(floor((epoch_us(ts) - epoch_us(lo)) * 4 / (epoch_us(hi) - epoch_us(lo) + 1)) AS INT)"
+
+
+# a key counts as seen in the next batch, and in the one after if its first row lies within twice the delay of the batch's end
+@query("first_arrivals", f"""
+WITH r AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events), b AS (SELECT user_id, ts, {SPAN} AS b FROM events, r),
+e AS (SELECT b, max(ts) AS last FROM b GROUP BY 1), f AS (SELECT user_id, b, min(ts) AS t FROM b GROUP BY 1, 2),
+m AS (SELECT user_id, b, t > last - INTERVAL '2 hours' AS near FROM f JOIN e USING (b)),
+p AS (SELECT user_id, bool_or(b = 0) AS p0, bool_or(b = 1) AS p1, bool_or(b = 2) AS p2, bool_or(b = 3) AS p3, bool_or(b = 0 AND near) AS n0, bool_or(b = 1 AND near) AS n1 FROM m GROUP BY 1),
+x AS (SELECT *, p0 AS e0, p1 AND NOT p0 AS e1 FROM p), y AS (SELECT *, p2 AND NOT e1 AND NOT (e0 AND n0) AS e2 FROM x), z AS (SELECT *, p3 AND NOT e2 AND NOT (e1 AND n1) AS e3 FROM y)
+SELECT user_id FROM z WHERE e0 UNION ALL SELECT user_id FROM z WHERE e1 UNION ALL SELECT user_id FROM z WHERE e2 UNION ALL SELECT user_id FROM z WHERE e3""")
 def first_arrivals(spark, d):
-    out = stm.first_arrivals(stream_of(spark, d, "events"), "user_id").select("user_id")
+    out = stm.first_arrivals(events(spark, d), "user_id").select("user_id")
     return finished(spark, out, out.schema)
 
 
+@query("chat_session_documents", f"""
+WITH {SESSIONS.format(gap="'6 hours'")}, t AS (SELECT s.user_id, s.s, min(s.ts) AS date, list(e.event_type ORDER BY s.ts, e.event_type) AS said FROM s JOIN events e ON e.user_id = s.user_id AND e.ts = s.ts GROUP BY 1, 2)
+SELECT user_id, 'user_' || user_id || '_' || strftime(date, '%Y-%m-%d_%H-%M-%S') AS session_key, CAST(len(said) AS BIGINT) AS n_messages, array_to_string(said, ',') AS said FROM t
+WHERE len(said) > 1 AND (SELECT max(ts) + INTERVAL '6 hours' FROM s s2 WHERE s2.user_id = t.user_id AND s2.s = t.s) <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '1 hour' FROM events)""")
+def chat_session_documents(spark, d):
+    said = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    messages = events(spark, d).select("user_id", "ts", F.lit("user").alias("role"), F.col("event_type").alias("content"), said.alias("paper_title"), F.lit("text").alias("paper_text"))
+    out = stm.chat_session_documents(messages, gap="6 hours")
+    rows = finished(spark, out, out.schema).withColumn("m", F.from_json("session", "messages array<struct<role: string, content: string>>")["messages"])
+    return rows.select("user_id", "session_key", big(F.size("m")).alias("n_messages"), F.array_join(F.col("m.content"), ",").alias("said"))
+
+
 @query("turn_example_stream", f"""
 WITH {TURNS}, {examples_sql('Journalist', 150)}
 SELECT conv_id, CAST(i AS INT) AS example, CAST(len(h.k) AS INT) AS n_history, CAST(h.s AS INT) AS history_tokens,
   md5(array_to_string(list_transform(h.k, lambda j: tx[j + 1]), chr(1))) AS history_md5, md5(tx[i + 2]) AS completion_md5 FROM p""")
 def turn_example_stream(spark, d):
-    rows = stream_of(spark, d, "conversations").where("role <> 'system'")
-    rows = rows.withColumn("author", F.when(F.col("role") == "assistant", "Journalist").otherwise("Researcher"))
-    out = stm.turn_example_stream(rows, "Journalist", token_budget=150)
-    done = finished(spark, out, out.schema)
+    # a turn a minute; a last row far ahead moves the watermark past all others
+    at = lambda turn: F.timestamp_seconds(F.lit(1_700_000_000).cast("long") + turn * 60)
+    rows = turns(spark, d).select("conv_id", "turn", "author", "text", at(F.col("turn")).alias("ts"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("Researcher").alias("author"), F.lit("end").alias("text"), at(F.lit(10**7)).alias("ts"))
+    out = stm.turn_example_stream(stream_of(spark, rows, end), "Journalist", token_budget=150)
+    done = finished(spark, out, out.schema).where("not late")
     return done.select(
         "conv_id", "example", "n_history", "history_tokens", F.md5(F.array_join("history", "\x01")).alias("history_md5"), F.md5("completion").alias("completion_md5")
     )
