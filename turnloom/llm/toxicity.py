@@ -55,12 +55,18 @@ class Model:
     weights: dict[str, float]
     bias: float
 
+    def __post_init__(self) -> None:
+        """Weights by kind: of whole words, and of beginnings by their length."""
+        whole = {f: w for f, w in self.weights.items() if not f.endswith("*")}
+        starts = [(k, {f[:-1]: w for f, w in self.weights.items() if f.endswith("*") and len(f) == k + 1}) for k in BEGINNINGS]
+        object.__setattr__(self, "kinds", (whole, [(k, table) for k, table in starts if table]))
+
     def score(self, text: str) -> float:
-        got, total = self.weights.get, self.bias
+        whole, starts = self.kinds
         words = set(WORD.findall(text.lower()))
-        total += sum(got(w, 0.0) for w in words)
-        # beginnings count once each, also where several words share them
-        total += sum(got(b, 0.0) for b in {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k})
+        total = self.bias + sum(map(whole.__getitem__, sorted(words & whole.keys())))
+        for size, table in starts:  # a beginning counts once, also where several words share it
+            total += sum(map(table.__getitem__, sorted({w[:size] for w in words if len(w) > size} & table.keys())))
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
@@ -91,16 +97,20 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_featur
     where they occur. Without labels of both kinds the model gives every text the share of toxic labels (0 for none).
     """
 
-    @F.pandas_udf("array<string>")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(text_features(t)) for t in texts])
+    @F.pandas_udf("own array<string>, swapped array<string>")
+    def features(texts: pd.Series) -> pd.DataFrame:
+        own = [text_features(t) for t in texts]
+        # only a text with an identity term differs from its swapped form
+        swapped = [sorted(swapped_features(t)) if o & TERMS.keys() else None for t, o in zip(texts, own, strict=True)]
+        return pd.DataFrame({"own": [sorted(o) for o in own], "swapped": swapped})
 
-    rows = durable(training_rows(docs, labels, most_rows))
+    rows = training_rows(docs, labels, most_rows)
+    rows = durable(rows.select("toxic", features("text").alias("f")).select("toxic", "f.own", "f.swapped"))
     total, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not total or not toxic or toxic == total:
         share = (toxic or 0) / total if total else 0.0
         return Model({}, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    counts = rows.select("toxic", F.explode(features("text")).alias("feature")).groupBy("feature")
+    counts = rows.select("toxic", F.explode("own").alias("feature")).groupBy("feature")
     counts = counts.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     share = toxic / total
     far = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
@@ -109,42 +119,55 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_featur
     names = sorted(r.feature for r in best.select("feature").collect())
     index = {name: i for i, name in enumerate(names)}
 
-    @F.pandas_udf("own array<int>, swapped array<int>")
-    def chosen(texts: pd.Series) -> pd.DataFrame:
-        def at(found: set[str]) -> list[int]:
-            return sorted(index[f] for f in found if f in index)
-
-        return pd.DataFrame({"own": [at(text_features(t)) for t in texts], "swapped": [at(swapped_features(t)) for t in texts]})
+    @F.pandas_udf("array<int>")
+    def chosen(found: pd.Series) -> pd.Series:
+        return pd.Series([sorted(index[f] for f in fs if f in index) for fs in found])
 
     # at most most_rows rows of a few feature numbers each
-    sample = rows.select(chosen("text").alias("c"), "toxic").select("c.own", "c.swapped", "toxic").collect()
+    sample = rows.select("toxic", chosen("own").alias("own"), chosen(F.coalesce("swapped", "own")).alias("swapped")).collect()
     sample.sort(key=lambda r: (r.own, r.swapped, r.toxic))
-    x = np.zeros((len(sample), len(names)), np.float32)
-    change = np.zeros((len(sample), len(names)), np.float32)
-    for i, row in enumerate(sample):
-        x[i, row.own] = 1
-        change[i, row.own] += 1
-        change[i, row.swapped] -= 1
-    y = np.array([r.toxic for r in sample], np.float32)
-    change = change[np.abs(change).sum(axis=1) > 0]
-    weights, bias = _descend(x, y, change, penalty, rounds)
+    x = Sparse([r.own for r in sample], len(names))
+    y = np.array([r.toxic for r in sample], float)
+    pairs = [r for r in sample if r.own != r.swapped]
+    gained = Sparse([sorted(set(r.swapped) - set(r.own)) for r in pairs], len(names))
+    lost = Sparse([sorted(set(r.own) - set(r.swapped)) for r in pairs], len(names))
+    weights, bias = _descend(x, y, gained, lost, penalty, rounds)
     return Model({n: float(w) for n, w in zip(names, weights, strict=True)}, float(bias))
 
 
-def _descend(x: np.ndarray, y: np.ndarray, change: np.ndarray, penalty: float, rounds: int, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+class Sparse:
+    """A matrix of zeros and ones from the columns set in each row."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        self.at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.columns = np.array([c for r in rows for c in r], dtype=np.int64)
+        self.height, self.width = len(rows), width
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, v[self.columns], self.height)
+
+    def transposed(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, v[self.at], self.width)
+
+
+def _descend(
+    x: Sparse, y: np.ndarray, gained: Sparse, lost: Sparse, penalty: float, rounds: int, ridge: float = 1e-3
+) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on log loss + ridge + penalty x mean squared score change of the swapped texts."""
-    weights, bias = np.zeros(x.shape[1], np.float32), float(np.log(y.mean() / (1 - y.mean())))
+    weights, bias = np.zeros(x.width), float(np.log(y.mean() / (1 - y.mean())))
     # per-feature step sizes: curvature is at most a quarter of the feature's share, plus the penalties'
-    curve = 0.25 * x.mean(axis=0) * max(1.0, float(x.sum(axis=1).mean())) + ridge
-    if len(change):
-        curve = curve + 2 * penalty * (np.abs(change) * np.abs(change).sum(axis=1, keepdims=True)).mean(axis=0)
+    curve = 0.25 * x.transposed(np.ones(x.height)) / x.height * max(1.0, len(x.columns) / x.height) + ridge
+    if gained.height:
+        width = gained.times(np.ones(x.width)) + lost.times(np.ones(x.width))
+        curve = curve + 2 * penalty * (gained.transposed(width) + lost.transposed(width)) / gained.height
     ahead_w, ahead_b, t = weights.copy(), bias, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead_w + ahead_b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x.times(ahead_w) + ahead_b, -30, 30)))
         gap = (p - y) / len(y)
-        grad = x.T @ gap + ridge * ahead_w
-        if len(change):
-            grad = grad + 2 * penalty * (change.T @ (change @ ahead_w)) / len(change)
+        grad = x.transposed(gap) + ridge * ahead_w
+        if gained.height:
+            change = gained.times(ahead_w) - lost.times(ahead_w)
+            grad = grad + 2 * penalty * (gained.transposed(change) - lost.transposed(change)) / gained.height
         new_w = ahead_w - grad / curve
         new_b = ahead_b - float(gap.sum()) / 0.5
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
