@@ -111,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_featur
         share = (toxic or 0) / total if total else 0.0
         return Model({}, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     counts = rows.select("toxic", F.explode("own").alias("feature")).groupBy("feature")
-    counts = counts.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    # a feature of very few rows says little, and long texts hold many such
+    counts = counts.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(3.0, total / 1000))
     share = toxic / total
     far = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
     is_term = F.col("feature").isin(list(TERMS))
@@ -151,7 +152,7 @@ class Sparse:
 
 
 def _descend(
-    x: Sparse, y: np.ndarray, gained: Sparse, lost: Sparse, penalty: float, rounds: int, ridge: float = 1e-3
+    x: Sparse, y: np.ndarray, gained: Sparse, lost: Sparse, penalty: float, rounds: int, ridge: float = 1e-4
 ) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on log loss + ridge + penalty x mean squared score change of the swapped texts."""
     weights, bias = np.zeros(x.width), float(np.log(y.mean() / (1 - y.mean())))
