@@ -44,7 +44,7 @@ def directory(hashes: DataFrame, capacity: int = 4096) -> DataFrame:
     full = nodes.where(F.col("n") > capacity).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
     # both halves of a split bucket are buckets, also where one of them is empty
     halves = full.where(f"depth <= {MAX_DEPTH}").select("depth", F.explode(F.array(F.col("parent") * 2, F.col("parent") * 2 + 1)).alias("prefix"))
-    root = hashes.sparkSession.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))
+    root = hashes.sparkSession.range(1).select(F.col("id").cast("int").alias("depth"), F.col("id").alias("prefix"))
     leaves = root.unionByName(halves).join(
         nodes.where((F.col("n") > capacity) & (F.col("depth") < MAX_DEPTH)).select("depth", "prefix"), ["depth", "prefix"], "left_anti"
     )
