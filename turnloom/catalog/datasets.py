@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from turnloom.catalog.registry import SENTENCES, WORDS, query, table
+from turnloom.catalog.registry import SENTENCES, STRIP, WORDS, query, table
 from turnloom.catalog.texts import FRACTION, MASKED
 from turnloom.functions import text as tx
 from turnloom.plans import pairs as pr
@@ -40,34 +40,51 @@ def shown(pairs):
 
 
 def line(name: str, a: str, b: str, c: str, y: str, source: str = "base", row: str = "row_id::VARCHAR") -> str:
-    task = pr.datasets()[name].task
-    return f"SELECT '{name}' AS dataset, '{task}' AS task, {row} AS row_id, md5({a}) AS a_md5, md5({b}) AS b_md5, md5({c}) AS c_md5, CAST({y} AS DOUBLE) AS orig_label FROM {source}"
+    return f"SELECT '{name}' AS dataset, '{KIND[name]}' AS task, {row} AS row_id, md5({a}) AS a_md5, md5({b}) AS b_md5, md5({c}) AS c_md5, CAST({y} AS DOUBLE) AS orig_label FROM {source}"
 
 
 def union(*lines: str) -> str:
     return f"WITH {BASE} " + " UNION ALL ".join(lines)
 
 
+NLI_SETS = ("mnli", "anli_r1", "anli_r2", "anli_r3", "snli")
+SENTENCE_SETS = ("paws", "paws_val", "paws_unlabeled", "mrpc", "mrpc_val")
+WMT_SETS = tuple(f"wmt{y}" for y in (15, 16, 17, 18, 19))
+CHOICE_SETS = ("race", "race_val", "race_test", "quail", "sciq", "boolq", "strategy_qa")
+# the task of every dataset
+KIND = {
+    **dict.fromkeys(NLI_SETS, "nli"), **dict.fromkeys((*SENTENCE_SETS, "qqp", "qqp_val", "paws_qqp"), "paraphrase"), **dict.fromkeys(WMT_SETS, "wmt"),
+    **dict.fromkeys(("nli_fever", "vitaminc"), "fact_checking"), "doc_nli": "bin_nli", "stsb": "sts", "sick": "sts", **dict.fromkeys((*CHOICE_SETS, "eraser_multi_rc"), "qa"), "gap": "coreference", "msmarco": "ir",
+}
+
+
 def raw_plain(spark, d, b=None):
     b = base(spark, d) if b is None else b
     wrapped = lambda c: F.concat(F.lit("b'"), c, F.lit("'"))
+    pair = lambda one, two, label: b.select("row_id", F.col("s1").alias(one), F.col("s2").alias(two), label)
+    fact = F.when(F.col("y3") == 0, "SUPPORTS").when(F.col("y3") == 1, "REFUTES").otherwise("NOT ENOUGH INFO")
     return {
-        "mnli": b.select("row_id", F.col("s1").alias("premise"), F.col("s2").alias("hypothesis"), F.col("y3").alias("label")),
-        "paws": b.select("row_id", F.col("s1").alias("sentence1"), F.col("s2").alias("sentence2"), F.col("y2").alias("label")),
-        "qqp": b.select("row_id", F.col("s2").alias("question1"), F.col("s3").alias("question2"), F.col("y2").alias("label")),
+        **dict.fromkeys(NLI_SETS, pair("premise", "hypothesis", F.col("y3").alias("label"))),
+        **dict.fromkeys(SENTENCE_SETS, pair("sentence1", "sentence2", F.col("y2").alias("label"))),
+        **dict.fromkeys(("qqp", "qqp_val"), b.select("row_id", F.col("s2").alias("question1"), F.col("s3").alias("question2"), F.col("y2").alias("label"))),
         "paws_qqp": b.select("row_id", wrapped("s1").alias("sentence1"), wrapped("s2").alias("sentence2"), F.col("y2").alias("label")),
-        "wmt17": b.select("row_id", F.col("s1").alias("ref"), F.col("s3").alias("mt"), F.col("y6").alias("score")),
-        "nli_fever": b.select("row_id", F.col("text").alias("context"), F.col("s1").alias("query"), F.when(F.col("y3") == 0, "SUPPORTS").when(F.col("y3") == 1, "REFUTES").otherwise("NOT ENOUGH INFO").alias("label")),
+        **dict.fromkeys(WMT_SETS, b.select("row_id", F.col("s1").alias("ref"), F.col("s3").alias("mt"), F.col("y6").alias("score"))),
+        "nli_fever": b.select("row_id", F.col("text").alias("context"), F.col("s1").alias("query"), fact.alias("label")),
+        "vitaminc": b.select("row_id", F.col("text").alias("evidence"), F.col("s2").alias("claim"), fact.alias("label")),
         "doc_nli": b.select("row_id", F.col("text").alias("premise"), F.col("s1").alias("hypothesis"), F.when(F.col("y2") == 1, "entailment").otherwise("not_entailment").alias("label")),
         "eraser_multi_rc": b.select("row_id", F.col("text").alias("passage"), F.concat("s1", F.lit("|| "), "s2").alias("query_and_answer"), F.col("y2").alias("label")),
-        "stsb": b.select("row_id", F.col("s1").alias("sentence1"), F.col("s2").alias("sentence2"), F.col("y6").alias("label")),
+        "stsb": pair("sentence1", "sentence2", F.col("y6").alias("label")),
+        "sick": pair("sentence_A", "sentence_B", F.col("y6").alias("relatedness_score")),
     }
 
 
+FACTS = "CASE y3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END"
+
+
 @query("plain_pairs", union(
-    line("mnli", "s1", "s2", "''", "y3"), line("paws", "s1", "s2", "''", "y2"), line("qqp", "s2", "s3", "''", "y2"), line("paws_qqp", "s1", "s2", "''", "y2"),
-    line("wmt17", "s1", "s3", "''", "y6"), line("nli_fever", "text", "s1", "''", "CASE y3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END"),
-    line("doc_nli", "text", "s1", "''", "y2"), line("eraser_multi_rc", "text", "replace(s1 || '|| ' || s2, '|', '')", "''", "y2"), line("stsb", "s1", "s2", "''", "y6 / 5.0"),
+    *[line(n, "s1", "s2", "''", "y3") for n in NLI_SETS], *[line(n, "s1", "s2", "''", "y2") for n in (*SENTENCE_SETS, "paws_qqp")], *[line(n, "s2", "s3", "''", "y2") for n in ("qqp", "qqp_val")],
+    *[line(n, "s1", "s3", "''", "y6") for n in WMT_SETS], line("nli_fever", "text", "s1", "''", FACTS), line("vitaminc", "text", "s2", "''", FACTS),
+    line("doc_nli", "text", "s1", "''", "y2"), line("eraser_multi_rc", "text", "replace(s1 || '|| ' || s2, '|', '')", "''", "y2"), *[line(n, "s1", "s2", "''", "y6 / 5.0") for n in ("stsb", "sick")],
 ))
 def plain_pairs(spark, d):
     return shown(pr.build_all(raw_plain(spark, d)))
@@ -83,6 +100,7 @@ def raw_choice(spark, d, b=None):
     return {
         "race": race,
         "race_val": race,
+        "race_test": race,
         "quail": b.select("row_id", F.col("text").alias("context"), F.col("s1").alias("question"), F.array("lang", "source", "s3").alias("answers"), F.col("y3").alias("correct_answer_id")),
         "sciq": b.select("row_id", F.col("text").alias("support"), F.col("s1").alias("question"), F.col("lang").alias("distractor1"), F.col("source").alias("distractor2"), F.col("s3").alias("distractor3"), F.col("s2").alias("correct_answer")),
         "boolq": b.select("row_id", F.col("text").alias("passage"), F.col("s1").alias("question"), (F.col("y2") == 1).alias("answer")),
@@ -97,7 +115,7 @@ OPTIONS = f"(SELECT *, {GAPPED} AS q, unnest([lang, source, s3]) AS o, unnest([0
 
 
 @query("choice_pairs", union(
-    line("race", "text", f"CASE WHEN contains(q, '_') THEN {FILLED} ELSE q END", "CASE WHEN contains(q, '_') THEN '' ELSE o END", "pos = CASE WHEN y2 = 0 THEN 0 ELSE 2 END", OPTIONS),
+    *[line(n, "text", f"CASE WHEN contains(q, '_') THEN {FILLED} ELSE q END", "CASE WHEN contains(q, '_') THEN '' ELSE o END", "pos = CASE WHEN y2 = 0 THEN 0 ELSE 2 END", OPTIONS) for n in ("race", "race_test")],
     line("race_val", "text", f"CASE WHEN contains(q, '_') THEN {FILLED} ELSE q || ' ' || o END", "''", "pos = CASE WHEN y2 = 0 THEN 0 ELSE 2 END", OPTIONS),
     line("quail", "text", "s1", "o", "pos = y3", OPTIONS),
     line("sciq", "text", "s1", "o", "pos = 3", "(SELECT *, unnest([lang, source, s3, s2]) AS o, unnest([0, 1, 2, 3]) AS pos FROM base)"),
@@ -122,25 +140,38 @@ def raw_answers(spark, d):
     hop = b.select("row_id", F.col("s3").alias("question"), F.col("lang").alias("answer"), F.array(F.lit("t1")).alias("supporting_titles"),
                    F.array(F.lit("t1"), F.lit("t2")).alias("titles"), F.array(F.array("s1"), F.array("s2", "s3")).alias("sentences"))
     return {
-        "squad_v2_new": qa, "quoref": qa, "squad_v2": qa, "squad": qa, "newsqa": story, "hotpot_qa_distractor": hop,
+        "squad_v2_new": qa, "quoref": qa, "adversarial_qa": qa, "squad_v2": qa, "squad": qa, "newsqa": story, "hotpot_qa_distractor": hop, "hotpot_qa_fullwiki": hop,
+        "drop": qa.select("row_id", F.col("context").alias("passage"), "question", F.col("answers").alias("answers_spans")),
+        **dict.fromkeys(("duorc_self", "duorc_paraphrase"), qa.select("row_id", F.col("context").alias("plot"), "question", "answers")),
         "ropes": qa.select("row_id", F.col("context").alias("situation"), F.col("question").alias("background"), "question", "answers"),
     }
 
 
-@query("answer_pairs", f"""
-WITH {BASE}, r AS (SELECT * FROM base WHERE y3 <> 0), n AS (SELECT * FROM base WHERE y3 = 0)
-SELECT 'squad_v2_new' AS dataset, row_id::VARCHAR AS row_id, md5(text) AS a_md5, md5(s1) AS b_md5, 2 AS n_c, 1.0::DOUBLE AS orig_label FROM r UNION ALL SELECT 'squad_v2_new', row_id::VARCHAR, md5(text), md5(s1), 1, 0 FROM n
-UNION ALL SELECT 'quoref', row_id::VARCHAR, md5(text), md5(s1), 2, 1 FROM r UNION ALL SELECT 'quoref', row_id::VARCHAR, md5(text), md5(s1), 1, 0 FROM base
-UNION ALL SELECT 'ropes', row_id::VARCHAR, md5(text || ' ' || s1), md5(s1), 2, 1 FROM r UNION ALL SELECT 'ropes', row_id::VARCHAR, md5(text || ' ' || s1), md5(s1), 1, 0 FROM base
-UNION ALL SELECT 'newsqa', row_id || '-0', md5(text), md5(s1), 1, y FROM base, (SELECT unnest([1, 0]) AS y) WHERE y2 = 1
-UNION ALL SELECT 'squad_v2', row_id::VARCHAR, md5(text), md5(s1 || ' ' || s2), 0, 1 FROM r UNION ALL SELECT 'squad_v2', row_id::VARCHAR, md5(text), md5(s1 || ' ' || ws[-1]), 0, 0 FROM n
-UNION ALL SELECT 'hotpot_qa_distractor', row_id::VARCHAR, md5(CASE WHEN md5('0-order|' || row_id || '|0') < md5('0-order|' || row_id || '|1') THEN s1 || chr(10) || s2 || s3 ELSE s2 || s3 || chr(10) || s1 END), md5(s3), 1, y
-  FROM base, (SELECT unnest([1, 0]) AS y)""")
+def answered(name: str, a: str, b: str, n: str, y: str, c: str = "NULL", source: str = "base", row: str = "row_id::VARCHAR") -> str:
+    return f"SELECT '{name}' AS dataset, {row} AS row_id, md5({a}) AS a_md5, md5({b}) AS b_md5, {n} AS n_c, {c} AS c_md5, CAST({y} AS DOUBLE) AS orig_label FROM {source}"
+
+
+GIVEN = "md5(s2 || coalesce('|' || ws[1], ''))"
+HOP = "CASE WHEN md5('0-order|' || row_id || '|0') < md5('0-order|' || row_id || '|1') THEN s1 || chr(10) || s2 || s3 ELSE s2 || s3 || chr(10) || s1 END"
+ALWAYS = ("quoref", "adversarial_qa", "drop", "duorc_self", "duorc_paraphrase")
+
+
+# answers are compared where SQL can make them: given ones, and made-up ones of questions without any
+@query("answer_pairs", f"WITH {BASE}, r AS (SELECT * FROM base WHERE y3 <> 0), n AS (SELECT * FROM base WHERE y3 = 0) " + " UNION ALL ".join([
+    answered("squad_v2_new", "text", "s1", "2", "1", GIVEN, "r"), answered("squad_v2_new", "text", "s1", "1", "0", "md5(coalesce(ws[1], 'no answer'))", "n"),
+    *[answered(n, "text", "s1", "2", "1", GIVEN, "r") for n in ALWAYS], *[answered(n, "text", "s1", "1", "0") for n in ALWAYS],
+    answered("ropes", "text || ' ' || s1", "s1", "2", "1", GIVEN, "r"), answered("ropes", "text || ' ' || s1", "s1", "1", "0"),
+    answered("newsqa", "text", "s1", "1", "1", f"md5({STRIP.format('text[1:4]')})", "base WHERE y2 = 1", "row_id || '-0'"), answered("newsqa", "text", "s1", "1", "0", source="base WHERE y2 = 1", row="row_id || '-0'"),
+    answered("squad_v2", "text", "s1 || ' ' || s2", "0", "1", "md5('')", "r"), answered("squad_v2", "text", "s1 || ' ' || ws[-1]", "0", "0", "md5('')", "n"),
+    *[answered(n, HOP, "s3", "1", y, c) for n in ("hotpot_qa_distractor", "hotpot_qa_fullwiki") for y, c in (("1", "md5(lang)"), ("0", "NULL"))],
+]))
 def answer_pairs(spark, d):
     raw = raw_answers(spark, d)
     raw.pop("squad")
     out = pr.build_all(raw)
-    return out.select("dataset", "row_id", F.md5("text_a").alias("a_md5"), F.md5(F.array_join("text_b", "|")).alias("b_md5"), F.size("text_c").alias("n_c"), "orig_label")
+    known = (F.col("orig_label") == 1) | F.col("dataset").isin("squad_v2_new", "squad_v2")
+    answers = F.when(known, F.md5(F.array_join("text_c", "|"))).alias("c_md5")
+    return out.select("dataset", "row_id", F.md5("text_a").alias("a_md5"), F.md5(F.array_join("text_b", "|")).alias("b_md5"), F.size("text_c").alias("n_c"), answers, "orig_label")
 
 
 @query("key_phrase_pairs")
@@ -150,19 +181,20 @@ def key_phrase_pairs(spark, d):
 
 @query("summary_pairs")
 def summary_pairs(spark, d):
-    rows = base(spark, d).select("row_id", F.col("text").alias("document"), F.col("s1").alias("summary"))
-    return shown(pr.build_pairs("xsum", rows))
+    rows = base(spark, d)
+    named = lambda text, short: rows.select("row_id", F.col("text").alias(text), F.col("s1").alias(short))
+    return shown(pr.build_all({"xsum": named("document", "summary"), "cnndm": named("article", "highlights"), "wikihow": named("text", "headline")}))
 
 
 @query("paraphrase_pairs", f"""
-WITH t AS (SELECT doc_id, text, {WORDS.format('text')} AS ws FROM documents),
+WITH t AS (SELECT doc_id, source, text, {WORDS.format('text')} AS ws FROM documents),
 h AS (SELECT *, CAST(floor(len(ws) * 0.25) AS INT) AS n, list_sort(list_transform(ws, lambda w, i: md5('gold|' || doc_id || '|' || (i - 1)))) AS hs FROM t),
-c AS (SELECT *, hs[n] AS cut FROM h), m AS (SELECT doc_id, text, ws, {MASKED.replace("'7|'", "'gold|'")} AS ms FROM c),
-b AS (SELECT doc_id, text, array_to_string(list_transform(ms, lambda w, i: CASE WHEN w = '[MASK]' THEN ws[i % len(ws) + 1] ELSE w END), ' ') AS bad FROM m)
-SELECT doc_id::VARCHAR AS row_id, md5(text) AS b_md5, 1.0::DOUBLE AS orig_label FROM b UNION ALL SELECT doc_id::VARCHAR, md5(bad), 0 FROM b""")
+c AS (SELECT *, hs[n] AS cut FROM h), m AS (SELECT doc_id, source, text, ws, {MASKED.replace("'7|'", "'gold|'")} AS ms FROM c),
+b AS (SELECT doc_id, source, text, array_to_string(list_transform(ms, lambda w, i: CASE WHEN w = '[MASK]' THEN ws[i % len(ws) + 1] ELSE w END), ' ') AS bad FROM m)
+SELECT doc_id::VARCHAR AS row_id, md5(source) AS a_md5, md5(text) AS b_md5, 1.0::DOUBLE AS orig_label FROM b UNION ALL SELECT doc_id::VARCHAR, md5(source), md5(bad), 0 FROM b""")
 def paraphrase_pairs(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("source").alias("original_sent"), F.col("text").alias("paraphrase"))
-    return shown(pr.build_pairs("wiki103", rows)).select("row_id", "b_md5", "orig_label")
+    return shown(pr.build_pairs("wiki103", rows)).select("row_id", "a_md5", "b_md5", "orig_label")
 
 
 TASKS = ("nli", "fact_checking", "paraphrase", "bin_nli", "qa", "coreference", "ir", "summarization", "multiple_choice_qa", "extractive_qa", "wmt", "sts", "ctc")
