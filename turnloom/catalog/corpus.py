@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import (
+    ORACLES,
     AS_QUESTIONS, SENTENCES, TOKENS, TURNS, WORDS, as_questions, query, table, turns,
 )
 from turnloom.catalog.texts import FRACTION, NAIVE, OPENERS, STRIP
@@ -264,12 +265,12 @@ def member_rows(spark, d):
 
 @query("selected_papers", f"""
 WITH s AS (SELECT doc_id, quality, toxic, source, {SENTENCES.format('text')} AS ss FROM documents JOIN labels USING (doc_id)),
-k AS (SELECT *, 3 + 2 * quality - toxic AS clarity, 1 + doc_id % 3 AS sci, 1 + doc_id % 4 AS soc FROM s WHERE source <> 'src-1.example')
+k AS (SELECT *, 3 + 2 * quality - toxic AS clarity, 1 + doc_id % 3 AS sci, 1 + doc_id % 4 AS soc FROM s)
 SELECT doc_id AS id, CAST(clarity AS BIGINT) AS clarity, (sci + soc) / 2.0 AS avg_quality_score,
   md5(array_to_string(ss[1:{lead_sql('ss', 'a.u >= 300')}], ' ') || ' ') AS context_md5
 FROM k WHERE clarity >= 4 AND (sci + soc) / 2.0 > 2""")
-def selected_papers(spark, d):
-    docs = table(spark, d, "documents").where("source <> 'src-1.example'").select(
+def selected_papers(spark, d, source=None):
+    docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), "source", F.col("text").alias("sc_article"),
         F.lit(None).cast("array<string>").alias("sc_section_names"), F.lit(None).cast("array<string>").alias("sc_sections"),
     )
@@ -278,10 +279,74 @@ def selected_papers(spark, d):
     )
     scores = table(spark, d, "labels").selectExpr("doc_id as id", "doc_id", "quality", "toxic").select("id", grid)
     scores = scores.withColumn("score", F.col("score").cast("string"))
-    out = cp.select_papers(docs, scores, limit=300)
+    out = cp.select_papers(docs, scores, limit=300, source=source)
     return out.select("id", big(F.col("clarity")).alias("clarity"), "avg_quality_score", F.md5("sc_intro").alias("context_md5"))
 
 
+@query("selected_source", ORACLES["selected_papers"] + " AND source = 'src3'")
+def selected_source(spark, d):
+    return selected_papers(spark, d, "src3")
+
+
+@query("training_tables", f"""
+WITH {TURNS}, pa AS (SELECT doc_id, row_number() OVER (ORDER BY md5('123|' || doc_id)) <= floor(count(*) OVER () * 0.9) AS seen FROM documents),
+r AS (SELECT conv_id, author, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM turns),
+e AS (SELECT conv_id AS paper_id, author AS role, rn - 2 AS example, seen FROM r JOIN pa ON conv_id = doc_id WHERE rn BETWEEN 2 AND 40),
+k AS (SELECT paper_id, row_number() OVER (ORDER BY md5('123|' || paper_id)) <= floor(count(*) OVER () * 0.9) AS train FROM (SELECT DISTINCT paper_id FROM e WHERE seen AND role = 'Journalist'))
+SELECT role, CASE WHEN train THEN 'train' ELSE 'test' END AS split, paper_id, example FROM e JOIN k USING (paper_id) WHERE seen AND role = 'Journalist'
+UNION ALL SELECT role, 'held_out', paper_id, example FROM e WHERE NOT seen""")
+def training_tables(spark, d):
+    rows = turns(spark, d).withColumnRenamed("conv_id", "paper_id")
+    path = fresh_dir(spark, "training")
+    sinks.save_splits(cp.training_tables(rows, papers(spark, d)), path)
+    parts = [readers.named_split(spark, path, s) for s in ("train", "test", "held_out")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return cp.pruned(out, ("role", "split", "paper_id", "example")).withColumn("example", big(F.col("example")))
+
+
+@query("stored_configs", "SELECT doc_id, source FROM documents WHERE lang = 'fr' AND doc_id % 2 = 0")
+def stored_configs(spark, d):
+    path = fresh_dir(spark, "configs")
+    split = F.when(F.col("doc_id") % 2 == 0, "test").otherwise("train").alias("split")
+    table(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("config"), split).write.partitionBy("config", "split").parquet(path)
+    return readers.named_split(spark, path, "test", "fr").drop("split", "config")
+
+
+@query("stored_results", """
+SELECT 'results' AS kind, lang AS system, doc_id AS item, n_chars::DOUBLE AS value FROM documents UNION ALL SELECT 'metrics', event_type, NULL, round(avg(value), 6) FROM events GROUP BY event_type
+UNION ALL SELECT 'metrics again', event_type, NULL, round(max(value), 6) FROM events GROUP BY event_type UNION ALL SELECT 'arrays', lang, doc_id, n_chars FROM documents""")
+def stored_results(spark, d):
+    """Result lines by system, metrics appended twice, and one JSON array per file."""
+    base = fresh_dir(spark, "results")
+    docs = table(spark, d, "documents").select(F.col("lang").alias("system"), F.col("doc_id").alias("item"), F.col("n_chars").cast("double").alias("value"))
+    sinks.save_results(docs, f"{base}/results")
+    schema = "system string, item long, value double"
+    found = [readers.json_lines(spark, f"{base}/results", schema).withColumn("kind", F.lit("results"))]
+    for kind, value in (("metrics", F.avg("value")), ("metrics again", F.max("value"))):
+        means = table(spark, d, "events").groupBy(F.col("event_type").alias("system")).agg(F.round(value, 6).alias("value"))
+        sinks.save_metrics(means.withColumn("kind", F.lit(kind)), f"{base}/metrics")
+    found.append(readers.columnar(spark, f"{base}/metrics").withColumn("item", F.lit(None).cast("long")))
+    arrays = docs.groupBy("system", F.col("item") % 50).agg(F.to_json(F.collect_list(F.struct("system", "item", "value"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{base}/arrays")
+    found.append(readers.json_any(spark, f"{base}/arrays", schema).withColumn("kind", F.lit("arrays")))
+    out = found[0].select("kind", "system", "item", "value")
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("relabelled_roles", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Researcher' WHEN 'assistant' THEN 'Journalist' ELSE role END AS author FROM conversations")
+def relabelled_roles(spark, d):
+    named = dg.relabel(F.col("role"), {"user": "Researcher", "assistant": "Journalist"})
+    return table(spark, d, "conversations").select("conv_id", "turn", named.alias("author"))
+
+
+@query("overlapping_titles", "SELECT doc_id, md5(text) AS title FROM documents WHERE source < 'src2' AND text IN (SELECT text FROM documents WHERE source >= 'src2')")
+def overlapping_titles(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("title"))
+    return cp.overlapping_titles(docs.where("source < 'src2'"), docs.where("source >= 'src2'"), "title").select("doc_id", "title")
+
+
 @query("stored_splits", """
 WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5('123|' || doc_id)) AS rn, count(*) OVER () AS n FROM documents)
 SELECT doc_id, lang FROM r WHERE rn > floor(n * 0.9)""")
@@ -300,7 +365,7 @@ def stored_text_tables(spark, d):
     rows.write.csv(f"{base}/part.tsv", sep="\t", header=True, quote='"', escape='"')
     rows.write.json(f"{base}/part.json")
     schema = "doc_id bigint, text string"
-    one = readers.delimited(spark, f"{base}/part.tsv", schema)
+    one = readers.delimited(spark, f"{base}/part.tsv", schema, line_breaks=True)
     two = readers.json_any(spark, f"{base}/part.json", schema)
     out = one.withColumn("format", F.lit("delimited")).unionByName(two.withColumn("format", F.lit("lines")))
     return out.select("format", "doc_id", F.md5("text").alias("text_md5"))

@@ -11,6 +11,8 @@ from turnloom.operators import reports as rp
 from turnloom.operators import stats as st
 from turnloom.plans import evaluation as ev
 from turnloom.plans import human as hm
+from turnloom.session import fresh_dir
+from turnloom.sources import sinks
 
 big = lambda c: c.cast("bigint")
 r6 = lambda c: F.round(c, 6)
@@ -344,7 +346,11 @@ def annotation_tasks(spark, d):
     dialogues = rows.select("paper_id", "system").distinct().select(
         "paper_id", "system", F.lit("t").alias("topic"), F.lit("p").alias("paper_text"), F.array(dg.message("user", F.lit("hi"))).alias("dialogue")
     )
-    tasks = rp.annotation_tasks(dialogues, side("a", "r"), side("b", "s"))
+    path = fresh_dir(spark, "tasks")
+    sinks.save_tasks(rp.annotation_tasks(dialogues, side("a", "r"), side("b", "s")), path)
+    stored = spark.read.text(path).withColumnRenamed("value", "task")
+    read = lambda name, kind="string": F.get_json_object("task", f"$.{name}").cast(kind)
+    tasks = stored.select(read("sc_title", "long").alias("paper_id"), read("gen_model").alias("system"), "task")
     return tasks.select(
         "paper_id", "system", F.get_json_object("task", "$.llm1_clarity_eval").alias("llm1_clarity"),
         F.get_json_object("task", "$.llm2_societal_eval").alias("llm2_societal"),

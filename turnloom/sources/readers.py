@@ -27,10 +27,13 @@ def experiments(spark: SparkSession, paths: Mapping[str, str], schema: str | Non
     return registry_table({name: columnar(spark, path, schema) for name, path in paths.items()})
 
 
-def delimited(spark: SparkSession, path: str, schema: str, sep: str | None = None) -> DataFrame:
-    """CSV or TSV with header; the separator follows the file ending unless given. Quoted line breaks are kept."""
+def delimited(spark: SparkSession, path: str, schema: str, sep: str | None = None, line_breaks: bool = False) -> DataFrame:
+    """CSV or TSV with header; the separator follows the file ending unless given.
+
+    With ``line_breaks`` a quoted value may hold some, at the price that a file is read by one task.
+    """
     sep = sep or ("\t" if path.rstrip("/").endswith("tsv") else ",")
-    return spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True)
+    return spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks)
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,10 +51,10 @@ def json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return json_array(spark, path, schema) if is_array else json_lines(spark, path, schema)
 
 
-def task_files(spark: SparkSession, path: str, schema: str, name_parts: int = 2, sep: str = ",") -> DataFrame:
+def task_files(spark: SparkSession, path: str, schema: str, name_parts: int = 2, sep: str = ",", line_breaks: bool = False) -> DataFrame:
     """All files of a folder as one table; ``task`` is the first ``name_parts`` pieces of the file name."""
     pattern = "^((?:[^_.]+_){0,%d}[^_.]+)" % (name_parts - 1)
-    df = spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True)
+    df = spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks)
     return df.select("*", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).alias("task"))
 
 
