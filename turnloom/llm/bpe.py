@@ -38,6 +38,12 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
+def chunks(batch: pd.Series, rows: int = 256) -> Iterator[pd.Series]:
+    """A batch in parts: ids are returned before the next part is begun."""
+    for start in range(0, len(batch), rows):
+        yield batch.iloc[start : start + rows]
+
+
 @cache
 def encoder(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
@@ -57,7 +63,8 @@ def encode(text: Column, spark: SparkSession, path: str, pattern: str) -> Column
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(held.value, pattern)
         for batch in batches:
-            yield pd.Series([[i for piece in pieces(t or "") for i in enc.encode_ordinary(piece)] for t in batch])
+            for few in chunks(batch):
+                yield pd.Series([[i for piece in pieces(t or "") for i in enc.encode_ordinary(piece)] for t in few])
 
     return ids(text)
 
@@ -70,7 +77,8 @@ def decode(ids: Column, spark: SparkSession, path: str, pattern: str) -> Column:
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(held.value, pattern)
         for batch in batches:
-            yield pd.Series([None if row is None else enc.decode_bytes(row) for row in batch], dtype=object)
+            for few in chunks(batch):
+                yield pd.Series([None if row is None else enc.decode_bytes(row) for row in few], dtype=object)
 
     return raw(ids)
 
@@ -87,9 +95,9 @@ def round_trip(text: Column, spark: SparkSession, path: str, pattern: str, keep_
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(held.value, pattern)
-        for batch in batches:
+        for text_batch in (few for batch in batches for few in chunks(batch)):
             rows = []
-            for text in batch:
+            for text in text_batch:
                 n, kept, of_ids, of_bytes = 0, [], hashlib.sha256(), hashlib.sha256()
                 for piece in pieces(text or ""):
                     ids = enc.encode_ordinary(piece)
