@@ -67,12 +67,12 @@ def bench_tables(spark, d):
     }
 
 
-def cleaned(context: str, claim: str) -> str:
-    """A claim in the spelling of its context, sentences capitalised."""
-    back = f"list_reverse({WORDS.format(context)})"
-    respelt = f"list_transform({WORDS.format(claim)}, lambda w: coalesce({back}[nullif(list_position(list_transform({back}, lambda v: lower(v)), lower(w)), 0)], w))"
-    joined = f"array_to_string({respelt}, ' ')"
-    return f"array_to_string(list_transform({SENTENCES.format(joined)}, lambda s: upper(s[1:1]) || s[2:]), ' ')"
+def cleaned(name: str, source: str, claim: str, out: str) -> str:
+    """CTEs up to ``name``: ``source`` with a claim in the spelling of its text, sentences capitalised."""
+    return f"""{name}0 AS MATERIALIZED (SELECT *, list_reverse(ws) AS back, {WORDS.format(claim)} AS cw FROM {source}),
+{name}1 AS MATERIALIZED (SELECT *, list_transform(back, lambda v: lower(v)) AS low FROM {name}0),
+{name}2 AS MATERIALIZED (SELECT *, array_to_string(list_transform(cw, lambda w: coalesce(back[nullif(list_position(low, lower(w)), 0)], w)), ' ') AS respelt FROM {name}1),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (back, cw, low, respelt), array_to_string(list_transform({SENTENCES.format('respelt')}, lambda s: upper(s[1:1]) || s[2:]), ' ') AS {out} FROM {name}2)"""
 
 
 def candidate(name, p, h, y="NULL", binary=None, rel="NULL", pos="NULL", answer="NULL", grps="['all']", split="'test'", source="base", item="row_id::VARCHAR"):
@@ -93,9 +93,8 @@ def quoted(names) -> list[str]:
 NLI = "CASE WHEN row_id % 7 = 0 OR y3 = -1 THEN 1 ELSE y3 END"
 KEYED = "(SELECT *, (row_id + place) % 2 AS fact FROM (SELECT *, unnest(['x', 'y']) AS system, unnest([s1, source]) AS o, unnest([0, 1]) AS place FROM base))"
 ASKED = "{q} || ' ' || o || ' '"
-CLAIM = cleaned("text", "lower(s1)")
 # the cleaned claim of text and lower-case first sentence serves many tasks
-MORE = f"{BASE}, bc AS (SELECT *, {CLAIM} AS claim FROM base), bk AS (SELECT *, {cleaned('text', 'o')} AS kept FROM {KEYED})"
+MORE = f"{BASE}, {cleaned('bc', 'base', 'lower(s1)', 'claim')}, {cleaned('bk', KEYED, 'o', 'kept')}"
 LINES = {
     "stsb": ("s1", "s2", "y6"), "sick": ("s1", "s3", "y6"), "yelp": ("s2", "s1", "y6"),
     "newsroom": dict(p="text", h="kept", y="y6", binary="y6 >= 4", rel="5 - y6", source="bk", item="row_id || '/' || system"),
