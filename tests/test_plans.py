@@ -28,7 +28,7 @@ def test_json_array_and_lines(spark, tmp_path):
 def test_task_files(spark, tmp_path):
     for name in ("frank_val_1.csv", "paws_dev.csv"):
         (tmp_path / name).write_text('a,b\n1,"x,\ny"\n')
-    rows = readers.task_files(spark, str(tmp_path), "a int, b string", 2).collect()
+    rows = readers.task_files(spark, str(tmp_path), "a int, b string", 2, line_breaks=True).collect()
     assert {(r.task, r.b) for r in rows} == {("frank_val", "x,\ny"), ("paws_dev", "x,\ny")}
 
 
