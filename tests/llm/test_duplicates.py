@@ -129,6 +129,27 @@ def test_colliding_hashes_are_chained(spark, monkeypatch):
     assert {r.doc_id for r in exact_dedup.exact_dedup(docs, 1).where("kept").collect()} == {6, 7, 8}
 
 
+# near copies of the pipeline
+
+
+def test_near_copies_are_those_of_five_word_jaccard(spark, odd):
+    """Edited copies many fingerprint bits apart are linked, also over a middle text; texts alike below 0.8 are not."""
+    from corpus_pipeline import drop_near_copies
+
+    def text(seed, changed=()):
+        return " ".join(f"e{seed}x{i}" if i in changed else f"w{seed}x{i}" for i in range(300))
+
+    texts = [text(1), text(1, {50, 150}), text(1, {20, 50, 80, 110, 150, 200, 250, 280}), text(2), text(2, range(10, 300, 20)), text(3), text(3)]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(296)}
+    like = lambda a, b: len(grams(texts[a]) & grams(texts[b])) / len(grams(texts[a]) | grams(texts[b]))
+    assert like(0, 1) >= 0.8 and like(1, 2) >= 0.8 > max(like(0, 2), like(3, 4))
+    assert all((simhash(texts[i]) ^ simhash(texts[j])).bit_count() > 2 for i, j in ((0, 1), (1, 2), (0, 2)))
+    docs = frame(spark, [(i, t, *[None] * 8) for i, t in enumerate(texts)])
+    assert sorted(r.doc_id for r in drop_near_copies(spark, docs, "").collect()) == [0, 3, 4, 5]
+    kept = [r.doc_id for r in drop_near_copies(spark, odd, "").collect()]
+    assert sorted(k or -1 for k in kept) == [-1, 1, 3, 6, 7, 8, 9, 10, 11]
+
+
 # lines
 
 

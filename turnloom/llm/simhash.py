@@ -256,7 +256,12 @@ def one_per_group(docs: DataFrame, words: int = 3, budget: int = BUDGET, group:
     Rows that repeat an id and a text are one document and stay together; rows without an id stay only where their
     whole component has none.
     """
-    keep = _classes(docs, words, budget, group).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return least_rows(docs, _classes(docs, words, budget, group))
+
+
+def least_rows(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is the ``component_id`` that ``classes(doc_id, text_hash, component_id)`` gives them."""
+    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = durable(keep.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]) & (F.xxhash64(docs["text"]) == keep["_hash"]), "left_semi")
 
