@@ -179,6 +179,22 @@ def test_variable_fields_are_generalised(spark):
     assert all(got[i] == (texts[i], 0) for i in (3, 4, 5))
 
 
+def test_lines_that_differ_in_their_fourth_word_share_a_leaf(spark):
+    texts = ["And edon en for ndesea be edon lis", "And edon en to ndesea be edon lis"]
+    docs = frame(spark, [(i, t, *[None] * 8) for i, t in enumerate(texts)])
+    assert {r.row.doc_id: r.n_dropped for r in line_dedup.drop_lines(docs).collect()} == {0: 0, 1: 1}
+
+
+def test_short_lines_and_lines_of_many_fields_recur(spark):
+    texts = [
+        "Menu\nRead more\nPage 3 of 10\nat 10:01 node 7 sent 12 bytes in 9 ms\n1 2 3\n| 4 | 5 |\nHello world",
+        "Menu\nRead more\nPage 4 of 12\nat 11:30 node 2 sent 88 bytes in 1 ms\n4 5 6\n| 6 | 7 |\nHello there\n",
+    ]
+    docs = frame(spark, [(i, t, *[None] * 8) for i, t in enumerate(texts)])
+    got = {r.row.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_lines(docs).collect()}
+    assert got == {0: (texts[0], 0), 1: ("4 5 6\n| 6 | 7 |\nHello there\n", 4)}
+
+
 def test_repeats_within_one_document_stay(spark):
     line = "the same five words again"
     docs = frame(spark, [(1, f"{line}\n{line}", *[None] * 8), (2, "another line of five words", *[None] * 8)])

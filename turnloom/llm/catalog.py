@@ -71,7 +71,8 @@ WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w
     """,
 )
 def lines_dropped(spark: SparkSession, folder: str) -> DataFrame:
-    kept = line_dedup.drop_lines(table(spark, folder, "documents"))
+    # the limits that the SQL above sets
+    kept = line_dedup.drop_lines(table(spark, folder, "documents"), line_dedup.Rules(depth=5, least=3, fields=8, constant=4))
     return kept.select("row.doc_id", "n_lines", "n_dropped", "text")
 
 

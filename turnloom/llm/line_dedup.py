@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -22,38 +23,51 @@ from pyspark.sql import functions as F
 
 from turnloom.session import durable
 
-#: Leading words on the way to a leaf.
-DEPTH = 5
-#: Shorter lines are never dropped; lines with fewer words than FIELDS have no variable fields.
-LEAST = 3
-FIELDS = 8
 #: Positions, of each so many, in which a line agrees with its leaf's template, and which digits leave constant.
 ALIKE, OF = 4, 5
 
 DIGIT = re.compile(rb"[0-9]")
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 FIELD = b"<*>"
 _LAST = (1 << 63) - 1
 
 
-def parse(line: bytes) -> tuple[list[bytes], int | None]:
+class Rules(NamedTuple):
+    """Which lines take part: by default every line with a word, and every one with a word of letters beside its fields has a leaf."""
+
+    #: Leading words on the way to a leaf.
+    depth: int = 3
+    #: Lines with fewer words are never dropped.
+    least: int = 1
+    #: Lines with fewer words have no leaf.
+    fields: int = 1
+    #: Words, of each ``OF`` so many, that must be constant for a leaf; with 0 a word of letters is enough.
+    constant: int = 0
+
+
+WHOLE = Rules()
+
+
+def parse(line: bytes, rules: Rules = WHOLE) -> tuple[list[bytes], int | None]:
     """Words of a line, runs without ASCII white space, and its leaf.
 
-    Words with digits become variable fields unless the line is short or too much of it would be variable; then it has
+    Words with digits become variable fields unless the rules see too little left that is constant; then the line has
     no leaf and stands for itself.
     """
     words = line.split()
-    if len(words) < FIELDS:
+    if len(words) < max(rules.fields, 1):
         return words, None
     if DIGIT.search(line) or FIELD in words:
         masked = [FIELD if DIGIT.search(w) else w for w in words]
-        if OF * sum(w != FIELD for w in masked) < ALIKE * len(words):
+        fixed = [w for w in masked if w != FIELD]
+        if OF * len(fixed) < rules.constant * len(words) or not (rules.constant or any(map(LETTER.search, fixed))):
             return words, None
         words = masked
-    leaf = xxhash.xxh3_64_intdigest(b" ".join([str(len(words)).encode(), *words[:DEPTH]]))
+    leaf = xxhash.xxh3_64_intdigest(b" ".join([str(len(words)).encode(), *words[: rules.depth]]))
     return words, leaf - (1 << 64) if leaf >> 63 else leaf
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, rules: Rules) -> DataFrame:
     """``id, doc, pos, line, leaf`` for every line with enough words; ``line`` is a hash of 16 bytes."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,8 +76,8 @@ def _lines(docs: DataFrame) -> DataFrame:
             rows = []
             for ident, doc, text in zip(batch["id"], batch["doc"], batch["text"], strict=True):
                 for pos, raw in enumerate(text.encode("utf-8").split(b"\n")):
-                    words, leaf = parse(raw)
-                    if len(words) >= LEAST:
+                    words, leaf = parse(raw, rules)
+                    if len(words) >= rules.least:
                         rows.append((ident, doc, pos, xxhash.xxh3_128_digest(b" ".join(words)), leaf))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=names).astype({"leaf": "Int64"})
@@ -77,7 +91,7 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("doc_id", "text").alias("doc"), "text")
 
 
-def generalised(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+def generalised(docs: DataFrame, kinds: DataFrame, rules: Rules) -> DataFrame:
     """``line, leaf`` for every kind of line that stands for its leaf's template; kinds alone in their leaf are left out.
 
     ``kinds`` has one row per different line: ``line, leaf, first, last``.
@@ -93,7 +107,7 @@ def generalised(docs: DataFrame, kinds: DataFrame) -> DataFrame:
             rows = []
             for text, places in zip(batch["text"], batch["at"], strict=True):
                 lines = text.encode("utf-8").split(b"\n")
-                rows += [(p["leaf"], p["line"], [w.decode("utf-8") for w in parse(lines[p["pos"]])[0]]) for p in places]
+                rows += [(p["leaf"], p["line"], [w.decode("utf-8") for w in parse(lines[p["pos"]], rules)[0]]) for p in places]
             yield pd.DataFrame(rows, columns=["leaf", "line", "words"])
 
     texts = _identified(docs).join(wanted, "doc").select("text", "at")
@@ -112,13 +126,13 @@ def generalised(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     return durable(words.join(template, "leaf").where(agrees("words", "best")).select("line", "leaf"))
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+def recurring_lines(docs: DataFrame, rules: Rules = WHOLE) -> DataFrame:
     """``doc, pos``: the line occurrences to drop, in narrow rows."""
     docs = docs.select("doc_id", "text")
-    lines = durable(_lines(docs))
+    lines = durable(_lines(docs, rules))
     kinds = lines.groupBy("line", "leaf").agg(F.min(F.struct("id", "pos", "doc")).alias("first"), F.max("id").alias("last"))
     kinds = durable(kinds)
-    general = generalised(docs, kinds)
+    general = generalised(docs, kinds, rules)
     members = durable(kinds.drop("leaf").join(general, "line"))
     templates = members.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.id < last")
     again = members.select("line", "leaf").join(templates.select("leaf", "first"), "leaf").select("line", "first")
@@ -128,14 +142,14 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return gone.select("doc", "pos").distinct()
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, rules: Rules = WHOLE) -> DataFrame:
     """``row, text, n_lines, n_dropped`` for every row: the row of ``docs`` as it was, and its text without recurring lines.
 
     A line recurs if its template is in documents of different ids. Its occurrence in the least id, of those the least
     position, stays. A text of which nothing is left becomes empty; a null text stays null and has no lines. Rows
     without an id count as one document behind all others; rows that repeat an id and a text are treated alike.
     """
-    drops = recurring_lines(docs).groupBy("doc").agg(F.collect_list("pos").alias("places"))  # at most the lines of one text
+    drops = recurring_lines(docs, rules).groupBy("doc").agg(F.collect_list("pos").alias("places"))  # at most the lines of one text
 
     @F.pandas_udf("string")
     def rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
