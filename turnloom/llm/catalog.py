@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, chat, exact_dedup, line_dedup, mixing, pii, sharding, simhash, toxicity, winnowing
+from turnloom.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    filter_audit,
+    lexical_search,
+    line_dedup,
+    mixing,
+    ngram_join,
+    pii,
+    sharding,
+    simhash,
+    toxicity,
+    winnowing,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +180,79 @@ def chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_winnowing")
 def winnowed(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.compare_neighbours(table(spark, folder, "documents"))
+
+
+# A-Z only; the functions for whole alphabets change other letters too
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_ngram_join",
+    f"""
+    WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+    s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+                 lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+    e AS (SELECT r, len(s) AS n, unnest(s) AS g FROM s),
+    p AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n
+          HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    c(r, far) AS (SELECT r, r FROM s UNION SELECT c.r, l.b FROM c JOIN l ON c.far = l.a)
+    SELECT any_value(s.doc_id) AS doc_id, any_value(len(s.s))::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+    FROM s JOIN c ON s.r = c.r JOIN s o ON c.far = o.r GROUP BY s.r
+    """,
+)
+def ngram_links(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_documents(table(spark, folder, "documents")).drop("text_hash")
+
+
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op12_lexical_search",
+    f"""
+    WITH q AS (SELECT DISTINCT item_id, unnest({TERMS.format(LOWER.format("text"))}) AS term FROM benchmark),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS.format(LOWER.format("text"))} AS terms FROM documents),
+    t AS (SELECT r, unnest(terms) AS term FROM d),
+    tf AS (SELECT r, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+    c AS (SELECT count(*)::BIGINT AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(c.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term),
+    m AS (SELECT r, doc_id, 50 + (50 * len(terms) * c.n) // c.l AS m FROM d, c WHERE len(terms) > 0),
+    s AS (SELECT q.item_id, m.doc_id, m.r, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * m.m)))::BIGINT AS score
+          FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m ON tf.r = m.r GROUP BY q.item_id, m.doc_id, m.r),
+    k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS nth FROM s WHERE score > 0)
+    SELECT item_id, nth::INT AS rank, doc_id, score FROM k WHERE nth <= 50
+    """,
+)
+def best_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op13_filter_audit",
+    f"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+    w AS (SELECT *, {WORDS.format("text")} AS words FROM t),
+    f AS (SELECT doc_id, part, [len(words) < 100, 100 * list_unique(words) < 80 * len(words),
+                 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, FALSE)] AS fails FROM w),
+    lab AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    j AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN lab USING (doc_id) GROUP BY part, fails),
+    x AS (SELECT unnest(range(1, 6)) AS i),
+    o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a JOIN x b ON b.i <> a.i JOIN x c ON c.i NOT IN (a.i, b.i) JOIN x d ON d.i NOT IN (a.i, b.i, c.i)
+          JOIN x e ON e.i NOT IN (a.i, b.i, c.i, d.i)),
+    s AS (SELECT o, i AS step, o[i] AS filter, o[1:i - 1] AS earlier FROM o, x),
+    g AS (SELECT part, o, step, filter,
+                 coalesce(sum(n) FILTER (NOT fails[filter] AND len(list_filter(earlier, lambda k: fails[k])) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (fails[filter] AND len(list_filter(earlier, lambda k: fails[k])) = 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (fails[filter] AND len(list_filter(earlier, lambda k: fails[k])) > 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (fails[filter] AND len(list_filter(fails, lambda k: k)) = 1), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER (fails[filter] AND len(list_filter(earlier, lambda k: fails[k])) = 0), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER (fails[filter] AND len(list_filter(earlier, lambda k: fails[k])) = 0), 0)::BIGINT AS toxic_lost
+          FROM j, s GROUP BY part, o, step, filter)
+    SELECT part, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails,
+           good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley
+    FROM g
+    """,
+)
+def audited_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
