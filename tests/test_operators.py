@@ -165,6 +165,95 @@ def test_overlap_metrics(spark):
     assert lcs[1].recall == 3 / 6 and lcs[3].f == 0.0
     assert lx.common_length("abcbdab", "bdcaba") == 4
     assert {r.item_id: r.score for r in lx.bleu(df, 1).collect()}[3] == 0.0
+    plan = lx.rouge(df, ("1", "2", "L"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for kind in ("1", "2"):
+        assert "Python" not in lx.rouge_n(df, int(kind), stem=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in lx.bleu(df, 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_multisets_of_grams(spark):
+    from collections import Counter
+
+    from turnloom.functions import grams as gr
+
+    rng = random.Random(5)
+    rows = [([rng.choice("abcd") for _ in range(rng.randint(0, 9))], [rng.choice("abcd") for _ in range(rng.randint(0, 9))]) for _ in range(40)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for n in (1, 2, 3):
+        a, b = gr.tagged(gr.ngrams(F.col("a"), n)), gr.tagged(gr.ngrams(F.col("b"), n))
+        got = df.select("a", "b", gr.shared(a, b).alias("both"), F.size(gr.widest(F.array(a, b))).alias("either")).collect()
+        for r in got:
+            ca, cb = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (r.a, r.b))
+            assert r.both == (ca & cb).total() and r.either == (ca | cb).total()
+
+
+def test_overlap_of_null_texts(spark):
+    df = spark.createDataFrame([(1, None, "x y"), (2, "x", None)], "item_id int, a string, b string")
+    assert [(r.rouge1_f, r.rougeL_f) for r in lx.rouge(df).collect()] == [(0.0, 0.0)] * 2
+
+
+def test_common_lengths_side_by_side():
+    """Sentences of up to three numbers' width, against the sweep over one pair."""
+    rng = random.Random(7)
+    text = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    sentences = [text(n) for n in (0, 1, 5, 63, 64, 65, 128, 150)]
+    side = lx.Sentences(sentences)
+    for n in (0, 1, 20, 200):
+        words = text(n)
+        assert side.common_lengths(words).tolist() == [lx.common_length(s, words) for s in sentences]
+
+
+def test_bleu_by_definition(spark):
+    from collections import Counter
+
+    def one(refs, hyp, weights):
+        grams = lambda ts, k: Counter(tuple(ts[i : i + k]) for i in range(len(ts) - k + 1))
+        logs = 0.0
+        for k, w in enumerate(weights, 1):
+            cap = Counter()
+            for ref in refs:
+                cap |= grams(ref, k)
+            hits = (grams(hyp, k) & cap).total()
+            if (w or k == 1) and not hits:
+                return 0.0
+            if w:
+                logs += w * math.log(hits / (len(hyp) - k + 1))
+        near = min((abs(len(r) - len(hyp)), len(r)) for r in refs)[1]
+        return min(1.0, math.exp(1 - near / len(hyp))) * math.exp(logs)
+
+    rng = random.Random(6)
+    text = lambda n: [rng.choice("abc") for _ in range(n)]
+    rows = [(i, [text(rng.randint(1, 12)) for _ in range(rng.randint(1, 4))], [text(rng.randint(1, 12)) for _ in range(rng.randint(1, 3))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, _refs array<array<string>>, _hyps array<array<string>>")
+    for weights in ((1.0,), (0.0, 1.0), (0.33, 0.33, 0.33), (0.25,) * 4):
+        got = {(r.id, r.hyp): r.bleu for r in lx.bleu_of_tokens(df, "id", weights=weights).collect()}
+        assert got == pytest.approx({(i, j): one(refs, h, weights) for i, refs, hyps in rows for j, h in enumerate(hyps)})
+
+
+def test_key_phrases_by_definition(spark):
+    import heapq
+    from collections import Counter
+
+    from turnloom.operators import keyphrases as kp
+
+    texts = ["The red car and the blue car race, red car wins; blue bike. A red, red apple.", "", None, "the of and", "One two three four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for r in kp.key_phrases(df, "id", "t", 3).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.phrase, r.phrase_score))
+    want = {}
+    for row in df.select("id", kp.candidate_phrases(F.col("t")).alias("ps")).collect():
+        split = [p.split(" ") for p in row.ps or []]
+        count, degree = Counter(w for ws in split for w in ws), Counter()
+        for ws in split:
+            for w in ws:
+                degree[w] += len(ws)
+        best = heapq.nlargest(3, [(round(sum(degree[w] / count[w] for w in ws), 9), " ".join(ws)) for ws in split])
+        if best:
+            want[row.id] = [(i, p, s) for i, (s, p) in enumerate(best, 1)]
+    assert got == want and len(want) == 2
+    assert "Python" not in kp.key_phrases(df, "id", "t")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_bleu_known_value(spark):
@@ -193,6 +282,66 @@ def test_alignment_client_equals_stand_in(spark):
     assert heads.tri[0] == heads.bin and heads.score_error is None
 
 
+def containment_client(log=None, fail=None):
+    def make():
+        def client(batch):
+            if log:
+                with open(log, "a") as out:
+                    out.write(f"{len(batch)} {len({p for p, _ in batch})}\n")
+            out = []
+            for p, h in batch:
+                if fail and fail in h:
+                    raise ValueError("cannot score")
+                ps, hs = set(p.lower().replace(".", "").split()), set(h.lower().replace(".", "").split())
+                c = len(ps & hs) / len(hs) if hs else 0.0
+                out.append((c, c, [c, 0.0, 1 - c]))
+            return out
+
+        return client
+
+    return make
+
+
+GRIDS = [(i, " ".join(f"a{k} b{k % 3} c." for k in range(i % 5)), " ".join(f"a{k} b{k % 2} x." for k in range(i % 4))) for i in range(60)]
+
+
+def test_batches_cross_items(spark, tmp_path):
+    """A pair of texts has at most a few cells, but all batches but a task's last one are full and hold several items."""
+    df = spark.createDataFrame(GRIDS, "item_id int, premise string, hypothesis string").coalesce(1)
+    log = str(tmp_path / "log")
+    al.smart_n(df, make_client=containment_client(log)).collect()
+    sizes = [tuple(map(int, line.split())) for line in open(log)]
+    cells = sum((i % 5) * (i % 4) for i, *_ in GRIDS)
+    assert sum(n for n, _ in sizes) == 2 * cells and max(n for n, _ in sizes) == 32
+    assert sum(n < 32 for n, _ in sizes) <= 2 * 4 and max(p for _, p in sizes) > 1
+
+
+@pytest.mark.parametrize("score", ["smart_n", "smart_l", "alignment_score"])
+def test_client_scores_equal_stand_in(spark, score):
+    df = spark.createDataFrame([*GRIDS, (60, None, "a b."), (61, "a.", None), (61, "a.", "a.")], "item_id int, premise string, hypothesis string")
+    run = getattr(al, score)
+    columns = [c for c in run(df).columns if c not in ("premise", "hypothesis")]
+    key = lambda row: tuple(map(str, row))
+    native = sorted((tuple(r) for r in run(df).select(columns).collect()), key=key)
+    plugged = run(df, make_client=containment_client())
+    assert plugged.where("n_failed > 0").isEmpty()
+    plugged = sorted((tuple(r) for r in plugged.select(columns).collect()), key=key)
+    assert [r[0] for r in native] == [r[0] for r in plugged]
+    assert [x or 0.0 for r in native for x in r[1:]] == pytest.approx([x or 0.0 for r in plugged for x in r[1:]])
+
+
+def test_a_failed_cell_keeps_its_error(spark):
+    df = spark.createDataFrame([(1, "A b. C d.", "a b. bad one."), (2, "A b.", "bad."), (3, "A b.", "a b.")], "item_id int, premise string, hypothesis string")
+    rows = {r.item_id: r for r in al.alignment_score(df, make_client=containment_client(fail="bad")).collect()}
+    assert rows[1].alignment == 1.0 and "cannot score" in rows[1].alignment_error and rows[1].n_failed == 1
+    assert rows[2].alignment is None and rows[2].n_failed == 1
+    assert rows[3].alignment == 1.0 and rows[3].alignment_error is None and rows[3].n_failed == 0
+    rows = {r.item_id: r for r in al.smart_l(df, make_client=containment_client(fail="bad")).collect()}
+    assert rows[2].score == 0.0 and "cannot score" in rows[2].error and rows[3].score == 1.0 and rows[1].n_failed == 2
+    rows = {r.item_id: r for r in al.smart_n(df, make_client=containment_client(fail="bad")).collect()}
+    assert rows[1].precision == 1.0 and rows[1].n_failed == 2 and rows[3].f == 1.0
+
+
 def test_soft_subsequence(spark):
     df = spark.createDataFrame([(1, "a b. c d. e f.", "a b. e x.")], "item_id int, premise string, hypothesis string")
     grid = [[1.0, 0.0], [0.0, 0.0], [0.0, 0.5]]
@@ -204,16 +353,9 @@ def test_soft_subsequence(spark):
     assert al.smart_l(df).first().score == pytest.approx(table[3][2] / 3)
 
 
-@pytest.mark.parametrize("tile", [3, 10**6])
-def test_bm25_tiles(spark, monkeypatch, tile):
-    monkeypatch.setattr(rt, "POSTINGS_PER_TILE", tile)
-    monkeypatch.setattr(rt, "WEIGHTS_PER_TILE", tile)
-    rng = random.Random(1)
-    docs = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(3, 9)))) for i in range(30)]
-    queries = [(i, f"{a} {b}") for i, (a, b) in enumerate(["ab", "cd", "ea"])] + [(9, "zzz")]
-    out = rt.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string"), 5)
-    got = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 6)) for r in out.collect()}
-    avg = np.mean([len(t.split()) for _, t in docs])
+def bm25_by_definition(docs, queries, k):
+    avg, n = np.mean([len(t.split()) for _, t in docs]), len(docs)
+    want = {}
     for q, text in queries:
         scores = {}
         for i, t in docs:
@@ -222,9 +364,41 @@ def test_bm25_tiles(spark, monkeypatch, tile):
                 df = sum(term in u.split() for _, u in docs)
                 tf = ts.count(term)
                 if tf:
-                    scores[i] = scores.get(i, 0) + math.log(1 + (30 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ts) / avg))
-        want = sorted(scores.items(), key=lambda kv: (-round(kv[1], 9), kv[0]))[:5]
-        assert [got[(q, k + 1)] for k in range(len(want))] == [(i, round(s, 6)) for i, s in want]
+                    scores[i] = scores.get(i, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ts) / avg))
+        ranked = sorted(scores.items(), key=lambda kv: (-round(kv[1], 9), kv[0]))[:k]
+        want.update({(q, place): (i, round(s, 6)) for place, (i, s) in enumerate(ranked, 1)})
+    return want
+
+
+@pytest.mark.parametrize("block, first", [(3, 1), (4096, 20)])
+def test_bm25_is_exact(spark, monkeypatch, block, first):
+    """Also where blocks are small and few postings set the first bound, so that most terms and blocks are passed over."""
+    monkeypatch.setattr(rt, "FIRST", first)
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(words[min(39, int(rng.expovariate(0.15)))] for _ in range(n))
+    docs = [(i, text(rng.randint(1, 20))) for i in range(150)] + [(200, "")]
+    queries = [(i, text(rng.randint(1, 6))) for i in range(12)] + [(90, "zzz"), (91, "w1 w1 w39")]
+    out = rt.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string"), 5, block=block)
+    got = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 6)) for r in out.collect()}
+    assert got == bm25_by_definition(docs, queries, 5)
+
+
+def test_bm25_moves_a_posting_to_the_queries_of_its_term_only(spark):
+    docs = spark.createDataFrame([(i, "often " + ("rare" if i == 3 else f"w{i}")) for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "rare often"), (2, "often"), (3, "w5")], "query_id long, text string")
+    index = rt.build_index(docs, block=10)
+    blocks = index.blocks.groupBy("term").count().where("term = 'often'").first()
+    assert blocks["count"] > 1 and index.blocks.select(F.max(F.size("docs"))).first()[0] < 40
+    asked = rt.asked_terms(queries, index, "query_id", "text")
+    assert {(r.query, r.term) for r in asked.collect()} == {(1, "rare"), (1, "often"), (2, "often"), (3, "w5")}
+    met = rt.reached(asked, index).groupBy("query").count()
+    assert {r["query"]: r["count"] for r in met.collect()} == {1: 40, 2: 40, 3: 1}
+    # what the rare term reaches already beats all that the frequent one can add, so it brings no candidates
+    split = rt.split_terms(asked, rt.first_scores(asked.where("term <> 'often'"), index, 1))
+    assert {(r.query, r.term): r.leading for r in split.collect()}[1, "often"] is False
+    skipped = rt.reached(split.where("query = 1 and leading"), index)
+    assert [r.doc for r in skipped.collect()] == [3]
 
 
 def test_quantiles_and_histogram(spark):

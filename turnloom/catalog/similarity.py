@@ -63,15 +63,29 @@ def longest_common_subsequence(spark, d):
     return rounded(lx.rouge_l(pairs, stem=False), "precision", "recall", "f")
 
 
+def common_sql(x: str, y: str) -> str:
+    """Length of the longest common subsequence of two lists: the longest rising run of places in ``y`` of the words of ``x``."""
+    places = f"list_transform(list_reverse(list_filter(range(1, len({y}) + 1), lambda j: {y}[j] = t)), lambda j: [j::INT])"
+    below = "len(list_filter(acc, lambda v: v < e[1]))"
+    step = f"list_concat(list_concat(acc[1:{below}], e), acc[{below} + 2:])"
+    return f"len(list_reduce(flatten(list_transform({x}, lambda t: {places})), lambda acc, e: {step}, []::INT[]))"
+
+
 @query("stemmed_overlap")
 def stemmed_overlap(spark, d):
     return rounded(lx.rouge(text_pairs(spark, d), ("1", "2", "L")), "rouge1_f", "rouge2_f", "rougeL_f")
 
 
 @query("text_similarity_report", f"""
-WITH {PAIRED}, o AS (WITH {overlap_sql(1)}) SELECT role AS system, round_even(avg(f), 3) AS rouge1_f FROM o JOIN tp USING (item_id) GROUP BY 1""")
+WITH {PAIRED}, o AS (WITH {overlap_sql(1)}), k AS (SELECT item_id, {LEXICAL.format('a')} AS x, {LEXICAL.format('b')} AS y FROM tp),
+l AS (SELECT item_id, coalesce(2 * {common_sql('x', 'y')} / nullif(len(x) + len(y), 0), 0) AS f FROM k)
+SELECT role AS system, round_even(avg(o.f), 3) AS rouge1_f, round_even(avg(l.f), 3) AS "rougeL_f" FROM o JOIN tp USING (item_id) JOIN l USING (item_id) GROUP BY 1""")
 def text_similarity_report(spark, d):
-    return ev.text_similarity_report(text_pairs(spark, d).withColumnRenamed("role", "system"), ("1",), stem=False)
+    return ev.text_similarity_report(text_pairs(spark, d).withColumnRenamed("role", "system"), ("1", "L"), stem=False)
+
+
+def grid_words(column: str) -> str:
+    return f"list_transform({SENTENCES.format(column)}, lambda s: {WORDS.format("replace(s, '.', ' ')")})"
 
 
 def grid_sets(column: str, n: int) -> str:
@@ -102,7 +116,12 @@ def sentence_grid_bigrams(spark, d):
     return rounded(lx.rouge_grid(text_pairs(spark, d), 2), "score")
 
 
-@query("sentence_grid_subsequences")
+LONG_F = f"CASE WHEN len(p) > 0 AND len(c) > 0 THEN 2 * {common_sql('p', 'c')} / (len(p) + len(c)) ELSE 0 END"
+
+
+@query("sentence_grid_subsequences", f"""
+WITH {PAIRED}, z AS (SELECT item_id, {grid_words('a')} AS ps, {grid_words('b')} AS cs FROM tp)
+SELECT item_id, round(coalesce(list_avg(list_transform(cs, lambda c: list_max(list_transform(ps, lambda p: {LONG_F})))), 0), 6) AS score FROM z""")
 def sentence_grid_subsequences(spark, d):
     return rounded(lx.rouge_grid_l(text_pairs(spark, d)), "score")
 
@@ -138,6 +157,11 @@ def bleu_2(spark, d):
     return rounded(lx.bleu(text_pairs(spark, d), 2), "score")
 
 
+@query("bleu_3", bleu_sql(3))
+def bleu_3(spark, d):
+    return rounded(lx.bleu(text_pairs(spark, d), 3), "score")
+
+
 @query("distinct_bigrams", f"""
 WITH w AS (SELECT role, {WORDS.format('text')} AS w FROM conversations), g AS (SELECT role, w[i] || ' ' || w[i + 1] AS g FROM w, LATERAL (SELECT unnest(range(1, len(w))) AS i))
 SELECT role, count(DISTINCT g) AS n_distinct, count(*) AS n_grams, round(count(DISTINCT g) / count(*), 6) AS distinct_ratio FROM g GROUP BY 1""")
@@ -214,7 +238,15 @@ def sentence_unit_scores(spark, d):
     return rounded(al.smart_n(pairs), "precision", "recall", "f")
 
 
-@query("soft_subsequence_scores")
+SOFT_ROW = """list_reduce(list_transform(range(1, len(e.s) + 1), lambda j: [j::DOUBLE]), lambda r, j: list_append(r, greatest(
+  acc.r[j[1]::INT] + e.s[j[1]::INT], acc.r[j[1]::INT + 1] + e.s[j[1]::INT], r[len(r)])), [0::DOUBLE])"""
+
+
+@query("soft_subsequence_scores", f"""
+WITH {PAIRED}, k AS (SELECT item_id, {sets(SENTENCES.format('a'))} AS ps, {sets(SENTENCES.format('b'))} AS cs FROM tp),
+g AS (SELECT item_id, len(cs) AS n, list_transform(ps, lambda p: {{'s': list_transform(cs, lambda c: ({CONTAINED})::DOUBLE), 'r': []::DOUBLE[]}}) AS g FROM k),
+l AS (SELECT item_id, len(g) AS m, list_reduce(g, lambda acc, e: {{'s': e.s, 'r': {SOFT_ROW}}}, {{'s': []::DOUBLE[], 'r': list_transform(range(0, n + 1), lambda i: 0::DOUBLE)}}).r[-1] AS v FROM g)
+SELECT item_id, round(coalesce(v / nullif(m, 0), 0), 6) AS score FROM l""")
 def soft_subsequence_scores(spark, d):
     pairs = text_pairs(spark, d).select("item_id", F.col("a").alias("premise"), F.col("b").alias("hypothesis"))
     return rounded(al.smart_l(pairs), "score")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from turnloom.functions import text as tx
+from turnloom.functions.binding import let
+from turnloom.functions.grams import by_run, run_starts
 
 # fixed values: English function words that end a phrase
 STOP_WORDS = (
@@ -33,17 +30,29 @@ def candidate_phrases(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS
     return F.filter(F.transform(runs, lambda r: F.trim(r)), lambda p: p != "")
 
 
-def ranked_phrases(phrases: Sequence[str], k: int) -> list[tuple[str, float]]:
-    """Best ``k`` phrases by the summed degree/frequency ratio of their words; ties by phrase, descending."""
-    split = [p.split(" ") for p in phrases]
-    count: Counter = Counter()
-    degree: Counter = Counter()
-    for ws in split:
-        for w in ws:
-            count[w] += 1
-            degree[w] += len(ws)
-    scored = [(round(sum(degree[w] / count[w] for w in ws), 9), p) for ws, p in zip(split, phrases)]
-    return [(p, s) for s, p in heapq.nlargest(k, scored)]
+def ranked_phrases(phrases: Column, k: int) -> Column:
+    """Best ``k`` phrases by the summed degree/frequency ratio of their words; ties by phrase, descending.
+
+    Occurrences of words are sorted by word, where each run gives a ratio, then back by phrase, where each run gives a
+    score: no word is looked up.
+    """
+
+    def rated(words: Column) -> Column:
+        ratio = lambda run: F.aggregate(run, F.lit(0), lambda acc, e: acc + e["n"]) / F.size(run)
+        spread = lambda run: let(ratio(run), lambda r: F.transform(run, lambda e: F.struct(e["at"].alias("at"), r.alias("r"))))
+        return let(run_starts(words, lambda e: e["w"]), lambda starts: F.flatten(by_run(words, starts, spread)))
+
+    def scored(ratios: Column, ps: Column) -> Column:
+        total = lambda run: F.aggregate(run, F.lit(0.0), lambda acc, e: acc + e["r"])
+        entry = lambda run: F.struct(F.round(total(run), 9).alias("phrase_score"), F.get(ps, F.get(run, F.lit(0))["at"]).alias("phrase"))
+        return let(run_starts(ratios, lambda e: e["at"]), lambda starts: by_run(ratios, starts, entry))
+
+    def best(ps: Column) -> Column:
+        split = lambda p, at: let(F.split(p, " "), lambda ws: F.transform(ws, lambda w: F.struct(w.alias("w"), at.alias("at"), F.size(ws).alias("n"))))
+        words = F.sort_array(F.flatten(F.transform(ps, split)))
+        return let(F.sort_array(let(words, rated)), lambda ratios: F.slice(F.sort_array(scored(ratios, ps), asc=False), 1, k))
+
+    return let(phrases, lambda ps: F.when(F.size(ps) > 0, best(ps)))
 
 
 def key_phrases(
@@ -53,17 +62,6 @@ def key_phrases(
 
     Word statistics are those of the document alone, so a document is ranked in its row without any shuffle.
     """
-    entry = T.StructType([T.StructField("phrase", T.StringType()), T.StructField("phrase_score", T.DoubleType())])
-
-    @F.pandas_udf(T.ArrayType(entry))
-    def best(lines: pd.Series) -> pd.Series:
-        ranked = lambda ps: [{"phrase": p, "phrase_score": s} for p, s in ranked_phrases(ps, k)]
-        return lines.map(lambda x: ranked(x.split("\n")) if x else [])
-
-    # one string per document crosses to Python: flat text converts far faster than nested arrays
-    lines = F.array_join(candidate_phrases(F.col(text), stop_words), "\n")
-    # exploding a deterministic call would let the optimizer evaluate it again in an inferred filter
-    rows = docs.select(ident, best.asNondeterministic()(lines).alias("_best"))
-    return rows.select(ident, F.posexplode("_best").alias("_at", "_p")).select(
-        ident, (F.col("_at") + 1).alias("rank"), "_p.phrase", "_p.phrase_score"
-    )
+    # exploding the ranking itself would let the optimizer evaluate it again in an inferred filter
+    rows = docs.select(ident, F.posexplode_outer(ranked_phrases(candidate_phrases(F.col(text), stop_words), k)).alias("_at", "_p"))
+    return rows.where("_at is not null").select(ident, (F.col("_at") + 1).alias("rank"), "_p.phrase", "_p.phrase_score")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +12,10 @@ from pyspark.sql import types as T
 
 from turnloom.functions import text as tx
 from turnloom.functions.binding import let
+from turnloom.functions.grams import ngrams, shared, tagged, widest
 from turnloom.functions.stemming import stem_all
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Consecutive token n-grams joined by blanks."""
-    if n == 1:
-        return tokens
-    start = lambda ts: F.sequence(F.lit(1), F.size(ts) - (n - 1))
-    grams = lambda ts: F.transform(start(ts), lambda i: F.array_join(F.slice(ts, i, n), " "))
-    none = F.array().cast("array<string>")
-    return let(tokens, lambda ts: F.when(F.size(ts) >= n, grams(ts)).otherwise(none))
-
-
 def f_measure(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
@@ -56,58 +46,65 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 def _prepared(pairs: DataFrame, item: str, a: str, b: str, stem: bool) -> DataFrame:
     prepared = pairs.select(item, tx.lexical_tokens(F.col(a)).alias("_a"), tx.lexical_tokens(F.col(b)).alias("_b"))
     if stem:
-        # once per row: a deterministic call below an explode may be evaluated again in an inferred filter
+        # once per row: a deterministic call is evaluated again in every expression that it is merged into
         stemmed = _stemmed.asNondeterministic()
         prepared = prepared.select(item, stemmed("_a").alias("_a"), stemmed("_b").alias("_b"))
     return prepared
 
 
+def _scored(both: Column, in_a: Column, in_b: Column) -> Column:
+    """Precision, recall and F from counts of what two texts share and hold; a null text holds nothing."""
+    part = lambda whole: F.coalesce(F.try_divide(both, whole), F.lit(0.0))
+    return let(F.struct(part(in_b).alias("p"), part(in_a).alias("r")), lambda s: F.struct(
+        s["p"].alias("precision"), s["r"].alias("recall"), f_measure(s["p"], s["r"]).alias("f")
+    ))
+
+
+def _gram_scores(n: int) -> Column:
+    def of(grams: Column) -> Column:
+        return _scored(shared(tagged(grams["a"]), tagged(grams["b"])), F.size(grams["a"]), F.size(grams["b"]))
+
+    none = F.array().cast("array<string>")
+    side = lambda tokens: ngrams(F.coalesce(tokens, none), n)
+    return let(F.struct(side(F.col("_a")).alias("a"), side(F.col("_b")).alias("b")), of)
+
+
+def rouge_scores(
+    pairs: DataFrame, kinds: Sequence[str] = ("1", "L"), item: str = "item_id", a: str = "a", b: str = "b", stem: bool = True
+) -> DataFrame:
+    """``precision, recall, f`` of target ``a`` and prediction ``b`` for each kind in a column ``rouge<kind>``.
+
+    A kind is a number for n-grams or ``L`` for the longest common subsequence. Texts are cut and stemmed once for all
+    kinds and compared in their row: nothing is shuffled. Empty and null texts score 0.
+    """
+    prepared = _prepared(pairs, item, a, b, stem)
+    if "L" in kinds:
+        whole = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+        prepared = prepared.withColumn("_lcs", lcs_length(whole("_a"), whole("_b")))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    score = {k: _scored(F.col("_lcs"), size("_a"), size("_b")) if k == "L" else _gram_scores(int(k)) for k in kinds}
+    return prepared.select(item, *[score[k].alias(f"rouge{k}") for k in kinds])
+
+
 def rouge_n(
     pairs: DataFrame, n: int = 1, item: str = "item_id", a: str = "a", b: str = "b", stem: bool = True
 ) -> DataFrame:
     """Clipped n-gram overlap of target ``a`` and prediction ``b``: precision, recall, F per item."""
-    return _overlap(_prepared(pairs, item, a, b, stem), n, item)
-
-
-def _overlap(prepared: DataFrame, n: int, item: str) -> DataFrame:
-    def tagged(tokens: str, in_a: int) -> Column:
-        return F.transform(
-            ngrams(F.col(tokens), n),
-            lambda g: F.struct(g.alias("g"), F.lit(in_a).alias("a"), F.lit(1 - in_a).alias("b")),
-        )
-
-    # the last entry keeps items without any n-gram
-    rest = F.array(F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("a"), F.lit(0).alias("b")))
-    grams = prepared.select(item, F.explode(F.concat(tagged("_a", 1), tagged("_b", 0), rest)).alias("_g"))
-    counts = grams.groupBy(item, "_g.g").agg(F.sum("_g.a").alias("ca"), F.sum("_g.b").alias("cb"))
-    sums = counts.groupBy(item).agg(
-        F.sum(F.least("ca", "cb")).alias("_both"), F.sum("ca").alias("_na"), F.sum("cb").alias("_nb")
-    )
-    p = F.coalesce(F.try_divide(F.col("_both"), F.col("_nb")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("_both"), F.col("_na")), F.lit(0.0))
-    return sums.select(item, p.alias("precision"), r.alias("recall"), f_measure(p, r).alias("f"))
+    return rouge_scores(pairs, (str(n),), item, a, b, stem).select(item, f"rouge{n}.*")
 
 
 def rouge_l(
     pairs: DataFrame, item: str = "item_id", a: str = "a", b: str = "b", stem: bool = True
 ) -> DataFrame:
     """Longest common subsequence over the two token lists: precision, recall, F per item."""
-    prepared = _prepared(pairs, item, a, b, stem).withColumn("_lcs", lcs_length("_a", "_b"))
-    p = F.coalesce(F.try_divide(F.col("_lcs"), F.size("_b")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("_lcs"), F.size("_a")), F.lit(0.0))
-    return prepared.select(item, p.alias("precision"), r.alias("recall"), f_measure(p, r).alias("f"))
+    return rouge_scores(pairs, ("L",), item, a, b, stem).select(item, "rougeL.*")
 
 
 def rouge(
     pairs: DataFrame, kinds: Sequence[str] = ("1", "L"), item: str = "item_id", a: str = "a", b: str = "b", stem: bool = True
 ) -> DataFrame:
     """F scores side by side as ``rouge1_f``, ``rouge2_f``, ``rougeL_f``."""
-    out = None
-    for kind in kinds:
-        scored = rouge_l(pairs, item, a, b, stem) if kind == "L" else rouge_n(pairs, int(kind), item, a, b, stem)
-        scored = scored.select(item, F.col("f").alias(f"rouge{kind}_f"))
-        out = scored if out is None else out.join(scored, item)
-    return out
+    return rouge_scores(pairs, kinds, item, a, b, stem).select(item, *[F.col(f"rouge{k}.f").alias(f"rouge{k}_f") for k in kinds])
 
 
 def _set_f(p_set: Column, c_set: Column) -> Column:
@@ -133,20 +130,53 @@ def rouge_grid(pairs: DataFrame, n: int = 1, item: str = "item_id", premise: str
     return grid.select(item, mean_of(scores).alias("score"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _lcs_grid(premise: pd.Series, claim: pd.Series) -> pd.Series:
-    """Mean over claim sentences of the best LCS F with a premise sentence."""
+class Sentences:
+    """Sentences side by side for common subsequences: a word's places as bits, 64 words of a sentence in each number."""
+
+    def __init__(self, sentences: Sequence[Sequence[str]]):
+        self.sizes = np.array([len(s) for s in sentences], np.int64)
+        self.shape = (len(sentences), max(1, -(-int(self.sizes.max(initial=0)) // 64)))
+        self.places: dict[str, np.ndarray] = {}
+        for i, sentence in enumerate(sentences):
+            for at, word in enumerate(sentence):
+                if word not in self.places:
+                    self.places[word] = np.zeros(self.shape, np.uint64)
+                self.places[word][i, at // 64] |= np.uint64(1 << at % 64)
+
+    def common_lengths(self, words: Iterable[str]) -> np.ndarray:
+        """Length of the longest common subsequence of ``words`` with each sentence: one sweep over all per word."""
+        row = np.full(self.shape, ~np.uint64(0))
+        for word in words:
+            places = self.places.get(word)
+            if places is None:
+                continue
+            hit = row & places
+            carry = np.zeros(self.shape[0], np.uint64)
+            for w in range(self.shape[1]):
+                half = row[:, w] + hit[:, w]
+                total = half + carry
+                carry = ((half < hit[:, w]) | (total < half)).astype(np.uint64)
+                row[:, w] = total | (row[:, w] & ~hit[:, w])
+        # bits behind a sentence's end have no place and stay
+        return np.bitwise_count(~row).sum(axis=1, dtype=np.int64)
 
-    def one(ps, cs) -> float:
-        if not len(ps) or not len(cs):
-            return 0.0
-        f = lambda p, c: 2.0 * common_length(p, c) / (len(p) + len(c)) if len(p) and len(c) else 0.0
-        return sum(max(f(p, c) for p in ps) for c in cs) / len(cs)
 
-    return pd.Series([one(p, c) for p, c in zip(premise, claim)])
+@F.pandas_udf(T.DoubleType())
+def _lcs_grid(premise: pd.Series, claim: pd.Series) -> pd.Series:
+    """Mean over claim sentences of the best LCS F with a premise sentence; a premise is prepared once for all."""
+    out = []
+    for ps, cs in zip(premise, claim):
+        if ps is None or cs is None or not len(ps) or not len(cs):
+            out.append(0.0)
+            continue
+        side = Sentences(ps)
+        best = [(2.0 * side.common_lengths(c) / np.maximum(side.sizes + len(c), 1)).max() for c in cs]
+        out.append(float(sum(best) / len(cs)))
+    return pd.Series(out, dtype="float64")
 
 
 def rouge_grid_l(pairs: DataFrame, item: str = "item_id", premise: str = "a", claim: str = "b") -> DataFrame:
+    """Sentence-grid ROUGE-L: for each claim sentence the best F with a premise sentence, averaged; 0 without claim."""
     words = lambda s: tx.words(F.replace(s, F.lit("."), F.lit(" ")))
     side = lambda c: F.transform(tx.sentences(F.col(c)), words)
     return pairs.select(item, _lcs_grid(side(premise), side(claim)).alias("score"))
@@ -158,6 +188,36 @@ def mean_of(scores: Column) -> Column:
     return let(scores, lambda xs: F.when(F.size(xs) > 0, total(xs) / F.size(xs)).otherwise(F.lit(0.0)))
 
 
+def sentence_bleu(refs: Column, hyps: Column, weights: Sequence[float]) -> Column:
+    """BLEU of each token list of ``hyps`` against all of ``refs``: clipped n-gram precision, closest-length penalty.
+
+    A gram counts as often as the reference that has it most often. An order of weight 0 is not looked at, but without
+    a common word the score is 0; so it is where an order has no common gram.
+    """
+    used = [k for k, w in enumerate(weights, start=1) if w > 0]
+    orders = sorted({1, *used})
+
+    def caps(rs: Column) -> Column:
+        return F.struct(*[widest(F.transform(rs, lambda r: tagged(ngrams(r, k)))).alias(f"c{k}") for k in orders])
+
+    def score(hyp: Column, rs: Column, cap: Column) -> Column:
+        hits = F.struct(*[shared(tagged(ngrams(hyp, k)), cap[f"c{k}"]).alias(f"h{k}") for k in orders])
+        size = F.size(hyp)
+        closest = F.array_min(F.transform(rs, lambda r: F.struct(F.abs(F.size(r) - size).alias("d"), F.size(r).alias("n"))))["n"]
+
+        def of(h: Column) -> Column:
+            logs = sum((F.lit(weights[k - 1]) * F.log(h[f"h{k}"] / (size - (k - 1))) for k in used), F.lit(0.0))
+            penalty = F.least(F.lit(1.0), F.exp(1 - closest / size))
+            some = F.lit(True)
+            for k in orders:
+                some = some & (h[f"h{k}"] > 0)
+            return F.when(some, penalty * F.exp(logs)).otherwise(F.lit(0.0))
+
+        return let(hits, of)
+
+    return let(refs, lambda rs: let(caps(rs), lambda cap: F.transform(hyps, lambda hyp: score(hyp, rs, cap))))
+
+
 def bleu(
     pairs: DataFrame,
     n: int = 4,
@@ -167,70 +227,17 @@ def bleu(
     weights: Sequence[float] | None = None,
 ) -> DataFrame:
     """Sentence BLEU of each claim sentence against all premise sentences, averaged per item; 0 without claim."""
-    base = pairs.select(
-        item,
-        F.transform(tx.sentences(F.col(premise)), tx.words).alias("_refs"),
-        F.transform(tx.sentences(F.col(claim)), tx.words).alias("_hyps"),
-    )
     weights = tuple(weights) if weights is not None else (1.0 / n,) * n
-
-    @F.pandas_udf(T.DoubleType())
-    def mean_score(refs: pd.Series, hyps: pd.Series) -> pd.Series:
-        scores = [sentence_bleu(_unpacked(r), _unpacked(h), weights) for r, h in zip(refs, hyps)]
-        return pd.Series([sum(s) / len(s) if s else 0.0 for s in scores])
-
-    return base.select(item, mean_score(_packed("_refs"), _packed("_hyps")).alias("score"))
-
-
-def _packed(lists: str) -> Column:
-    """Token lists as one string: flat text crosses to Python far faster than nested arrays."""
-    return F.array_join(F.transform(lists, lambda ts: F.array_join(ts, " ")), "\n")
-
-
-def _unpacked(text: str) -> list[list[str]]:
-    return [line.split(" ") for line in text.split("\n")] if text else []
-
-
-def _gram_counts(tokens: Sequence[str], k: int) -> Counter:
-    return Counter(tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
-
-
-def sentence_bleu(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]], weights: Sequence[float]) -> list[float]:
-    """BLEU of each hypothesis against all references: clipped n-gram precision, closest-length brevity penalty."""
-    used = [k for k, w in enumerate(weights, start=1) if w > 0]
-    caps: dict[int, Counter] = {k: Counter() for k in {1, *used}}
-    for ref in refs:
-        for k, cap in caps.items():
-            for gram, count in _gram_counts(ref, k).items():
-                if count > cap[gram]:
-                    cap[gram] = count
-    out = []
-    for hyp in hyps:
-        hits = {k: sum(min(c, cap[g]) for g, c in _gram_counts(hyp, k).items()) for k, cap in caps.items()}
-        if not all(hits.values()):
-            out.append(0.0)
-            continue
-        logs = sum(weights[k - 1] * math.log(hits[k] / (len(hyp) - k + 1)) for k in used)
-        closest = min((abs(len(r) - len(hyp)), len(r)) for r in refs)[1]
-        out.append(min(1.0, math.exp(1 - closest / len(hyp))) * math.exp(logs))
-    return out
+    side = lambda c: F.transform(tx.sentences(F.col(c)), tx.words)
+    return pairs.select(item, mean_of(sentence_bleu(side(premise), side(claim), weights)).alias("score"))
 
 
 def bleu_of_tokens(
     base: DataFrame, item: str, n: int = 4, weights: Sequence[float] | None = None
 ) -> DataFrame:
-    """BLEU per (item, hyp) from ``_refs`` and ``_hyps``, arrays of token lists; a null score without hypothesis.
-
-    The texts of a pair are compared in their row: n-grams are a multiple of the text and are never shuffled.
-    """
+    """BLEU per (item, hyp) from ``_refs`` and ``_hyps``, arrays of token lists; a null score without hypothesis."""
     weights = tuple(weights) if weights is not None else (1.0 / n,) * n
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def scores(refs: pd.Series, hyps: pd.Series) -> pd.Series:
-        return pd.Series([sentence_bleu(_unpacked(r), _unpacked(h), weights) for r, h in zip(refs, hyps)])
-
-    # a deterministic call below an explode would be evaluated again in an inferred filter
-    scored = base.withColumn("_bleu", scores.asNondeterministic()(_packed("_refs"), _packed("_hyps")))
+    scored = base.select(item, sentence_bleu(F.col("_refs"), F.col("_hyps"), weights).alias("_bleu"))
     return scored.select(item, F.posexplode_outer("_bleu").alias("hyp", "bleu"))
 
 

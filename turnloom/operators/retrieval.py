@@ -1,80 +1,138 @@
-"""Lexical retrieval (BM25) with exact top lists, and ranking metrics."""
+"""Lexical retrieval (BM25) over an inverted index with exact top lists, and ranking metrics.
+
+The index has one row per block of postings: a term's documents and what the term adds to each, with the highest of
+these. Frequent terms have many blocks. A query's terms reach the blocks of those terms only, and not all of them:
+its rarest terms first give scores that the k-th best document reaches at least. Terms that together cannot lift a
+document above that bring no candidates; they are only looked up for candidates that can still reach it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnloom.functions import text as tx
+from turnloom.functions.binding import let
+from turnloom.functions.grams import by_run, run_starts
 from turnloom.session import durable
 
 K1, B = 1.2, 0.75
-POSTINGS_PER_TILE = 250_000
-WEIGHTS_PER_TILE = 50_000
-SLICE = 512
-
-
-def _tile_top(k: int, query: str, doc: str, schema: pa.Schema):
-    """Kernel: best ``k`` documents of a document tile for every query of a query tile."""
-
-    def kernel(postings: pa.Table, weights: pa.Table) -> pa.Table:
-        if not len(postings) or not len(weights):
-            return schema.empty_table()
-        terms = pc.unique(weights["term"])
-        queries = weights[query].combine_chunks().dictionary_encode()
-        matrix = np.zeros((len(terms), len(queries.dictionary)))
-        at = pc.index_in(weights["term"], value_set=terms).to_numpy()
-        np.add.at(matrix, (at, queries.indices.to_numpy()), weights["weight"].to_numpy())
-
-        term = pc.index_in(postings["term"], value_set=terms)
-        postings = postings.filter(pc.is_valid(term))
-        term = term.drop_null().to_numpy()
-        if not len(term):
-            return schema.empty_table()
-        docs = postings[doc].combine_chunks().dictionary_encode()
-        place, value = docs.indices.to_numpy(), postings["tf"].to_numpy()
-        order = np.argsort(place, kind="stable")
-        place, term, value = place[order], term[order], value[order]
-        # ties go to the smaller document id: number the tile's documents by id
-        rank = np.empty(len(docs.dictionary), dtype=np.int64)
-        rank[pc.sort_indices(docs.dictionary).to_numpy()] = np.arange(len(docs.dictionary))
-
-        n_docs, n_queries = len(docs.dictionary), matrix.shape[1]
-        best = [[] for _ in range(n_queries)]
-        edges = np.searchsorted(place, np.arange(0, n_docs + SLICE, SLICE))
-        for s in range(len(edges) - 1):
-            lo, hi = edges[s], edges[s + 1]
-            dense = np.zeros((min(SLICE, n_docs - s * SLICE), matrix.shape[0]))
-            dense[place[lo:hi] - s * SLICE, term[lo:hi]] = value[lo:hi]
-            scores = dense @ matrix
-            ids = np.arange(s * SLICE, s * SLICE + len(scores))
-            for q in range(n_queries):
-                hit = np.flatnonzero(scores[:, q] > 0)
-                best[q].append((ids[hit], scores[hit, q]))
-        out_q, out_d, out_s = [], [], []
-        for q, parts in enumerate(best):
-            ids = np.concatenate([p[0] for p in parts])
-            scores = np.concatenate([p[1] for p in parts])
-            keep = np.lexsort((rank[ids], -np.round(scores, 9)))[:k]
-            out_q.append(np.full(len(keep), q))
-            out_d.append(ids[keep])
-            out_s.append(scores[keep])
-        return pa.table(
-            [
-                queries.dictionary.take(pa.array(np.concatenate(out_q))),
-                docs.dictionary.take(pa.array(np.concatenate(out_d))),
-                pa.array(np.concatenate(out_s)),
-            ],
-            schema=schema,
-        )
-
-    return kernel
+#: Postings in a block, at most about; a term with more has its documents dealt over several blocks.
+BLOCK = 4096
+#: Postings, per wanted document, that the rarest terms of a query may have for the first scores.
+FIRST = 20
+#: Scores are sums of doubles in any order: bounds are taken this much wider.
+SLACK = 1e-7
+
+
+class Index(NamedTuple):
+    """``blocks``: ``term, block, docs, gains, top``; ``terms``: ``term, df, top``, both without the terms' own weight."""
+
+    blocks: DataFrame
+    terms: DataFrame
+    n_docs: int
+
+
+def term_counts(text: Column) -> Column:
+    """``array<struct<term, n>>``: each term of a text once with its number of occurrences."""
+    entry = lambda run: F.struct(F.get(run, F.lit(0)).alias("term"), F.size(run).alias("n"))
+    return let(F.sort_array(tx.lexical_tokens(text)), lambda ts: let(run_starts(ts), lambda starts: by_run(ts, starts, entry)))
+
+
+def build_index(
+    corpus: DataFrame, vocabulary: DataFrame | None = None, doc: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, block: int = BLOCK
+) -> Index:
+    """Index of ``corpus``, of the terms of ``vocabulary(term)`` only if it is given.
+
+    Terms are counted inside each row, so a document's terms are shuffled once each, in blocks. Documents without a
+    term count for the average length and have no postings.
+    """
+    length = F.aggregate("bag", F.lit(0).cast("long"), lambda acc, e: acc + e["n"])
+    # lengths are stored too: above an explode they would be computed for each term
+    bags = corpus.select(F.col(doc).alias("doc"), term_counts(F.col(text)).alias("bag"))
+    bags = durable(bags.withColumn("dl", F.coalesce(length, F.lit(0))))
+    size = bags.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n_docs, avgdl = size["n"], float(size["avgdl"] or 1.0)
+    tf = F.col("e.n")
+    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    postings = bags.select("doc", "dl", F.explode("bag").alias("e")).select("e.term", "doc", gain.alias("gain"))
+    if vocabulary is not None:
+        postings = postings.join(vocabulary, "term")
+    postings = durable(postings)
+    terms = durable(postings.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("top")))
+    parts = F.greatest(F.ceil(F.col("df") / block), F.lit(1))
+    dealt = postings.join(terms.select("term", "df"), "term").withColumn("block", F.pmod(F.xxhash64("doc"), parts))
+    blocks = dealt.groupBy("term", "block").agg(  # about ``block`` postings each
+        F.collect_list(F.struct("doc", "gain")).alias("postings"), F.max("gain").alias("top")
+    )
+    blocks = blocks.select("term", "block", F.col("postings.doc").alias("docs"), F.col("postings.gain").alias("gains"), "top")
+    return Index(durable(blocks), terms, n_docs)
+
+
+def asked_terms(queries: DataFrame, index: Index, query: str, text: str) -> DataFrame:
+    """``query, term, weight, df, most``: the terms of each query that the index has, with the most that one can add."""
+    terms = queries.select(F.col(query).alias("query"), F.explode(tx.lexical_tokens(F.col(text))).alias("term"))
+    terms = terms.groupBy("query", "term").agg(F.count("*").alias("qtf")).join(index.terms, "term")
+    idf = F.log1p((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = terms.withColumn("weight", idf * F.col("qtf"))
+    return weighed.select("query", "term", "weight", "df", (F.col("weight") * F.col("top")).alias("most"))
+
+
+def reached(asked: DataFrame, index: Index) -> DataFrame:
+    """``query, doc, score`` of the postings that ``asked(query, term, weight)`` reaches, added up.
+
+    With a column ``need`` a block counts only if its highest posting can lift a document to ``need`` together with
+    all of the query that is not looked up by ``asked`` or stands in other terms: ``most_else``.
+    """
+    met = asked.join(index.blocks, "term")
+    if "need" in asked.columns:
+        met = met.where(F.col("weight") * F.col("top") + F.col("most_else") >= F.col("need"))
+    each = met.select("query", "weight", F.explode(F.arrays_zip("docs", "gains")).alias("p"))
+    return each.groupBy("query", F.col("p.docs").alias("doc")).agg(F.sum(F.col("weight") * F.col("p.gains")).alias("score"))
+
+
+def first_scores(asked: DataFrame, index: Index, k: int) -> DataFrame:
+    """``query, least``: a score that ``k`` documents reach, from the query's rarest terms; queries with fewer hits are left out."""
+    rarest = Window.partitionBy("query").orderBy("df", "term")
+    before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = asked.withColumn("_before", before).where(F.col("_before") < FIRST * k)
+    best = Window.partitionBy("query").orderBy(F.col("score").desc())
+    placed = reached(few, index).withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k)
+    return placed.where(F.col("_place") == k).select("query", F.col("score").alias("least"))
+
+
+def split_terms(asked: DataFrame, least: DataFrame) -> DataFrame:
+    """``asked`` with ``need``, ``leading``, ``most_else`` and ``most_late`` by query.
+
+    The weakest terms of a query whose greatest shares add up to less than ``need`` do not lead: a document with none
+    but these cannot be among the best. ``most_else`` is what all other terms can add, ``most_late`` what all terms
+    that do not lead can.
+    """
+    weakest = Window.partitionBy("query").orderBy("most", "term")
+    every = Window.partitionBy("query")
+    rows = asked.join(least, "query", "left").withColumn("need", F.coalesce(F.col("least") * (1 - SLACK) - SLACK, F.lit(0.0))).drop("least")
+    rows = rows.withColumn("leading", F.sum("most").over(weakest) >= F.col("need"))
+    late = F.sum(F.when(~F.col("leading"), F.col("most")).otherwise(0.0)).over(every)
+    return rows.withColumns({"most_else": F.sum("most").over(every) - F.col("most"), "most_late": late})
+
+
+def search(asked: DataFrame, index: Index, k: int) -> DataFrame:
+    """``query, doc, score`` with every document that can be among the best ``k`` of its query, scores exact."""
+    split = durable(split_terms(asked, first_scores(asked, index, k)))
+    leading = reached(split.where("leading"), index)
+    late = split.where("not leading").select("query", "term", "weight")
+    bounds = split.groupBy("query").agg(F.first("need").alias("need"), F.first("most_late").alias("most_late"))
+    alive = leading.join(bounds, "query").where(F.col("score") + F.col("most_late") >= F.col("need"))
+    alive = durable(alive.select("query", "doc", "score"))
+    # a posting of a late term moves once, to its document's candidates
+    wanted = alive.select("query", "doc").join(late, "query")
+    held = index.blocks.join(late.select("term").distinct(), "term", "left_semi")
+    held = held.select("term", F.explode(F.arrays_zip("docs", "gains")).alias("p")).select("term", F.col("p.docs").alias("doc"), F.col("p.gains").alias("gain"))
+    added = wanted.join(held, ["term", "doc"]).groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("gain")).alias("more"))
+    return alive.join(added, ["query", "doc"], "left").select("query", "doc", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def bm25(
@@ -86,49 +144,18 @@ def bm25(
     text: str = "text",
     k1: float = K1,
     b: float = B,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Exact top ``k`` documents per query: ``(query, doc, score, rank)``.
+    """Exact top ``k`` documents per query: ``(query, doc, score, rank)``; equal scores go by ``doc``.
 
-    Documents are first reduced to the terms some query uses. Scores come from tiles of documents x queries, and
-    only each tile's top list leaves it, so neither a frequent term nor a large query set multiplies rows.
+    Queries and documents without a common term do not come.
     """
-    terms = queries.select(query, F.explode(tx.lexical_tokens(F.col(text))).alias("term"))
-    terms = terms.groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    vocabulary = terms.select("term").distinct()
-    length = F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}]+"))
-    size = corpus.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl")).first()
-    bags = corpus.select(doc, tx.lexical_tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    n_docs, avgdl = size["n"], float(size["avgdl"] or 1.0)
-    counted = (
-        bags.select(doc, "dl", F.explode("_t").alias("term")).join(vocabulary, "term").groupBy(doc, "dl", "term")
-    ).agg(F.count("*").alias("_tf"))
-    norm = F.col("_tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
-    postings = durable(counted.select(doc, "term", (F.col("_tf") * (k1 + 1) / norm).alias("tf")))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = durable(terms.join(frequency, "term").select(query, "term", (idf * F.col("qtf")).alias("weight")))
-
-    doc_tiles = max(1, -(-postings.count() // POSTINGS_PER_TILE))
-    query_tiles = max(1, -(-weights.count() // WEIGHTS_PER_TILE))
-    tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = postings.withColumn("_d", tile(doc, doc_tiles)).withColumn("_q", every(query_tiles))
-    right = weights.withColumn("_q", tile(query, query_tiles)).withColumn("_d", every(doc_tiles))
-    out = T.StructType(
-        [weights.schema[query], postings.schema[doc], T.StructField("score", T.DoubleType())]
-    )
-    arrow = pa.schema(
-        [(query, _arrow_type(weights.schema[query])), (doc, _arrow_type(postings.schema[doc])), ("score", pa.float64())]
-    )
-    best = left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(_tile_top(k, query, doc, arrow), out)
-    order = Window.partitionBy(query).orderBy(F.round("score", 9).desc(), doc)
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _arrow_type(field: T.StructField) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(field.dataType)
+    vocabulary = queries.select(F.explode(tx.lexical_tokens(F.col(text))).alias("term")).distinct()
+    index = build_index(corpus, durable(vocabulary), doc, text, k1, b, block)
+    asked = durable(asked_terms(queries, index, query, text))
+    order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
+    best = search(asked, index, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select(F.col("query").alias(query), F.col("doc").alias(doc), "score", "rank")
 
 
 def rerank(run: DataFrame, scores: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:

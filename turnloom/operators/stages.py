@@ -166,7 +166,7 @@ def score_pairs(
         c = containment(token_set(F.col(premise)), token_set(F.col(claim)))
         tri = let(F.struct(c.alias("c")), lambda s: F.array(s["c"], F.lit(0.0), 1 - s["c"]))
         return pairs.withColumn("reg", c).withColumn("bin", F.col("reg")).withColumn("tri", tri)
-    wrapped = lambda: _named_heads(make_client())
+    wrapped = lambda: named_heads(make_client())
     both = F.to_json(F.struct(F.col(premise).alias("premise"), F.col(claim).alias("hypothesis")))
     scored = batch_stage(pairs, wrapped, both, "_heads", "string")
     heads = F.from_json("_heads", "reg double, bin double, tri array<double>")
@@ -176,7 +176,8 @@ def score_pairs(
     )
 
 
-def _named_heads(client: Client) -> Client:
+def named_heads(client: Client) -> Client:
+    """A pair client for a stage over one column: JSON pairs in, the three heads as JSON out."""
     import json
 
     def call(batch: list) -> list:
