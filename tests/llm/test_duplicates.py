@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from cases import LONG, ODD, frame, reach, simhash, winnowed
 
-from turnloom.llm import exact_dedup, line_dedup, simhash as sh, winnowing
+from turnloom.llm import exact_dedup, line_dedup, near_copies, simhash as sh, winnowing
 from turnloom.llm.components import components
 
 
@@ -148,6 +148,33 @@ def test_near_copies_are_those_of_five_word_jaccard(spark, odd):
     assert sorted(r.doc_id for r in drop_near_copies(spark, docs, "").collect()) == [0, 3, 4, 5]
     kept = [r.doc_id for r in drop_near_copies(spark, odd, "").collect()]
     assert sorted(k or -1 for k in kept) == [-1, 1, 3, 6, 7, 8, 9, 10, 11]
+    assert drop_near_copies(spark, odd.where("doc_id > 100"), "").collect() == []
+
+
+@pytest.mark.parametrize("cells, range_bytes", [(1 << 17, 1 << 24), (500, 4000)])
+def test_near_copies_of_random_texts(spark, cells, range_bytes):
+    """All components of the similarity join by all pairs are found, whatever the size of blocks; no others are."""
+    from test_joins import edited, linked
+
+    rows = edited(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.classes(df, cells, range_bytes).collect()}
+    assert got == {d: c for d, _, c in linked(rows)}
+
+
+def test_trie_finds_the_links_of_a_tile():
+    make = np.random.default_rng(3)
+    base = np.unique(make.integers(0, 1 << 63, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([make.choice(base, 190, replace=False), make.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(20)]
+    sets += [np.unique(make.integers(0, 1 << 63, 150, dtype=np.uint64)) for _ in range(10)]
+    label, sizes = list(range(30)), np.array([len(s) for s in sets])
+    bits = [near_copies.fingerprint(s) for s in sets]
+    plain = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+    assert [int(b[0]) for b in bits] == plain
+    found = near_copies.trie_links(label, np.zeros(30, int), sizes, bits, sets, True)
+    assert len(found) == 19 and {x for pair in found for x in pair} == set(range(20))
+    side = np.array([0] * 10 + [1] * 20)
+    assert all(side[i] != side[j] for i, j in near_copies.trie_links(label, side, sizes, bits, sets, False))
 
 
 # lines

@@ -62,10 +62,10 @@ WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w
     WITH raw AS (SELECT doc_id, pos - 1 AS pos, lines[pos] AS line
                  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
     w AS (SELECT doc_id, pos, {WORDS.format("line")} AS words FROM raw),
-    m AS (SELECT *, list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS masked FROM w WHERE len(words) >= 3),
-    g AS (SELECT *, len(words) >= 8 AND len(list_filter(masked, lambda x: x <> '<*>')) >= 0.8 * len(words) AS general FROM m),
+    m AS (SELECT *, list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS masked FROM w WHERE len(words) >= 1),
+    g AS (SELECT *, NOT list_contains(masked, '<*>') OR len(list_filter(masked, lambda x: x <> '<*>' AND regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) > 0 AS general FROM m),
     l AS (SELECT doc_id, pos, CASE WHEN general THEN masked ELSE words END AS words, general FROM g),
-    k AS (SELECT *, array_to_string(words, ' ') AS line, CASE WHEN general THEN len(words) || ' ' || array_to_string(words[1:5], ' ') END AS leaf FROM l),
+    k AS (SELECT *, array_to_string(words, ' ') AS line, CASE WHEN general THEN len(words) || ' ' || array_to_string(words[1:3], ' ') END AS leaf FROM l),
     d AS (SELECT leaf, line, any_value(words) AS words, min(doc_id) AS a, max(doc_id) AS b FROM k WHERE leaf IS NOT NULL GROUP BY ALL),
     s AS (SELECT leaf FROM d GROUP BY leaf HAVING count(*) > 1 AND min(a) < max(b)),
     t AS (SELECT leaf, line, unnest(words) AS word, unnest(range(len(words))) AS place FROM d WHERE leaf IN (FROM s)),
@@ -85,8 +85,7 @@ WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w
     """,
 )
 def lines_dropped(spark: SparkSession, folder: str) -> DataFrame:
-    # the limits that the SQL above sets
-    kept = line_dedup.drop_lines(table(spark, folder, "documents"), line_dedup.Rules(depth=5, least=3, fields=8, constant=4))
+    kept = line_dedup.drop_lines(table(spark, folder, "documents"))
     return kept.select("row.doc_id", "n_lines", "n_dropped", "text")
 
 
@@ -202,7 +201,7 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
     """,
 )
 def ngram_links(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.linked_documents(table(spark, folder, "documents")).drop("text_hash")
+    return ngram_join.linked_documents(table(spark, folder, "documents"))
 
 
 TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"

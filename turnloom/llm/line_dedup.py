@@ -14,61 +14,47 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.session import durable
 
-#: Positions, of each so many, in which a line agrees with its leaf's template, and which digits leave constant.
+#: Positions, of each so many, in which a line agrees with its leaf's template.
 ALIKE, OF = 4, 5
 
+#: Leading words on the way to a leaf.
+DEPTH = 3
+#: Lines returned at once.
+ROWS = 20_000
+
 DIGIT = re.compile(rb"[0-9]")
 LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 FIELD = b"<*>"
 _LAST = (1 << 63) - 1
 
 
-class Rules(NamedTuple):
-    """Which lines take part: by default every line with a word, and every one with a word of letters beside its fields has a leaf."""
-
-    #: Leading words on the way to a leaf.
-    depth: int = 3
-    #: Lines with fewer words are never dropped.
-    least: int = 1
-    #: Lines with fewer words have no leaf.
-    fields: int = 1
-    #: Words, of each ``OF`` so many, that must be constant for a leaf; with 0 a word of letters is enough.
-    constant: int = 0
-
-
-WHOLE = Rules()
+def parse(line: bytes, depth: int = DEPTH) -> tuple[list[bytes], bytes | None]:
+    """Words of a line, runs without ASCII white space, and its leaf, a digest of 16 bytes.
 
-
-def parse(line: bytes, rules: Rules = WHOLE) -> tuple[list[bytes], int | None]:
-    """Words of a line, runs without ASCII white space, and its leaf.
-
-    Words with digits become variable fields unless the rules see too little left that is constant; then the line has
-    no leaf and stands for itself.
+    Words with digits become variable fields; where no word with a letter is left beside them, the line has no leaf and
+    stands for itself, as does one without words.
     """
     words = line.split()
-    if len(words) < max(rules.fields, 1):
+    if not words:
         return words, None
     if DIGIT.search(line) or FIELD in words:
         masked = [FIELD if DIGIT.search(w) else w for w in words]
-        fixed = [w for w in masked if w != FIELD]
-        if OF * len(fixed) < rules.constant * len(words) or not (rules.constant or any(map(LETTER.search, fixed))):
+        if not any(LETTER.search(w) for w in masked if w != FIELD):
             return words, None
         words = masked
-    leaf = xxhash.xxh3_64_intdigest(b" ".join([str(len(words)).encode(), *words[: rules.depth]]))
-    return words, leaf - (1 << 64) if leaf >> 63 else leaf
+    return words, xxhash.xxh3_128_digest(b" ".join([str(len(words)).encode(), *words[:depth]]))
 
 
-def _lines(docs: DataFrame, rules: Rules) -> DataFrame:
-    """``id, doc, pos, line, leaf`` for every line with enough words; ``line`` is a hash of 16 bytes."""
+def _lines(docs: DataFrame, depth: int) -> DataFrame:
+    """``id, doc, pos, line, leaf`` for every line with a word; ``doc``, ``line`` and ``leaf`` are digests of 16 bytes."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["id", "doc", "pos", "line", "leaf"]
@@ -76,22 +62,28 @@ def _lines(docs: DataFrame, rules: Rules) -> DataFrame:
             rows = []
             for ident, doc, text in zip(batch["id"], batch["doc"], batch["text"], strict=True):
                 for pos, raw in enumerate(text.encode("utf-8").split(b"\n")):
-                    words, leaf = parse(raw, rules)
-                    if len(words) >= rules.least:
+                    words, leaf = parse(raw, depth)
+                    if words:
                         rows.append((ident, doc, pos, xxhash.xxh3_128_digest(b" ".join(words)), leaf))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names).astype({"leaf": "Int64"})
-                    rows = []
-            yield pd.DataFrame(rows, columns=names).astype({"leaf": "Int64"})
+                    if len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    return _identified(docs).where("text is not null").mapInPandas(cut, "id long, doc binary, pos int, line binary, leaf binary")
+
 
-    return _identified(docs).where("text is not null").mapInPandas(cut, "id long, doc long, pos int, line binary, leaf long")
+def _named(ident: Column, text: Column) -> Column:
+    """16 bytes that name an id and text: two hashes that do not depend on one another."""
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), ident, text)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("doc_id", "text").alias("doc"), "text")
+    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), _named(F.col("doc_id"), F.col("text")).alias("doc"), "text")
 
 
-def generalised(docs: DataFrame, kinds: DataFrame, rules: Rules) -> DataFrame:
+def generalised(docs: DataFrame, kinds: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``line, leaf`` for every kind of line that stands for its leaf's template; kinds alone in their leaf are left out.
 
     ``kinds`` has one row per different line: ``line, leaf, first, last``.
@@ -107,11 +99,11 @@ def generalised(docs: DataFrame, kinds: DataFrame, rules: Rules) -> DataFrame:
             rows = []
             for text, places in zip(batch["text"], batch["at"], strict=True):
                 lines = text.encode("utf-8").split(b"\n")
-                rows += [(p["leaf"], p["line"], [w.decode("utf-8") for w in parse(lines[p["pos"]], rules)[0]]) for p in places]
+                rows += [(p["leaf"], p["line"], [w.decode("utf-8") for w in parse(lines[p["pos"]], depth)[0]]) for p in places]
             yield pd.DataFrame(rows, columns=["leaf", "line", "words"])
 
     texts = _identified(docs).join(wanted, "doc").select("text", "at")
-    words = durable(texts.mapInPandas(cut, "leaf long, line binary, words array<string>").dropDuplicates(["line"]))
+    words = durable(texts.mapInPandas(cut, "leaf binary, line binary, words array<string>").dropDuplicates(["line"]))
     each = words.select("leaf", F.posexplode("words").alias("place", "word")).groupBy("leaf", "place", "word")
     each = each.agg(F.count(F.lit(1)).alias("n"))
     # the most frequent word of a position, of equally frequent ones the first by code point
@@ -126,13 +118,13 @@ def generalised(docs: DataFrame, kinds: DataFrame, rules: Rules) -> DataFrame:
     return durable(words.join(template, "leaf").where(agrees("words", "best")).select("line", "leaf"))
 
 
-def recurring_lines(docs: DataFrame, rules: Rules = WHOLE) -> DataFrame:
+def recurring_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``doc, pos``: the line occurrences to drop, in narrow rows."""
     docs = docs.select("doc_id", "text")
-    lines = durable(_lines(docs, rules))
+    lines = durable(_lines(docs, depth))
     kinds = lines.groupBy("line", "leaf").agg(F.min(F.struct("id", "pos", "doc")).alias("first"), F.max("id").alias("last"))
     kinds = durable(kinds)
-    general = generalised(docs, kinds, rules)
+    general = generalised(docs, kinds, depth)
     members = durable(kinds.drop("leaf").join(general, "line"))
     templates = members.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.id < last")
     again = members.select("line", "leaf").join(templates.select("leaf", "first"), "leaf").select("line", "first")
@@ -142,14 +134,14 @@ def recurring_lines(docs: DataFrame, rules: Rules = WHOLE) -> DataFrame:
     return gone.select("doc", "pos").distinct()
 
 
-def drop_lines(docs: DataFrame, rules: Rules = WHOLE) -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``row, text, n_lines, n_dropped`` for every row: the row of ``docs`` as it was, and its text without recurring lines.
 
     A line recurs if its template is in documents of different ids. Its occurrence in the least id, of those the least
     position, stays. A text of which nothing is left becomes empty; a null text stays null and has no lines. Rows
     without an id count as one document behind all others; rows that repeat an id and a text are treated alike.
     """
-    drops = recurring_lines(docs, rules).groupBy("doc").agg(F.collect_list("pos").alias("places"))  # at most the lines of one text
+    drops = recurring_lines(docs, depth).groupBy("doc").agg(F.collect_list("pos").alias("places"))  # at most the lines of one text
 
     @F.pandas_udf("string")
     def rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -161,7 +153,7 @@ def drop_lines(docs: DataFrame, rules: Rules = WHOLE) -> DataFrame:
             yield pd.Series(kept, dtype=object)
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.xxhash64("doc_id", "text").alias("doc")).join(drops, "doc", "left")
+    rows = docs.select(row.alias("row"), _named(F.col("doc_id"), F.col("text")).alias("doc")).join(drops, "doc", "left")
     rows = rows.withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
     whole = F.coalesce("row.text", F.lit(""))
     text = F.when(F.size("places") == 0, F.col("row.text")).otherwise(rest(whole, F.col("places")))

@@ -14,7 +14,7 @@ tiles of two blocks return no pairs but links that unite components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -279,8 +279,8 @@ def members(found: DataFrame) -> DataFrame:
     return durable(each.join(durable(shared), ["band", "key"]))
 
 
-def contents(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node, short, size, bits, content`` for the sets numbered in ``wanted``: bitmap and sorted shingles."""
+def contents(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int = WORDS, sign: Callable[[np.ndarray], np.ndarray] = bitmap) -> DataFrame:
+    """``node, short, size, bits, content`` for the sets numbered in ``wanted``: signature and sorted shingles."""
 
     @F.pandas_udf("long")
     def short(nodes: pd.Series) -> pd.Series:
@@ -298,35 +298,45 @@ def contents(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int = W
                 own = [shingles(t, words) for t in part["text"]]
                 yield pd.DataFrame({
                     "node": part["node"], "short": part["short"], "size": [len(s) for s in own],
-                    "bits": [bitmap(s).tobytes() for s in own], "content": [_signed(s) for s in own],
+                    "bits": [sign(s).tobytes() for s in own], "content": [_signed(s) for s in own],
                 })
 
     kinds = "node binary, short long, size int, bits binary, content array<long>"
     return durable(texts.select("node", "short", "text").mapInPandas(cut, kinds).dropDuplicates(["node"]))
 
 
-def led(meeting: DataFrame, held: DataFrame) -> DataFrame:
-    """``a, b``: links of sets with the leader of a key that they share; a leader is the least number of its key."""
+Near = Callable[[int, np.ndarray, int, np.ndarray], bool]
+
+
+def led(meeting: DataFrame, held: DataFrame, near: Near | None = None) -> DataFrame:
+    """``a, b``: links of sets with the leader of a key that they share; a leader is the least number of its key.
+
+    ``near`` tells by sizes and signatures whether a pair is to be intersected; by default bitmaps bound the overlap.
+    """
+    near = near or bounded
     leaders = durable(meeting.groupBy("band", "key").agg(F.min(F.struct("short", "size")).alias("l")).select("band", "key", "l.short", "l.size"))
     pairs = meeting.join(leaders.withColumnsRenamed({"short": "other", "size": "other_size"}), ["band", "key"])
-    near = OF * F.least("size", "other_size").cast("long") >= ALIKE * F.greatest("size", "other_size").cast("long")
-    pairs = durable(pairs.where((F.col("short") != F.col("other")) & near).select("short", "other").distinct())
+    sized = OF * F.least("size", "other_size").cast("long") >= ALIKE * F.greatest("size", "other_size").cast("long")
+    pairs = durable(pairs.where((F.col("short") != F.col("other")) & sized).select("short", "other").distinct())
     left = held.select("short", F.col("node").alias("a"), F.col("size").alias("n"), F.col("bits").alias("p"), F.col("content").alias("x"))
     right = held.select(F.col("short").alias("other"), F.col("node").alias("b"), F.col("size").alias("m"), F.col("bits").alias("q"), F.col("content").alias("y"))
 
     @F.pandas_udf("boolean")
     def linked(n: pd.Series, p: pd.Series, x: pd.Series, m: pd.Series, q: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_linked(*pair) for pair in zip(n, p, x, m, q, y, strict=True)], dtype=bool)
+        found = []
+        for n_, p_, x_, m_, q_, y_ in zip(n, p, x, m, q, y, strict=True):
+            meets = near(n_, np.frombuffer(p_, np.uint64), m_, np.frombuffer(q_, np.uint64))
+            found.append(bool(meets and alike(overlap(x_, y_), n_, m_)))
+        return pd.Series(found, dtype=bool)
 
     both = pairs.join(left, "short").join(right, "other")
     return durable(both.where(linked("n", "p", "x", "m", "q", "y")).select("a", "b"))
 
 
-def _linked(n: int, p: bytes, x: np.ndarray, m: int, q: bytes, y: np.ndarray) -> bool:
-    p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+def bounded(n: int, p: np.ndarray, m: int, q: np.ndarray) -> bool:
+    """Whether bitmaps leave room for a link."""
     words = min(len(p), len(q))
-    bound = most_shared(folded(p, words)[None], np.array([n]), folded(q, words), m)[0]
-    return bool(alike(bound, n, m)) and bool(alike(overlap(x, y), n, m))
+    return bool(alike(most_shared(folded(p, words)[None], np.array([n]), folded(q, words), m)[0], n, m))
 
 
 def compare(label: list, side: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], content: list[np.ndarray], inner: bool) -> list[tuple[int, int]]:
@@ -352,8 +362,11 @@ def compare(label: list, side: np.ndarray, sizes: np.ndarray, bits: list[np.ndar
     return links
 
 
-def tiled(meeting: DataFrame, held: DataFrame, labels: DataFrame, cells: int = CELLS) -> DataFrame:
-    """``a, b``: links between components that still meet under a key, one per union and tile.
+Find = Callable[[list, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray], bool], list[tuple[int, int]]]
+
+
+def tiled(meeting: DataFrame, held: DataFrame, labels: DataFrame, cells: int = CELLS, find: Find = compare) -> DataFrame:
+    """``a, b``: links between components that still meet under a key, one per union and tile; ``find`` works on a tile.
 
     The sets and keys of a band in which several components meet form clusters. Inside a cluster the largest component
     is the main side and all others are the rest; each is cut in blocks of about ``cells`` shingles, and tiles are two
@@ -398,34 +411,44 @@ def tiled(meeting: DataFrame, held: DataFrame, labels: DataFrame, cells: int = C
                 continue
             bits = [np.frombuffer(b, np.uint64) for b in rows["bits"]]
             content = [c.view(np.uint64) for c in rows["content"]]
-            found = compare(rows["label"].to_list(), rows["at"].to_numpy(), rows["size"].to_numpy(np.int64), bits, content, kind == 0 and x == y)
+            found = find(rows["label"].to_list(), rows["at"].to_numpy(), rows["size"].to_numpy(np.int64), bits, content, kind == 0 and x == y)
             node = rows["node"].to_list()
             yield pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["a", "b"])
 
     return durable(full.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(scan, "a binary, b binary"))
 
 
-def linked_documents(docs: DataFrame, words: int = WORDS, cells: int = CELLS, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``doc_id, n_shingles, component_id, text_hash`` for every row of ``docs``.
-
-    ``component_id`` is the least ``doc_id`` reachable by links, the row's own included; null only where no row reached
-    has an id. Sets of equal shingles are one node. A null text or one without words has an empty set, is linked with
-    nothing and is its own component. Repeated rows come back repeated; no rows, no result.
-    """
+def nodes_with_labels(docs: DataFrame, words: int, cells: int, range_bytes: int, sign=bitmap, near: Near | None = None, find: Find = compare) -> tuple[DataFrame, DataFrame]:
+    """The sets of ``docs`` by row, and ``node, component`` for linked nodes that are not the least of their component."""
     rows = durable(sets(docs, words))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     found = durable(prefixes(docs, max(1, -(-size // range_bytes)), words))
     meeting = members(found)
-    held = contents(docs, rows, meeting, words)
-    links = led(meeting, held)
+    held = contents(docs, rows, meeting, words, sign)
+    links = led(meeting, held, near)
     labels = durable(components(links))
-    more = tiled(meeting, held, labels, cells)
+    more = tiled(meeting, held, labels, cells, find)
     if not more.isEmpty():
         labels = durable(components(links.unionByName(more)))
-    nodes = rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    return rows, labels
+
+
+def named_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, size, component_id`` for every row of ``sets``; rows with an empty set are one node here."""
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = durable(nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("label")))
     least = durable(nodes.groupBy("label").agg(F.min("least").alias("component_id")))
     named = durable(nodes.join(least, "label").select("node", "component_id"))
-    whole = rows.join(named, "node", "left")
+    return rows.join(named, "node").select("doc_id", "text_hash", "size", "component_id")
+
+
+def linked_documents(docs: DataFrame, words: int = WORDS, cells: int = CELLS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+
+    ``component_id`` is the least ``doc_id`` reachable by links, the row's own included; null only where no row reached
+    has an id. Sets of equal shingles are one node. A null text or one without words has an empty set, is linked with
+    nothing and is its own component. Repeated rows come back repeated; no rows, no result.
+    """
+    named = named_rows(*nodes_with_labels(docs, words, cells, range_bytes))
     own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return whole.select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"), "text_hash")
+    return named.select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"))
