@@ -39,6 +39,17 @@ def get_session(name: str = "turnloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on batches for Python workers end at ``size`` bytes: rows with whole texts differ too much for a count.
+
+    What a worker holds at once follows the batch, and workers live on from stage to stage. A size other than Spark's
+    own stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(size))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for steps: the cluster's ``spark.checkpoint.dir`` or the checkpoint folder that was set.
 
