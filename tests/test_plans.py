@@ -140,6 +140,87 @@ def test_dialogue_generation_keeps_both_views(spark):
     assert len(dialogue_prompts()) == 6
 
 
+PAPERS = [("p1", "t", "Paper text."), ("p2", "u", "Another one."), ("p2", "u", "Another one.")]
+
+
+def test_turn_log_holds_replies_only_and_goes_on(spark, tmp_path):
+    """An ended run goes on behind its last whole step; papers are stored once, steps hold keys and replies."""
+    df = spark.createDataFrame(PAPERS, "paper_id string, paper_title string, paper_text string")
+    model = lambda p: F.concat(F.lit("n"), F.size(F.split(p, r"<\|")).cast("string"), F.lit("."))
+    fails = lambda p: F.raise_error(F.lit("the model is gone"))
+    folder = str(tmp_path / "log")
+    with pytest.raises(Exception, match="the model is gone"):
+        gn.interactive_conversations(df, model, fails, rounds=2, folder=folder)
+    assert sorted(f.name for f in (tmp_path / "log" / "turns").iterdir() if (f / "_SUCCESS").exists()) == ["step=0"]
+    other = lambda p: F.lit("not asked again.")
+    got = gn.interactive_conversations(df, other, model, rounds=2, folder=folder).collect()
+    assert len(got) == 3 and {r.conversation for r in got} == {
+        "Journalist: n4.\n\nResearcher: n5.\n\nJournalist: not asked again.\n\nResearcher: n7."
+    }
+    step = spark.read.parquet(str(tmp_path / "log" / "turns" / "step=3"))
+    assert step.columns == ["_paper", "role", "content", "error"] and step.count() == 3
+    again = gn.interactive_conversations(df, fails, fails, rounds=2, folder=folder).collect()
+    assert sorted(again) == sorted(got)
+
+
+def test_turn_log_keeps_errors(spark, tmp_path):
+    def make():
+        def client(prompts):
+            if any("Another" in p for p in prompts):
+                raise ValueError("no reply")
+            return ["Fine."] * len(prompts)
+
+        return client
+
+    df = spark.createDataFrame(PAPERS[:2], "paper_id string, paper_title string, paper_text string")
+    log = str(tmp_path / "log")
+    rows = gn.fixed_question_conversations(df, make, native=False, questions=["One?", "Two?"], folder=log).collect()
+    assert {r.paper_id: [m.content for m in r.generated_conversation[2:]] for r in rows}["p1"] == ["One?", "Fine.", "Two?", "Fine."]
+    errors = spark.read.parquet(log + "/turns").where("error is not null")
+    assert errors.count() == 2 and errors.where("content is not null").isEmpty()
+
+
+def test_article_summaries_of_null(spark):
+    df = spark.createDataFrame([(1, "An article. End."), (2, None)], "i int, pr_article string")
+    rows = {r.i: r.pr_summary for r in gn.article_summaries(df).collect()}
+    assert rows == {1: "In short: End.", 2: None}
+
+
+def test_limits_take_one_search(spark, monkeypatch):
+    """Counts and shares per dataset are met, and more datasets do not mean more jobs."""
+    from turnloom.operators import sampling as sm
+
+    calls = []
+    layout = sm.range_layout
+    monkeypatch.setattr(sm, "range_layout", lambda *a: calls.append(1) or layout(*a))
+    rows = [(f"d{i % 5}", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "dataset string, row_no long")
+    limits = {"d0": 3, "d1": 0.5, "d2": 0, "d3": 1000, "absent": 5}
+    got = {}
+    for r in sm.first_per_group(df, "dataset", limits, "row_no").collect():
+        got.setdefault(r.dataset, []).append(r.row_no)
+    own = {d: [i for n, i in rows if n == d] for d in ("d0", "d1", "d3")}
+    assert {d: sorted(x) for d, x in got.items()} == {"d0": own["d0"][:3], "d1": own["d1"][:10], "d3": own["d3"]}
+    assert calls == [1]
+
+
+def test_long_dialogue_in_segments(spark):
+    """Segments put at their places are the rendered text, also of a dialogue that holds nearly all rows."""
+    from turnloom.operators.turns import conversation_segments, render_conversations
+
+    rows = [("long", t, "assistant" if t % 2 else "user", f"turn {t} " * (t % 7)) for t in range(3000)]
+    rows += [("short", 0, "user", "only"), ("none", 0, "user", None), (None, 0, "user", "no id")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    whole = {r.conv_id: r.text for r in render_conversations(df).collect()}
+    built = {}
+    for r in sorted(conversation_segments(df).collect(), key=lambda r: (str(r.conv_id), r.turn)):
+        text = built.get(r.conv_id, "")
+        text += "\n\n" if text else ""
+        assert len(text) == r.start
+        built[r.conv_id] = text + r.segment
+    assert built["long"] == whole["long"] and built["short"] == whole["short"] and built[None] == whole[None] and "none" not in built
+
+
 def stream_batches(spark, tmp_path, schema, batches, plan):
     """Run ``plan`` over one file per batch and give the rows it wrote."""
     source = tmp_path / "in"

@@ -147,3 +147,13 @@ def test_mask_share_counts(spark):
 @pytest.mark.parametrize("word, expected", [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("filing", "file"), ("agreed", "agre"), ("sky", "sky"), ("adjustment", "adjust"), ("controlling", "control")])
 def test_stem(word, expected):
     assert stem(word) == expected
+
+
+def test_case_map_keeps_the_last_spelling(spark):
+    df = spark.createDataFrame([("The NATO met nato. The Nato in Paris", "the nato in paris, rome"), ("", "a b"), (None, "x y")], "c string, h string")
+    known = df.select(tx.case_map(F.col("c"))).collect()
+    assert known[0][0] == {"the": "The", "nato": "Nato", "met": "met", "nato.": "nato.", "in": "in", "paris": "Paris"}
+    assert known[1][0] == {} and known[2][0] == {}
+    got = [r[0] for r in df.select(tx.clean_claim(F.col("c"), F.col("h"))).collect()]
+    assert got == ["The Nato in paris, rome", "A b", "X y"]
+    assert got == [r[0] for r in df.select(tx.clean_claim_by(tx.case_map(F.col("c")), F.col("h"))).collect()]

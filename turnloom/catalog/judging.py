@@ -1,5 +1,7 @@
 """Queries over prompts, judging, preferences and generation."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from turnloom.catalog.corpus import TOKENS, examples_sql, lead_sql
@@ -133,18 +135,27 @@ def follow_up_instructions(spark, d):
     return rated.select("conv_id", "turn", kind(ask(False)).alias("fixed"), kind(ask(True)).alias("compat"))
 
 
+def asked_sql(instruction: str) -> str:
+    return f"md5({instruction} || chr(10) || chr(10) || content)"
+
+
 @query("preference_pairs", f"""
-WITH {TURNS}, {examples_sql('Journalist', 1000)}, l AS (SELECT conv_id, i, tx[h.k[-1] + 1] AS answer FROM p WHERE len(h.k) > 0 AND au[h.k[-1] + 1] <> 'Journalist'),
-rt AS (SELECT *, CAST(len({WORDS.format('answer')}) < 12 AS INT) AS is_vague, len(list_distinct(list_filter({LEXICAL.format('answer')}, lambda t: len(t) >= 12))) AS n FROM l)
-SELECT conv_id, CAST(i AS BIGINT) AS example, CASE WHEN n > 0 THEN '{LEFT[:20]}' WHEN is_vague = 1 THEN '{pf.VAGUE[:20]}' ELSE '{pf.CLEAR[:20]}' END AS chosen_start,
-  '{pf.GENERIC[:20]}' AS rejected_start, is_vague, CAST(n AS BIGINT) AS n_complex FROM rt""")
+WITH {TURNS}, {examples_sql('Journalist', 1000)}, l AS (SELECT conv_id, i, tx[h.k[-1] + 1] AS answer, list_transform(h.k, lambda j: {{'role': CASE WHEN au[j + 1] = 'Journalist' THEN 'assistant' ELSE 'user' END, 'content': tx[j + 1]}}) AS hist
+  FROM p WHERE len(h.k) > 0 AND au[h.k[-1] + 1] <> 'Journalist'),
+rt AS (SELECT *, CAST(len({WORDS.format('answer')}) < 12 AS INT) AS is_vague, list_distinct(list_filter({LEXICAL.format('answer')}, lambda t: len(t) >= 12)) AS hard_set,
+  list_filter({LEXICAL.format('answer')}, lambda t: len(t) >= 12) AS hard FROM l),
+c AS (SELECT rt.*, list_filter(hard, lambda t, k: list_position(hard, t) = k) AS hs, '[PAPER]:' || chr(10) || chr(10) || d.text || chr(10) || chr(10) || '[CONVERSATION HISTORY]:' || chr(10) || to_json(hist) AS content
+  FROM rt JOIN documents d ON rt.conv_id = d.doc_id)
+SELECT conv_id, CAST(i AS BIGINT) AS example, CASE WHEN len(hs) > 0 THEN {asked_sql(f"'{LEFT}' || array_to_string(hs, ', ') || '{RIGHT}'")} WHEN is_vague = 1 THEN {asked_sql(f"'{pf.VAGUE}'")} ELSE {asked_sql(f"'{pf.CLEAR}'")} END AS chosen_md5,
+  {asked_sql(f"'{pf.GENERIC}'")} AS rejected_md5, is_vague, CAST(len(hs) AS BIGINT) AS n_complex FROM c""")
 def preference_pairs(spark, d):
-    ex = tn.turn_examples(turns(spark, d), "Journalist")
-    chat = dg.chat("Journalist", F.lit("title"), F.lit("paper"), F.col("prompt"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), "source", F.col("text").alias("paper"))
+    ex = tn.turn_examples(turns(spark, d), "Journalist").join(docs, "conv_id")
+    chat = dg.chat("Journalist", F.col("source"), F.col("paper"), F.col("prompt"))
     rows = ex.select("conv_id", "example", chat.alias("prompt"))
-    out = pf.preference_pairs(rows, generator=lambda p: F.substring(p, 1, 20), keep=("conv_id", "example"))
+    out = pf.preference_pairs(rows, generator=lambda p: F.md5(p), keep=("conv_id", "example"))
     return out.select(
-        "conv_id", big(F.col("example")).alias("example"), F.rpad("chosen", 20, " ").alias("chosen_start"), F.rpad("rejected", 20, " ").alias("rejected_start"),
+        "conv_id", big(F.col("example")).alias("example"), F.col("chosen").alias("chosen_md5"), F.col("rejected").alias("rejected_md5"),
         "is_vague", big(F.size("complex_aspects")).alias("n_complex"),
     )
 
@@ -163,12 +174,32 @@ def cut_sql(n: int) -> str:
 digest = lambda p: F.concat(F.lit("Intro. Press Release Article "), F.md5(p))
 
 
-@query("press_releases", f"""
-WITH i AS (SELECT doc_id, 'Scientific paper:' || chr(10) || text AS text FROM documents), pa AS (SELECT *, {SENTENCES.format('text')} AS ss, len({TOKENS.format('text')}) AS n FROM i)
-SELECT doc_id AS paper_id, md5({quoted(rb.GENERATION_PROMPTS[0].instruction)} || chr(10) || chr(10) || {cut_sql(200)}) AS parsed_pr_article FROM pa""")
+def inputs_sql(prompt, columns: dict[str, str]) -> str:
+    return " || chr(10) || chr(10) || ".join(f"{quoted(label + ':' + chr(10))} || {columns.get(c, quoted('None'))}" for label, c in prompt.inputs)
+
+
+def releases_sql(prompt) -> str:
+    return f"""SELECT doc_id AS paper_id, '{prompt.aspect}' AS strategy, md5({quoted(prompt.instruction)} || chr(10) || chr(10) || {cut_sql(200)}) AS parsed_pr_article
+FROM (SELECT *, {SENTENCES.format('text')} AS ss, len({TOKENS.format('text')}) AS n FROM (SELECT doc_id, {inputs_sql(prompt, {'paper_text': 'text', 'conversation': 'reverse(text)'})} AS text FROM documents))"""
+
+
+RELEASES = rb.GENERATION_PROMPTS[:4]
+
+
+@query("press_releases", " UNION ALL ".join(releases_sql(p) for p in RELEASES))
 def press_releases(spark, d):
-    out = gn.press_releases(papers(spark, d), rb.GENERATION_PROMPTS[0], digest, limit=200)
-    return out.select("paper_id", "parsed_pr_article")
+    """All four strategies: from the paper, step by step, with a conversation, from a conversation alone."""
+    rows = papers(spark, d).withColumn("conversation", F.reverse("paper_text"))
+    made = [gn.press_releases(rows, p, digest, limit=200).select("paper_id", F.lit(p.aspect).alias("strategy"), "parsed_pr_article") for p in RELEASES]
+    return reduce(lambda a, b: a.unionByName(b), made)
+
+
+@query("article_summaries", f"""
+SELECT doc_id AS paper_id, source AS topic, md5({quoted(gn.SUMMARY_INSTRUCTION)} || chr(10) || chr(10) || text) AS pr_summary FROM documents""")
+def article_summaries(spark, d):
+    rows = papers(spark, d).select("paper_id", F.col("paper_title").alias("topic"), F.col("paper_text").alias("pr_article"))
+    out = gn.article_summaries(rows, lambda p: F.concat(F.lit(" "), F.md5(p), F.lit("\n")))
+    return out.select("paper_id", "topic", "pr_summary")
 
 
 @query("paper_releases", """
@@ -187,14 +218,24 @@ def topic_lists(spark, d):
     return gn.topics(rows, rb.GENERATION_PROMPTS[4], model, limit=400).select("paper_id", "parsed_topics")
 
 
-@query("full_conversations", f"""
-WITH i AS (SELECT doc_id, 'Scientific paper:' || chr(10) || text AS x FROM documents)
-SELECT doc_id AS paper_id, 2 AS n_turns, ' ' || md5({quoted(rb.dialogue_prompts()[0].instruction)} || chr(10) || chr(10) || x) AS question FROM i""")
+def dialogues_sql(prompt) -> str:
+    x = inputs_sql(prompt, {"sc_intro": "text", "pr_article": "reverse(text)"})
+    return f"SELECT doc_id AS paper_id, '{prompt.aspect}' AS strategy, 2 AS n_turns, ' ' || md5({quoted(prompt.instruction)} || chr(10) || chr(10) || {x}) AS question, ' yes: indeed' AS answer FROM documents"
+
+
+@query("full_conversations", " UNION ALL ".join(dialogues_sql(p) for p in rb.dialogue_prompts()))
 def full_conversations(spark, d):
-    rows = papers(spark, d).withColumnRenamed("paper_text", "sc_intro")
+    """All combinations of guidelines for both speakers."""
+    rows = papers(spark, d).withColumnRenamed("paper_text", "sc_intro").withColumn("pr_article", F.reverse("sc_intro"))
     model = lambda p: F.concat(F.lit("hm</think>**Journalist**: "), F.md5(p), F.lit("\n\n**Researcher**: yes: indeed"))
-    out = gn.full_conversations(rows, rb.dialogue_prompts()[0], model, max_input_tokens=10**6)
-    return out.select("paper_id", F.size("parsed_conv").alias("n_turns"), F.col("parsed_conv")[0]["text"].alias("question"))
+    made = [
+        gn.full_conversations(rows, p, model, max_input_tokens=10**6).select(
+            "paper_id", F.lit(p.aspect).alias("strategy"), F.size("parsed_conv").alias("n_turns"), F.col("parsed_conv")[0]["text"].alias("question"),
+            F.col("parsed_conv")[1]["text"].alias("answer"),
+        )
+        for p in rb.dialogue_prompts()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), made)
 
 
 def opening(role: str) -> str:
@@ -210,16 +251,22 @@ def turns_sql(*parts: str) -> str:
     return " || ".join(parts)
 
 
-@query("interactive_conversations", f"""
-WITH {PAPERS}, b AS (SELECT paper_id, paper_title, {cut_sql(100)} AS paper FROM pa),
-s1 AS (SELECT *, md5({opening('Journalist')} || {END}) || '.' AS q1 FROM b),
-s2 AS (SELECT *, md5({opening('Researcher')} || {THEIRS.format('q1')} || {END}) || '.' AS a1 FROM s1),
-s3 AS (SELECT *, md5({opening('Journalist')} || {MINE.format('q1')} || {THEIRS.format('a1')} || {END}) || '.' AS q2 FROM s2),
-s4 AS (SELECT *, md5({opening('Researcher')} || {THEIRS.format('q1')} || {MINE.format('a1')} || {THEIRS.format('q2')} || {END}) || '.' AS a2 FROM s3)
-SELECT paper_id, 6 AS n_messages, 'Journalist: ' || q1 || chr(10) || chr(10) || 'Researcher: ' || a1 || chr(10) || chr(10) || 'Journalist: ' || q2 || chr(10) || chr(10) || 'Researcher: ' || a2 AS conversation FROM s4""")
+def rounds_sql(rounds: int) -> str:
+    """One step per reply; both speakers see the same turns, their own as the assistant's."""
+    steps, said = [f"s0 AS (SELECT paper_id, paper_title, {cut_sql(100)} AS paper FROM pa)"], []
+    for k in range(2 * rounds):
+        speaker, name = ("Journalist", f"q{k}") if k % 2 == 0 else ("Researcher", f"a{k}")
+        seen = [(MINE if n[0] == name[0] else THEIRS).format(n) for n in said]
+        steps.append(f"s{k + 1} AS (SELECT *, md5({turns_sql(opening(speaker), *seen, END)}) || '.' AS {name} FROM s{k})")
+        said.append(name)
+    text = " || chr(10) || chr(10) || ".join(f"'{'Journalist' if n[0] == 'q' else 'Researcher'}: ' || {n}" for n in said)
+    return f"WITH {PAPERS}, {', '.join(steps)} SELECT paper_id, {2 + 2 * rounds} AS n_messages, {text} AS conversation FROM s{2 * rounds}"
+
+
+@query("interactive_conversations", rounds_sql(5))
 def interactive_conversations(spark, d):
     model = lambda p: F.concat(F.md5(p), F.lit(".\n\ncut off"))
-    out = gn.interactive_conversations(papers(spark, d), model, model, rounds=2, max_input_tokens=100)
+    out = gn.interactive_conversations(papers(spark, d), model, model, max_input_tokens=100)
     return out.select("paper_id", F.size("generated_conversation").alias("n_messages"), "conversation")
 
 

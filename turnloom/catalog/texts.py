@@ -10,8 +10,9 @@ from turnloom.functions import labels as lb
 from turnloom.functions import parsing as ps
 from turnloom.functions import text as tx
 from turnloom.operators import masking as mk
-from turnloom.operators.turns import explode_dialogues, render_conversations
+from turnloom.operators.turns import conversation_segments, explode_dialogues, render_conversations
 from turnloom.plans.corpus import clean_corpus, list_questions
+from turnloom.session import durable
 
 big = lambda c: c.cast("bigint")
 
@@ -131,6 +132,31 @@ def rendered_conversations(spark, d):
     return render_conversations(rows).select("conv_id", F.md5("text").alias("text_md5"))
 
 
+FORMS = f"""m AS (SELECT t.conv_id, t.turn, t.author, t.role, 'Journalist: ' || t.text AS text FROM turns t),
+f AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN 'Researcher' ELSE 'Journalist' END || ': ' || replace(replace(text, 'Researcher: ', ''), 'Journalist: ', ''), chr(10) || chr(10) ORDER BY turn) AS b,
+  string_agg(author || ': ' || text, chr(10) ORDER BY turn) AS c, string_agg(author || ':' || text, chr(10) || chr(10) ORDER BY turn) AS d FROM m GROUP BY 1)"""
+
+
+@query("rendered_forms", f"""
+WITH {TURNS}, {FORMS} SELECT f.conv_id, md5(b) AS both_md5, md5('Researcher: ' || '[PAPER-TITLE]' || chr(10) || source || chr(10) || '[PAPER]' || chr(10) || p.text || chr(10) || c) AS plain_md5, md5(d) AS bare_md5
+FROM f JOIN documents p ON f.conv_id = p.doc_id""")
+def rendered_forms(spark, d):
+    """The other three renderings of a message array: both speakers cleaned, all but the first message, no blank."""
+    papers = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), "source", F.col("text").alias("paper"))
+    item = F.struct("turn", dg.message(F.col("role"), F.concat(F.lit("Journalist: "), F.col("text"))).alias("m"))
+    rows = turns(spark, d).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda t: t["m"]).alias("_m"))
+    chat = rows.join(papers, "conv_id").select("conv_id", dg.chat("Journalist", F.col("source"), F.col("paper"), F.col("_m")).alias("c"))
+    form = lambda **how: F.md5(dg.render(F.col("c"), **how))
+    return chat.select("conv_id", form(style="both").alias("both_md5"), form(skip=1, sep="\n", style="plain").alias("plain_md5"), form(style="bare").alias("bare_md5"))
+
+
+@query("conversation_segments", f"""
+WITH {TURNS}, l AS (SELECT conv_id, turn, author || ': ' || CASE WHEN author = 'Journalist' THEN replace(replace(text, 'Researcher: ', ''), 'Journalist: ', '') ELSE text END AS line FROM turns)
+SELECT conv_id, turn, md5(line) AS segment_md5, (sum(length(line) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - length(line) - 2)::BIGINT AS start FROM l""")
+def rendered_segments(spark, d):
+    return conversation_segments(turns(spark, d)).select("conv_id", "turn", F.md5("segment").alias("segment_md5"), "start")
+
+
 @query("chat_messages", f"""
 WITH {TURNS}, j AS (SELECT t.conv_id, t.turn, t.text, d.source, d.text AS paper FROM turns t JOIN documents d ON t.conv_id = d.doc_id WHERE author = 'Journalist')
 SELECT conv_id, turn, md5('<|system|>{dg.ROLE_PROMPTS["Journalist"]}' || chr(10) || '<|user|>[PAPER-TITLE]' || chr(10) || source || chr(10) || '[PAPER]' || chr(10) || paper
@@ -205,9 +231,10 @@ r AS (SELECT conv_id, turn, array_to_string(list_transform(cw, lambda w: coalesc
 q AS (SELECT conv_id, turn, {SENTENCES.format('t')} AS ss FROM r)
 SELECT conv_id, turn, md5(array_to_string(list_transform(ss, lambda s: upper(s[1:1]) || s[2:]), ' ')) AS claim_md5 FROM q""")
 def cleaned_claims(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
+    # once per document: what is joined is the map, not the text
+    docs = durable(table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), tx.case_map(F.col("text")).alias("known")))
     rows = table(spark, d, "conversations").join(docs, "conv_id")
-    claim = tx.clean_claim(F.col("context"), F.lower("text"))
+    claim = tx.clean_claim_by(F.col("known"), F.lower("text"))
     return rows.select("conv_id", "turn", F.md5(claim).alias("claim_md5"))
 
 

@@ -50,10 +50,13 @@ def without_prefixes(content: Column) -> Column:
 
 def dialogue_line(role: Column, content: Column, style: str = "journalist") -> Column:
     """One rendered turn. Styles: ``journalist`` cleans speaker prefixes out of journalist turns only,
-    ``both`` out of all turns with the researcher as assistant, ``plain`` out of none."""
+    ``both`` out of all turns with the researcher as assistant, ``plain`` and ``bare`` out of none; ``bare`` has no
+    blank behind the speaker."""
     if style == "both":
         who = F.when(role == "assistant", F.lit("Researcher")).otherwise(F.lit("Journalist"))
         return F.concat(who, F.lit(": "), without_prefixes(content))
+    if style == "bare":
+        return F.concat(author_of(role), F.lit(":"), content)
     if style == "plain":
         return F.concat(author_of(role), F.lit(": "), content)
     body = F.when(role == "assistant", without_prefixes(content)).otherwise(content)

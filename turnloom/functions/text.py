@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnloom.functions.binding import let
+from turnloom.functions.grams import by_run, run_starts
 
 TokenCounter = Callable[[Column], Column]
 
@@ -175,18 +176,22 @@ def topic_lines(generated: Column) -> Column:
     return F.array_join(F.filter(F.transform(inner, strip), lambda x: x != ""), "\n")
 
 
+def case_map(context: Column) -> Column:
+    """Each word of a text in lower case with its last spelling: one pass over the text, for all claims about it; null has none."""
+    last = lambda run: let(F.element_at(run, -1), lambda e: F.struct(e["low"].alias("key"), e["word"].alias("value")))
+    entries = F.transform(words(context), lambda w, i: F.struct(F.lower(w).alias("low"), i.alias("at"), w.alias("word")))
+    found = lambda es: let(run_starts(es, lambda e: e["low"]), lambda starts: by_run(es, starts, last))
+    return let(F.sort_array(entries), lambda es: F.map_from_entries(found(es)))
+
+
 def clean_claim(context: Column, claim: Column) -> Column:
     """Restore the context's word case (its last spelling wins), plain quotes and brackets, sentence capitals."""
-    spelling = F.struct(
-        F.reverse(words(context)).alias("spelled"),
-        F.transform(F.reverse(words(context)), F.lower).alias("lowered"),
-    )
+    return let(case_map(context), lambda known: clean_claim_by(known, claim))
 
-    def respell(known: Column, word: Column) -> Column:
-        at = F.array_position(known["lowered"], F.lower(word)).cast("int")
-        return let(at, lambda i: F.when(i > 0, F.get(known["spelled"], i - 1)).otherwise(word))
 
-    respelled = let(spelling, lambda known: F.transform(words(claim), lambda w: respell(known, w)))
+def clean_claim_by(known: Column, claim: Column) -> Column:
+    """``clean_claim`` with the context's ``case_map``; without one every word stays as it is."""
+    respelled = F.transform(words(claim), lambda w: F.coalesce(F.try_element_at(known, F.lower(w)), w))
     text = F.array_join(respelled, " ")
     text = F.translate(text, "“”’‘`", "\"\"'''")
     text = F.replace(F.replace(text, F.lit("-lrb-"), F.lit("(")), F.lit("-rrb-"), F.lit(")"))

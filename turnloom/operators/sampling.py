@@ -7,7 +7,7 @@ then filtered against it without being shuffled or sorted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from turnloom.functions.hashing import hash_fraction, hash_number
 from turnloom.operators.ranking import range_layout, range_offsets
 from turnloom.session import join_on
 
+
 def _cuts(df: DataFrame, order: Column, tie: Column, size: Column, by: Sequence[str]) -> DataFrame:
     """Per group its row count ``_n``, ``_size``, and the order number and tie ``_co, _ct`` of the last row inside.
 
@@ -110,10 +111,20 @@ def cap_per_group(df: DataFrame, group: str, cap: int, key: str, seed: int = 0)
     return _kept(df, hash_number(seed, F.col(key)), key, F.lit(cap), (group,))
 
 
-def first_per_group(df: DataFrame, group: str, limit: int | float, key: str) -> DataFrame:
-    """The first ``limit`` rows (int) or first share of rows (float) per group in the order of a numeric key."""
-    size = F.lit(limit) if isinstance(limit, int) else F.floor(F.col("_n") * F.lit(limit))
-    return _kept(df, F.col(key), key, size, (group,))
+def first_per_group(df: DataFrame, group: str, limit: int | float | Mapping[object, int | float], key: str) -> DataFrame:
+    """The first ``limit`` rows (int) or first share of rows (float) per group in the order of a numeric key.
+
+    A mapping gives a limit for each group, which are all found by one search; other groups are left out.
+    """
+    size = lambda at: F.lit(at).cast("bigint") if isinstance(at, int) else F.floor(F.col("_n") * F.lit(at))
+    if isinstance(limit, Mapping):
+        df = df.where(F.col(group).isin(*limit))
+        wanted = F.lit(None).cast("bigint")
+        for name, at in limit.items():
+            wanted = F.when(F.col(group) == name, size(at)).otherwise(wanted)
+    else:
+        wanted = size(limit)
+    return _kept(df, F.col(key), key, wanted, (group,))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:

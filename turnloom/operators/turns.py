@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import dialogue as dg
 from turnloom.functions import text as tx
+from turnloom.operators.ranking import running_totals
 from turnloom.functions.binding import let
 from turnloom.session import join_on
 
@@ -100,6 +101,21 @@ def render_conversations(
     )
 
 
+def conversation_segments(
+    turns: DataFrame, conv: str = "conv_id", sep: str = "\n\n", skip: int = 0, style: str = "journalist"
+) -> DataFrame:
+    """Rendered conversations in parts, ``(conv, turn, segment, start)``: what ``render_conversations`` joins by ``sep``.
+
+    ``start`` is the place of the segment in the whole text, 0-based. Lengths are added up by stretches of turns, so a
+    conversation of any length is neither gathered nor sorted by one task. A turn number is unique in its conversation;
+    a turn without text has no segment.
+    """
+    line = dg.dialogue_line(F.col("role"), F.col("text"), style)
+    rows = turns.where((F.col("turn") >= skip) & F.col("text").isNotNull()).select(conv, "turn", line.alias("segment"))
+    rows = rows.withColumn("n", (F.length("segment") + len(sep)).cast("long"))
+    return running_totals(rows, [conv], "turn", ["n"]).select(conv, "turn", "segment", F.col("n_before").alias("start"))
+
+
 def conversation_lengths(turns: DataFrame, by: str, conv: str = "conv_id") -> DataFrame:
     """Mean words per conversation by system; counts are summed turn by turn, no text is assembled."""
     return (

@@ -80,10 +80,7 @@ def mixed_corpus(
     most ``cap`` rows drawn by hash. ``key`` is a numeric row number, unique over the table.
     """
     if limits:
-        mixed = None
-        for name, limit in limits.items():
-            part = sm.first_per_group(pairs.where(F.col("dataset") == name), "dataset", limit, key)
-            mixed = part if mixed is None else mixed.unionByName(part)
+        mixed = sm.first_per_group(pairs, "dataset", limits, key)
     else:
         mixed = sm.cap_per_group(pairs, "dataset", cap, key, seed)
     inside = sm.train_rows(mixed, key, train, seed)

@@ -81,6 +81,12 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_steps(spark: SparkSession) -> int:
     """Delete the step tables that this application has written so far; results that still read them are lost."""
     paths = _STEPS.pop(spark.sparkContext.applicationId, [])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators.judging import SCORE_KEY
+from turnloom.session import path_exists
 
 
 def save(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -49,17 +50,11 @@ def save_manifest(spark: SparkSession, settings: Mapping[str, object], path: str
     row.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def append_scores(scored: DataFrame, path: str, key: Sequence[str] = SCORE_KEY) -> DataFrame:
     """Append scores whose key is not stored yet and return the full table; a repeated batch adds nothing."""
     spark = scored.sparkSession
     fresh = scored.dropDuplicates(list(key))
-    if exists(spark, path):
+    if path_exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*key), list(key), "left_anti")
     fresh.write.mode("append").parquet(path)
     return spark.read.parquet(path)
