@@ -221,6 +221,64 @@ def test_long_dialogue_in_segments(spark):
     assert built["long"] == whole["long"] and built["short"] == whole["short"] and built[None] == whole[None] and "none" not in built
 
 
+def test_systems_are_judged_once(spark, tmp_path):
+    """Stored scores are read for the systems that are asked for, from whole batches; ``force`` judges anew."""
+    from turnloom.operators.rubrics import RUBRICS
+    from turnloom.plans import evaluation as ev
+    from turnloom.sources.sinks import ScoreCache
+
+    rows = [(str(i), f"text {i}", "paper") for i in range(4)]
+    df = spark.createDataFrame(rows, "row_id string, conversation string, sc_intro string")
+    folder = str(tmp_path / "scores")
+    reply = lambda n: lambda prompt: F.lit(f'{{"reasons": "r", "score": {n}}}')
+    never = lambda prompt: F.raise_error(F.lit("judged again")).cast("string")
+    one, grid = RUBRICS[:2], 2 * 4
+    assert ev.evaluate_systems({"a": df}, one, "judge", folder, model=reply(1)).count() == grid
+    both = ev.evaluate_systems({"a": df, "b": df}, one, "judge", folder, model=reply(2))
+    assert {(r.system, r.score): r["count"] for r in both.groupBy("system", "score").count().collect()} == {("a", 1): grid, ("b", 2): grid}
+    assert ev.evaluate_systems({"a": df, "b": df}, one, "judge", folder, model=never).count() == 2 * grid
+    cache = ScoreCache(spark, folder)
+    plan = cache.read("judge", ["b"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(evaluator" in plan and cache.read("other", ["a"]) is None
+    again = ev.evaluate_systems({"b": df}, one, "judge", folder, force=True, model=reply(3))
+    assert {r.score for r in again.collect()} == {3} and again.count() == grid
+    # a batch that was not finished does not count
+    (tmp_path / "scores" / "batch-000009" / "evaluator=judge").mkdir(parents=True)
+    assert cache.read("judge", ["a", "b"]).count() == 2 * grid
+    more = ev.evaluate_systems({"c": df}, one, "judge", folder, model=reply(1))
+    assert more.count() == grid and cache.batches()[-1].endswith("batch-000010")
+
+
+def test_publishing_does_not_break_readers(spark, tmp_path):
+    from turnloom.sources.sinks import publish
+
+    first = publish(spark.range(3).toDF("a"), "turnloom_numbers", str(tmp_path))
+    reader = spark.table("turnloom_numbers")
+    second = publish(spark.createDataFrame([("x", 1.0)], "b string, c double"), "turnloom_numbers", str(tmp_path))
+    assert first != second and sorted(r.a for r in reader.collect()) == [0, 1, 2]
+    assert [tuple(r) for r in spark.table("turnloom_numbers").collect()] == [("x", 1.0)]
+    # the name keeps its version if a later one cannot be written
+    with pytest.raises(Exception, match="cannot be made"):
+        publish(spark.range(1).select(F.raise_error(F.lit("cannot be made")).alias("d")), "turnloom_numbers", str(tmp_path))
+    assert spark.table("turnloom_numbers").columns == ["b", "c"]
+    spark.sql("DROP VIEW turnloom_numbers")
+
+
+def test_broken_rows_are_errors(spark, tmp_path):
+    """A quoted line break is read with ``line_breaks``; without it the broken row fails, whatever columns are asked for."""
+    from turnloom.sources import readers
+
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n1,"two\nlines"\n2,plain\n')
+    schema = "a int, b string"
+    assert [tuple(r) for r in readers.delimited(spark, str(path), schema, line_breaks=True).collect()] == [(1, "two\nlines"), (2, "plain")]
+    for columns in (["a", "b"], ["a"]):
+        with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
+            readers.delimited(spark, str(path), schema).select(*columns).collect()
+    path.write_text("a,b\n1,x\n2,y\n")
+    assert readers.delimited(spark, str(path), schema).count() == 2
+
+
 def stream_batches(spark, tmp_path, schema, batches, plan):
     """Run ``plan`` over one file per batch and give the rows it wrote."""
     source = tmp_path / "in"

@@ -1,5 +1,7 @@
 """Queries over training pairs, samples and benchmark tasks. Raw dataset tables are derived from documents."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import SENTENCES, STRIP, WORDS, query, table
@@ -7,7 +9,7 @@ from turnloom.catalog.texts import FRACTION, MASKED
 from turnloom.functions import text as tx
 from turnloom.plans import pairs as pr
 from turnloom.plans import shaping as sh
-from turnloom.session import fresh_dir
+from turnloom.session import durable, fresh_dir
 from turnloom.sources import readers, sinks
 
 big = lambda c: c.cast("bigint")
@@ -20,11 +22,13 @@ def base(spark, d):
     labels = table(spark, d, "labels").select("doc_id", "quality")
     rows = docs.withColumn("ss", ss).withColumn("ws", tx.words(F.col("text"))).join(labels, "doc_id", "left")
     pick = lambda i: F.coalesce(F.get("ss", F.lit(i)), F.lit(""))
-    return rows.select(
+    made = rows.select(
         F.col("doc_id").alias("row_id"), "text", "source", "lang", "ss", "ws", pick(0).alias("s1"), pick(1).alias("s2"), pick(2).alias("s3"),
         (F.col("doc_id") % 3).cast("int").alias("y3"), (F.col("doc_id") % 2).cast("int").alias("y2"), (F.col("doc_id") % 6).cast("double").alias("y6"),
         F.coalesce("quality", F.lit(0)).alias("quality"),
     )
+    # stored once: every dataset reads the columns that it needs
+    return durable(made)
 
 
 BASE = f"""d0 AS (SELECT *, {SENTENCES.format('text')} AS ss, {WORDS.format('text')} AS ws FROM documents),
@@ -258,6 +262,48 @@ def limited_corpus(spark, d):
     return sh.mixed_corpus(sample_pairs(spark, d), {"en": 0.5, "fr": 30}).select("row_no", "dataset")
 
 
+FLAT = r"regexp_replace({}, '\s+', ' ', 'g')"
+
+
+@query("registered_datasets", union(
+    line("mnli", "s1", "s2", "''", "y3"), line("paws", "s1", "s2", "''", "y2"), line("paws_qqp", FLAT.format("s1"), FLAT.format("s2"), "''", "y2"),
+    line("wmt15", "s1", "s3", "''", "y6"), line("doc_nli", "text", "s1", "''", "y2"),
+))
+def registered_datasets(spark, d):
+    """Raw files in each format of the registry, read by the dataset's name: partitions by split and by configuration, TSV, JSON lines and a JSON array."""
+    raw = raw_plain(spark, d)
+    flat = lambda c: F.regexp_replace(c, r"\s+", " ").alias(c)
+    at = {n: fresh_dir(spark, n) for n in ("mnli", "paws", "paws_qqp", "wmt15", "doc_nli")}
+    placed = lambda df, **named: df.withColumns({k: F.lit(v) for k, v in named.items()})
+    splits = placed(raw["mnli"], split="train").unionByName(placed(raw["mnli"], split="test"))
+    splits.write.partitionBy("split").parquet(at["mnli"])
+    configs = [placed(raw["paws"], split=s, config=c) for s, c in (("train", "labeled_final"), ("train", "unlabeled_final"), ("test", "labeled_final"))]
+    reduce(lambda a, b: a.unionByName(b), configs).write.partitionBy("split", "config").parquet(at["paws"])
+    raw["paws_qqp"].select("row_id", flat("sentence1"), flat("sentence2"), "label").write.csv(at["paws_qqp"], header=True, sep="\t", quote='"', escape='"')
+    raw["wmt15"].write.json(at["wmt15"])
+    # arrays of 500 rows, each a file
+    arrays = raw["doc_nli"].groupBy(F.floor(F.col("row_id") / 500).alias("part")).agg(F.to_json(F.collect_list(F.struct("row_id", "premise", "hypothesis", "label"))).alias("value"))
+    arrays.write.partitionBy("part").text(at["doc_nli"])
+    schemas = {
+        "mnli": "row_id long, premise string, hypothesis string, label int, split string, config string",
+        "paws": "row_id long, sentence1 string, sentence2 string, label int, split string, config string",
+        "paws_qqp": "row_id long, sentence1 string, sentence2 string, label int", "wmt15": "row_id long, ref string, mt string, score double",
+        "doc_nli": "row_id long, premise string, hypothesis string, label string",
+    }
+    return shown(pr.build_all({n: pr.read_dataset(spark, n, at[n], schemas[n]) for n in at}))
+
+
+@query("published_pairs", union(line("mnli", "s1", "s2", "''", "y3")))
+def published_pairs(spark, d):
+    """A version is published, a reader opens it, a second version takes the name; the reader goes on with the first."""
+    pairs = pr.build_pairs("mnli", raw_plain(spark, d)["mnli"])
+    half = F.pmod(F.xxhash64("row_id"), F.lit(2)) == 0
+    sinks.publish(pairs.where(half), "turnloom_pairs")
+    earlier = spark.table("turnloom_pairs")
+    sinks.publish(pairs.where(~half), "turnloom_pairs")
+    return shown(earlier.unionByName(spark.table("turnloom_pairs")))
+
+
 @query("stored_pairs", union(line("mnli", "s1", "s2", "''", "y3")).replace("'nli' AS task", "'nli' AS task"))
 def stored_pairs(spark, d):
     path = fresh_dir(spark, "pairs")

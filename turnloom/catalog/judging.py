@@ -82,6 +82,23 @@ def resumed_judging(spark, d):
     return both.select("row_id", "system", "subject", "aspect", "was_stored", "score")
 
 
+@query("evaluated_systems", f"""
+WITH {INPUTS}, {prompt_sql(rb.RUBRICS)}, s AS (SELECT *, {POINTS} AS score FROM pr)
+SELECT system, subject, aspect, count(*) AS n_rows, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, 0::BIGINT AS n_asked_again FROM s GROUP BY ALL""")
+def evaluated_systems(spark, d):
+    """A first run judges two systems, a second one the third, a last one finds all stored and would fail if it asked."""
+    inputs = judged_inputs(spark, d)
+    of = lambda *names: {n: inputs.where(F.col("system") == n).drop("system") for n in names}
+    folder = fresh_dir(spark, "scores")
+    ev.evaluate_systems(of("user", "system"), rb.RUBRICS, "rule", folder)
+    ev.evaluate_systems(of("user", "system", "assistant"), rb.RUBRICS, "rule", folder)
+    never = lambda prompt: F.raise_error(F.concat(F.lit("judged again: "), prompt)).cast("string")
+    scores = ev.evaluate_systems(of("user", "system", "assistant"), rb.RUBRICS, "rule", folder, model=never)
+    counted = scores.groupBy("system", "subject", "aspect").agg(F.count_if(F.col("reply_error").isNotNull()).alias("n_asked_again"))
+    spread = ev.metric_spread(scores, "score", ("system", "subject", "aspect")).join(counted, ["system", "subject", "aspect"])
+    return rounded(spread, "mean", "std")
+
+
 @query("length_gated_judging", f"""
 WITH {INPUTS}, {prompt_sql(rb.RUBRICS)}, n AS (SELECT *, CAST(len({TOKENS.format("prompt[strpos(prompt, chr(10) || chr(10)) + 2:]")}) AS BIGINT) AS n_tokens FROM pr)
 SELECT row_id, subject, aspect, n_tokens, n_tokens >= 120 AS skipped_too_long, CASE WHEN n_tokens < 120 THEN CAST({POINTS} AS BIGINT) END AS score FROM n""")

@@ -16,8 +16,8 @@ def corpus_overlap(scores: DataFrame, by: str = "system", metrics: Sequence[str]
     return scores.groupBy(by).agg(*[F.bround(F.avg(m), 3).alias(m) for m in metrics])
 
 
-def mean_and_spread(scores: DataFrame, by: str, value: str) -> DataFrame:
-    return scores.groupBy(by).agg(
+def mean_and_spread(scores: DataFrame, by: str | Sequence[str], value: str) -> DataFrame:
+    return scores.groupBy(*([by] if isinstance(by, str) else by)).agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n_rows")
     )
 

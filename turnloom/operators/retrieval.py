@@ -50,15 +50,16 @@ def build_index(
     Terms are counted inside each row, so a document's terms are shuffled once each, in blocks. Documents without a
     term count for the average length and have no postings.
     """
-    length = F.aggregate("bag", F.lit(0).cast("long"), lambda acc, e: acc + e["n"])
-    # lengths are stored too: above an explode they would be computed for each term
-    bags = corpus.select(F.col(doc).alias("doc"), term_counts(F.col(text)).alias("bag"))
-    bags = durable(bags.withColumn("dl", F.coalesce(length, F.lit(0))))
-    size = bags.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    length = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
+    size = corpus.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl")).first()
     n_docs, avgdl = size["n"], float(size["avgdl"] or 1.0)
+    # in a step of its own: beside an explode the length would be taken for each term
+    bags = corpus.select(F.col(doc).alias("doc"), length.alias("dl"), term_counts(F.col(text)).alias("bag"))
     tf = F.col("e.n")
     gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    postings = bags.select("doc", "dl", F.explode("bag").alias("e")).select("e.term", "doc", gain.alias("gain"))
+    # outer: otherwise the terms would be counted once more to find texts without any
+    each = bags.select("doc", "dl", F.explode_outer("bag").alias("e")).where("e is not null")
+    postings = each.select("e.term", "doc", gain.alias("gain"))
     if vocabulary is not None:
         postings = postings.join(vocabulary, "term")
     postings = durable(postings)

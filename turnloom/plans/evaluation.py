@@ -13,9 +13,11 @@ from turnloom.operators import judging as jd
 from turnloom.operators import stats as st
 from turnloom.operators.alignment import alignment_score
 from turnloom.operators.lexical import rouge
-from turnloom.operators.reports import corpus_overlap, mean_and_spread
+from turnloom.operators.reports import corpus_overlap, mean_and_spread, registry_table
+from turnloom.operators.rubrics import Rubric
 from turnloom.operators.similarity import followup_score, self_redundancy
 from turnloom.operators.stages import embed
+from turnloom.sources.sinks import ScoreCache
 
 
 def journalist_pairs(generated: DataFrame) -> DataFrame:
@@ -78,17 +80,23 @@ def significance(scores: DataFrame, first: str, second: str) -> DataFrame:
     return st.wilcoxon(jd.system_pairs(scores, first, second), ["aspect"])
 
 
-def metric_spread(scores: DataFrame, value: str) -> DataFrame:
-    return mean_and_spread(scores, "system", value)
+def metric_spread(scores: DataFrame, value: str, by: Sequence[str] = ("system",)) -> DataFrame:
+    """Mean, sample deviation and count of a score per system, or per system and aspect."""
+    return mean_and_spread(scores, by, value)
 
 
 def evaluate_systems(
-    tables: Mapping[str, DataFrame], rubrics, evaluator: str, cache: DataFrame | None = None, force: bool = False, **how
+    tables: Mapping[str, DataFrame], rubrics: Sequence[Rubric], evaluator: str, folder: str, force: bool = False, key: str = "row_id", **how
 ) -> DataFrame:
-    """Scores of several systems' conversations on several rubrics: stored ones plus the newly judged."""
-    from turnloom.operators.reports import registry_table
-
-    fresh = jd.judge(registry_table(tables), rubrics, evaluator, cache=cache, force=force, **how)
-    if cache is None or force:
-        return fresh
-    return cache.unionByName(fresh, allowMissingColumns=True)
+    """Scores of several systems' conversations on several rubrics, of which only those that ``folder`` lacks are judged.
+
+    The folder is read for this evaluator and these systems only. What is new goes there as one batch, which counts
+    from the moment that it is whole; with ``force`` all is judged anew and the later scores count.
+    """
+    systems = registry_table(tables)
+    cache = ScoreCache(systems.sparkSession, folder)
+    stored = cache.read(evaluator, list(tables))
+    prompts = jd.build_prompts(systems, rubrics, (key, "system")).withColumn("evaluator", F.lit(evaluator))
+    todo = prompts if force else jd.pending(prompts, stored, (key, "system", "subject", "aspect"))
+    cache.append(jd.run_judge(todo, **how).drop("prompt", "reply"))
+    return cache.read(evaluator, list(tables))

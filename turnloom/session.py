@@ -87,6 +87,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def sub_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where it is missing."""
+    if not path_exists(spark, path):
+        return []
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
 def drop_steps(spark: SparkSession) -> int:
     """Delete the step tables that this application has written so far; results that still read them are lost."""
     paths = _STEPS.pop(spark.sparkContext.applicationId, [])

@@ -30,10 +30,17 @@ def experiments(spark: SparkSession, paths: Mapping[str, str], schema: str | Non
 def delimited(spark: SparkSession, path: str, schema: str, sep: str | None = None, line_breaks: bool = False) -> DataFrame:
     """CSV or TSV with header; the separator follows the file ending unless given.
 
-    With ``line_breaks`` a quoted value may hold some, at the price that a file is read by one task.
+    With ``line_breaks`` a quoted value may hold some, at the price that a file is read by one task; without, a row
+    that one has broken is an error, as is any other row that does not fit the schema.
     """
     sep = sep or ("\t" if path.rstrip("/").endswith("tsv") else ",")
-    return spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks)
+    return _csv(spark, path, schema, sep, line_breaks)
+
+
+def _csv(spark: SparkSession, path: str, schema: str, sep: str, line_breaks: bool) -> DataFrame:
+    # whole rows are parsed even if few columns are asked for: a broken row is one in every query
+    reader = spark.read.schema(schema).option("mode", "FAILFAST").option("columnPruning", False)
+    return reader.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks)
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -54,7 +61,7 @@ def json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def task_files(spark: SparkSession, path: str, schema: str, name_parts: int = 2, sep: str = ",", line_breaks: bool = False) -> DataFrame:
     """All files of a folder as one table; ``task`` is the first ``name_parts`` pieces of the file name."""
     pattern = "^((?:[^_.]+_){0,%d}[^_.]+)" % (name_parts - 1)
-    df = spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks)
+    df = _csv(spark, path, schema, sep, line_breaks)
     return df.select("*", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).alias("task"))
 
 
