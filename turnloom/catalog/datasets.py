@@ -247,19 +247,29 @@ def training_samples(spark, d):
     return out.select("row_no", "task", F.md5("text_a").alias("a_md5"), F.md5("text_b").alias("b_md5"), "align_label", "tri_label", "reg_label")
 
 
+SHOWN_SAMPLE = "md5(a) AS a_md5, md5(b) AS b_md5, align_label, tri_label, CAST(reg_label AS DOUBLE) AS reg_label"
+
+
+def sample_columns():
+    return [F.md5("text_a").alias("a_md5"), F.md5("text_b").alias("b_md5"), "align_label", "tri_label", "reg_label"]
+
+
 @query("mixed_corpus", f"""
-WITH {BASE}, r AS (SELECT row_id, lang AS dataset, row_number() OVER (PARTITION BY lang ORDER BY md5('0|' || row_id)) AS rn FROM base), k AS (SELECT * FROM r WHERE rn <= 120),
-s AS (SELECT *, row_number() OVER (ORDER BY md5('0|' || row_id)) AS p, count(*) OVER () AS n FROM k)
-SELECT row_id AS row_no, dataset, CASE WHEN p <= floor(n * 0.95) THEN 'train' ELSE 'test' END AS split FROM s""")
+WITH {BASE}, cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('0|' || row_id)) AS rn FROM base) WHERE rn <= 120),
+cut AS (SELECT row_id, row_number() OVER (ORDER BY md5('0|' || row_id)) AS p, count(*) OVER () AS n FROM cap), {SAMPLES.replace("FROM base)", "FROM cap)")}
+SELECT row_no, dataset, task, CASE WHEN p <= floor(n * 0.95) THEN 'train' ELSE 'test' END AS split, {SHOWN_SAMPLE} FROM o JOIN cut ON o.row_no = cut.row_id""")
 def mixed_corpus(spark, d):
-    return sh.mixed_corpus(sample_pairs(spark, d), cap=120).select("row_no", "dataset", "split")
+    out = sh.mixed_corpus(sample_pairs(spark, d), cap=120)
+    return out.select("row_no", "dataset", "task", "split", *sample_columns())
 
 
 @query("limited_corpus", f"""
-WITH {BASE}, r AS (SELECT row_id, lang AS dataset, row_number() OVER (PARTITION BY lang ORDER BY row_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM base)
-SELECT row_id AS row_no, dataset FROM r WHERE (dataset = 'en' AND rn <= floor(n * 0.5)) OR (dataset = 'fr' AND rn <= 30)""")
+WITH {BASE}, cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY row_id) AS rn, count(*) OVER (PARTITION BY lang) AS n_all FROM base)
+  WHERE (lang = 'en' AND rn <= floor(n_all * 0.5)) OR (lang = 'fr' AND rn <= 30)), {SAMPLES.replace("FROM base)", "FROM cap)")}
+SELECT row_no, dataset, task, {SHOWN_SAMPLE} FROM o""")
 def limited_corpus(spark, d):
-    return sh.mixed_corpus(sample_pairs(spark, d), {"en": 0.5, "fr": 30}).select("row_no", "dataset")
+    out = sh.mixed_corpus(sample_pairs(spark, d), {"en": 0.5, "fr": 30})
+    return out.select("row_no", "dataset", "task", *sample_columns())
 
 
 FLAT = r"regexp_replace({}, '\s+', ' ', 'g')"

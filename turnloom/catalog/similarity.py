@@ -338,7 +338,7 @@ def extractive_summaries(spark, d):
     return out.select("doc_id", big(F.size(F.filter(F.split("summary", "\n"), lambda s: s != ""))).alias("n_lines"), F.md5("summary").alias("summary_md5"))
 
 
-@query("hashed_embeddings")
+@query("hashed_embeddings", f"SELECT conv_id, turn, len({WORDS.format('text')})::DOUBLE AS n_words, true AS ok FROM conversations")
 def hashed_embeddings(spark, d):
     out = sg.embed(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text")
     return out.select("conv_id", "turn", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("n_words"), F.col("embedding_error").isNull().alias("ok"))

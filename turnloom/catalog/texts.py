@@ -302,7 +302,18 @@ def cloze_options(spark, d):
     return rows.select("doc_id", big(F.col("pos")).alias("pos"), F.md5(tx.fill_blank(F.col("q"), F.col("o"))).alias("filled_md5"))
 
 
-@query("masked_answers")
+def deleted_sql(text: str, answer: str) -> str:
+    """An answer deleted where no letter, digit, hyphen or dash touches it; twice, as neighbours share what stands between them."""
+    edge = r"[^\p{L}\p{M}\p{N}_\-–]"
+    once = lambda t: f"regexp_replace({t}, '(?i)(^|{edge})' || regexp_escape({answer}) || '($|{edge})', '\\1\\2', 'g')"
+    return once(once(text))
+
+
+@query("masked_answers", f"""
+WITH t AS (SELECT doc_id, text, list_sort(list_transform(({WORDS.format('text')})[1:3], lambda w, i: {{'n': -length(w), 'i': i, 'w': w}})) AS ans FROM documents),
+a AS (SELECT doc_id, {deleted_sql("text", "coalesce(ans[1].w, chr(1))")} AS m, ans FROM t), b AS (SELECT doc_id, {deleted_sql("m", "coalesce(ans[2].w, chr(1))")} AS m, ans FROM a),
+c AS (SELECT doc_id, {deleted_sql("m", "coalesce(ans[3].w, chr(1))")} AS m FROM b)
+SELECT doc_id, CAST(length(m) AS BIGINT) AS n_chars, md5(m) AS masked_md5 FROM c""")
 def masked_answers(spark, d):
     answers = F.slice(tx.words(F.col("text")), 1, 3)
     masked = tx.mask_answers(F.col("text"), answers)
@@ -331,12 +342,16 @@ FRACTION = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
 
 @query("language_model_masks", f"""
 WITH w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents),
-e AS (SELECT doc_id, len(ws) AS n, i - 1 AS i, {FRACTION.format("'0|' || doc_id || '|' || (i - 1)")} / 0.15 AS p FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i))
-SELECT doc_id, count(*) FILTER (WHERE p < 1) AS n_labelled, count(*) FILTER (WHERE p < 0.8) AS n_masked, count(*) AS n_tokens FROM e GROUP BY 1""")
+e AS (SELECT doc_id, ws, i - 1 AS i, len(ws) AS n, substr(md5('0|' || doc_id || '|' || (i - 1)), 1, 8) AS h, ('0x' || substr(md5('0-swap|' || doc_id || '|' || (i - 1)), 1, 15))::BIGINT % len(ws) AS j
+  FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+t AS (SELECT doc_id, i, CASE WHEN h < '{mk.draw_below(0.15 * 0.8)}' THEN '[MASK]' WHEN h < '{mk.draw_below(0.15 * 0.9)}' THEN ws[j + 1] ELSE ws[i + 1] END AS token,
+  CASE WHEN h < '{mk.draw_below(0.15)}' THEN ws[i + 1] END AS label FROM e)
+SELECT doc_id, count(*) AS n_tokens, count(label) AS n_labelled, md5(string_agg(token, ' ' ORDER BY i)) AS tokens_md5, md5(string_agg(coalesce(label, '-'), ' ' ORDER BY i)) AS labels_md5 FROM t GROUP BY 1""")
 def language_model_masks(spark, d):
     out = mk.language_model_mask(F.col("text"), F.col("doc_id"))
-    rows = table(spark, d, "documents").select("doc_id", out.alias("m"))
+    rows = table(spark, d, "documents").select("doc_id", out.alias("m")).where(F.size("m.tokens") > 0)
+    shown = F.transform("m.labels", lambda w: F.coalesce(w, F.lit("-")))
     return rows.select(
-        "doc_id", big(F.size(F.array_compact("m.labels"))).alias("n_labelled"),
-        big(F.size(F.filter("m.tokens", lambda w: w == mk.MASK))).alias("n_masked"), big(F.size("m.tokens")).alias("n_tokens"),
+        "doc_id", big(F.size("m.tokens")).alias("n_tokens"), big(F.size(F.array_compact("m.labels"))).alias("n_labelled"),
+        F.md5(F.array_join("m.tokens", " ")).alias("tokens_md5"), F.md5(F.array_join(shown, " ")).alias("labels_md5"),
     )

@@ -44,6 +44,11 @@ def infill_next_word(original: Column, masked: Column, mask: str = MASK) -> Colu
     return let(tx.words(original), fill)
 
 
+def draw_below(share: float) -> str:
+    """The least digest prefix of eight hex digits that a draw of probability ``share`` does not take."""
+    return f"{min(int(share * 2**32), 2**32 - 1):08x}"
+
+
 def language_model_mask(
     text: Column, key: Column, share: float = 0.15, seed: object = 0, mask: str = MASK
 ) -> Column:
@@ -53,7 +58,7 @@ def language_model_mask(
     """
 
     def below(part: float) -> Column:
-        return F.lit(f"{min(int(share * part * 2**32), 2**32 - 1):08x}")
+        return F.lit(draw_below(share * part))
 
     def run(ws: Column) -> Column:
         other = lambda i: F.get(ws, hash_index(f"{seed}-swap", F.size(ws), key, i).cast("int"))
