@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import SENTENCES, STRIP, WORDS, query, table
+from turnloom.catalog.similarity import RAKE
 from turnloom.catalog.texts import FRACTION, MASKED
 from turnloom.functions import text as tx
 from turnloom.plans import pairs as pr
@@ -178,7 +179,24 @@ def answer_pairs(spark, d):
     return out.select("dataset", "row_id", F.md5("text_a").alias("a_md5"), F.md5(F.array_join("text_b", "|")).alias("b_md5"), F.size("text_c").alias("n_c"), answers, "orig_label")
 
 
-@query("key_phrase_pairs")
+def grams_sql(words: str, n: int) -> str:
+    return f"list_transform(range(1, len({words}) + {2 - n}), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))"
+
+
+def hits_sql(n: int) -> str:
+    """Grams of ``h`` that a reference holds, each as often as the reference that has it most often."""
+    count = lambda grams: f"len(list_filter({grams}, lambda x: x = g))"
+    most = f"greatest({count(grams_sql('r1', n))}, {count(grams_sql('r2', n))})"
+    return f"list_sum(list_transform(list_distinct({grams_sql('h', n)}), lambda g: least({count(grams_sql('h', n))}, {most})))"
+
+
+@query("key_phrase_pairs", f"""
+WITH {RAKE}, {BASE}, g AS (SELECT base.*, rank, phrase, string_split(phrase, ' ') AS h, CASE WHEN y3 = 0 THEN [] ELSE {WORDS.format('lower(s2)')} END AS r1,
+  CASE WHEN y3 = 0 THEN [] ELSE [lower(ws[1])] END AS r2 FROM base LEFT JOIN (SELECT * FROM r WHERE rank <= 5) ON row_id = doc_id),
+k AS (SELECT *, {hits_sql(1)} AS h1, {hits_sql(2)} AS h2, {hits_sql(3)} AS h3, CASE WHEN (abs(len(r1) - len(h)), len(r1)) < (abs(len(r2) - len(h)), len(r2)) THEN len(r1) ELSE len(r2) END AS near FROM g),
+b AS (SELECT *, CASE WHEN h1 > 0 AND h2 > 0 AND h3 > 0 THEN least(1, exp(1 - near / len(h))) * exp(0.33 * ln(h1 / len(h)) + 0.33 * ln(h2 / (len(h) - 1)) + 0.33 * ln(h3 / (len(h) - 2))) ELSE 0 END AS bleu FROM k)
+SELECT 'squad' AS dataset, 'extractive_qa' AS task, row_id::VARCHAR AS row_id, md5(text) AS a_md5, md5(CASE WHEN y3 = 0 THEN '' ELSE s1 || ' ' || s2 || '|' || s1 || ' ' || ws[1] END) AS b_md5,
+  md5(coalesce(string_agg(s1 || ' ' || phrase, '|' ORDER BY rank) FILTER (bleu < 0.6 AND phrase IS NOT NULL), '')) AS c_md5, -1.0::DOUBLE AS orig_label FROM b GROUP BY row_id, text, y3, s1, s2, ws""")
 def key_phrase_pairs(spark, d):
     return shown(pr.build_pairs("squad", raw_answers(spark, d)["squad"]))
 

@@ -318,15 +318,16 @@ def reranked_metrics(spark, d):
 STOPS = ", ".join(f"'{w}'" for w in kp.STOP_WORDS)
 
 
-@query("key_phrases", rf"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+') AS ts FROM documents),
+RAKE = rf"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+') AS ts FROM documents),
 m AS (SELECT doc_id, array_to_string(list_transform(ts, lambda w: CASE WHEN w IN ({STOPS}) OR NOT regexp_matches(w, '^[\p{{L}}\p{{N}}_]') THEN chr(1) ELSE w END), ' ') AS s FROM t),
 f AS (SELECT doc_id, list_filter(list_transform(string_split(s, chr(1)), lambda p: trim(p)), lambda p: p <> '') AS ps FROM m),
 p AS (SELECT doc_id, i AS pos, ps[i] AS phrase, string_split(ps[i], ' ') AS ws FROM f, LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS i)),
 w AS (SELECT doc_id, pos, phrase, len(ws) AS n, unnest(ws) AS w FROM p), st AS (SELECT doc_id, w, sum(n) / count(*) AS ratio FROM w GROUP BY 1, 2),
 sc AS (SELECT doc_id, pos, phrase, sum(ratio) AS score FROM w JOIN st USING (doc_id, w) GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, phrase DESC, pos) AS rank FROM sc)
-SELECT doc_id, CAST(rank AS INT) AS rank, md5(phrase) AS phrase_md5, round(score, 6) AS phrase_score FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, phrase DESC, pos) AS rank FROM sc)"""
+
+
+@query("key_phrases", f"WITH {RAKE} SELECT doc_id, CAST(rank AS INT) AS rank, md5(phrase) AS phrase_md5, round(score, 6) AS phrase_score FROM r WHERE rank <= 5")
 def key_phrases(spark, d):
     out = kp.key_phrases(table(spark, d, "documents"), "doc_id", "text", 5)
     return out.select("doc_id", "rank", F.md5("phrase").alias("phrase_md5"), r6(F.col("phrase_score")).alias("phrase_score"))
