@@ -296,6 +296,34 @@ def annotator_agreement(spark, d):
     return rounded(hm.agreement_report(annotated(spark, d), {"choice": "flag"}), "kappa", "alpha")
 
 
+ASPECTS = {"clarity": "trunc(o_totalprice)::INT % 2", "societal": "o_orderkey % 3 % 2"}
+
+
+def aspect_sql(aspect: str, draw: str) -> str:
+    """Agreement on the units whose two judges differ: both give points by the remainder of the unit's number."""
+    return f"""(WITH f AS (SELECT o_custkey AS sc_title, o_orderstatus AS gen_model, o_orderkey AS annotator, CASE WHEN {draw} = 0 THEN 'left' ELSE 'right' END AS choice
+  FROM orders WHERE o_custkey % 3 <> o_custkey % 2), {AGREEMENT.format(source='f')}
+SELECT 'pw_llm_{aspect}' AS question, n_units, round((po - pe) / (1 - pe), 6) AS kappa, n_values, round(alpha, 6) AS alpha FROM k, al)"""
+
+
+@query("human_agreement", " UNION ALL ".join(aspect_sql(a, draw) for a, draw in ASPECTS.items()))
+def human_agreement(spark, d):
+    """From an annotation export, one task per unit with all its annotations, to agreement per aspect."""
+    o = table(spark, d, "orders")
+    drawn = {"clarity": F.col("o_totalprice").cast("int") % 2, "societal": F.col("o_orderkey") % 3 % 2}
+    value = lambda side: F.struct(F.when(side == 0, "left").otherwise("right").alias("selected"), F.lit(None).cast("string").alias("text"))
+    results = F.array(*[F.struct(F.lit("pairwise").alias("type"), F.lit(f"pw_llm_{a}").alias("to_name"), value(side).alias("value")) for a, side in drawn.items()])
+    mail = F.struct(F.format_string("%012d@annotators", F.col("o_orderkey")).alias("email"))
+    rows = o.select("o_custkey", "o_orderstatus", F.struct(mail.alias("completed_by"), results.alias("result")).alias("a"))
+    points = lambda n: F.concat(F.lit("Score: "), (F.col("o_custkey") % n + 1).cast("string"), F.lit("\nReason: none"))
+    data = F.struct(
+        F.col("o_custkey").cast("string").alias("sc_title"), F.col("o_orderstatus").alias("gen_model"),
+        *[points(n).alias(f"llm{k}_{a}_eval") for a in ASPECTS for k, n in ((1, 3), (2, 2))],
+    )
+    export = rows.groupBy("o_custkey", "o_orderstatus").agg(F.collect_list("a").alias("annotations")).select(data.alias("data"), "annotations")
+    return rounded(hm.human_report(export, {"left": "one", "right": "two"}, list(ASPECTS)), "kappa", "alpha")
+
+
 @query("annotation_lists", f"""
 WITH {ANNOTATED} SELECT sc_title, gen_model, count(*) AS n_annotations, string_agg(choice, ',' ORDER BY annotator) AS annotations FROM ann GROUP BY 1, 2 HAVING count(*) > 2""")
 def annotation_lists(spark, d):
