@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import SENTENCES, STRIP, WORDS, query, table
 from turnloom.catalog.similarity import RAKE
-from turnloom.catalog.texts import FRACTION, MASKED
+from turnloom.catalog.texts import FRACTION, MASKED, deleted_sql
 from turnloom.functions import text as tx
 from turnloom.plans import pairs as pr
 from turnloom.plans import shaping as sh
@@ -161,22 +161,41 @@ HOP = "CASE WHEN md5('0-order|' || row_id || '|0') < md5('0-order|' || row_id ||
 ALWAYS = ("quoref", "adversarial_qa", "drop", "duorc_self", "duorc_paraphrase")
 
 
-# answers are compared where SQL can make them: given ones, and made-up ones of questions without any
-@query("answer_pairs", f"WITH {BASE}, r AS (SELECT * FROM base WHERE y3 <> 0), n AS (SELECT * FROM base WHERE y3 = 0) " + " UNION ALL ".join([
-    answered("squad_v2_new", "text", "s1", "2", "1", GIVEN, "r"), answered("squad_v2_new", "text", "s1", "1", "0", "md5(coalesce(ws[1], 'no answer'))", "n"),
-    *[answered(n, "text", "s1", "2", "1", GIVEN, "r") for n in ALWAYS], *[answered(n, "text", "s1", "1", "0") for n in ALWAYS],
-    answered("ropes", "text || ' ' || s1", "s1", "2", "1", GIVEN, "r"), answered("ropes", "text || ' ' || s1", "s1", "1", "0"),
-    answered("newsqa", "text", "s1", "1", "1", f"md5({STRIP.format('text[1:4]')})", "base WHERE y2 = 1", "row_id || '-0'"), answered("newsqa", "text", "s1", "1", "0", source="base WHERE y2 = 1", row="row_id || '-0'"),
+# a made-up answer is the first word that is left when the given answers, the longer one first, are deleted
+LONGER, SHORTER = ("CASE WHEN length(s2) {} length(coalesce(ws[1], '')) THEN s2 ELSE coalesce(ws[1], '') END".format(sign) for sign in (">=", "<"))
+SITUATION = "(text || ' ' || s1)"
+HOPS = ("hotpot_qa_distractor", "hotpot_qa_fullwiki")
+MADE_UP = "md5(coalesce({}[1], 'no answer'))"
+
+
+def made_up_sql(name: str, context: str, left: str, row: str = "row_id::VARCHAR", question: str = "s1") -> str:
+    return answered(name, context, question, "1", "0", MADE_UP.format("lf.left"), f"base JOIN {left} lf USING (row_id)", row)
+
+
+@query("answer_pairs", f"WITH {BASE}, r AS (SELECT * FROM base WHERE y3 <> 0), n AS (SELECT * FROM base WHERE y3 = 0), " + ", ".join([
+    f"m1 AS MATERIALIZED (SELECT row_id, {deleted_sql('text', LONGER)} AS t, s2, ws FROM r)",
+    f"lt AS MATERIALIZED (SELECT row_id, {WORDS.format(deleted_sql('t', SHORTER))} AS left FROM m1 UNION ALL SELECT row_id, ws AS left FROM n)",
+    f"m2 AS MATERIALIZED (SELECT row_id, {deleted_sql(SITUATION, LONGER)} AS t, s2, ws FROM r)",
+    f"lr AS MATERIALIZED (SELECT row_id, {WORDS.format(deleted_sql('t', SHORTER))} AS left FROM m2 UNION ALL SELECT row_id, {WORDS.format(SITUATION)} AS left FROM n)",
+    f"ln AS MATERIALIZED (SELECT row_id, {WORDS.format(deleted_sql('text', STRIP.format('text[1:4]')))} AS left FROM base WHERE y2 = 1)",
+    f"hp AS (SELECT row_id, lang, {HOP} AS t FROM base)", f"lh AS MATERIALIZED (SELECT row_id, {WORDS.format(deleted_sql('t', 'lang'))} AS left FROM hp) ",
+]) + " UNION ALL ".join([
+    answered("squad_v2_new", "text", "s1", "2", "1", GIVEN, "r"), answered("squad_v2_new", "text", "s1", "1", "0", MADE_UP.format("ws"), "n"),
+    *[answered(n, "text", "s1", "2", "1", GIVEN, "r") for n in ALWAYS], *[made_up_sql(n, "text", "lt") for n in ALWAYS],
+    answered("ropes", "text || ' ' || s1", "s1", "2", "1", GIVEN, "r"), made_up_sql("ropes", "text || ' ' || s1", "lr"),
+    answered("newsqa", "text", "s1", "1", "1", f"md5({STRIP.format('text[1:4]')})", "base WHERE y2 = 1", "row_id || '-0'"), made_up_sql("newsqa", "text", "ln", "row_id || '-0'"),
     answered("squad_v2", "text", "s1 || ' ' || s2", "0", "1", "md5('')", "r"), answered("squad_v2", "text", "s1 || ' ' || ws[-1]", "0", "0", "md5('')", "n"),
-    *[answered(n, HOP, "s3", "1", y, c) for n in ("hotpot_qa_distractor", "hotpot_qa_fullwiki") for y, c in (("1", "md5(lang)"), ("0", "NULL"))],
+    *[answered(n, HOP, "s3", "1", "1", "md5(lang)") for n in HOPS], *[made_up_sql(n, HOP, "lh", question="s3") for n in HOPS],
 ]))
 def answer_pairs(spark, d):
+    """Given answers and made-up ones alike."""
     raw = raw_answers(spark, d)
     raw.pop("squad")
     out = pr.build_all(raw)
-    known = (F.col("orig_label") == 1) | F.col("dataset").isin("squad_v2_new", "squad_v2")
-    answers = F.when(known, F.md5(F.array_join("text_c", "|"))).alias("c_md5")
-    return out.select("dataset", "row_id", F.md5("text_a").alias("a_md5"), F.md5(F.array_join("text_b", "|")).alias("b_md5"), F.size("text_c").alias("n_c"), answers, "orig_label")
+    return out.select(
+        "dataset", "row_id", F.md5("text_a").alias("a_md5"), F.md5(F.array_join("text_b", "|")).alias("b_md5"), F.size("text_c").alias("n_c"),
+        F.md5(F.array_join("text_c", "|")).alias("c_md5"), "orig_label",
+    )
 
 
 def grams_sql(words: str, n: int) -> str:
