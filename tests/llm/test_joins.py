@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from cases import LONG, ODD, WORD, ascii_lower, frame
 
+from pyspark.sql import functions as F
+
 from turnloom.llm import filter_audit, lexical_search, ngram_join
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -86,6 +88,18 @@ def test_links_of_odd_rows(spark, odd, none):
     assert ngram_join.linked_documents(none).collect() == []
 
 
+def test_leaders_find_most_links(spark):
+    """Copies with one word changed are all linked by the round of leaders; hashes above and below the sign bit alike."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if k != 2 * i else "x" for k, w in enumerate(words))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.prefixes(df, 1)
+    meeting = ngram_join.members(found)
+    held = ngram_join.contents(df, ngram_join.sets(df), meeting)
+    links = ngram_join.led(meeting, held).collect()
+    assert len({x for r in links for x in (r.a, r.b)}) == 40
+
+
 def test_templates_meet_nobody(spark):
     """Texts that share 60 % and no more have enough shingles of their own: candidates do not grow with their number."""
     pick = random.Random(8)
@@ -250,3 +264,31 @@ def test_walk_and_shapley_by_definition():
     for f, worth in zip("ABCDE", filter_audit.shapley(left[:, 0])):
         assert worth == sum(r[3] for r in rows if r[0][r[1] - 1] == f) and {r[8] for r in rows if r[0][r[1] - 1] == f} == {worth}
     assert filter_audit.states([]).tolist() == [[0, 0, 0]] * 32
+
+
+# components in parts
+
+
+def test_components_in_parts(spark):
+    from turnloom.llm.unions import united
+
+    pick = random.Random(9)
+    edges = [(pick.randrange(400), pick.randrange(400)) for _ in range(260)] + [(5, 5), (None, 3)]
+    root = {n: n for n in range(400)}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges[:-1]:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    want = {n: find(n) for n in root if find(n) != n}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for part in (1 << 20, 40):
+        assert {r.node: r.component for r in united(df, part).collect()} == want
+    name = lambda c: F.lpad(F.col(c).cast("string"), 4, "0").cast("binary").alias(c)
+    names = df.select(name("a"), name("b"))
+    assert {int(r.node): int(r.component) for r in united(names).collect()} == want
+    assert united(df.where("a < 0")).collect() == []

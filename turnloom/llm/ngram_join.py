@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.components import components
+from turnloom.llm.unions import united
 from turnloom.session import durable
 
 WORDS = 5
@@ -34,6 +34,8 @@ SENT = 1 << 20
 CELLS = 1 << 17
 #: Bits of a bitmap per shingle, at least.
 BITS = 4
+#: Bits of the bitmap by which texts are found again: four megabytes.
+FILTER = 1 << 25
 
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -148,7 +150,7 @@ def _postings(docs: DataFrame, ranges: int, words: int) -> DataFrame:
         rows = []
         for s, e in zip(starts, np.append(starts[1:], len(part)), strict=True):
             few, at = np.unique(owner[s:e], return_inverse=True)
-            rows.append((int(part[s]), slot[s:e].tobytes(), at.astype(np.uint32).tobytes(), nodes[few].tobytes(), sizes[few].tobytes()))
+            rows.append((int(part[s]), slot[s:e].tobytes(), packed_places(at, len(few)), nodes[few].tobytes(), sizes[few].tobytes()))
         return pd.DataFrame(rows, columns=names)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,6 +173,15 @@ def _postings(docs: DataFrame, ranges: int, words: int) -> DataFrame:
     return docs.select("text").where("text is not null").mapInPandas(cut, kinds)
 
 
+def packed_places(at: np.ndarray, of: int) -> bytes:
+    """Places in a list of ``of`` entries, two bytes each if they fit."""
+    return at.astype(np.uint16 if of <= 1 << 16 else np.uint32).tobytes()
+
+
+def places(packed: bytes, of: int) -> np.ndarray:
+    return np.frombuffer(packed, np.uint16 if of <= 1 << 16 else np.uint32)
+
+
 def place(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of the range and 32-bit place inside it for ascending hashes; order is kept."""
     high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
@@ -179,7 +190,7 @@ def place(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _recurring(postings: DataFrame, ranges: int) -> DataFrame:
-    """``bucket, nodes, sizes, keys, counts``: shingles that several sets hold, packed by bucket of sets.
+    """``bucket, at, nodes, sizes, keys, counts``: shingles that several sets hold, packed by bucket of sets.
 
     A task holds one range at a time: about as many shingles as ``RANGE_BYTES`` of text have, and of a shingle that
     very many sets hold what remains after each sender has folded its copies.
@@ -190,7 +201,7 @@ def _recurring(postings: DataFrame, ranges: int) -> DataFrame:
             slots = np.concatenate([np.frombuffer(b, np.uint32) for b in rows["slots"]])
             nodes, sizes = [], []
             for at, n, s in zip(rows["at"], rows["nodes"], rows["sizes"], strict=True):
-                pick = np.frombuffer(at, np.uint32)
+                pick = places(at, len(n) // 8)
                 nodes.append(np.frombuffer(n, np.uint64)[pick])
                 sizes.append(np.frombuffer(s, np.uint32)[pick])
             nodes, sizes = np.concatenate(nodes), np.concatenate(sizes)
@@ -211,11 +222,14 @@ def _recurring(postings: DataFrame, ranges: int) -> DataFrame:
             for b in range(ranges):
                 own = order[ends[b] : ends[b + 1]]
                 if len(own):
-                    out.append((b, nodes[own].tobytes(), sizes[own].tobytes(), keys[own].tobytes(), counts[own].astype(np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "nodes", "sizes", "keys", "counts"])
+                    few, first, at = np.unique(nodes[own], return_index=True, return_inverse=True)
+                    # beyond two bytes counts say "many": all of these come last
+                    many = np.minimum(counts[own], (1 << 16) - 1).astype(np.uint16)
+                    out.append((b, packed_places(at, len(few)), few.tobytes(), sizes[own][first].tobytes(), keys[own].tobytes(), many.tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "at", "nodes", "sizes", "keys", "counts"])
 
     sorted_parts = postings.repartition("part").sortWithinPartitions("part")
-    return sorted_parts.mapInPandas(count, "bucket int, nodes binary, sizes binary, keys binary, counts binary")
+    return sorted_parts.mapInPandas(count, "bucket int, at binary, nodes binary, sizes binary, keys binary, counts binary")
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -247,10 +261,11 @@ def prefixes(docs: DataFrame, ranges: int, words: int = WORDS) -> DataFrame:
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _groups(batches, ["bucket"]):
-            nodes, sizes, keys, counts = (
-                np.concatenate([np.frombuffer(b, kind) for b in rows[c]])
-                for c, kind in (("nodes", np.uint64), ("sizes", np.uint32), ("keys", np.uint64), ("counts", np.uint32))
-            )
+            pick = [places(at, len(n) // 8) for at, n in zip(rows["at"], rows["nodes"], strict=True)]
+            each = lambda c, kind: np.concatenate([np.frombuffer(b, kind)[at] for b, at in zip(rows[c], pick, strict=True)])
+            whole = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in rows[c]])
+            nodes, sizes = each("nodes", np.uint64), each("sizes", np.uint32)
+            keys, counts = whole("keys", np.uint64), whole("counts", np.uint16)
             order = np.lexsort((keys, counts, nodes))
             nodes, sizes, keys = nodes[order], sizes[order], keys[order]
             starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]]) if len(nodes) else np.empty(0, np.int64)
@@ -279,8 +294,22 @@ def members(found: DataFrame) -> DataFrame:
     return durable(each.join(durable(shared), ["band", "key"]))
 
 
+def marks(hashes: DataFrame, bits: int = FILTER) -> np.ndarray:
+    """Bitmap of ``bits`` places with the places of all hashes of the column ``h`` set: of this size for any table."""
+    place = F.pmod(F.col("h"), F.lit(bits))
+    words = hashes.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bit"].to_numpy()
+    return out.view(np.uint64)
+
+
 def contents(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int = WORDS, sign: Callable[[np.ndarray], np.ndarray] = bitmap) -> DataFrame:
-    """``node, short, size, bits, content`` for the sets numbered in ``wanted``: signature and sorted shingles."""
+    """``node, short, size, bits, content`` for the sets numbered in ``wanted``: signature and sorted shingles.
+
+    One row of each set is cut again where it is read: a bitmap of bounded size tells which rows these are. The few
+    others that it lets through come too and meet nobody. A node comes once.
+    """
 
     @F.pandas_udf("long")
     def short(nodes: pd.Series) -> pd.Series:
@@ -288,21 +317,24 @@ def contents(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int = W
 
     one = rows.where("size > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     one = one.withColumn("short", short("node")).join(wanted.select("short").distinct(), "short", "left_semi")
-    one = durable(one.select("node", "short", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")))
-    texts = _keyed(docs).join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    sent = docs.sparkSession.sparkContext.broadcast(marks(one.select(F.xxhash64("one.doc_id", "one.text_hash").alias("h"))))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            at = batch["h"].to_numpy() % FILTER
+            known = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            batch = batch[known == 1]
             for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                own = [shingles(t, words) for t in part["text"]]
+                own = [s for s in (shingles(t, words) for t in batch["text"].iloc[start : start + 256]) if len(s)]
+                node = [xxhash.xxh3_128_digest(s.tobytes()) for s in own]
                 yield pd.DataFrame({
-                    "node": part["node"], "short": part["short"], "size": [len(s) for s in own],
+                    "node": node, "short": np.array([_short(n) for n in node], np.uint64).view(np.int64), "size": [len(s) for s in own],
                     "bits": [sign(s).tobytes() for s in own], "content": [_signed(s) for s in own],
                 })
 
+    texts = docs.where("text is not null").select(F.xxhash64("doc_id", F.xxhash64("text")).alias("h"), "text")
     kinds = "node binary, short long, size int, bits binary, content array<long>"
-    return durable(texts.select("node", "short", "text").mapInPandas(cut, kinds).dropDuplicates(["node"]))
+    return durable(texts.mapInPandas(cut, kinds).dropDuplicates(["node"]))
 
 
 Near = Callable[[int, np.ndarray, int, np.ndarray], bool]
@@ -326,7 +358,8 @@ def led(meeting: DataFrame, held: DataFrame, near: Near | None = None) -> DataFr
         found = []
         for n_, p_, x_, m_, q_, y_ in zip(n, p, x, m, q, y, strict=True):
             meets = near(n_, np.frombuffer(p_, np.uint64), m_, np.frombuffer(q_, np.uint64))
-            found.append(bool(meets and alike(overlap(x_, y_), n_, m_)))
+            # ascending as unsigned numbers
+            found.append(bool(meets and alike(overlap(x_.view(np.uint64), y_.view(np.uint64)), n_, m_)))
         return pd.Series(found, dtype=bool)
 
     both = pairs.join(left, "short").join(right, "other")
@@ -374,15 +407,15 @@ def tiled(meeting: DataFrame, held: DataFrame, labels: DataFrame, cells: int = C
     """
     named = meeting.join(held.select("short", "node"), "short").join(labels, "node", "left")
     named = durable(named.select("band", "key", "node", "size", F.coalesce("component", "node").alias("label")))
-    mixed = named.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "key")
-    open_ = named.join(durable(mixed), ["band", "key"])
-    ends = open_.withColumns({"a": F.xxhash64("band", "node"), "b": F.xxhash64("band", "key", F.lit("key"))})
-    ends = durable(ends.select("band", "node", "size", "label", "a", "b"))
-    parts = durable(components(ends.select("a", "b")))
-    nodes = ends.drop("b").distinct().join(parts, F.col("a") == parts["node"], "left").select(
-        ends["band"], ends["node"], ends["size"], "label", F.coalesce("component", "a").alias("cluster")
-    )
-    nodes = durable(nodes)
+    mixed = named.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "key", "x")
+    open_ = durable(named.join(mixed, ["band", "key"]))
+    # components that meet: one edge for each two, not for each set and key
+    met = open_.where("label <> x").select("band", "label", "x").distinct()
+    edges = met.select(F.xxhash64("band", "label").alias("a"), F.xxhash64("band", "x").alias("b"))
+    parts = durable(united(edges))
+    nodes = open_.select("band", "node", "size", "label").distinct().withColumn("a", F.xxhash64("band", "label"))
+    nodes = nodes.join(parts.withColumnRenamed("node", "a"), "a", "left")
+    nodes = durable(nodes.select("band", "node", "size", "label", F.coalesce("component", "a").alias("cluster")))
     sums = nodes.groupBy("cluster", "label").agg(F.sum("size").alias("n"))
     sums = sums.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n"))
     blocks = [F.greatest(F.ceil(c / cells), F.lit(1)).cast("int") for c in (F.col("main_n"), F.col("n") - F.col("main_n"))]
@@ -426,10 +459,10 @@ def nodes_with_labels(docs: DataFrame, words: int, cells: int, range_bytes: int,
     meeting = members(found)
     held = contents(docs, rows, meeting, words, sign)
     links = led(meeting, held, near)
-    labels = durable(components(links))
+    labels = durable(united(links))
     more = tiled(meeting, held, labels, cells, find)
     if not more.isEmpty():
-        labels = durable(components(links.unionByName(more)))
+        labels = durable(united(links.unionByName(more)))
     return rows, labels
 
 
