@@ -563,6 +563,23 @@ def test_summary_size(spark):
     assert len(got[0].split("\n")) == 2 and got[1] == "" and got[2] == ""
 
 
+def test_summary_ranks_by_dense_matrix():
+    """Ranks over sparse edges are those of the whole matrix; edges are only between sentences that share words."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    sents = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(40)] + ["alone here", "x", "x"]
+    sets = [set(t.split()) for t in sents]
+    scale = lambda a, b: math.log10(len(a)) + math.log10(len(b))
+    n = len(sents)
+    matrix = np.array([[len(sets[i] & sets[j]) / scale(sents[i], sents[j]) if i != j and scale(sents[i], sents[j]) > 0 else 0.0 for j in range(n)] for i in range(n)])
+    degree, rank = matrix.sum(axis=1), np.full(n, 1 / n)
+    for _ in range(su.ROUNDS):
+        rank = (1 - su.DAMPING) / n + su.DAMPING * matrix @ np.divide(rank, degree, out=np.zeros(n), where=degree > 0)
+    assert su.sentence_ranks(sents) == pytest.approx(rank)
+    start, other, weight = su.sentence_edges(sents)
+    assert len(other) == len(weight) == start[-1] == np.count_nonzero(matrix)
+
+
 def test_retrieval_metrics(spark):
     run = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "query_id long, doc_id long, rank int")
     qrels = spark.createDataFrame([(1, 11, 2), (1, 12, 1), (1, 13, 1), (2, 10, 1)], "query_id long, doc_id long, grade int")

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import SENTENCES, STRIP, WORDS, query, table
-from turnloom.catalog.similarity import RAKE
+from turnloom.catalog.similarity import RAKE, summary_sql
 from turnloom.catalog.texts import FRACTION, MASKED, deleted_sql
 from turnloom.functions import text as tx
 from turnloom.plans import pairs as pr
@@ -220,7 +220,21 @@ def key_phrase_pairs(spark, d):
     return shown(pr.build_pairs("squad", raw_answers(spark, d)["squad"]))
 
 
-@query("summary_pairs")
+def corrupted_sql(name: str, source: str, text: str, tag: str) -> str:
+    """CTEs up to ``name(row_id, bad)``: a quarter of the words, the first by digest, replaced by the word behind them."""
+    draw = f"md5('{tag}|' || row_id || '|' || (i - 1))"
+    return f"""{name}w AS (SELECT row_id, {WORDS.format(text)} AS ws FROM {source}),
+{name}c AS (SELECT row_id, ws, CAST(floor(len(ws) * 0.25) AS INT) AS n, list_sort(list_transform(ws, lambda w, i: {draw}))[CAST(floor(len(ws) * 0.25) AS INT)] AS cut FROM {name}w),
+{name} AS (SELECT row_id, array_to_string(list_transform(ws, lambda w, i: CASE WHEN n > 0 AND {draw} <= cut THEN ws[i % len(ws) + 1] ELSE w END), ' ') AS bad FROM {name}c)"""
+
+
+SUMMARY_SETS = ("xsum", "cnndm", "wikihow")
+
+
+@query("summary_pairs", f"""
+WITH {BASE}, {summary_sql('base', 'row_id', 'text')}, {corrupted_sql('gold', 'base', 's1', 'gold')}, {corrupted_sql('ex', 'sm', 'summary', 'extract')},
+u AS (SELECT row_id, text, s1, summary, gold.bad AS b1, ex.bad AS b2 FROM base JOIN sm USING (row_id) JOIN gold USING (row_id) JOIN ex USING (row_id))
+SELECT unnest({list(SUMMARY_SETS)}) AS dataset, 'summarization' AS task, row_id::VARCHAR AS row_id, md5(text) AS a_md5, md5(s1 || '|' || summary) AS b_md5, md5(b1 || '|' || b2) AS c_md5, -1.0::DOUBLE AS orig_label FROM u""")
 def summary_pairs(spark, d):
     rows = base(spark, d)
     named = lambda text, short: rows.select("row_id", F.col("text").alias(text), F.col("s1").alias(short))

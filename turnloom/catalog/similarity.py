@@ -333,7 +333,25 @@ def key_phrases(spark, d):
     return out.select("doc_id", "rank", F.md5("phrase").alias("phrase_md5"), r6(F.col("phrase_score")).alias("phrase_score"))
 
 
-@query("extractive_summaries")
+def summary_sql(source: str, ident: str, text: str) -> str:
+    """CTEs up to ``sm(ident, n, summary)``: rank of sentences by shared words in 30 rounds, the best twentieth in text order."""
+    rounds = ", ".join(
+        f"r{k + 1} AS (SELECT v.d, v.i, any_value(0.15::DOUBLE / v.n) + 0.85::DOUBLE * coalesce(sum(e.w * r.r / g.g), 0) AS r "
+        f"FROM sv v LEFT JOIN e ON e.d = v.d AND e.i = v.i LEFT JOIN r{k} r ON r.d = e.d AND r.i = e.j LEFT JOIN g ON g.d = e.d AND g.i = e.j GROUP BY v.d, v.i)"
+        for k in range(su.ROUNDS)
+    )
+    return f"""sl AS (SELECT {ident} AS d, {SENTENCES.format(text)} AS ss FROM {source}),
+sv AS MATERIALIZED (SELECT d, i, len(ss) AS n, ss[i] AS s, log10(length(ss[i])) AS l FROM sl, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS i)),
+sw AS (SELECT d, i, l, unnest(list_distinct({WORDS.format('lower(s)')})) AS w FROM sv),
+e AS MATERIALIZED (SELECT a.d, a.i, b.i AS j, count(*) / any_value(a.l + b.l) AS w FROM sw a JOIN sw b ON a.d = b.d AND a.w = b.w AND a.i <> b.i WHERE a.l + b.l > 0 GROUP BY ALL),
+g AS MATERIALIZED (SELECT d, i, sum(w) AS g FROM e GROUP BY ALL), r0 AS (SELECT d, i, 1.0::DOUBLE / n AS r FROM sv), {rounds},
+o AS (SELECT d, i, n, s, row_number() OVER (PARTITION BY d ORDER BY round(r, 12) DESC, i) AS place FROM r{su.ROUNDS} JOIN sv USING (d, i)),
+sm AS (SELECT sl.d AS {ident}, count(o.i) AS n, coalesce(string_agg(o.s, chr(10) ORDER BY o.i), '') AS summary
+  FROM sl LEFT JOIN o ON sl.d = o.d AND o.place <= CASE WHEN o.n >= 20 THEN o.n // 20 WHEN o.n >= 2 THEN 1 ELSE 0 END GROUP BY sl.d)"""
+
+
+@query("extractive_summaries", f"""
+WITH {summary_sql('documents', 'doc_id', 'text')} SELECT doc_id, len(list_filter(string_split(summary, chr(10)), lambda s: s <> '')) AS n_lines, md5(summary) AS summary_md5 FROM sm""")
 def extractive_summaries(spark, d):
     out = su.extractive_summary(table(spark, d, "documents").select("doc_id", "text"), "text")
     return out.select("doc_id", big(F.size(F.filter(F.split("summary", "\n"), lambda s: s != ""))).alias("n_lines"), F.md5("summary").alias("summary_md5"))

@@ -14,34 +14,42 @@ from turnloom.functions import text as tx
 
 DAMPING = 0.85
 ROUNDS = 30
-ROWS = 1024
 
 
-def sentence_ranks(sents: list[str]) -> np.ndarray:
-    """PageRank of sentences linked by shared words over the sum of log lengths; edges are built block by block."""
+def sentence_edges(sents: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``start, other, weight``: sentences that share words, over an index from words to sentences.
+
+    Row ``i`` of the graph is ``other[start[i]:start[i + 1]]``. The weight is the number of shared words over the sum of
+    the logarithms of both lengths; what is held follows the number of such pairs.
+    """
     sets = [sorted(set(s.lower().split())) for s in sents]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for s in sets for w in s}))}
-    presence = np.zeros((len(sets), len(vocabulary)), dtype=np.float32)
-    for i, s in enumerate(sets):
-        presence[i, [vocabulary[w] for w in s]] = 1
-    logs = np.array([math.log10(max(len(s), 1)) for s in sets])
-
-    def edges(lo: int) -> np.ndarray:
-        shared = (presence[lo : lo + ROWS] @ presence.T).astype(np.float64)
-        scale = logs[lo : lo + ROWS, None] + logs[None, :]
-        block = np.divide(shared, scale, out=np.zeros_like(shared), where=scale > 0)
-        block[np.arange(len(block)), lo + np.arange(len(block))] = 0
-        return block
-
-    starts = range(0, len(sets), ROWS)
-    kept = [edges(lo) for lo in starts] if len(sets) <= ROWS * 4 else None
-    block = lambda i, lo: kept[i] if kept is not None else edges(lo)
-    degree = np.concatenate([block(i, lo).sum(axis=1) for i, lo in enumerate(starts)])
-    rank = np.full(len(sets), 1.0 / len(sets))
+    index: dict[str, list[int]] = {}
+    for i, words in enumerate(sets):
+        for w in words:
+            index.setdefault(w, []).append(i)
+    where = {w: np.array(places, np.int32) for w, places in index.items() if len(places) > 1}
+    logs = np.array([math.log10(max(len(s), 1)) for s in sents])
+    start, others, weights = [0], [], []
+    for i, words in enumerate(sets):
+        met = [where[w] for w in words if w in where]
+        shared = np.bincount(np.concatenate(met), minlength=0) if met else np.empty(0, np.int64)
+        at = np.flatnonzero(shared)
+        at = at[(at != i) & (logs[i] + logs[at] > 0)]
+        others.append(at.astype(np.int32))
+        weights.append(shared[at] / (logs[i] + logs[at]))
+        start.append(start[-1] + len(at))
+    return np.array(start), np.concatenate(others), np.concatenate(weights)
+
+
+def sentence_ranks(sents: list[str]) -> np.ndarray:
+    """PageRank over the edges, a fixed number of rounds."""
+    start, other, weight = sentence_edges(sents)
+    row = np.repeat(np.arange(len(sents)), np.diff(start))
+    degree = np.bincount(row, weight, len(sents))
+    rank = np.full(len(sents), 1.0 / len(sents))
     for _ in range(ROUNDS):
         flow = np.divide(rank, degree, out=np.zeros_like(rank), where=degree > 0)
-        spread = np.concatenate([block(i, lo) @ flow for i, lo in enumerate(starts)])
-        rank = (1 - DAMPING) / len(sets) + DAMPING * spread
+        rank = (1 - DAMPING) / len(sents) + DAMPING * np.bincount(row, weight * flow[other], len(sents))
     return rank
 
 
