@@ -326,7 +326,8 @@ def stored_results(spark, d):
         means = table(spark, d, "events").groupBy(F.col("event_type").alias("system")).agg(F.round(value, 6).alias("value"))
         sinks.save_metrics(means.withColumn("kind", F.lit(kind)), f"{base}/metrics")
     found.append(readers.columnar(spark, f"{base}/metrics").withColumn("item", F.lit(None).cast("long")))
-    arrays = docs.groupBy("system", F.col("item") % 50).agg(F.to_json(F.collect_list(F.struct("system", "item", "value"))).alias("value"))
+    # an array for some hundred documents: their number grows with the table
+    arrays = docs.groupBy("system", F.floor(F.col("item") / 200)).agg(F.to_json(F.collect_list(F.struct("system", "item", "value"))).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{base}/arrays")
     found.append(readers.json_any(spark, f"{base}/arrays", schema).withColumn("kind", F.lit("arrays")))
     out = found[0].select("kind", "system", "item", "value")

@@ -1,6 +1,5 @@
 """Queries over overlap metrics, vectors, alignment, retrieval and key phrases."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import LEXICAL, SENTENCES, WORDS, query, table
@@ -13,7 +12,9 @@ from turnloom.operators import retrieval as rt
 from turnloom.operators import similarity as sim
 from turnloom.operators import stages as sg
 from turnloom.operators import summaries as su
+from turnloom.operators.ranking import running_totals
 from turnloom.plans import evaluation as ev
+from turnloom.session import durable
 
 big = lambda c: c.cast("bigint")
 r6 = lambda c: F.round(c, 6)
@@ -195,8 +196,10 @@ c AS (SELECT label, count(DISTINCT turn) AS n_turns FROM n GROUP BY 1), k AS (SE
 SELECT label, n_turns, round(coalesce(k, 0) / (n_turns - 1), 6) AS followup FROM c LEFT JOIN k USING (label)""")
 def followup_scores(spark, d):
     v = table(spark, d, "embeddings")
-    turn = F.floor((F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1) / 3)
-    rows = v.withColumn("turn", turn)
+    # numbered by stretches: no task sees all vectors of a label
+    placed = running_totals(v.select("label", "vec_id", F.lit(1).alias("one")), ["label"], "vec_id", ["one"])
+    turns = placed.select("vec_id", F.floor(F.col("one_before") / 3).alias("turn"))
+    rows = durable(v.join(turns, "vec_id"))
     return rounded(sim.followup_score(rows, rows.select("label", "turn"), "label", "turn", "vec_id", threshold=0.9), "followup")
 
 

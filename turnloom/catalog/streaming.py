@@ -13,16 +13,19 @@ from turnloom.streaming import streams as stm
 big = lambda c: c.cast("bigint")
 
 
+#: Batches of a small table, and rows that a batch has on average at most: a batch is one file and one task.
 BATCHES = 4
+BATCH_ROWS = 1 << 20
 
 
 def stream_of(spark, rows, end=None):
-    """``rows`` as a stream of four batches of equal time spans, each a file in the order of ``ts``; ``end`` is one more."""
+    """``rows`` as a stream of batches of equal time spans, each a file in the order of ``ts``; ``end`` is one more."""
     path = fresh_dir(spark, "source")
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    low, high, n = rows.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    batches = max(BATCHES, -(-n // BATCH_ROWS))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else F.lit(c).cast("timestamp"))
-    span = F.floor((micros("ts") - micros(low)) * BATCHES / (micros(high) - micros(low) + 1))
-    cut = [rows.where(span == i) for i in range(BATCHES)] + ([end] if end is not None else [])
+    span = F.floor((micros("ts") - micros(low)) * batches / (micros(high) - micros(low) + 1))
+    cut = [rows.where(span == i) for i in range(batches)] + ([end] if end is not None else [])
     for part in cut:
         part.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
