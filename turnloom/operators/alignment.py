@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as tx
-from turnloom.functions.binding import let
 from turnloom.operators.budget import sentence_chunks
 from turnloom.operators.lexical import mean_of
 from turnloom.operators.stages import BATCH, Client, batch_stage, containment, named_heads, token_set
