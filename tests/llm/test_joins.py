@@ -8,7 +8,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
-from cases import LONG, ODD, WORD, ascii_lower, frame
+from cases import LONG, ODD, WORD, ascii_lower
 
 from pyspark.sql import functions as F
 
