@@ -34,7 +34,10 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard similarity of 0.8), the one with the least id."""
+    """One document of each group of near copies, the one with the least id.
+
+    Links are fingerprints within two bits, by the trie self-join of all of them, and a five-word Jaccard similarity of 0.8.
+    """
     bound_batches(spark)
     return near_copies.one_per_group(docs)
 

@@ -1,19 +1,24 @@
-"""Near copies by SimHash and an exact check: links are pairs with a Jaccard similarity of 0.8 or more of five-word shingles.
-
-Fingerprints of such pairs differ in about ten bits, which is far too many for the blocks of bits by which ``simhash``
-brings fingerprints together: blocks of five bits are everything with everything. Here sets meet if they share one of
-their rarest shingles, which every linked pair does (see ``ngram_join``). Among sets that meet, the binary trie of their
-fingerprints is walked in node pairs with a wide error budget, and what is left is intersected exactly.
+"""Near copies by SimHash: the trie self-join of all fingerprints, and wider pairs that an exact check confirms.
+
+All texts go through the trie self-join of ``simhash`` over five-word shingles, which links fingerprints within two
+bits. Pairs with a Jaccard similarity of 0.8 differ in about ten bits, which is far too many for the blocks of bits by
+which ``simhash`` brings fingerprints together: blocks of five bits are everything with everything. So sets also meet if
+they share one of their rarest shingles, which every pair of that similarity does (see ``ngram_join``). Among sets that
+meet, the binary trie of their fingerprints is walked in node pairs with a wide error budget, and what is left is
+intersected exactly. Links of both kinds make the components.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnloom.llm import ngram_join
 from turnloom.llm.ngram_join import alike, overlap
-from turnloom.llm.simhash import least_rows, walk
+from turnloom.llm.simhash import labelled, least_rows, walk
+from turnloom.llm.unions import united
+from turnloom.session import durable
 
 WORDS = 5
 #: Bits in which linked pairs may differ: at a similarity of 0.8 ten on average with a deviation of three.
@@ -69,9 +74,22 @@ def trie_links(
     return links
 
 
+def print_links(docs: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b``: nodes that the trie self-join of all fingerprints links and ``labels`` does not, each with the least of them."""
+    prints, named = labelled(docs, WORDS)
+    label = prints.join(named.select("fp", "label"), "fp").select("text_hash", "label").distinct()
+    texts = rows.select("text_hash", "node").distinct().join(labels, "node", "left")
+    met = durable(texts.select("text_hash", F.coalesce("component", "node").alias("a")).join(label, "text_hash").select("label", "a").distinct())
+    least = met.groupBy("label").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return durable(met.join(least, "label").where("a <> b").select("a", "b"))
+
+
 def classes(docs: DataFrame, cells: int = ngram_join.CELLS, range_bytes: int = ngram_join.RANGE_BYTES) -> DataFrame:
     """``doc_id, text_hash, component_id`` for every row; null and wordless texts are one class, no rows give none."""
     rows, labels = ngram_join.nodes_with_labels(docs, WORDS, cells, range_bytes, fingerprint, within, trie_links)
+    more = print_links(docs, rows, labels)
+    if not more.isEmpty():
+        labels = durable(united(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     return ngram_join.named_rows(rows, labels).select("doc_id", "text_hash", "component_id")
 
 

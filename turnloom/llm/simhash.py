@@ -222,8 +222,8 @@ def linked(prints: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataF
 _LOW = np.int64(-(1 << 63))
 
 
-def _classes(docs: DataFrame, words: int, budget: int, group: int) -> DataFrame:
-    """``doc_id, text_hash, fp, component_id, links`` for every row."""
+def labelled(docs: DataFrame, words: int, budget: int = BUDGET, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_hash, fp`` for every row and ``fp, least, label, links`` for every fingerprint; linked ones share a label."""
     rows = durable(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column(F.col("text"), words).alias("fp")))
     prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = durable(linked(prints.select("fp"), budget, group))
@@ -234,6 +234,12 @@ def _classes(docs: DataFrame, words: int, budget: int, group: int) -> DataFrame:
         .join(counts, "fp", "left")
         .select("fp", "least", F.coalesce("component", "fp").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     )
+    return rows, named
+
+
+def _classes(docs: DataFrame, words: int, budget: int, group: int) -> DataFrame:
+    """``doc_id, text_hash, fp, component_id, links`` for every row."""
+    rows, named = labelled(docs, words, budget, group)
     least = durable(named.groupBy("label").agg(F.min("least").alias("component_id")))
     classes = durable(named.join(least, "label").select("fp", "component_id", "links"))
     return rows.join(classes, "fp")
