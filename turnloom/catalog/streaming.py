@@ -7,7 +7,7 @@ from turnloom.catalog.judging import INPUTS, POINTS, judged_inputs, prompt_sql
 from turnloom.catalog.registry import TURNS, query, table, turns
 from turnloom.operators import judging as jd
 from turnloom.operators import rubrics as rb
-from turnloom.session import fresh_dir
+from turnloom.session import fresh_dir, path_exists
 from turnloom.streaming import streams as stm
 
 big = lambda c: c.cast("bigint")
@@ -16,18 +16,27 @@ big = lambda c: c.cast("bigint")
 #: Batches of a small table, and rows that a batch has on average at most: a batch is one file and one task.
 BATCHES = 4
 BATCH_ROWS = 1 << 20
+#: Bytes of a row group in a batch's file.
+ROW_GROUP = 4 << 20
 
 
 def stream_of(spark, rows, end=None):
-    """``rows`` as a stream of batches of equal time spans, each a file in the order of ``ts``; ``end`` is one more."""
-    path = fresh_dir(spark, "source")
+    """``rows`` as a stream of batches of equal time spans, each a file in the order of ``ts``; ``end`` is one more.
+
+    Rows are dealt to their spans once, whatever the number of spans. Files have small row groups, so that one is read
+    by many tasks.
+    """
+    path, dealt = fresh_dir(spark, "source"), fresh_dir(spark, "spans")
     low, high, n = rows.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
     batches = max(BATCHES, -(-n // BATCH_ROWS))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else F.lit(c).cast("timestamp"))
     span = F.floor((micros("ts") - micros(low)) * batches / (micros(high) - micros(low) + 1))
-    cut = [rows.where(span == i) for i in range(batches)] + ([end] if end is not None else [])
+    spread = rows.withColumn("_span", span).repartitionByRange("ts", F.xxhash64(*rows.columns))
+    spread.write.partitionBy("_span").parquet(dealt)
+    of = lambda i: spark.read.schema(rows.schema).parquet(f"{dealt}/_span={i}") if path_exists(spark, f"{dealt}/_span={i}") else rows.limit(0)
+    cut = [of(i) for i in range(batches)] + ([end] if end is not None else [])
     for part in cut:
-        part.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
+        part.coalesce(1).sortWithinPartitions("ts").write.option("parquet.block.size", ROW_GROUP).mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
