@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from turnloom.catalog import streaming as cs
+from turnloom.operators import judging as jd
+from turnloom.operators import rubrics as rb
 
 
 def test_stream_source_reads_its_rows_a_fixed_number_of_times(spark, monkeypatch):
@@ -18,3 +20,13 @@ def test_stream_source_reads_its_rows_a_fixed_number_of_times(spark, monkeypatch
     stream = cs.stream_of(spark, rows)
     assert seen.value <= 4 * 60
     assert stream.isStreaming
+
+
+def test_pending_prompts_meet_stored_scores_by_row(spark):
+    rows = spark.createDataFrame([("1", "s", "x"), ("2", "s", "y"), (None, "s", "z")], "row_id string, system string, conversation string")
+    rubrics, keep = rb.RUBRICS[:2], ["row_id", "system"]
+    every = jd.build_prompts(rows, rubrics, keep)
+    stored = every.where(f"row_id = '1' or aspect = '{rubrics[0].aspect}'").select(*keep, "subject", "aspect")
+    got = sorted(map(str, jd.pending_prompts(rows, rubrics, keep, stored).collect()))
+    assert got == sorted(map(str, jd.pending(every, stored, [*keep, "subject", "aspect"]).collect())) and len(got) == 3
+    assert jd.pending_prompts(rows, rubrics, keep, None).count() == every.count()

@@ -57,6 +57,19 @@ def pending(prompts: DataFrame, scored: DataFrame | None, key: Sequence[str] = S
     return prompts.join(scored.select(*key), list(key), "left_anti")
 
 
+def pending_prompts(df: DataFrame, rubrics: Sequence[Rubric], keep: Sequence[str], scored: DataFrame | None) -> DataFrame:
+    """Prompts of ``df`` without a score in ``scored(keep..., subject, aspect)``.
+
+    A row meets its stored scores before it becomes prompts, so its texts are shuffled once and not once per rubric.
+    """
+    if scored is None:
+        return build_prompts(df, rubrics, keep)
+    have = scored.groupBy(*keep).agg(F.collect_set(F.struct("subject", "aspect")).alias("_have"))
+    prompts = build_prompts(df.join(have, list(keep), "left"), rubrics, [*keep, "_have"])
+    known = F.array_contains("_have", F.struct("subject", "aspect"))
+    return prompts.where(~F.coalesce(known, F.lit(False))).drop("_have")
+
+
 def run_judge(
     prompts: DataFrame,
     model: Callable[[Column], Column] | Callable[[], Client] = rubric_reply,

@@ -96,7 +96,6 @@ def evaluate_systems(
     systems = registry_table(tables)
     cache = ScoreCache(systems.sparkSession, folder)
     stored = cache.read(evaluator, list(tables))
-    prompts = jd.build_prompts(systems, rubrics, (key, "system")).withColumn("evaluator", F.lit(evaluator))
-    todo = prompts if force else jd.pending(prompts, stored, (key, "system", "subject", "aspect"))
+    todo = jd.pending_prompts(systems, rubrics, (key, "system"), None if force else stored).withColumn("evaluator", F.lit(evaluator))
     cache.append(jd.run_judge(todo, **how).drop("prompt", "reply"))
     return cache.read(evaluator, list(tables))
