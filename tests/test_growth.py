@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from turnloom.catalog import streaming as cs
 from turnloom.operators import judging as jd
+from turnloom.operators import lexical as lx
 from turnloom.operators import rubrics as rb
 
 
@@ -30,3 +31,14 @@ def test_pending_prompts_meet_stored_scores_by_row(spark):
     got = sorted(map(str, jd.pending_prompts(rows, rubrics, keep, stored).collect()))
     assert got == sorted(map(str, jd.pending(every, stored, [*keep, "subject", "aspect"]).collect())) and len(got) == 3
     assert jd.pending_prompts(rows, rubrics, keep, None).count() == every.count()
+
+
+def test_common_subsequences_take_batches_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "67108864b")
+    try:
+        row = lx.rouge(spark.createDataFrame([("1", "a b c", "a c")], "item_id string, a string, b string"), ("L",), stem=False).first()
+        assert round(row["rougeL_f"], 6) == 0.8 and spark.conf.get(key) != "67108864b"
+    finally:
+        spark.conf.set(key, before)

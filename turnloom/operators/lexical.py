@@ -14,6 +14,7 @@ from turnloom.functions import text as tx
 from turnloom.functions.binding import let
 from turnloom.functions.grams import ngrams, shared, tagged, widest
 from turnloom.functions.stemming import stem_all
+from turnloom.session import bound_batches
 
 
 def f_measure(p: Column, r: Column) -> Column:
@@ -77,6 +78,7 @@ def rouge_scores(
     A kind is a number for n-grams or ``L`` for the longest common subsequence. Texts are cut and stemmed once for all
     kinds and compared in their row: nothing is shuffled. Empty and null texts score 0.
     """
+    bound_batches(pairs.sparkSession)
     prepared = _prepared(pairs, item, a, b, stem)
     if "L" in kinds:
         whole = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
