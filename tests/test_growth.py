@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from turnloom.catalog import streaming as cs
+from turnloom.functions import text as tx
 from turnloom.operators import judging as jd
 from turnloom.operators import lexical as lx
 from turnloom.operators import rubrics as rb
+from turnloom.operators.stages import score_pairs
 
 
 def test_stream_source_reads_its_rows_a_fixed_number_of_times(spark, monkeypatch):
@@ -42,3 +44,17 @@ def test_common_subsequences_take_batches_by_bytes(spark):
         assert round(row["rougeL_f"], 6) == 0.8 and spark.conf.get(key) != "67108864b"
     finally:
         spark.conf.set(key, before)
+
+
+def test_texts_of_a_pair_are_cut_once_for_all_heads(spark):
+    pairs = spark.createDataFrame([("a b c", "a z")], "premise string, hypothesis string")
+    scored = score_pairs(pairs)
+    assert scored.first()["tri"] == [0.5, 0.0, 0.5]
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("lower(premise") == 1
+
+
+def test_claims_are_respelt_without_sorting_the_context(spark):
+    df = spark.createDataFrame([("The NATO met nato. The Nato", "the nato MET rome"), ("", "a"), (None, "x")], "c string, h string")
+    claimed = df.select(tx.clean_claim(F.col("c"), F.col("h")).alias("t"))
+    assert [r.t for r in claimed.collect()] == ["The Nato met rome", "A", "X"]
+    assert "sort_array" not in claimed._jdf.queryExecution().analyzed().toString()

@@ -34,17 +34,19 @@ NAME_PATTERN = r"\bDr\.\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
 COMPLETE_END = "[.?!…](['”\"\\)]*)\\s*$"
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 SENTENCE_BREAK = r"(?<=[.!?…])\s+"
+# fixed values: the characters of Unicode's White_Space property
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NAIVE_SENTENCE_BREAK = r"(?<=[?.!])\s+"
 
 
 def strip(text: Column) -> Column:
-    """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Remove all leading and trailing white space, not only blanks; only the ends of a text are looked at."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def words(text: Column) -> Column:
     """White-space separated words without empty pieces."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def word_count(text: Column) -> Column:
@@ -72,7 +74,7 @@ def cut_tokens(text: Column, n: int, pattern: str = TOKEN_PATTERN, suffix: str =
 
 def sentences(text: Column) -> Column:
     """Split after sentence-ending punctuation followed by white space."""
-    return F.filter(F.split(strip(text), SENTENCE_BREAK), lambda s: s != "")
+    return F.array_remove(F.split(strip(text), SENTENCE_BREAK), "")
 
 
 def naive_sentences(text: Column) -> Column:
@@ -81,7 +83,7 @@ def naive_sentences(text: Column) -> Column:
 
 def lexical_tokens(text: Column) -> Column:
     """Lower-case alphanumeric tokens, the unit of the overlap metrics."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def is_complete(paragraph: Column) -> Column:
@@ -185,13 +187,23 @@ def case_map(context: Column) -> Column:
 
 
 def clean_claim(context: Column, claim: Column) -> Column:
-    """Restore the context's word case (its last spelling wins), plain quotes and brackets, sentence capitals."""
-    return let(case_map(context), lambda known: clean_claim_by(known, claim))
+    """Restore the context's word case (its last spelling wins), plain quotes and brackets, sentence capitals.
+
+    Each word of the claim is looked for from the end of the context; nothing is sorted.
+    """
+    last_first = lambda ws: F.struct(ws.alias("words"), F.split(F.lower(F.array_join(ws, " ")), " ").alias("low"))
+    back = let(F.reverse(F.coalesce(words(context), F.array().cast("array<string>"))), last_first)
+    respelt = lambda known, w: F.coalesce(F.get(known["words"], F.array_position(known["low"], F.lower(w)).cast("int") - 1), w)
+    return _claim_text(let(back, lambda known: F.transform(words(claim), lambda w: respelt(known, w))))
 
 
 def clean_claim_by(known: Column, claim: Column) -> Column:
     """``clean_claim`` with the context's ``case_map``; without one every word stays as it is."""
     respelled = F.transform(words(claim), lambda w: F.coalesce(F.try_element_at(known, F.lower(w)), w))
+    return _claim_text(respelled)
+
+
+def _claim_text(respelled: Column) -> Column:
     text = F.array_join(respelled, " ")
     text = F.translate(text, "“”’‘`", "\"\"'''")
     text = F.replace(F.replace(text, F.lit("-lrb-"), F.lit("(")), F.lit("-rrb-"), F.lit(")"))

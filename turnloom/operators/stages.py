@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as tx
-from turnloom.functions.binding import let
 
 Client = Callable[[list], Sequence]
 RETRIES = 5
@@ -145,7 +144,7 @@ def embed(df: DataFrame, text: str, output: str = "embedding", make_client: Call
 
 
 def containment(premise: Column, claim: Column) -> Column:
-    """Share of the claim's distinct tokens found among the premise's; both are distinct token lists."""
+    """Share of the claim's distinct tokens found among the premise's; the claim is a distinct token list."""
     both = F.size(F.array_intersect(claim, premise)).cast("double")
     return F.coalesce(F.try_divide(both, F.size(claim).cast("double")), F.lit(0.0))
 
@@ -163,9 +162,9 @@ def score_pairs(
     receives structs of both texts and returns ``(reg, bin, [three])``.
     """
     if make_client is None:
-        c = containment(token_set(F.col(premise)), token_set(F.col(claim)))
-        tri = let(F.struct(c.alias("c")), lambda s: F.array(s["c"], F.lit(0.0), 1 - s["c"]))
-        return pairs.withColumn("reg", c).withColumn("bin", F.col("reg")).withColumn("tri", tri)
+        # every head is made from one containment: the texts of a pair are cut once
+        scored = pairs.withColumn("reg", containment(tx.lexical_tokens(F.col(premise)), token_set(F.col(claim))))
+        return scored.withColumn("bin", F.col("reg")).withColumn("tri", F.array("reg", F.lit(0.0), 1 - F.col("reg")))
     wrapped = lambda: named_heads(make_client())
     both = F.to_json(F.struct(F.col(premise).alias("premise"), F.col(claim).alias("hypothesis")))
     scored = batch_stage(pairs, wrapped, both, "_heads", "string")
