@@ -58,3 +58,10 @@ def test_claims_are_respelt_without_sorting_the_context(spark):
     claimed = df.select(tx.clean_claim(F.col("c"), F.col("h")).alias("t"))
     assert [r.t for r in claimed.collect()] == ["The Nato met rome", "A", "X"]
     assert "sort_array" not in claimed._jdf.queryExecution().analyzed().toString()
+
+
+def test_masked_answers_are_looked_for_by_their_letters(spark):
+    df = spark.createDataFrame([("Old-age, an age; AGE old", ["age", "old"])], "c string, a array<string>")
+    masked = df.select(tx.mask_answers(F.col("c"), F.col("a")).alias("t"))
+    assert masked.first().t == "Old-age, an ;  "
+    assert "(?iU)\\Q" in masked._jdf.queryExecution().analyzed().toString()

@@ -233,7 +233,8 @@ def mask_answers(context: Column, answers: Column) -> Column:
 
     def pattern(answer: Column) -> Column:
         literal = F.replace(answer, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-        return F.concat(F.lit(rf"(?iU)(?<!{edge})\Q"), literal, F.lit(rf"\E(?!{edge})"))
+        # the literal comes first: what stands before it is only looked at where it matches
+        return F.concat(F.lit(r"(?iU)\Q"), literal, F.lit(rf"\E(?!{edge})(?<!{edge}\Q"), literal, F.lit(r"\E)"))
 
     return F.aggregate(ordered, context, lambda acc, a: F.regexp_replace(acc, pattern(a), F.lit("")))
 
