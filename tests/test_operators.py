@@ -580,6 +580,27 @@ def test_summary_ranks_by_dense_matrix():
     assert len(other) == len(weight) == start[-1] == np.count_nonzero(matrix)
 
 
+def test_summary_graph_in_blocks(monkeypatch):
+    """Blocks of any size give the same edges, also of a sentence alone over a block; what is counted at once is bounded."""
+    rng = random.Random(12)
+    sents = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(1, 12))) for _ in range(200)] + [" ", "alone", "x", "x"]
+    whole, ranks = su.sentence_edges(sents), su.sentence_ranks(sents)
+    assert len(whole[0]) == len(sents) + 1 and len(whole[1]) == whole[0][-1]
+    counted, real = [], np.bincount
+    spy = lambda x, weights=None, minlength=0: counted.append(minlength) or real(x, weights, minlength)
+    for cells in (1, 500, 10_000):
+        monkeypatch.setattr(su, "CELLS", cells)
+        with monkeypatch.context() as seen:
+            seen.setattr(np, "bincount", spy)
+            again = su.sentence_edges(sents)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, again))
+        assert max(counted) <= max(cells, len(sents))
+        counted.clear()
+    # ranks of the edges are those of the whole matrix
+    monkeypatch.setattr(su, "WHOLE", 10**9)
+    assert su.sentence_ranks(sents) == pytest.approx(ranks, abs=1e-14)
+
+
 def test_retrieval_metrics(spark):
     run = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "query_id long, doc_id long, rank int")
     qrels = spark.createDataFrame([(1, 11, 2), (1, 12, 1), (1, 13, 1), (2, 10, 1)], "query_id long, doc_id long, grade int")

@@ -16,8 +16,8 @@ from turnloom.sources import readers, sinks
 big = lambda c: c.cast("bigint")
 
 
-def base(spark, d):
-    """Sentences of a document as raw material: s1, s2, s3 and the words of the text."""
+def base(spark, d, columns=()):
+    """Sentences of a document as raw material: s1, s2, s3 and the words of the text; ``columns`` are all that is stored, if given."""
     docs = table(spark, d, "documents")
     ss = tx.sentences(F.col("text"))
     labels = table(spark, d, "labels").select("doc_id", "quality")
@@ -29,7 +29,7 @@ def base(spark, d):
         F.coalesce("quality", F.lit(0)).alias("quality"),
     )
     # stored once: every dataset reads the columns that it needs
-    return durable(made)
+    return durable(made.select(*columns) if columns else made)
 
 
 BASE = f"""d0 AS (SELECT *, {SENTENCES.format('text')} AS ss, {WORDS.format('text')} AS ws FROM documents),
@@ -236,7 +236,7 @@ WITH {BASE}, {summary_sql('base', 'row_id', 'text')}, {corrupted_sql('gold', 'ba
 u AS (SELECT row_id, text, s1, summary, gold.bad AS b1, ex.bad AS b2 FROM base JOIN sm USING (row_id) JOIN gold USING (row_id) JOIN ex USING (row_id))
 SELECT unnest({list(SUMMARY_SETS)}) AS dataset, 'summarization' AS task, row_id::VARCHAR AS row_id, md5(text) AS a_md5, md5(s1 || '|' || summary) AS b_md5, md5(b1 || '|' || b2) AS c_md5, -1.0::DOUBLE AS orig_label FROM u""")
 def summary_pairs(spark, d):
-    rows = base(spark, d)
+    rows = base(spark, d, ["row_id", "text", "s1"])
     named = lambda text, short: rows.select("row_id", F.col("text").alias(text), F.col("s1").alias(short))
     return shown(pr.build_all({"xsum": named("document", "summary"), "cnndm": named("article", "highlights"), "wikihow": named("text", "headline")}))
 
