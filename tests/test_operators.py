@@ -384,6 +384,32 @@ def test_bm25_is_exact(spark, monkeypatch, block, first):
     assert got == bm25_by_definition(docs, queries, 5)
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 16])
+def test_bm25_of_odd_rows(spark, monkeypatch, sent):
+    """Both ways give the definition's rows: ids and queries as text, a null text, many equal documents, queries without hits."""
+    monkeypatch.setattr(rt, "SENT", sent)
+    docs = [(f"d{i:03}", "same Words, here" if i % 2 else f"other w{i % 7} words\n WORDS") for i in range(90)] + [("e", ""), ("é", "Été été w1")]
+    queries = [("a", "words"), ("b", "été w1 w1"), ("c", "nothing such"), ("d", ""), ("e", "here same")]
+    given = spark.createDataFrame([*docs, ("n", None)], "doc_id string, text string")
+    out = rt.bm25(given, spark.createDataFrame(queries, "query_id string, text string"), 7)
+    got = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 6)) for r in out.collect()}
+    plain = lambda t: " ".join(t.lower().replace(",", "").split())
+    assert got == bm25_by_definition([(i, plain(t)) for i, t in [*docs, ("n", "")]], queries, 7)
+    # rows of one id are one document whose shares add up
+    twice = rt.bm25(spark.createDataFrame([(1, "a b"), (1, "a"), (2, "a a")], "doc_id int, text string"), spark.createDataFrame([(1, "a")], "query_id int, text string"))
+    idf, share = math.log(1 + 0.5 / 3.5), lambda tf, dl: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (5 / 3)))
+    want = [(1, pytest.approx(idf * (share(1, 2) + share(1, 1)))), (2, pytest.approx(idf * share(2, 2)))]
+    assert [(r.doc_id, r.score) for r in twice.orderBy("rank").collect()] == want
+
+
+def test_bm25_shuffles_best_lists_only(spark, tmp_path):
+    """A task returns at most ``k`` documents of a query: no pair of query and document beyond these leaves it."""
+    rows = spark.range(500).select(F.col("id").alias("doc"), F.array(F.lit(0), F.lit(1)).alias("term"), F.array((F.col("id") % 9).cast("double") + 1, F.lit(0.5)).alias("gain"))
+    best = rt.best_scored(rows.coalesce(1), [[(0, 1.0), (1, 2.0)], [(1, 1.0)], [(5, 1.0)]], 4)
+    got = sorted((r["query"], r.doc, r.score) for r in best.collect())
+    assert got == [(0, i, 10.0) for i in (8, 17, 26, 35)] + [(1, i, 0.5) for i in range(4)]
+
+
 def test_bm25_moves_a_posting_to_the_queries_of_its_term_only(spark):
     docs = spark.createDataFrame([(i, "often " + ("rare" if i == 3 else f"w{i}")) for i in range(40)], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "rare often"), (2, "often"), (3, "w5")], "query_id long, text string")

@@ -4,13 +4,21 @@ The index has one row per block of postings: a term's documents and what the ter
 these. Frequent terms have many blocks. A query's terms reach the blocks of those terms only, and not all of them:
 its rarest terms first give scores that the k-th best document reaches at least. Terms that together cannot lift a
 document above that bring no candidates; they are only looked up for candidates that can still reach it.
+
+Queries whose terms are few enough to be sent to every task need no such index: one pass over the texts keeps what they
+can ask for, each task adds up the scores of its own documents and returns its best of each query, and nothing but these
+is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +32,8 @@ K1, B = 1.2, 0.75
 BLOCK = 4096
 #: Postings, per wanted document, that the rarest terms of a query may have for the first scores.
 FIRST = 20
+#: Words of all queries up to which they are sent to every task; more go by the index.
+SENT = 1 << 16
 #: Scores are sums of doubles in any order: bounds are taken this much wider.
 SLACK = 1e-7
 
@@ -36,6 +46,10 @@ class Index(NamedTuple):
     n_docs: int
 
 
+def n_terms(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
+
+
 def term_counts(text: Column) -> Column:
     """``array<struct<term, n>>``: each term of a text once with its number of occurrences."""
     entry = lambda run: F.struct(F.get(run, F.lit(0)).alias("term"), F.size(run).alias("n"))
@@ -50,7 +64,7 @@ def build_index(
     Terms are counted inside each row, so a document's terms are shuffled once each, in blocks. Documents without a
     term count for the average length and have no postings.
     """
-    length = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
+    length = n_terms(F.col(text))
     size = corpus.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl")).first()
     n_docs, avgdl = size["n"], float(size["avgdl"] or 1.0)
     # in a step of its own: beside an explode the length would be taken for each term
@@ -136,6 +150,99 @@ def search(asked: DataFrame, index: Index, k: int) -> DataFrame:
     return alive.join(added, ["query", "doc"], "left").select("query", "doc", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
+def held_terms(corpus: DataFrame, words: dict[str, int], doc: str, text: str) -> DataFrame:
+    """``doc, dl, term, tf``: the length of each document and the terms of ``words`` that it holds, by their numbers."""
+    sent = corpus.sparkSession.sparkContext.broadcast(words)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = sent.value.get
+        for batch in batches:
+            terms, times = [], []
+            for said in batch.column("said"):
+                found = Counter(map(number, (said.as_py() or "").split(" ")))
+                found.pop(None, None)
+                terms.append(list(found))
+                times.append(list(found.values()))
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (terms, times)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("dl"), *lists], ["doc", "dl", "term", "tf"])
+
+    said = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")
+    rows = corpus.select(F.col(doc).alias("doc"), n_terms(F.col(text)).alias("dl"), said.alias("said"))
+    return rows.mapInArrow(held, f"doc {rows.schema['doc'].dataType.simpleString()}, dl int, term array<int>, tf array<int>")
+
+
+def best_scored(rows: DataFrame, queries: list[list[tuple[int, float]]], k: int) -> DataFrame:
+    """``query, doc, score, place``: of every task's ``rows(doc, term, gain)`` the best ``k`` for each query, a list of
+    term and weight. ``place`` is the score in nine digits, which orders documents; equal ones go by ``doc``."""
+    sent = rows.sparkSession.sparkContext.broadcast([(np.array([t for t, _ in q], np.int64), [w for _, w in q]) for q in queries])
+    order = [("place", "descending"), ("doc", "ascending")]
+
+    def top(found: pa.Table) -> pa.Table:
+        return found if len(found) <= k else found.take(pc.sort_indices(found, sort_keys=order, null_placement="at_start")[:k])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops: dict[int, pa.Table] = {}
+        floors: dict[int, float] = {}
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column("term")
+            at = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            term, gain = lists.flatten().to_numpy(), batch.column("gain").flatten().to_numpy()
+            by_term = np.argsort(term, kind="stable")
+            term, at, gain = term[by_term], at[by_term], gain[by_term]
+            for query, (asked, weights) in enumerate(sent.value):
+                low, high = np.searchsorted(term, asked, "left"), np.searchsorted(term, asked, "right")
+                met = [(slice(a, b), w) for a, b, w in zip(low, high, weights) if a < b]
+                if not met:
+                    continue
+                scores = np.bincount(np.concatenate([at[s] for s, _ in met]), np.concatenate([gain[s] * w for s, w in met]), n)
+                hits = np.flatnonzero((scores > 0) & (scores >= floors.get(query, 0.0) - SLACK))
+                place = np.round(scores[hits], 9)
+                if len(hits) > k:
+                    # only what reaches the k-th place; equal ones are left to ``top``
+                    kept = place >= np.partition(place, -k)[-k]
+                    hits, place = hits[kept], place[kept]
+                new = pa.table({"doc": batch.column("doc").take(pa.array(hits)), "score": scores[hits], "place": place})
+                best = tops[query] = top(pa.concat_tables([tops[query], new]) if query in tops else new)
+                if len(best) == k:
+                    floors[query] = pc.min(best["place"]).as_py()
+        for query, best in tops.items():
+            yield from best.append_column("query", pa.array([query] * len(best), pa.int32())).combine_chunks().to_batches()
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.mapInArrow(score, f"doc {kind}, score double, place double, query int")
+
+
+def scanned(
+    corpus: DataFrame, queries: DataFrame, vocabulary: DataFrame, k: int, doc: str, query: str, text: str, k1: float, b: float
+) -> DataFrame:
+    """``query, doc, score, rank`` of the best ``k`` documents by one pass over the texts and one over their held terms.
+
+    Rows of one ``doc`` add up to one document, each with its own length. What the driver holds are the queries' terms.
+    """
+    spark = corpus.sparkSession
+    words = {r["term"]: i for i, r in enumerate(vocabulary.collect())}
+    held = durable(held_terms(corpus, words, doc, text))
+    size = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    spread = k1 * (1 - b + b * F.col("dl") / F.lit(float(size["avgdl"] or 1.0)))
+    rows = held.select("doc", "term", F.transform("tf", lambda n: n * (k1 + 1) / (n + spread)).alias("gain"))
+    if not held.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # both lists of a row come in the same order: they are collected as one
+        pairs = rows.groupBy("doc").agg(F.collect_list(F.struct("term", "gain")).alias("r"))
+        rows = pairs.select("doc", F.flatten("r.term").alias("term"), F.flatten("r.gain").alias("gain"))
+    names = spark.createDataFrame(list(words.items()), "term string, number int")
+    counts = held.select(F.explode("term").alias("number")).groupBy("number").agg(F.count("*").alias("df"))
+    # no posting adds more than the limit of its share for ever more occurrences
+    terms = counts.join(names, "number").select("term", "number", "df", F.lit(k1 + 1).alias("top"))
+    asked: dict = {}
+    for r in asked_terms(queries, Index(held, terms, size["n"]), query, text).orderBy("query", "df", "term").collect():
+        asked.setdefault(r["query"], []).append((words[r["term"]], r["weight"]))
+    ids = spark.createDataFrame(list(enumerate(asked)), f"query int, id {queries.schema[query].dataType.simpleString()}")
+    found = durable(best_scored(rows, list(asked.values()), k))
+    order = Window.partitionBy("query").orderBy(F.col("place").desc(), "doc")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(ids, "query").select(F.col("id").alias(query), F.col("doc").alias(doc), "score", "rank")
+
+
 def bm25(
     corpus: DataFrame,
     queries: DataFrame,
@@ -149,10 +256,14 @@ def bm25(
 ) -> DataFrame:
     """Exact top ``k`` documents per query: ``(query, doc, score, rank)``; equal scores go by ``doc``.
 
-    Queries and documents without a common term do not come.
+    Queries and documents without a common term do not come. Queries of more than ``SENT`` words in all go by the index,
+    with ``block`` postings in a block.
     """
-    vocabulary = queries.select(F.explode(tx.lexical_tokens(F.col(text))).alias("term")).distinct()
-    index = build_index(corpus, durable(vocabulary), doc, text, k1, b, block)
+    vocabulary = durable(queries.select(F.explode(tx.lexical_tokens(F.col(text))).alias("term")).distinct())
+    asked_words = queries.agg(F.sum(n_terms(F.col(text)))).first()[0] or 0
+    if asked_words <= SENT:
+        return scanned(corpus, queries, vocabulary, k, doc, query, text, k1, b)
+    index = build_index(corpus, vocabulary, doc, text, k1, b, block)
     asked = durable(asked_terms(queries, index, query, text))
     order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
     best = search(asked, index, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
