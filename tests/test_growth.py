@@ -1,8 +1,11 @@
 """Steps whose cost must not grow faster than their input."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from turnloom.catalog import streaming as cs
+from turnloom.catalog import texts as ct
 from turnloom.functions import text as tx
 from turnloom.operators import judging as jd
 from turnloom.operators import lexical as lx
@@ -25,6 +28,20 @@ def test_stream_source_reads_its_rows_a_fixed_number_of_times(spark, monkeypatch
     assert stream.isStreaming
 
 
+def test_case_maps_are_made_of_asked_documents_only(spark, tmp_path, monkeypatch):
+    """A text that no claim is about is not cut into words; repeated rows on both sides stay as they are."""
+    docs = [(1, "The NATO met"), (1, "the Nato met"), (2, "no claim about this"), (3, "Rome fell"), (None, "x")]
+    said = [(1, 0, "the nato"), (3, 1, "rome"), (3, 1, "rome"), (4, 0, "nothing"), (None, 2, "x")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(said, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    stored = []
+    monkeypatch.setattr(ct, "durable", lambda df: stored.append(df) or df)
+    got = sorted((r.conv_id, r.turn, r.claim_md5) for r in ct.cleaned_claims(spark, str(tmp_path)).collect())
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == sorted([(1, 0, md5("The NATO")), (1, 0, md5("The Nato")), (3, 1, md5("Rome")), (3, 1, md5("Rome"))])
+    assert sorted(r.conv_id for r in stored[0].collect()) == [1, 1, 3]
+
+
 def test_pending_prompts_meet_stored_scores_by_row(spark):
     rows = spark.createDataFrame([("1", "s", "x"), ("2", "s", "y"), (None, "s", "z")], "row_id string, system string, conversation string")
     rubrics, keep = rb.RUBRICS[:2], ["row_id", "system"]

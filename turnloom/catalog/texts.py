@@ -231,9 +231,12 @@ r AS (SELECT conv_id, turn, array_to_string(list_transform(cw, lambda w: coalesc
 q AS (SELECT conv_id, turn, {SENTENCES.format('t')} AS ss FROM r)
 SELECT conv_id, turn, md5(array_to_string(list_transform(ss, lambda s: upper(s[1:1]) || s[2:]), ' ')) AS claim_md5 FROM q""")
 def cleaned_claims(spark, d):
+    said = table(spark, d, "conversations")
+    # documents that a claim is about, dealt anew: those may stand side by side
+    asked = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), "text").join(said.select("conv_id"), "conv_id", "left_semi")
     # once per document: what is joined is the map, not the text
-    docs = durable(table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), tx.case_map(F.col("text")).alias("known")))
-    rows = table(spark, d, "conversations").join(docs, "conv_id")
+    docs = durable(asked.repartition("conv_id").select("conv_id", tx.case_map(F.col("text")).alias("known")))
+    rows = said.join(docs, "conv_id")
     claim = tx.clean_claim_by(F.col("known"), F.lower("text"))
     return rows.select("conv_id", "turn", F.md5(claim).alias("claim_md5"))
 
