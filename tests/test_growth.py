@@ -11,6 +11,7 @@ from turnloom.operators import judging as jd
 from turnloom.operators import lexical as lx
 from turnloom.operators import rubrics as rb
 from turnloom.operators.stages import score_pairs
+from turnloom.sources import sinks
 
 
 def test_stream_source_reads_its_rows_a_fixed_number_of_times(spark, monkeypatch):
@@ -52,6 +53,17 @@ def test_pending_prompts_meet_stored_scores_by_row(spark):
     assert jd.pending_prompts(rows, rubrics, keep, None).count() == every.count()
 
 
+def test_stored_scores_are_not_broadcast(spark, tmp_path):
+    """No task holds all stored keys, however small their files are; nulls and repeats are as in a plain anti join."""
+    rows = [("1", "e", "s", "a", 1), ("1", "e", "s", "a", 2), ("2", "e", "s", "a", 1), (None, "e", "s", "a", 1), ("3", "e", "s", "a", 1)]
+    scored = spark.createDataFrame(rows, "row_id string, evaluator string, subject string, aspect string, score int")
+    scored.where("row_id is null or row_id = '2'").write.parquet(f"{tmp_path}/scores")
+    fresh = sinks.unseen(scored, spark.read.parquet(f"{tmp_path}/scores"))
+    assert sorted(str(r.row_id) for r in fresh.collect()) == ["1", "3", "None"]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_common_subsequences_take_batches_by_bytes(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)

@@ -93,11 +93,19 @@ class ScoreCache:
         return found.withColumn("_nth", F.row_number().over(latest)).where("_nth = 1").drop("_nth", "_batch")
 
 
+def unseen(scored: DataFrame, stored: DataFrame, key: Sequence[str] = SCORE_KEY) -> DataFrame:
+    """Rows of ``scored``, one per key, whose key is not stored.
+
+    Stored keys are small as files and many times larger in memory: they are sorted beside the keys that are unique
+    anyway, never sent whole to every task.
+    """
+    return scored.dropDuplicates(list(key)).join(stored.select(*key).hint("merge"), list(key), "left_anti")
+
+
 def append_scores(scored: DataFrame, path: str, key: Sequence[str] = SCORE_KEY) -> DataFrame:
     """Append scores whose key is not stored yet and return the full table; a repeated batch adds nothing."""
     spark = scored.sparkSession
-    fresh = scored.dropDuplicates(list(key))
-    if path_exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(*key), list(key), "left_anti")
+    known = path_exists(spark, path)
+    fresh = unseen(scored, spark.read.parquet(path), key) if known else scored.dropDuplicates(list(key))
     fresh.write.mode("append").parquet(path)
     return spark.read.parquet(path)
