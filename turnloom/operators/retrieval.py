@@ -213,22 +213,16 @@ def best_scored(rows: DataFrame, queries: list[list[tuple[int, float]]], k: int)
 
 
 def scanned(
-    corpus: DataFrame, queries: DataFrame, vocabulary: DataFrame, k: int, doc: str, query: str, text: str, k1: float, b: float
+    held: DataFrame, words: dict[str, int], queries: DataFrame, k: int, doc: str, query: str, text: str, k1: float, b: float
 ) -> DataFrame:
-    """``query, doc, score, rank`` of the best ``k`` documents by one pass over the texts and one over their held terms.
+    """``query, doc, score, rank`` of the best ``k`` documents by one pass over their ``held_terms``.
 
-    Rows of one ``doc`` add up to one document, each with its own length. What the driver holds are the queries' terms.
+    What the driver holds are the queries' terms.
     """
-    spark = corpus.sparkSession
-    words = {r["term"]: i for i, r in enumerate(vocabulary.collect())}
-    held = durable(held_terms(corpus, words, doc, text))
+    spark = held.sparkSession
     size = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     spread = k1 * (1 - b + b * F.col("dl") / F.lit(float(size["avgdl"] or 1.0)))
     rows = held.select("doc", "term", F.transform("tf", lambda n: n * (k1 + 1) / (n + spread)).alias("gain"))
-    if not held.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        # both lists of a row come in the same order: they are collected as one
-        pairs = rows.groupBy("doc").agg(F.collect_list(F.struct("term", "gain")).alias("r"))
-        rows = pairs.select("doc", F.flatten("r.term").alias("term"), F.flatten("r.gain").alias("gain"))
     names = spark.createDataFrame(list(words.items()), "term string, number int")
     counts = held.select(F.explode("term").alias("number")).groupBy("number").agg(F.count("*").alias("df"))
     # no posting adds more than the limit of its share for ever more occurrences
@@ -257,12 +251,15 @@ def bm25(
     """Exact top ``k`` documents per query: ``(query, doc, score, rank)``; equal scores go by ``doc``.
 
     Queries and documents without a common term do not come. Queries of more than ``SENT`` words in all go by the index,
-    with ``block`` postings in a block.
+    with ``block`` postings in a block; so do documents of which some share an id, whose shares add up over tasks.
     """
     vocabulary = durable(queries.select(F.explode(tx.lexical_tokens(F.col(text))).alias("term")).distinct())
     asked_words = queries.agg(F.sum(n_terms(F.col(text)))).first()[0] or 0
     if asked_words <= SENT:
-        return scanned(corpus, queries, vocabulary, k, doc, query, text, k1, b)
+        words = {r["term"]: i for i, r in enumerate(vocabulary.collect())}
+        held = durable(held_terms(corpus, words, doc, text))
+        if held.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return scanned(held, words, queries, k, doc, query, text, k1, b)
     index = build_index(corpus, vocabulary, doc, text, k1, b, block)
     asked = durable(asked_terms(queries, index, query, text))
     order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
