@@ -4,6 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from turnloom.catalog import datasets as cd
 from turnloom.catalog import streaming as cs
 from turnloom.catalog import texts as ct
 from turnloom.functions import text as tx
@@ -11,6 +12,7 @@ from turnloom.operators import judging as jd
 from turnloom.operators import lexical as lx
 from turnloom.operators import rubrics as rb
 from turnloom.operators.stages import score_pairs
+from turnloom.plans import pairs as pr
 from turnloom.sources import sinks
 
 
@@ -94,3 +96,26 @@ def test_masked_answers_are_looked_for_by_their_letters(spark):
     masked = df.select(tx.mask_answers(F.col("c"), F.col("a")).alias("t"))
     assert masked.first().t == "Old-age, an ;  "
     assert "(?iU)\\Q" in masked._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_text_without_words_has_no_first_and_no_last_word(spark):
+    texts = [" \t\n", "", None, "one", "\u00a0x  b\u2003c\n"]
+    df = spark.createDataFrame([(i, t, "q", []) for i, t in enumerate(texts)], "row_id long, context string, question string, answers array<string>")
+    ends = df.orderBy("row_id").select(tx.first_word(F.col("context")).alias("first"), tx.last_word(F.col("context")).alias("last")).collect()
+    assert [tuple(r) for r in ends] == [(None, None), (None, None), (None, None), ("one", "one"), ("\u00a0x", "b\u2003c")]
+    told = {r.row_id: r.text_b[0] for r in pr.build_pairs("squad_v2", df).collect()}
+    assert told == {"0": "q no answer", "1": "q no answer", "2": "q no answer", "3": "q one", "4": "q b\u2003c"}
+
+
+def test_material_of_answers_is_joined_whole_and_stored_without_its_pieces(spark, tmp_path, monkeypatch):
+    """Only the text is shuffled, and no table holds all its words and sentences; repeated labels repeat a document."""
+    docs = [(3, "One two. Three.", "en", "s"), (4, "Four", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1), (3, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stored = []
+    monkeypatch.setattr(cd, "durable", lambda df: stored.append(df) or df)
+    rows = cd.raw_answers(spark, str(tmp_path))["squad"].orderBy("row_id").collect()
+    assert [(r.row_id, r.question, r.answers) for r in rows] == [(3, "One two.", []), (3, "One two.", []), (4, "Four", ["", "Four"])]
+    assert not {"ss", "ws"} & set(stored[0].columns)
+    plan = stored[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan[plan.index("Join LeftOuter") :]

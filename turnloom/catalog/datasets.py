@@ -19,9 +19,9 @@ big = lambda c: c.cast("bigint")
 def base(spark, d, columns=()):
     """Sentences of a document as raw material: s1, s2, s3 and the words of the text; ``columns`` are all that is stored, if given."""
     docs = table(spark, d, "documents")
-    ss = tx.sentences(F.col("text"))
     labels = table(spark, d, "labels").select("doc_id", "quality")
-    rows = docs.withColumn("ss", ss).withColumn("ws", tx.words(F.col("text"))).join(labels, "doc_id", "left")
+    # joined before a text is cut: only the text itself is shuffled
+    rows = docs.join(labels, "doc_id", "left").withColumn("ss", tx.sentences(F.col("text"))).withColumn("ws", tx.words(F.col("text")))
     pick = lambda i: F.coalesce(F.get("ss", F.lit(i)), F.lit(""))
     made = rows.select(
         F.col("doc_id").alias("row_id"), "text", "source", "lang", "ss", "ws", pick(0).alias("s1"), pick(1).alias("s2"), pick(2).alias("s3"),
@@ -134,8 +134,8 @@ def choice_pairs(spark, d):
 
 
 def raw_answers(spark, d):
-    b = base(spark, d)
-    answers = F.when(F.col("y3") == 0, F.array().cast("array<string>")).otherwise(F.array("s2", F.get("ws", F.lit(0))))
+    b = base(spark, d, ["row_id", "text", "lang", "s1", "s2", "s3", "y3", "y2", F.get("ws", F.lit(0)).alias("w1")])
+    answers = F.when(F.col("y3") == 0, F.array().cast("array<string>")).otherwise(F.array("s2", "w1"))
     qa = b.select("row_id", F.col("text").alias("context"), F.col("s1").alias("question"), answers.alias("answers"))
     story = b.select(
         "row_id", F.when(F.col("y2") == 1, "train").otherwise("dev").alias("type"), "text",

@@ -53,6 +53,16 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def first_word(text: Column) -> Column:
+    """The first of ``words``, null where there is none; the rest of the text is not cut."""
+    return F.nullif(F.regexp_extract(text, r"\S+", 0), F.lit(""))
+
+
+def last_word(text: Column) -> Column:
+    """The last of ``words``, null where there is none; the rest of the text is not cut."""
+    return F.reverse(first_word(F.reverse(text)))
+
+
 def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(words(text), 1, n), " ")
 

@@ -117,7 +117,7 @@ def negative_answers(
 ) -> Builder:
     """Question answering rows ``(context, question, answers)``: a right row where answers exist, and a wrong row with
     a made-up answer where none exists (or always). The made-up answer is drawn from the context without answers."""
-    fake = fake or (lambda question, context: F.coalesce(F.get(tx.words(context), F.lit(0)), F.lit("no answer")))
+    fake = fake or (lambda question, context: F.coalesce(tx.first_word(context), F.lit("no answer")))
 
     def build(df: DataFrame) -> DataFrame:
         some = F.coalesce(F.size("answers"), F.lit(0)) > 0
@@ -195,7 +195,7 @@ def extractive_answers(df: DataFrame, k: int = 5, limit: float = 0.6) -> DataFra
 
 def statements(df: DataFrame, answer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Questions turned into statements: the first answer is right, a guess for unanswerable ones is wrong."""
-    guess = answer or (lambda question, context: F.element_at(tx.words(context), -1))
+    guess = answer or (lambda question, context: tx.last_word(context))
     some = F.size("answers") > 0
     told = joined_answer(
         F.col("question"), F.when(some, F.get("answers", F.lit(0))).otherwise(guess(F.col("question"), F.col("context")))
