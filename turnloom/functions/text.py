@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.binding import let
 from turnloom.functions.grams import by_run, run_starts
+from turnloom.functions.lookup import respelt_words
 
 TokenCounter = Callable[[Column], Column]
 
@@ -199,23 +200,20 @@ def case_map(context: Column) -> Column:
 def clean_claim(context: Column, claim: Column) -> Column:
     """Restore the context's word case (its last spelling wins), plain quotes and brackets, sentence capitals.
 
-    Each word of the claim is looked for from the end of the context; nothing is sorted.
+    Each word of the claim is looked for from the end of the context, in Python; nothing is sorted or cut into words.
     """
-    last_first = lambda ws: F.struct(ws.alias("words"), F.split(F.lower(F.array_join(ws, " ")), " ").alias("low"))
-    back = let(F.reverse(F.coalesce(words(context), F.array().cast("array<string>"))), last_first)
-    respelt = lambda known, w: F.coalesce(F.get(known["words"], F.array_position(known["low"], F.lower(w)).cast("int") - 1), w)
-    return _claim_text(let(back, lambda known: F.transform(words(claim), lambda w: respelt(known, w))))
+    beyond_ascii = F.when(F.length(context) != F.octet_length(context), F.lower(context))
+    return _claim_text(respelt_words(context, beyond_ascii, claim, F.lower(claim)))
 
 
 def clean_claim_by(known: Column, claim: Column) -> Column:
     """``clean_claim`` with the context's ``case_map``; without one every word stays as it is."""
     respelled = F.transform(words(claim), lambda w: F.coalesce(F.try_element_at(known, F.lower(w)), w))
-    return _claim_text(respelled)
+    return _claim_text(F.array_join(respelled, " "))
 
 
 def _claim_text(respelled: Column) -> Column:
-    text = F.array_join(respelled, " ")
-    text = F.translate(text, "“”’‘`", "\"\"'''")
+    text = F.translate(respelled, "“”’‘`", "\"\"'''")
     text = F.replace(F.replace(text, F.lit("-lrb-"), F.lit("(")), F.lit("-rrb-"), F.lit(")"))
     capital = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))
     return F.array_join(F.transform(sentences(text), capital), " ")
