@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from turnloom.catalog import datasets as cd
 from turnloom.catalog import streaming as cs
 from turnloom.catalog import texts as ct
+from turnloom.functions import lookup as lk
 from turnloom.functions import text as tx
 from turnloom.operators import judging as jd
 from turnloom.operators import lexical as lx
 from turnloom.operators import rubrics as rb
-from turnloom.operators.stages import score_pairs
+from turnloom.operators.stages import containment, score_pairs, token_set
+from turnloom.plans import benchmark as bm
 from turnloom.plans import pairs as pr
 from turnloom.sources import sinks
 
@@ -119,3 +121,49 @@ def test_material_of_answers_is_joined_whole_and_stored_without_its_pieces(spark
     assert not {"ss", "ws"} & set(stored[0].columns)
     plan = stored[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "split" not in plan[plan.index("Join LeftOuter") :]
+
+
+ODD_TEXTS = [
+    ("İstanbul ΑΣ Kelvin \u212a K", "i̇stanbul ας KELVIN k \u212a"), (None, "A b"), ("x", None), ("", ""), ("  ", " a "), ("a\x1cb A\x85b x", "A\x1cB a\x85B X"),
+    ("A" * 300 + " a", "a A " * 3), ("ab aB Ab " * 400 + " Aab", "aB a b AB " * 30), ("École-été 3½", "ÉCOLE Été x_y _ ½"), ("x_y z", "x y"),
+    (" ".join(f"W{i}" for i in range(90)), " ".join(f"w{i}" for i in range(0, 180, 2))), ("\tNew\nline\x0bA\x0cB\rC", "new LINE a b c"),
+]
+
+
+def test_claims_and_shares_by_search_are_those_of_cut_texts(spark):
+    """Last spellings and shares of tokens as by cutting whole texts, also where the search gives way to that."""
+    df = spark.createDataFrame(ODD_TEXTS, "c string, h string").repartition(1)
+    every = df.select("c", "h", tx.clean_claim_by(tx.case_map(F.col("c")), F.col("h")).alias("t"), containment(tx.lexical_tokens(F.col("c")), token_set(F.col("h"))).alias("s"))
+    made = df.select("c", "h", tx.clean_claim(F.col("c"), F.col("h")).alias("t"), lk.token_share(F.lower("c"), F.lower("h")).alias("s"))
+    assert sorted(map(str, made.collect())) == sorted(map(str, every.collect()))
+    for few, misses in ((0, 256), (48, 0), (10**6, 10**6)):
+        with_limits = lambda f, *a: _limited(few, misses, f, *a)
+        for c, h in ((c, h) for c, h in ODD_TEXTS if c and h):
+            assert with_limits(lk.respelt, c, c.lower(), h, h.lower()) == lk.respelt(c, c.lower(), h, h.lower())
+            assert with_limits(lk.share_held, c.lower(), h.lower()) == lk.share_held(c.lower(), h.lower())
+
+
+def _limited(few, misses, f, *args):
+    before = lk.FEW, lk.MISSES
+    lk.FEW, lk.MISSES = few, misses
+    try:
+        return f(*args)
+    finally:
+        lk.FEW, lk.MISSES = before
+
+
+def test_contexts_of_claims_and_premises_are_not_cut_into_words(spark):
+    df = spark.createDataFrame([("The NATO met", "nato a.")], "premise string, hypothesis string")
+    claimed = df.withColumn("hypothesis", tx.clean_claim(F.col("premise"), F.col("hypothesis")))
+    assert claimed.first().hypothesis == "NATO a." and score_pairs(claimed).first()["reg"] == 0.5
+    plan = score_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "split(premise" not in claimed._jdf.queryExecution().analyzed().toString()
+
+
+def test_tasks_are_made_once_for_all_tables(spark, monkeypatch):
+    made, tasks = [], bm.tasks
+    monkeypatch.setattr(bm, "tasks", lambda: made.append(1) or tasks())
+    rows = spark.createDataFrame([(1, "a b", "a b", 1), (2, "a b", "c", 0)], "row_id long, sentence1 string, sentence2 string, label int")
+    got = bm.run_benchmark(dict.fromkeys(("mrpc", "paws", "axb"), rows)).where("metric = 'accuracy'").collect()
+    assert sorted((r.task, r.value) for r in got) == [("axb", 0.0), ("mrpc", 1.0), ("paws", 1.0)]
+    assert len(made) == 2

@@ -228,7 +228,7 @@ def scanned(
     # no posting adds more than the limit of its share for ever more occurrences
     terms = counts.join(names, "number").select("term", "number", "df", F.lit(k1 + 1).alias("top"))
     asked: dict = {}
-    for r in asked_terms(queries, Index(held, terms, size["n"]), query, text).orderBy("query", "df", "term").collect():
+    for r in asked_terms(queries, Index(held, terms, size["n"]), query, text).orderBy("query", "df", "term").toLocalIterator():
         asked.setdefault(r["query"], []).append((words[r["term"]], r["weight"]))
     ids = spark.createDataFrame(list(enumerate(asked)), f"query int, id {queries.schema[query].dataType.simpleString()}")
     found = durable(best_scored(rows, list(asked.values()), k))
@@ -256,7 +256,7 @@ def bm25(
     vocabulary = durable(queries.select(F.explode(tx.lexical_tokens(F.col(text))).alias("term")).distinct())
     asked_words = queries.agg(F.sum(n_terms(F.col(text)))).first()[0] or 0
     if asked_words <= SENT:
-        words = {r["term"]: i for i, r in enumerate(vocabulary.collect())}
+        words = {r["term"]: i for i, r in enumerate(vocabulary.toLocalIterator())}
         held = durable(held_terms(corpus, words, doc, text))
         if held.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             return scanned(held, words, queries, k, doc, query, text, k1, b)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as tx
+from turnloom.functions.lookup import token_share
+from turnloom.session import bound_batches
 
 Client = Callable[[list], Sequence]
 RETRIES = 5
@@ -162,8 +164,9 @@ def score_pairs(
     receives structs of both texts and returns ``(reg, bin, [three])``.
     """
     if make_client is None:
-        # every head is made from one containment: the texts of a pair are cut once
-        scored = pairs.withColumn("reg", containment(tx.lexical_tokens(F.col(premise)), token_set(F.col(claim))))
+        # every head is made from one containment: the claim's tokens are looked for in the premise once
+        bound_batches(pairs.sparkSession)
+        scored = pairs.withColumn("reg", token_share(F.lower(F.col(premise)), F.lower(F.col(claim))))
         return scored.withColumn("bin", F.col("reg")).withColumn("tri", F.array("reg", F.lit(0.0), 1 - F.col("reg")))
     wrapped = lambda: named_heads(make_client())
     both = F.to_json(F.struct(F.col(premise).alias("premise"), F.col(claim).alias("hypothesis")))

@@ -17,7 +17,7 @@ from turnloom.functions import text as tx
 from turnloom.operators import stats as st
 from turnloom.operators.reports import metric_table
 from turnloom.operators.stages import score_pairs
-from turnloom.session import durable
+from turnloom.session import bound_batches, durable
 
 REGRESSION, BINARY, THREE_WAY = 0, 1, 2
 Project = Callable[[DataFrame], DataFrame]
@@ -256,6 +256,7 @@ def candidate_pairs(tables: Mapping[str, DataFrame], system: str = "default") ->
     """All tasks' pairs in one table."""
     known, parts = tasks(), []
     for name, df in tables.items():
+        bound_batches(df.sparkSession)
         task = known[name]
         parts.append(task.project(df).select(
             F.lit(system).alias("system"), F.lit(name).alias("task"), F.lit(task.head).alias("head"),
@@ -336,5 +337,5 @@ def run_benchmark(
     for system, scorer in named.items():
         part = scored_pairs(candidate_pairs(tables, system), scorer)
         scored = part if scored is None else scored.unionByName(part, allowMissingColumns=True)
-    kinds = sorted({m for n in tables for m in tasks()[n].metrics})
-    return metrics(scored, kinds)
+    known = tasks()  # a second to make, so not once per table
+    return metrics(scored, sorted({m for n in tables for m in known[n].metrics}))
