@@ -167,3 +167,12 @@ def test_tasks_are_made_once_for_all_tables(spark, monkeypatch):
     got = bm.run_benchmark(dict.fromkeys(("mrpc", "paws", "axb"), rows)).where("metric = 'accuracy'").collect()
     assert sorted((r.task, r.value) for r in got) == [("axb", 0.0), ("mrpc", 1.0), ("paws", 1.0)]
     assert len(made) == 2
+
+
+def test_a_null_among_the_answers_deletes_nothing(spark):
+    """The first word of a text without words is such an answer."""
+    rows = [(1, " \n", "q", ["", None]), (2, None, "q", ["", None]), (3, "a b c", "q", [None, "b", "a", None])]
+    df = spark.createDataFrame(rows, "row_id long, context string, question string, answers array<string>")
+    assert [r.t for r in df.orderBy("row_id").select(tx.mask_answers(F.col("context"), F.col("answers")).alias("t")).collect()] == [" \n", None, "  c"]
+    told = {r.row_id: r.text_c for r in pr.build_pairs("quoref", df).where("orig_label = 0").collect()}
+    assert told == {"1": ["no answer"], "2": ["no answer"], "3": ["c"]}

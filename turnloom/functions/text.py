@@ -235,8 +235,8 @@ def fill_blank(question: Column, option: Column, tail: str = " ") -> Column:
 
 
 def mask_answers(context: Column, answers: Column) -> Column:
-    """Delete every answer, longest first, where it stands as a whole (hyphenated) word; case is ignored."""
-    ordered = F.array_sort(answers, lambda a, b: F.length(b) - F.length(a))
+    """Delete every answer, longest first, where it stands as a whole (hyphenated) word; case is ignored, and so are nulls."""
+    ordered = F.array_sort(F.filter(answers, lambda a: a.isNotNull()), lambda a, b: F.length(b) - F.length(a))
     edge = r"[\w\-–]"
 
     def pattern(answer: Column) -> Column:
